@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, toxicity
+from . import language, mixing, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op6_packing, op7_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op6_packing, op7_quality, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
