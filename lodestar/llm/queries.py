@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, simhash, toxicity
+from . import language, minhash, mixing, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op6_packing, op7_quality, op8_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op5_minhash, op6_packing, op7_quality, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
