@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -108,8 +108,12 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_key, signature); the last two are null for texts without words."""
+    """(doc_id, text_key, n_shingles, class_key, signature); the last two are null for texts without words."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +127,11 @@ def marked(docs: DataFrame) -> DataFrame:
                     for i, key, sign in zip(full, set_ids(kept).tolist(), signatures(kept), strict=True):
                         keys[i], signs[i] = key, sign.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "class_key", "signature"]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "class_key", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary")).mapInArrow(mark, "doc_id bigint, n_shingles bigint, class_key bigint, signature binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary"), text_key(F.col("text"))).mapInArrow(mark, "doc_id bigint, text_key bigint, n_shingles bigint, class_key bigint, signature binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -215,6 +220,24 @@ def across(entries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     return left.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates of a row of smaller id.
+
+    One row of each component stays: that of the smallest id, null last, and of
+    rows with this id the one whose text has the smallest hash. Texts without
+    words all stay, but of rows equal in id and text only one does.
+    """
+    found = linked(docs, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    own = F.when(F.col("root").isNull(), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_key")).otherwise(F.col("root").cast("string"))
+    name = lambda id, key: F.concat_ws(":", F.coalesce(id.cast("string"), F.lit("null")), key)
+    stay = found.groupBy(own.alias("of")).agg(F.min(first).alias("x")).select(name(F.col("x.id"), F.col("x.key")).alias("__stays")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    named = packed.select("row", name(F.col("row.doc_id").cast("bigint"), text_key(F.col("row.text"))).alias("__name"))
+    kept = named.join(stay, F.col("__name") == F.col("__stays"), "left_semi")
+    return kept.withColumn("__copy", F.row_number().over(Window.partitionBy("__name").orderBy("__name"))).where("__copy = 1").select("row.*")
+
+
 def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -225,6 +248,13 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept. Rows that repeat the smallest id are all kept. An empty table gives no
     rows.
     """
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = linked(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root, component_id) of every row; root, the component's number, is null without shingles."""
     if percent < PERCENT:
         raise ValueError(f"the signatures find similarities from {PERCENT} percent")
     rows = marked(docs).persist(StorageLevel.MEMORY_AND_DISK)  # 150 bytes a document
@@ -241,7 +271,5 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         roots = components(links)
     names = classes.join(roots, F.col("class_key") == F.col("v"), "left").select("class_key", F.coalesce("root", "class_key").alias("root"), "rep")
     smallest = names.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = names.join(smallest, "root").select(F.col("class_key").alias("of"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "class_key").join(found, F.col("class_key") == F.col("of"), "left")
-    component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = names.join(smallest, "root").select(F.col("class_key").alias("of"), "root", "component_id")
+    return rows.join(found, F.col("class_key") == F.col("of"), "left").select("doc_id", "text_key", "n_shingles", "root", "component_id")

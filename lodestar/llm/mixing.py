@@ -103,8 +103,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", "whole", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document.
+#: Sources whose thresholds may be sent to all executors: a few dozen bytes each.
+MOST_BROADCAST = 100_000
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) for every document; ``keep`` names other columns to carry.
 
     Takes ``doc_id``, ``text`` and ``source``; other columns are not read. A null
     text has no words; a null source is a source of its own, the last. ``taken``
@@ -115,9 +119,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     reruns and other partitionings agree.
     """
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVEL_BITS * LEVELS)
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), hashed.alias("hash")).persist(StorageLevel.MEMORY_AND_DISK)
-    budgets = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    # one row a source, with all that the levels found: counted once, not once a use
+    named = docs.select(F.struct(*keep).alias("row"), F.col("source"), words(F.col("text")).alias("size"), hashed.alias("hash"))
+    sized = named.select("source", "size", "hash").persist(StorageLevel.MEMORY_AND_DISK)  # two numbers a document
+    budgets = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     plan = budgets.withColumnRenamed("source", "budget_source").join(thresholds(sized, budgets), F.col("budget_source").eqNullSafe(F.col("source"))).drop("source")
+    if budgets.count() <= MOST_BROADCAST:  # else a join that splits the hot sources
+        plan = F.broadcast(plan)
     copies = F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("budget_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
+    joined = named.join(plan, F.col("source").eqNullSafe(F.col("budget_source")))
+    return joined.select("row.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))

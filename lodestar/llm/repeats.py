@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 LENGTH = 100
 GRAM = 40
@@ -277,9 +278,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` with spans (array of start, stop in bytes) and kept (binary: the bytes that stay).
 
+    With ``as_text``, kept is a string, without the bytes of characters that were cut in two.
+
     A null text is empty. Documents are ordered by doc_id, null last, rows with
     one id by a hash of their text; rows equal in both are one document and get
     the same result, so the first of several is not removed by its own repeats.
@@ -323,9 +326,12 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 places = [0, *(x for s in spans for x in s), len(text)]
                 all_spans.append([{"start": a, "stop": b} for a, b in spans])
                 all_kept.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(all_kept, pa.binary())], names=["row", "spans", "kept"])
+            if as_text:
+                all_kept = [k.decode(errors="ignore") for k in all_kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(all_kept, pa.string() if as_text else pa.binary())], names=["row", "spans", "kept"])
 
-    schema = f"row {everything.schema['row'].dataType.simpleString()}, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    spanned = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+    schema = StructType([everything.schema["row"], StructField("spans", spanned), StructField("kept", StringType() if as_text else BinaryType())])
     done = everything.mapInArrow(cut_out, schema)
     return done.select("row.*", "spans", "kept")
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from .common import fold_of
@@ -282,23 +283,26 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, modulus: int = 5
     return kept, logistic(np.array([[r.a, r.b, r.c] for r in rows]), np.array([float(r.toxic) for r in rows]))
 
 
-def score(docs: DataFrame, counts: np.ndarray, model: tuple[dict[str, float], np.ndarray], modulus: int = 5, held: int = 0) -> DataFrame:
-    """(doc_id, held_out, score, predicted, restored) of every row."""
+def score(docs: DataFrame, counts: np.ndarray, model: tuple[dict[str, float], np.ndarray], modulus: int = 5, held: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; with ``keep``, these columns and score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, *model))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, line = shared.value
         restored, machine = restorer(CharacterModel(own)), Automaton(weights)
         for batch in batches:
-            rows = np.array([machine.statistics(plain(restored(t.as_py()))) for t in batch.column(2)]).reshape(-1, 3)
+            rows = np.array([machine.statistics(plain(restored(t.as_py()))) for t in batch.column(1)]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(rows @ line[:-1] + line[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     held_out = F.coalesce(fold_of(F.col("doc_id"), modulus) == held, F.lit(False))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")
+    carried = F.struct(*keep) if keep else F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"))
+    rows = docs.select(carried.alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(scored, schema).select("row.*", "score", "predicted")
 
 
-def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sample: int = SAMPLE, keep: Sequence[str] = ()) -> DataFrame:
     """Fit on labelled rows, then score every row of ``docs``.
 
     Takes ``doc_id`` and ``text`` of documents, ``doc_id`` and ``toxic`` of labels;
@@ -308,4 +312,4 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
     scores are equal (0.5, or near that class). An empty table gives no rows.
     """
     counts = character_counts(docs)
-    return score(docs, counts, fit(docs, labels, counts, modulus, held, sample), modulus, held)
+    return score(docs, counts, fit(docs, labels, counts, modulus, held, sample), modulus, held, keep)
