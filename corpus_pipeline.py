@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _columns(df: DataFrame, text: Column | None = None) -> DataFrame:
     """The columns of documents; with a new text, n_chars is its length."""
-    kept = df.select(*COLUMNS) if text is None else df.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    kept = df if text is None else df.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
     return kept.select(*COLUMNS)
 
 
@@ -38,9 +38,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the byte strings that occur earlier; a null text that nothing is cut from stays null."""
-    done = repeats.remove(docs.select(*COLUMNS), as_text=True)
-    return _columns(done, F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept")))
+    """All documents, their texts without the byte strings that occur earlier; a null text stays null."""
+    return _columns(repeats.remove(docs.select(*COLUMNS), as_text=True), F.col("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
+from .common import cut
+
 LENGTH = 100
 GRAM = 40
 #: Bytes of text whose anchors are found at once, and contexts that are sorted at once.
@@ -279,67 +281,63 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """All columns of ``docs`` with spans (array of start, stop in bytes) and kept (binary: the bytes that stay).
-
-    With ``as_text``, kept is a string, without the bytes of characters that were cut in two.
-
-    A null text is empty. Documents are ordered by doc_id, null last, rows with
-    one id by a hash of their text; rows equal in both are one document and get
-    the same result, so the first of several is not removed by its own repeats.
-    Copies of a whole text are known by a 128-bit hash and go as a whole, if
-    they have ``length`` bytes. Columns named like the two new ones are replaced;
-    others may have any name. An empty table gives no rows.
+    """Columns of ``docs`` but text, with n_bytes, spans (array of start, stop in bytes) and kept (the bytes that stay).
+
+    With ``as_text``, kept is a string, without the bytes of characters that were
+    cut in two, and null where the text is; else a null text counts as empty.
+    Documents are ordered by doc_id, null last and equal to the greatest number,
+    rows with one id by a hash of their text; rows equal in both are one
+    document and get the same result, so the first of several is not removed by
+    its own repeats. Copies of a whole text are known by a 128-bit hash and go
+    as a whole, if they have ``length`` bytes. Columns with the names of the new
+    ones are replaced; others may have any name. An empty table gives no rows.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be above {GRAM}")
-    own = [c for c in docs.columns if c not in ("spans", "kept")]
-    packed = docs.select(F.struct(*own).alias("row"))
-    body = F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")
-    texts = packed.select(F.col("row.doc_id").cast("bigint").alias("id"), F.xxhash64(body).alias("k0"), "row", body.alias("body"))
-    # one shuffle of the texts, which the three uses below share
-    texts = texts.repartition("id", "k0")
+    own = [c for c in docs.columns if c not in ("text", "n_bytes", "spans", "kept")]
+    packed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("body"))
+    # ids and hashes without nulls, so that one partitioning serves all joins
+    named = packed.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("id"), F.xxhash64("body").alias("k0"), F.xxhash64(F.lit(1), "body").alias("k1"), F.col("body").cast("binary").alias("body"), "row")
     # of each distinct row the version of its id, and whether a smaller id has the text
-    k1 = F.xxhash64(F.lit(1), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("k1")
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("k0"), k1).groupBy("id", "k0", "k1").agg(F.lit(1).alias("one")).drop("one")
+    ids = named.groupBy("id", "k0", "k1").agg(F.lit(1).alias("one")).drop("one")
     heads = ids.groupBy(F.col("k0").alias("h0"), F.col("k1").alias("h1")).agg(F.min("id").alias("head"))
-    ids = ids.join(heads, (F.col("k0") == F.col("h0")) & (F.col("k1") == F.col("h1"))).select("id", "k0", (~F.col("id").eqNullSafe(F.col("head"))).alias("copy"))
-    ids = ids.groupBy("id", "k0").agg(F.min("copy").alias("copy"))
-    ids = ids.withColumn("version", F.dense_rank().over(Window.partitionBy("id").orderBy("k0")).cast("int"))
-    known = ids.select(F.col("id").alias("of"), F.col("k0").alias("of_k0"), "copy", "version").hint("shuffle_hash")
-    joined = texts.join(known, F.col("id").eqNullSafe(F.col("of")) & (F.col("k0") == F.col("of_k0"))).select("id", "k0", "version", "copy", "row", "body")
+    ids = ids.join(heads, (F.col("k0") == F.col("h0")) & (F.col("k1") == F.col("h1"))).groupBy("id", "k0").agg(F.min(F.col("id") != F.col("head")).alias("copy"))
+    ids = cut(ids.withColumn("version", F.dense_rank().over(Window.partitionBy("id").orderBy("k0")).cast("int")))  # 21 bytes a document
+    # one shuffle of the texts, which the three uses below share
+    texts = named.select("id", "k0", "row", "body").repartition("id", "k0")
+    known = ids.select("id", "k0", "copy", "version").hint("shuffle_hash")
+    joined = texts.join(known, ["id", "k0"])
     heads_only = joined.where(~F.col("copy") & (F.octet_length("body") >= length)).select("id", "k0", "version", "body")
     found = heads_only.select("id", "version", "body").mapInArrow(_anchor_rows(length), "gram bigint, id bigint, version int, anchor bigint")
     twice = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(_twice, "id bigint, version int, anchor bigint")
-    lists = twice.groupBy(F.col("id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_set("anchor").alias("anchors")).hint("shuffle_hash")
-    contexts = heads_only.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version"))).select("id", "version", "body", "anchors")
+    numbers = ids.select("id", "version", "k0")
+    lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
+    contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors")
     contexts = contexts.mapInArrow(_context_rows(length), "gram bigint, id bigint, version int, anchor bigint, first bigint, context binary")
-    order = ["gram", F.col("id").asc_nulls_last(), "version", "anchor"]
-    spans = contexts.repartition("gram").sortWithinPartitions(*order).mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
-    spans = spans.groupBy(F.col("id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_set(F.struct("start", "stop")).alias("found")).hint("shuffle_hash")
-    everything = joined.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")), "left").select("row", "body", "copy", "found")
+    spans = contexts.repartition("gram").sortWithinPartitions("gram", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
+    spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
+    everything = joined.join(spans, ["id", "k0"], "left").select("row", "body", "copy", "found")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            all_spans, all_kept = [], []
-            for text, copy, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            sizes, all_spans, all_kept = [], [], []
+            for body, copy, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                text = body or b""
                 spans = [(0, len(text))] if copy and len(text) >= length else merged([(s["start"], s["stop"]) for s in found or ()])
                 places = [0, *(x for s in spans for x in s), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
+                sizes.append(len(text))
                 all_spans.append([{"start": a, "stop": b} for a, b in spans])
-                all_kept.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True)))
-            if as_text:
-                all_kept = [k.decode(errors="ignore") for k in all_kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(all_kept, pa.string() if as_text else pa.binary())], names=["row", "spans", "kept"])
+                all_kept.append(kept if not as_text else None if body is None else kept.decode(errors="ignore"))
+            spanned = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(all_spans, spanned), pa.array(all_kept, pa.string() if as_text else pa.binary())], names=["row", "n_bytes", "spans", "kept"])
 
     spanned = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
-    schema = StructType([everything.schema["row"], StructField("spans", spanned), StructField("kept", StringType() if as_text else BinaryType())])
-    done = everything.mapInArrow(cut_out, schema)
-    return done.select("row.*", "spans", "kept")
+    schema = StructType([everything.schema["row"], StructField("n_bytes", LongType()), StructField("spans", spanned), StructField("kept", StringType() if as_text else BinaryType())])
+    return everything.mapInArrow(cut_out, schema).select("row.*", "n_bytes", "spans", "kept")
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    done = remove(docs.select("doc_id", "text"), length)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return done.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    done = remove(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), length)
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
