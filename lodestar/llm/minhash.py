@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,53 +170,102 @@ def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(close, "a bigint, b bigint")
 
 
+#: Bits of the filter by which documents are passed over whose classes occur in no pair: 1 MB, whatever the corpus.
+FILTER_BITS = 1 << 23
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids; at most FILTER_BITS / 64 sums reach the driver."""
+    at = ids.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("at"))
+    sums = at.select(F.expr("cast(at div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    got = sums.toPandas()
+    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Sets are made from the texts of the classes that occur in pairs only.
+    Texts aren't shuffled: each task makes the sets of its own documents that pass
+    a filter of fixed size, and the sets of classes that occur in pairs go on.
     """
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
-    wanted = involved.join(classes.select("class_key", "rep"), "class_key").select("class_key", "rep")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(involved.join(classes.select("class_key", "rep"), "class_key")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(shared.value[batch.column(0).to_numpy()]))
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
                 sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class_key", "shingles"])
 
-    # rows with one id may be several classes, and a class several rows: one set for each class that is wanted
-    sets = texts.select("text").mapInArrow(sets_of, "class_key bigint, shingles array<bigint>").join(involved, "class_key", "left_semi").dropDuplicates(["class_key"])
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(FILTER_BITS))
+    sets = docs.select(bit, F.col("text").cast("string").cast("binary")).mapInArrow(sets_of, "class_key bigint, shingles array<bigint>")
+    # a class may be several rows: one set for each class that is wanted
+    sets = sets.join(involved, "class_key", "left_semi").dropDuplicates(["class_key"])
     side = lambda v, s: sets.select(F.col("class_key").alias(v), F.col("shingles").alias(s))
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     met = met.withColumn("common", F.size(F.array_intersect("x", "y")))
     return met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def _pairs_across(keys: np.ndarray, roots: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket's members within the radius and of different roots; small components first, each against all that follow."""
+    _, number, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(sizes[number], kind="stable")
+    keys, roots, signs = keys[order], roots[order], signs[order]
+    for i in range(len(keys) - int(sizes.max())):
+        other = roots[i + 1 :] != roots[i]
+        hits = np.flatnonzero(other & _near(signs[i], signs[i + 1 :])) + i + 1
+        for k in keys[hits].tolist():
+            yield min(int(keys[i]), k), max(int(keys[i]), k)
+
+
 def across(entries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) within the radius that share a bucket but not a component."""
     named = entries.join(labels, F.col("class_key") == F.col("v"), "left").select("bucket", "class_key", F.coalesce("root", "class_key").alias("root"))
     open_buckets = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     left = named.join(open_buckets, "bucket").join(classes.select("class_key", "signature"), "class_key")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        signs = np.frombuffer(b"".join(group["signature"]), dtype=np.uint16).reshape(-1, VALUES)
-        keys, roots = group["class_key"].to_numpy(), group["root"].to_numpy()
-        _, number, sizes = np.unique(roots, return_inverse=True, return_counts=True)
-        order = np.argsort(sizes[number], kind="stable")  # small components first, each compared with all that follow
-        signs, keys, roots = signs[order], keys[order], roots[order]
-        found = []
-        for i in range(len(keys)):
-            rest = slice(i + 1, None)
-            if not (roots[rest] != roots[i]).any():
-                break
-            hits = np.flatnonzero(_near(signs[i], signs[rest]) & (roots[rest] != roots[i])) + i + 1
-            found += [(min(keys[i], k), max(keys[i], k)) for k in keys[hits]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return left.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        found: set[tuple[int, int]] = set()
+
+        def done(part: pa.Table) -> None:
+            if not part.num_rows:
+                return
+            bucket, keys, roots = (part.column(k).to_numpy() for k in range(3))
+            signs = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                found.update(_pairs_across(keys[a:b], roots[a:b], signs[a:b]))
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[-1].as_py()
+            first_of_last = int(np.searchsorted(batch.column(0).to_numpy(), last))
+            if waiting and waiting[-1].column(0)[0].as_py() == last:  # all of one bucket so far
+                waiting.append(batch)
+                continue
+            done(pa.Table.from_batches([*waiting, batch.slice(0, first_of_last)]))
+            waiting = [batch.slice(first_of_last)]
+            if len(found) > 100_000:
+                yield flushed()
+        if waiting:
+            done(pa.Table.from_batches(waiting))
+        yield flushed()
+
+    rows = left.select("bucket", "class_key", "root", "signature").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
