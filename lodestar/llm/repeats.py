@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from .common import cut
 
 LENGTH = 100
-GRAM = 40
+GRAM = 32
 #: Bytes of text whose anchors are found at once, and contexts that are sorted at once.
 SLICE, BLOCK = 1 << 20, 1 << 14
 
@@ -225,7 +225,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def _anchor_rows(length: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            text, h, anchor, _, _ = anchors(batch.column(2).to_pylist(), length)
+            text, h, anchor, _, _ = anchors([t or b"" for t in batch.column(2).to_pylist()], length)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor)], names=["gram", "id", "version", "anchor"])
 
@@ -253,7 +253,7 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_rows(length: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            texts = batch.column(2).to_pylist()
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
             text, h, anchor, first, last = anchors(texts, length)
             lists = batch.column(3)
             flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
@@ -307,12 +307,13 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Data
     texts = named.select("id", "k0", "row", "body").repartition("id", "k0")
     known = ids.select("id", "k0", "copy", "version").hint("shuffle_hash")
     joined = texts.join(known, ["id", "k0"])
-    heads_only = joined.where(~F.col("copy") & (F.octet_length("body") >= length)).select("id", "k0", "version", "body")
-    found = heads_only.select("id", "version", "body").mapInArrow(_anchor_rows(length), "gram bigint, id bigint, version int, anchor bigint")
+    # ``row`` goes along unread, and short texts too: with other columns or rows this would be another shuffle of the texts
+    heads_only = joined.where(~F.col("copy")).select("id", "k0", "version", "body", "row")
+    found = heads_only.select("id", "version", "body", "row").mapInArrow(_anchor_rows(length), "gram bigint, id bigint, version int, anchor bigint")
     twice = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(_twice, "id bigint, version int, anchor bigint")
     numbers = ids.select("id", "version", "k0")
     lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
-    contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors")
+    contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors", "row")
     contexts = contexts.mapInArrow(_context_rows(length), "gram bigint, id bigint, version int, anchor bigint, first bigint, context binary")
     spans = contexts.repartition("gram").sortWithinPartitions("gram", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
     spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
