@@ -30,3 +30,24 @@ def cut(df: DataFrame) -> DataFrame:
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split that the label contracts name."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
+
+
+#: Buckets of neighbouring values: enough that a third of all rows spreads over many.
+BUCKETS = 1024
+
+
+def bucket_edges(rows: DataFrame, column: str, buckets: int = BUCKETS) -> list[int]:
+    """At most ``buckets`` - 1 approximate quantiles of a bigint column, ascending and distinct."""
+    share = [i / buckets for i in range(1, buckets)]
+    edges = rows.agg(F.percentile_approx(column, share, 20 * buckets).alias("e")).first().e or []
+    return sorted({e for e in edges if e is not None})
+
+
+def bucket_of(column: str, edges: list[int]) -> Column:
+    """The number of edges under a value, found by halving; -1 for null."""
+    number = F.lit(0)
+    if edges:
+        bounds = F.array(*(F.lit(e).cast("bigint") for e in edges))
+        steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
+        number = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(bounds, at + step - 1) < F.col(column)), at + step).otherwise(at))
+    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(number)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, packing, quality, repeats, simhash, toxicity
+from . import language, minhash, mixing, packing, quality, repeats, simhash, toxicity, warc
 from .common import table
 
 
@@ -38,13 +38,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits(table(spark, sf_dir, "pages"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op5_minhash, op6_packing, op7_quality, op8_simhash, op10_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op5_minhash, op6_packing, op7_quality, op8_simhash, op9_warc, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.REVISITS_SQL}

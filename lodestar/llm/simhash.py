@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bucket_edges, bucket_of
+
 #: Bits of a fingerprint: hashes of 64 bits times HASHES.
 HASHES = 2
 BITS = 64 * HASHES
@@ -21,8 +23,6 @@ LANES = 0x0000000100000001
 #: A term weighs as many votes as its words have characters, up to this.
 MOST_WEIGHT = 16
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of neighbouring ids in which the next document is looked up.
-ID_BUCKETS = 1024
 
 
 def terms(text: Column) -> Column:
@@ -74,18 +74,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ordered by their text.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    share = [i / ID_BUCKETS for i in range(1, ID_BUCKETS)]
-    edges = rows.agg(F.percentile_approx("doc_id", share, 20 * ID_BUCKETS).alias("e")).first().e or []
-    edges = sorted({e for e in edges if e is not None})
-    if edges:
-        bounds = F.array(*(F.lit(e).cast("bigint") for e in edges))
-        steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
-        # the number of edges under the id, found by halving
-        bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(bounds, at + step - 1) < F.col("doc_id")), at + step).otherwise(at))
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)
-    else:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", bucket_of("doc_id", bucket_edges(rows, "doc_id")))
     # one row a bucket, so at most one more than there are edges
     everything = Window.orderBy("of_bucket")
     firsts = rows.groupBy(F.col("bucket").alias("of_bucket")).agg(F.min("doc_id").alias("first_id"))
