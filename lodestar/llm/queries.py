@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, packing, quality, repeats, simhash, toxicity, warc
+from . import images, language, minhash, mixing, packing, quality, repeats, simhash, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op5_minhash, op6_packing, op7_quality, op8_simhash, op9_warc, op10_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op4_images, op5_minhash, op6_packing, op7_quality, op8_simhash, op9_warc, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
