@@ -8,9 +8,10 @@ out, and all pairs within the radius meet in some bucket. Candidates are
 confirmed on full shingle sets.
 
 Documents with equal sets are one class from the start, so exact copies never
-meet. In a bucket all members are compared with its smallest one only; where
-that leaves a bucket with several components, the pairs across components are
-compared too, so that no link is lost and large groups don't give all pairs.
+meet. In a bucket all members are compared with its smallest one first. Where that
+leaves several components, each member is compared with the nearest one of
+another component, for some rounds, and at last all pairs across components that
+are left: no link is lost, and a group that links up never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ PERCENT = 75
 #: 64 values: a pair at similarity 0.75 differs in 16 on average, with deviation 3.5; more than 31 has probability 1e-5.
 VALUES, CHUNKS, ERRORS = 64, 16, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
+#: Bits of the sketches that tell, without error, many pairs that can't be similar enough.
+SKETCH = 2048
+#: Rounds in which each member of a bucket is compared with its nearest one of another component.
+ROUNDS = 2
 #: Bytes of text that are hashed at once.
 SLICE = 1_000_000
 
@@ -86,7 +91,7 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of VALUES 16-bit minhashes for each set; no set may be empty."""
+    """A row of VALUES 16-bit minhashes for each set; as below, no set may be empty."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])[:-1]
     out = np.empty((len(sets), VALUES), dtype=np.uint16)
     for k in range(VALUES):
@@ -96,6 +101,28 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH bits for each set: whether an odd number of its members fall in a cell.
+
+    Two rows differ in at most as many bits as there are members that only one set has.
+    """
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = np.bincount(owner * SKETCH + (flat >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=len(sets) * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1)
+
+
+def _opened(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and sketches, as numbers that can be compared."""
+    raw = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 2 * VALUES + SKETCH // 8)
+    return np.ascontiguousarray(raw[:, : 2 * VALUES]).view(np.uint16), np.ascontiguousarray(raw[:, 2 * VALUES :]).view(np.uint64)
+
+
+def _possible(sketch: np.ndarray, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Bits in which sketches differ, or -1 where sets of these sizes together can't be similar enough then."""
+    bits = np.bitwise_count(sketch ^ others).sum(axis=-1).astype(np.int64)
+    return np.where(bits * (100 + percent) <= sizes * (100 - percent), bits, -1)
+
+
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -123,8 +150,8 @@ def marked(docs: DataFrame) -> DataFrame:
                 keys, signs = [None] * len(sets), [None] * len(sets)
                 if full:
                     kept = [sets[i] for i in full]
-                    for i, key, sign in zip(full, set_ids(kept).tolist(), signatures(kept), strict=True):
-                        keys[i], signs[i] = key, sign.tobytes()
+                    for i, key, sign, sketch in zip(full, set_ids(kept).tolist(), signatures(kept), sketches(kept), strict=True):
+                        keys[i], signs[i] = key, sign.tobytes() + sketch.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())],
                     names=["doc_id", "text_key", "n_shingles", "class_key", "signature"],
@@ -140,7 +167,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, VALUES).astype(np.uint64)
+            signs = _opened(batch.column(1).to_pylist())[0].astype(np.uint64)
             found = np.empty((len(signs), CHUNKS * len(choices)), dtype=np.uint64)
             for c in range(CHUNKS):
                 for j, choice in enumerate(choices):
@@ -153,21 +180,18 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("class_key", "signature").mapInArrow(enter, "bucket bigint, class_key bigint")
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(axis=-1) <= RADIUS
-
-
-def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most RADIUS values."""
+def within_radius(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures differ in at most RADIUS values and whose sketches don't rule them out."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, VALUES) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(_near(x, y)))
+                (x, u), (y, v) = (_opened(batch.column(k).to_pylist()) for k in (2, 3))
+                kept = ((x != y).sum(axis=1) <= RADIUS) & (_possible(u, v, batch.column(4).to_numpy(), percent) >= 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept))
 
-    side = lambda v, s: classes.select(F.col("class_key").alias(v), F.col("signature").alias(s))
-    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(close, "a bigint, b bigint")
+    side = lambda v, s: classes.select(F.col("class_key").alias(v), F.col("signature").alias(s), F.col("n").alias(f"n{s}"))
+    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb", F.col("nsa") + F.col("nsb")).mapInArrow(close, "a bigint, b bigint")
 
 
 #: Bits of the filter by which documents are passed over whose classes occur in no pair: 1 MB, whatever the corpus.
@@ -184,13 +208,12 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def shingles_of(docs: DataFrame, classes: DataFrame, involved: DataFrame) -> DataFrame:
+    """(class_key, shingles) of the ``involved`` classes.
 
     Texts aren't shuffled: each task makes the sets of its own documents that pass
-    a filter of fixed size, and the sets of classes that occur in pairs go on.
+    a filter of fixed size, and those of the classes that are wanted go on.
     """
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_bits(involved.join(classes.select("class_key", "rep"), "class_key")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,31 +227,57 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(FILTER_BITS))
     sets = docs.select(bit, F.col("text").cast("string").cast("binary")).mapInArrow(sets_of, "class_key bigint, shingles array<bigint>")
-    # a class may be several rows: one set for each class that is wanted
-    sets = sets.join(involved, "class_key", "left_semi").dropDuplicates(["class_key"])
+    # a class may be several rows
+    return cut(sets.join(involved, "class_key", "left_semi").dropDuplicates(["class_key"]))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class_key")).union(pairs.select(F.col("b").alias("class_key"))).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     side = lambda v, s: sets.select(F.col("class_key").alias(v), F.col("shingles").alias(s))
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     met = met.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
-
-def _pairs_across(keys: np.ndarray, roots: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket's members within the radius and of different roots; small components first, each against all that follow."""
-    _, number, sizes = np.unique(roots, return_inverse=True, return_counts=True)
-    order = np.argsort(sizes[number], kind="stable")
-    keys, roots, signs = keys[order], roots[order], signs[order]
-    for i in range(len(keys) - int(sizes.max())):
-        other = roots[i + 1 :] != roots[i]
-        hits = np.flatnonzero(other & _near(signs[i], signs[i + 1 :])) + i + 1
-        for k in keys[hits].tolist():
+    return cut(met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
+
+
+def _partners(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, packed: list[bytes], nearest: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket's members of different roots that are within the radius and that their sketches don't rule out.
+
+    ``nearest``: only the likeliest one of each member. Else all, each once: small
+    components first, against all that follow.
+    """
+    _, number, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    order = np.argsort(counts[number], kind="stable")
+    keys, roots, sizes = keys[order], roots[order], sizes[order]
+    signs, sketch = (x[order] for x in _opened(packed))
+    n = len(keys) if nearest else len(keys) - int(counts.max())
+    for i in range(n):
+        first = 0 if nearest else i + 1
+        bits = _possible(sketch[i], sketch[first:], sizes[first:] + sizes[i], percent)
+        at = np.flatnonzero((bits >= 0) & (roots[first:] != roots[i]))
+        at = at[(signs[i] != signs[first:][at]).sum(axis=1) <= RADIUS]
+        if nearest and len(at):
+            at = at[[int(np.argmin(bits[at] / (sizes[at] + sizes[i])))]]
+        for k in keys[first:][at].tolist():
             yield min(int(keys[i]), k), max(int(keys[i]), k)
 
 
-def across(entries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the radius that share a bucket but not a component."""
-    named = entries.join(labels, F.col("class_key") == F.col("v"), "left").select("bucket", "class_key", F.coalesce("root", "class_key").alias("root"))
-    open_buckets = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    left = named.join(open_buckets, "bucket").join(classes.select("class_key", "signature"), "class_key")
+def opened(entries: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, class_key, n, signature) of the buckets whose members are of several components."""
+    named = _named(entries, roots)
+    several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    return cut(named.join(several, "bucket").join(classes.select("class_key", "n", "signature"), "class_key").select("bucket", "class_key", "n", "signature"))
+
+
+def _named(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots, F.col("class_key") == F.col("v"), "left").drop("v").withColumn("root", F.coalesce("root", "class_key"))
+
+
+def partners(entries: DataFrame, roots: DataFrame, nearest: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) within the radius that share a bucket of ``entries`` but not a component, in streams of whole buckets."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -237,11 +286,12 @@ def across(entries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
         def done(part: pa.Table) -> None:
             if not part.num_rows:
                 return
-            bucket, keys, roots = (part.column(k).to_numpy() for k in range(3))
-            signs = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+            bucket, keys, own, sizes = (part.column(k).to_numpy() for k in range(4))
+            packed = part.column(4).to_pylist()
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                found.update(_pairs_across(keys[a:b], roots[a:b], signs[a:b]))
+                if (own[a:b] != own[a]).any():
+                    found.update(_partners(keys[a:b], own[a:b], sizes[a:b], packed[a:b], nearest, percent))
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -264,7 +314,7 @@ def across(entries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
             done(pa.Table.from_batches(waiting))
         yield flushed()
 
-    rows = left.select("bucket", "class_key", "root", "signature").repartition("bucket").sortWithinPartitions("bucket")
+    rows = _named(entries, roots).select("bucket", "class_key", "root", "n", "signature").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
@@ -305,18 +355,27 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, root, component_id) of every row; root, the component's number, is null without shingles."""
     if percent < PERCENT:
         raise ValueError(f"the signatures find similarities from {PERCENT} percent")
-    rows = marked(docs).persist(StorageLevel.MEMORY_AND_DISK)  # 150 bytes a document
-    classes = rows.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = marked(docs).persist(StorageLevel.MEMORY_AND_DISK)  # 400 bytes a document
+    classes = rows.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")).persist(StorageLevel.MEMORY_AND_DISK)
     entries = buckets(classes)
     least = entries.groupBy("bucket").agg(F.min("class_key").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = entries.join(least, "bucket").persist(StorageLevel.MEMORY_AND_DISK)  # buckets with two members or more
-    stars = cut(within_radius(shared.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), classes))
-    links = cut(confirmed(docs, classes, stars, percent))
+    stars = cut(within_radius(shared.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), classes, percent))
+    links = confirmed(stars, shingles_of(docs, classes, ends(stars)), percent)
     roots = components(links)
-    more = cut(across(shared.select("bucket", "class_key"), roots, classes).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(confirmed(docs, classes, more, percent))
-        roots = components(links)
+    left = opened(shared.select("bucket", "class_key"), roots, classes)
+    tested, sets = stars, None
+    for nearest in [True] * ROUNDS + [False]:
+        pairs = cut(partners(left, roots, nearest, percent).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        if sets is None:  # who is within the radius of anyone has a nearest one, so no other sets are needed later
+            sets = shingles_of(docs, classes, ends(pairs))
+        new = confirmed(pairs, sets, percent)
+        tested = tested.union(pairs)
+        if not new.isEmpty():
+            links = links.union(new)
+            roots = components(links)
     names = classes.join(roots, F.col("class_key") == F.col("v"), "left").select("class_key", F.coalesce("root", "class_key").alias("root"), "rep")
     smallest = names.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = names.join(smallest, "root").select(F.col("class_key").alias("of"), "root", "component_id")
