@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gather(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """cut(), in as few partitions as ``rows`` each make: rounds over few rows need few tasks and files, over many as many as before."""
+    done = cut(df)
+    return done.coalesce(1 + done.count() // rows)
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split that the label contracts name."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

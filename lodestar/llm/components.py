@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import gather
 
 ROUNDS = 100
 
@@ -19,13 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     a vertex with very many edges is a skewed join key, which Spark splits.
     Every round is cut by a reliable checkpoint. No edges give no rows.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"))
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("root")))
+    both = gather(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"))
+    labels = gather(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("root")))
     for _ in range(ROUNDS):
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("least"))
         own = labels.join(near, F.col("v") == F.col("a")).select("v", F.least("root", "least").alias("next"), F.col("root").alias("was"))
         far = labels.select(F.col("v").alias("of"), F.col("root").alias("further"))
-        new = cut(own.join(far, F.col("next") == F.col("of"), "left").select("v", F.least("next", "further").alias("root"), "was"))
+        new = gather(own.join(far, F.col("next") == F.col("of"), "left").select("v", F.least("next", "further").alias("root"), "was"))
         if new.where("root <> was").isEmpty():
             return new.select("v", "root")
         labels = new.select("v", "root")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .common import cut
+from .common import cut, gather
 from .components import components
 
 WORDS = 5
@@ -228,7 +228,7 @@ def shingles_of(docs: DataFrame, classes: DataFrame, involved: DataFrame) -> Dat
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(FILTER_BITS))
     sets = docs.select(bit, F.col("text").cast("string").cast("binary")).mapInArrow(sets_of, "class_key bigint, shingles array<bigint>")
     # a class may be several rows
-    return cut(sets.join(involved, "class_key", "left_semi").dropDuplicates(["class_key"]))
+    return gather(sets.join(involved, "class_key", "left_semi").dropDuplicates(["class_key"]), 5_000)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda v, s: sets.select(F.col("class_key").alias(v), F.col("shingles").alias(s))
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     met = met.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return cut(met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
+    return gather(met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
 
 
 def _partners(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, packed: list[bytes], nearest: bool, percent: int) -> Iterator[tuple[int, int]]:
@@ -360,13 +360,13 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = buckets(classes)
     least = entries.groupBy("bucket").agg(F.min("class_key").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = entries.join(least, "bucket").persist(StorageLevel.MEMORY_AND_DISK)  # buckets with two members or more
-    stars = cut(within_radius(shared.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), classes, percent))
+    stars = gather(within_radius(shared.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), classes, percent))
     links = confirmed(stars, shingles_of(docs, classes, ends(stars)), percent)
     roots = components(links)
     left = opened(shared.select("bucket", "class_key"), roots, classes)
     tested, sets = stars, None
     for nearest in [True] * ROUNDS + [False]:
-        pairs = cut(partners(left, roots, nearest, percent).join(tested, ["a", "b"], "left_anti"))
+        pairs = gather(partners(left, roots, nearest, percent).join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         if sets is None:  # who is within the radius of anyone has a nearest one, so no other sets are needed later
