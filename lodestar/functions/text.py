@@ -116,7 +116,14 @@ def fingerprint(paragraph: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """Without control characters, repeated paragraphs, and lines that are short or boilerplate."""
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), "\r", "\n"), "\n\n"), trim), lambda p: p != "")
-    keys = F.transform(parts, fingerprint)
-    first = F.filter(parts, lambda p, i: F.array_position(keys, fingerprint(p)) == i + 1)
+    keyed = F.transform(parts, lambda p: F.struct(fingerprint(p).alias("key"), p.alias("part")))
+    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, x: Column) -> Column:
+        known = F.array_contains(state["keys"], x["key"])
+        more = lambda a, b: F.when(known, a).otherwise(F.concat(a, F.array(b)))
+        return F.struct(more(state["keys"], x["key"]).alias("keys"), more(state["parts"], x["part"]).alias("parts"))
+
+    first = F.aggregate(keyed, start, step, lambda s: s["parts"])
     kept = F.transform(first, lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), trim), lambda x: (F.octet_length(x) >= 3) & ~x.rlike(BOILERPLATE)), " "))
     return trim(F.regexp_replace(F.array_join(F.filter(kept, lambda p: F.octet_length(p) >= 10), "\n\n"), r"(?U)\s{3,}", " "))

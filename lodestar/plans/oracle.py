@@ -122,7 +122,7 @@ means AS (
   FROM gains LEFT JOIN ideal USING (query_id) LEFT JOIN total USING (query_id)
 )"""
 
-SAID = r"CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN '<think>let me see' || chr(10) || 'well</think>' ELSE '' END || CASE WHEN (conv_id * 7 + turn) % 5 = 0 THEN 'Here is a summary' || chr(10) ELSE '' END || text || CASE WHEN (conv_id * 7 + turn) % 2 = 0 THEN ' [1]' ELSE '' END"
+SAID = r"CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN '<think>let me see' || chr(10) || 'well</think>' ELSE '' END || CASE WHEN (conv_id * 7 + turn) % 5 = 0 THEN 'Here is a summary' || chr(10) ELSE '' END || CASE WHEN (conv_id * 7 + turn) % 2 = 0 THEN regexp_replace(text, '\.$', '') || ' [1].' ELSE text END"
 PLAIN = r"regexp_replace({0}, '(?is)<think>.*?(</think>|$)', '', 'g')"
 AT = "epoch_us(ts) / 1000000.0"
 SCORED = f"""
@@ -193,7 +193,7 @@ SQL = {
         c AS (SELECT conv_id, turn, {TRIM.format(f"CASE WHEN {has('line', L.PREAMBLES)} AND rest <> '' THEN rest ELSE t END")} AS done FROM b)
         SELECT conv_id, turn, md5(done) AS md5, length(done) AS n_chars, strlen(done) < 80 OR (strlen(done) > 200 AND NOT regexp_matches(done, '\\[[123]\\]')) AS insufficient FROM c""",
     "citation_overlap": rf"""WITH a AS (SELECT conv_id || '/' || turn AS key, {SAID} AS raw FROM conversations WHERE role = 'assistant' AND (conv_id * 7 + turn) % 2 = 0),
-        c AS (SELECT key, raw, regexp_extract(left(raw, length(raw) - 3), '(?s)^(?:.*\. )?(.*)$', 1) || '[1]' AS claim FROM a),
+        c AS (SELECT key, raw, regexp_extract(left(raw, length(raw) - 4), '(?s)^(?:.*\. )?(.*)$', 1) || '[1]' AS claim FROM a),
         w AS (SELECT key, lower(' ' || left(raw, 400)) AS source, list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: strlen(x) > 3)) AS words FROM c),
         o AS (SELECT key, len(list_filter(words, lambda x: contains(source, x))) / len(words) AS overlap FROM w WHERE len(words) > 0)
         SELECT key, 1 AS n, round(overlap, 6) AS overlap, overlap < 0.25 AS flagged FROM o""",

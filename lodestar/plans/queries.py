@@ -144,7 +144,7 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.regexp_replace("text", "\n", "\n\n")  # lines as paragraphs, so that there are repeated ones
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cleaned(own).cast("binary")).alias("md5"), F.length(text.cleaned(own)).alias("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.cleaned(own).alias("done")).select("doc_id", F.md5(F.col("done").cast("binary")).alias("md5"), F.length("done").alias("n_chars"))
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     n = F.col("conv_id") * 7 + F.col("turn")
     said = F.concat(
-        F.when(n % 3 == 0, F.lit("<think>let me see\nwell</think>")).otherwise(""), F.when(n % 5 == 0, F.lit("Here is a summary\n")).otherwise(""), F.col("text"), F.when(n % 2 == 0, F.lit(" [1]")).otherwise("")
+        F.when(n % 3 == 0, F.lit("<think>let me see\nwell</think>")).otherwise(""), F.when(n % 5 == 0, F.lit("Here is a summary\n")).otherwise(""), F.when(n % 2 == 0, F.concat(F.regexp_replace("text", r"\.$", ""), F.lit(" [1]."))).otherwise(F.col("text"))
     )
     return rows.select("conv_id", "turn", said.alias("raw"))
 
