@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicon as L
 from ..functions.text import BOILERPLATE
+from ..sources import engines as E
 from ..sources.tables import ENGINES, LINKS
 
 
@@ -216,4 +217,27 @@ SQL = {
     "cooldown_state": f"WITH e AS (SELECT *, {AT} AS sec FROM events), p AS (SELECT *, lag(event_type) OVER w AS kind, lag(sec) OVER w AS since FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)) SELECT event_id, user_id, coalesce(kind = 'error' AND sec - since < 120, false) AS cooling FROM p",
     "deadline_filter": f"WITH e AS (SELECT {AT} AS sec, CAST(floor({AT} / 60) AS BIGINT) AS minute FROM events), f AS (SELECT *, min(sec) OVER (PARTITION BY minute) AS first FROM e) SELECT minute, count(*) FILTER (sec - first <= 6) AS kept, count(*) FILTER (sec - first > 6) AS dropped FROM f GROUP BY minute",
     "event_windows": f"SELECT CAST(floor({AT} / 3600) * 3600 AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "engine_requests": f"""WITH e AS (SELECT unnest({listed([n.strip() for n in E.DEFAULT.split(',') if n.strip()])}) AS engine),
+        t AS (SELECT engine, CASE {' '.join(f"WHEN {'engine = ' + quoted(b) if b == 'info' else f'starts_with(engine, {quoted(b)}) AND contains(engine, {quoted(p)})'} THEN {quoted(a)}" for b, p, a, _ in E.TEMPLATES)} END AS tmpl,
+          CASE {' '.join(f"WHEN {'engine = ' + quoted(b) if b == 'info' else f'starts_with(engine, {quoted(b)}) AND contains(engine, {quoted(p)})'} THEN {n}" for b, p, _, n in E.TEMPLATES)} END AS pages,
+          CASE {' '.join(f"WHEN suffix(engine, {quoted(x)}) THEN {quoted(h)}" for x, h in E.GOOGLE_HOSTS.items())} ELSE 'www.google.com' END AS host FROM e),
+        q AS (SELECT item_id AS query_id, {FIRST_SIX} AS query FROM benchmark),
+        r AS (SELECT query_id, engine, replace(tmpl, '{{host}}', host) AS tmpl, unnest(generate_series(1, pages)) AS page, replace(url_encode(trim(query)), '+', '%20') AS text FROM q CROSS JOIN t WHERE tmpl IS NOT NULL)
+        SELECT query_id, engine, page, md5(replace(replace(replace(tmpl, '{{query}}', text), '{{offset}}', CAST((page - 1) * 10 AS VARCHAR)), '{{page}}', CAST(page AS VARCHAR))) AS md5 FROM r""",
+    "serp_dedup": f"WITH {RAW}, {NORM} SELECT norm_url, url, engine, rank_position FROM (SELECT norm_url, raw.url, engine, rank_position, row_number() OVER (PARTITION BY norm_url ORDER BY rank_position, engine, raw.url) AS k FROM raw JOIN norm USING (page_id)) WHERE k = 1",
+    "paragraph_dedup": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT doc_id, left({TRIM.format("regexp_replace(lower(line), '[\\s\\p{Z}]+', ' ', 'g')")}, 80) AS f FROM l) SELECT md5(f) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM f WHERE f <> '' GROUP BY f",
+    "json_engines": "SELECT page_id, url, 'Page ' || page_id AS title, unnest(['s', 'w']) AS snippet, 1 AS rank_position FROM pages WHERE page_id % 5 <> 0",
+    "spoken_answers": rf"""WITH a AS (SELECT conv_id, turn, {PLAIN.format(TRIM.format(f'({SAID})'))} AS t FROM conversations WHERE role = 'assistant'),
+        b AS (SELECT *, lower(regexp_extract(t, '^([^\n]*)', 1)) AS line, {TRIM.format("regexp_replace(t, '^[^\n]*', '')")} AS rest FROM a),
+        c AS (SELECT conv_id, turn, {TRIM.format(f"CASE WHEN {has('line', L.PREAMBLES)} AND rest <> '' THEN rest ELSE t END")} AS done FROM b),
+        d AS (SELECT conv_id, turn, left(replace(replace(replace(replace(replace(done, '**', ''), '##', ''), '`', ''), chr(10) || chr(10), '. '), chr(10), ' '), 5000) AS p FROM c),
+        e AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(p, '\[[0-9, ]*\]', '', 'g'), '\[([^\]]*)\]?', '\1', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS said FROM d)
+        SELECT conv_id, turn, md5(said) AS md5, length(said) AS n_chars FROM e""",
+    "ranked_context": f"""WITH {RANKED}, s AS (SELECT *, 10 + strlen(part) + strlen(text) AS est FROM ranked),
+        b AS (SELECT *, coalesce(sum(est + length(CAST(place AS VARCHAR))) OVER (PARTITION BY part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + est > {4 * L.CONTEXT_BYTES_LITE} AS over_it FROM s),
+        m AS (SELECT *, bool_or(over_it) OVER (PARTITION BY part ORDER BY place) AS stopped FROM b),
+        c AS (SELECT part, string_agg('[' || place || '] ' || part || chr(10) || text || chr(10) || chr(10), '' ORDER BY place) AS context FROM m WHERE NOT stopped GROUP BY part)
+        SELECT part, strlen(context) AS n_bytes, md5(context) AS md5 FROM c""",
+    "iterative_reports": """WITH o AS (SELECT conv_id, list(text ORDER BY turn, text) AS b FROM conversations GROUP BY conv_id),
+        r AS (SELECT conv_id, list_reduce(b, lambda s, x: CASE WHEN s = '' THEN x ELSE right(s, 200) || chr(10) || x END) AS report FROM o) SELECT conv_id, md5(report) AS md5, length(report) AS n_chars FROM r""",
 }

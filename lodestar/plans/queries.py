@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent, lexicon, text, urls
 from ..operators import context, evaluation, fusion, ranking
-from ..sources import html, tables
+from ..sources import engines, html, tables
 from ..sources.tables import table
 from ..streaming import state
 
@@ -262,9 +262,60 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.hourly(table(spark, sf_dir, "events")).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def engine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = engines.requests(tables.benchmark_queries(spark, sf_dir), engines.enabled(spark))
+    return asked.select("query_id", "engine", "page", F.md5(F.col("address").cast("binary")).alias("md5"))
+
+
+def serp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hit of each normalised address, nothing passed over, its own address kept."""
+    hits = tables.raw_results(spark, sf_dir).withColumn("norm_url", F.coalesce(urls.normalized(F.col("url")), F.col("url")))
+    first = hits.groupBy("norm_url").agg(F.min_by(F.struct("url", "engine", "rank_position"), F.struct(*_hit_order())).alias("x"))
+    return first.select("norm_url", "x.url", "x.engine", "x.rank_position")
+
+
+def paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of all documents have a fingerprint, and the first document that has it."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return own.select("doc_id", text.fingerprint(F.col("line")).alias("f")).where("f <> ''").groupBy(F.md5(F.col("f").cast("binary")).alias("fingerprint")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def json_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of two JSON services made of pages, parsed back: every 5th has no title."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("Page "), "page_id")).alias("title"))
+    listed = F.concat(F.lit('["q",'), F.to_json(F.array(F.col("title"))), F.lit(',["s"],'), F.to_json(F.array(F.col("url"))), F.lit("]"))
+    named = F.to_json(F.struct(F.array(F.struct(F.col("url").alias("URL"), F.col("title").alias("Title"), F.lit("w").alias("Snippet"))).alias("Results")))
+    both = pages.select("page_id", F.explode(F.concat(engines.opensearch(listed), engines.wiby(named))).alias("hit"))
+    return both.select("page_id", "hit.url", "hit.title", "hit.snippet", "hit.rank_position")
+
+
+def spoken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = engines.spoken(context.processed(F.col("raw")))
+    return tables.answers(spark, sf_dir).select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", F.md5(F.col("said").cast("binary")).alias("md5"), F.length("said").alias("n_chars"))
+
+
+def ranked_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that is put together for each part of a source: numbered blocks within the budget."""
+    size = F.lit(10) + F.octet_length("part") + F.octet_length("text")
+    kept = context.within_budget(_ranked(spark, sf_dir), "part", "place", size, 4 * lexicon.CONTEXT_BYTES_LITE)
+    block = F.concat(F.lit("["), F.col("place"), F.lit("] "), "part", F.lit("\n"), "text", F.lit("\n\n"))
+    joined = kept.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "").alias("context"))
+    return joined.select("part", F.octet_length("context").alias("n_bytes"), F.md5(F.col("context").cast("binary")).alias("md5"))
+
+
+def count_or_timeout_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.count_or_timeout(table(spark, sf_dir, "events"), 30, 3600)
+
+
+def iterative_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation folded into a report, turn by turn."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "text")
+    return state.reports(turns, 200).select(F.col("key").alias("conv_id"), F.md5(F.col("report").cast("binary")).alias("md5"), F.length("report").alias("n_chars"))
+
+
 ALL = (
     rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, tokenize_counts, doc_freq,
     corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, sentence_chunks, chunk_overlap, text_quality, clean_dedupe, jaccard_pairs, title_extract, article_extract, serp_parse, context_relevance,
     research_batches, lost_in_middle, context_budget, answer_post_process, citation_overlap, ndcg, mrr, recall_at_k, eval_report, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
-    deadline_filter, event_windows,
+    deadline_filter, event_windows, engine_requests, serp_dedup, paragraph_dedup, json_engines, spoken_answers, ranked_context, count_or_timeout_batches, iterative_reports,
 )

@@ -55,6 +55,35 @@ def within_deadline(events: DataFrame, deadline: int = DEADLINE_S) -> DataFrame:
     return rows.join(first, "minute").groupBy("minute").agg(F.count_if(~late).alias("kept"), F.count_if(late).alias("dropped"))
 
 
+def count_or_timeout(events: DataFrame, most: int = 30, seconds: int = 5) -> DataFrame:
+    """(user_id, batch, n, start): a batch opens with an event and closes at ``most`` events or ``seconds`` after it opened.
+
+    A batch's end depends on where it began, so each user's events are folded in
+    order; state is one open batch.
+    """
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, n, start = [], 0, 0.0
+        for at in frame.sort_values(["at", "event_id"])["at"]:
+            if n and (n >= most or at - start > seconds):
+                rows.append((n, start))
+                n = 0
+            if not n:
+                start = at
+            n += 1
+        rows.append((n, start))
+        return pd.DataFrame([(frame["user_id"].iloc[0], k, n, start) for k, (n, start) in enumerate(rows)], columns=["user_id", "batch", "n", "start"])
+
+    return _seconds(events).select("user_id", "event_id", "at").groupBy("user_id").applyInPandas(fold, "user_id bigint, batch int, n int, start double")
+
+
+def reports(batches: DataFrame, tail: int = 3000) -> DataFrame:
+    """(key, report): batches (key, ord, text) folded in order, each step keeping the last ``tail`` characters and adding the next text."""
+    ordered = batches.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("b"))
+    kept = lambda s: F.when(F.length(s) > tail, F.right(s, F.lit(tail))).otherwise(s)
+    return ordered.select("key", F.aggregate("b", F.lit(""), lambda s, x: F.when(s == "", x["text"]).otherwise(F.concat(kept(s), F.lit("\n"), x["text"]))).alias("report"))
+
+
 def hourly(events: DataFrame) -> DataFrame:
     """(hour, event_type, n, total), hour in seconds."""
     rows = _seconds(events).withColumn("hour", F.floor(F.col("at") / 3600) * 3600)
