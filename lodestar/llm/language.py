@@ -10,8 +10,10 @@ each distinct word of a slice of texts, for all words of the slice at once.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -59,24 +61,19 @@ class Hashes:
     """Finds the pieces that begin at each character of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.powers, self.inverse = self._powers(64), None
-        keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
+        self.keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         self.slots = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
-        self.keys = keys
+        self.shared = np.zeros(1 << TABLE_BITS, dtype=bool)  # slots that several pieces want
         self.more: dict[int, int] = {}
-        for i, slot in enumerate(self._slot(keys)):
+        for i, slot in enumerate(self._slot(self.keys)):
             if self.slots[slot] < 0:
                 self.slots[slot] = i
             else:
-                self.more[int(keys[i])] = i
-        self.more_keys = np.array(sorted(self.more), dtype=np.uint64)
-        self.more_ids = np.array([self.more[int(k)] for k in self.more_keys], dtype=np.int32)
+                self.shared[slot] = True
+                self.more[int(self.keys[i])] = i
 
     @staticmethod
-    def _powers(n: int) -> np.ndarray:
-        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
-
-    def _key(self, piece: str) -> int:
+    def _key(piece: str) -> int:
         key = 0
         for c in piece:
             key = (key * int(BASE) + ord(c)) % (1 << 64)
@@ -87,11 +84,11 @@ class Hashes:
         return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - TABLE_BITS)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        ids = self.slots[self._slot(keys)]
+        slots = self._slot(keys)
+        ids = self.slots[slots]
         ids = np.where((ids >= 0) & (self.keys[ids] == keys), ids, -1)
-        if len(self.more_keys):
-            at = np.minimum(np.searchsorted(self.more_keys, keys), len(self.more_keys) - 1)
-            ids = np.where(self.more_keys[at] == keys, self.more_ids[at], ids)
+        for at in np.flatnonzero(self.shared[slots]):
+            ids[at] = self.more.get(int(keys[at]), ids[at])
         return ids
 
 
@@ -221,9 +218,8 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], mod
             texts = batch.column(2).to_pylist()
             names, scores = [], []
             for a, b in _slices(texts):
-                index: dict[str, int] = {}
-                number = index.setdefault
-                tokens = [[number(w, len(index)) for w in LETTERS.findall(t.lower())] if t else [] for t in texts[a:b]]
+                index: dict[str, int] = defaultdict(count().__next__)
+                tokens = [[index[w] for w in LETTERS.findall(t.lower())] if t else [] for t in texts[a:b]]
                 table = forward(list(index), hashes, p) if languages and index else None
                 for found in tokens:
                     if not found or table is None:
