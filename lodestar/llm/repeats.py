@@ -19,6 +19,7 @@ longest document has bytes, and this has ``2 * length`` at most.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -185,6 +186,11 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     rows, known, gram, number, was = [], {}, None, -1, None
     out: list[tuple] = []
 
+    def spans() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "version", "start", "stop"])
+        out.clear()
+        return batch
+
     def flushed() -> pa.RecordBatch:
         if rows:
             groups, before = np.array([r[0] for r in rows]), np.array([r[4] - r[5] for r in rows])
@@ -194,13 +200,16 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             for (r, a), (_, b) in zip(np.argwhere(edge == 1), np.argwhere(edge == -1), strict=True):
                 first = rows[r][4] - left  # the place of column 0
                 out.append((rows[r][1], rows[r][2], int(first + a), int(first + b - 1 + length)))
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "version", "start", "stop"])
-        rows.clear()
-        out.clear()
-        return batch
+            rows.clear()
+        return spans()
 
     for batch in batches:
-        for h, doc, version, anchor, first, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for h, doc, version, anchor, first, stop, context in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            if context is None:
+                out.append((doc, version, first, stop))
+                if len(out) >= BLOCK:
+                    yield spans()
+                continue
             if h != gram:
                 gram, number, known = h, number + 1, {}
                 if len(rows) >= BLOCK:
@@ -215,57 +224,85 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                 known[key] = True
                 rows.append((number, doc, version, context, anchor, first))
             if len(out) >= BLOCK:
-                keep = rows.copy()
-                rows.clear()
-                yield flushed()
-                rows.extend(keep)
+                yield spans()
     yield flushed()
 
 
+def _spread(ids: np.ndarray, versions: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Numbers that deal rows out evenly and alike at every run."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + versions.astype(np.uint64) + (anchor.astype(np.uint64) << np.uint64(20))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def _anchor_rows(length: int):
+    """Rows (gram, id, version, anchor, many). Of a gram that a batch has several times one row goes on under it,
+    marked; the others are known to be repeated and are dealt out under numbers of their own."""
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in batches:
             text, h, anchor, _, _ = anchors([t or b"" for t in batch.column(2).to_pylist()], length)
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor)], names=["gram", "id", "version", "anchor"])
+            if not len(h):
+                continue
+            ids, versions = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
+            _, first, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            many = counts[inverse] > 1
+            aside = many & (first[inverse] != np.arange(len(h)))
+            gram = np.where(aside, _spread(ids, versions, anchor), h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids), pa.array(versions), pa.array(anchor), pa.array(many)], names=["gram", "id", "version", "anchor", "many"])
 
     return listed
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by gram, whose gram another row has; the last row waits for the next batch."""
+    """Rows, sorted by gram, that are marked or whose gram another row has; the last row waits for the next batch."""
     waiting, was_twice = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks().to_batches()[0]
-        h = table.column(0).to_numpy()
+        h, n = table.column(0).to_numpy(), table.num_rows
         same = h[1:] == h[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | table.column(4).to_numpy(zero_copy_only=False)
         twice[0] |= was_twice
-        n = table.num_rows
         yield table.slice(0, n - 1).filter(pa.array(twice[:-1])).select(["id", "version", "anchor"])
         waiting, was_twice = table.slice(n - 1), bool(twice[-1])
     if waiting is not None and was_twice:
         yield waiting.select(["id", "version", "anchor"])
 
 
+CONTEXTS = "part bigint, gram bigint, id bigint, version int, anchor bigint, first bigint, stop bigint, context binary"
+
+
 def _context_rows(length: int):
+    """Rows of CONTEXTS. Of equal contexts of a batch the earliest goes on whole, under its gram; the others are
+    repeated for certain and go on as spans, dealt out evenly."""
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in batches:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             text, h, anchor, first, last = anchors(texts, length)
             lists = batch.column(3)
             flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             kept = np.flatnonzero(np.isin(text << 40 | anchor, owner << 40 | flat))
-            at = pa.array(text[kept])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[kept].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor[kept]), pa.array(first[kept]),
-                    pa.array([texts[t][a : b + length] for t, a, b in zip(text[kept], first[kept], last[kept], strict=True)], pa.binary()),
-                ],
-                names=["gram", "id", "version", "anchor", "first", "context"],
-            )
+            kept = kept[np.lexsort((anchor[kept], versions[text[kept]], ids[text[kept]]))]
+            known: set[tuple] = set()
+            bodies: list[bytes | None] = []
+            for g, t, a, b, at in zip(h[kept].tolist(), text[kept].tolist(), first[kept].tolist(), last[kept].tolist(), anchor[kept].tolist(), strict=True):
+                body = texts[t][a : b + length]
+                key = (g, at - a, hashlib.blake2b(body, digest_size=16).digest())
+                bodies.append(None if key in known else body)
+                known.add(key)
+            # rows that are equal in id, version and anchor are one place, which isn't its own repeat
+            place = np.stack([ids[text[kept]], versions[text[kept]].astype(np.int64), anchor[kept]])
+            again = np.concatenate([[False], (place[:, 1:] == place[:, :-1]).all(axis=0)]) if len(kept) else np.empty(0, bool)
+            aside = np.array([b is None for b in bodies], dtype=bool)
+            own_ids, own_versions, own_anchor = ids[text[kept]], versions[text[kept]], anchor[kept]
+            part = np.where(aside, _spread(own_ids, own_versions, own_anchor), h[kept].view(np.int64))
+            columns = [part, h[kept].view(np.int64), own_ids, own_versions, own_anchor, first[kept], last[kept] + length]
+            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+            yield out.filter(pa.array(~again))
 
     return listed
 
@@ -309,13 +346,13 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Data
     joined = texts.join(known, ["id", "k0"])
     # ``row`` goes along unread, and short texts too: with other columns or rows this would be another shuffle of the texts
     heads_only = joined.where(~F.col("copy")).select("id", "k0", "version", "body", "row")
-    found = heads_only.select("id", "version", "body", "row").mapInArrow(_anchor_rows(length), "gram bigint, id bigint, version int, anchor bigint")
+    found = heads_only.select("id", "version", "body", "row").mapInArrow(_anchor_rows(length), "gram bigint, id bigint, version int, anchor bigint, many boolean")
     twice = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(_twice, "id bigint, version int, anchor bigint")
     numbers = ids.select("id", "version", "k0")
     lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
     contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors", "row")
-    contexts = contexts.mapInArrow(_context_rows(length), "gram bigint, id bigint, version int, anchor bigint, first bigint, context binary")
-    spans = contexts.repartition("gram").sortWithinPartitions("gram", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
+    contexts = contexts.mapInArrow(_context_rows(length), CONTEXTS)
+    spans = contexts.repartition("part").sortWithinPartitions("gram", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
     spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
     everything = joined.join(spans, ["id", "k0"], "left").select("row", "body", "copy", "found")
 
