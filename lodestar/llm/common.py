@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,17 @@ def bucket_of(column: str, edges: list[int]) -> Column:
         steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
         number = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(bounds, at + step - 1) < F.col(column)), at + step).otherwise(at))
     return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(number)
+
+
+def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of ``bits`` cells a hash of some value falls in; at most bits / 64 sums reach the driver, whatever the table."""
+    at = values.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
+    sums = at.select(F.expr("cast(at div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = np.zeros(bits // 64, dtype=np.int64)
+    got = sums.toPandas()
+    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return words.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (words[cells >> 6] >> (cells & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .common import cut, gather
+from .common import bitmap, cut, gather, in_bitmap
 from .components import components
 
 WORDS = 5
@@ -198,27 +198,17 @@ def within_radius(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 FILTER_BITS = 1 << 23
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids; at most FILTER_BITS / 64 sums reach the driver."""
-    at = ids.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("at"))
-    sums = at.select(F.expr("cast(at div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    got = sums.toPandas()
-    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
 def shingles_of(docs: DataFrame, classes: DataFrame, involved: DataFrame) -> DataFrame:
     """(class_key, shingles) of the ``involved`` classes.
 
     Texts aren't shuffled: each task makes the sets of its own documents that pass
     a filter of fixed size, and those of the classes that are wanted go on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(involved.join(classes.select("class_key", "rep"), "class_key")))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(involved.join(classes.select("class_key", "rep"), "class_key"), "rep", FILTER_BITS))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column(0).to_numpy()]))
+            batch = batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).to_numpy())))
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
                 sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
