@@ -4,7 +4,8 @@ Each document has a 48-bit hash. A source that is to give the fraction f of its
 words takes the documents whose hash lies under a threshold. The threshold is
 found from histograms of words by source and hash bucket: 4096 buckets of the
 upper 12 bits, then only the bucket that holds the threshold is split by the
-next 12 bits, and so on. Each level aggregates before it shuffles and gives
+next 12 bits, and so on. What the threshold leaves over is filled in the same way
+by smaller documents. Each level aggregates before it shuffles and gives
 4096 rows a source at most; documents are never sorted.
 """
 
@@ -20,6 +21,10 @@ from .common import WORD, cut
 
 LEVEL_BITS = 12
 LEVELS = 4
+#: Thresholds of a source: the first over all documents, the others over ever smaller ones.
+ROUNDS = 4
+#: The largest document of each round, as a share of what is left.
+MOST = (float("inf"), 1.0, 0.5, 2.0)
 SHARE = 1.5
 CAP = 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -57,16 +62,14 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     )
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, whole, below): ``whole`` copies of every document, one more where hash < below.
+def threshold(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(source, below, left, next_words): documents with hash < below fit in the budget, the next one doesn't.
 
-    ``sized`` has (source, size, hash); ``budgets`` has (source, source_size, target).
+    ``sized`` has (source, size, hash); ``budgets`` has (source, left). Afterwards
+    left is what the documents under the threshold leave over, and next_words
+    the size of the next document (of all that share its hash), if there is one.
     """
-    found = budgets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")).withColumns(
-        {"left": F.col("target") - F.col("whole") * F.col("source_size"), "prefix": F.lit(0).cast("bigint")}
-    )
-    kept = ["source", "whole", "left", "prefix"]
-    found = found.select(*kept)
+    found = budgets.select("source", "left", F.lit(0).cast("bigint").alias("prefix"))
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         inside = sized.withColumn("bucket", F.shiftright("hash", shift))
@@ -74,8 +77,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             edge = found.select(F.col("source").alias("edge_source"), F.col("prefix").alias("edge"))
             inside = inside.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("edge")), "left_semi")
         histogram = inside.groupBy(F.col("source").alias("bin_source"), "bucket").agg(F.sum("size").alias("words"))
-        upto = Window.partitionBy("bin_source").orderBy("bucket")
-        histogram = histogram.withColumn("upto", F.sum("words").over(upto))
+        histogram = histogram.withColumn("upto", F.sum("words").over(Window.partitionBy("bin_source").orderBy("bucket")))
         # all buckets that fit are spent; the first that doesn't, passing over empty ones, holds the threshold
         beyond = (F.col("upto") > F.col("left")) & (F.col("words") > 0)
         step = (
@@ -89,42 +91,63 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             )
         )
         found = cut(
-            found.join(step, F.col("source").eqNullSafe(F.col("step_source")), "left").select(
+            found.drop("next_words").join(step, F.col("source").eqNullSafe(F.col("step_source")), "left").select(
                 "source",
-                "whole",
                 (F.col("left") - F.coalesce(F.col("spent"), F.lit(0))).alias("left"),
                 F.coalesce("next", F.col("last") + 1, F.shiftleft(F.col("prefix"), LEVEL_BITS)).alias("prefix"),
                 "next_words",
             )
         )
-        if level < LEVELS - 1:
-            found = found.drop("next_words")
-    nearer = (F.col("next_words") > 0) & (F.col("left") * 2 >= F.col("next_words"))
-    return found.select("source", "whole", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
+    return found.select("source", F.col("prefix").alias("below"), "left", "next_words")
 
 
 #: Sources whose thresholds may be sent to all executors: a few dozen bytes each.
 MOST_BROADCAST = 100_000
 
 
+def _with(plan: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with their source's plan; a plan of many sources is joined by a shuffle that splits the hot ones."""
+    named = plan.withColumnRenamed("source", "plan_source")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+
+
+def _taken(rounds: int) -> Column:
+    """Whether one of the first ``rounds`` thresholds takes a document once more."""
+    taken = F.lit(False)
+    for r in range(rounds):
+        taken = taken | ((F.col("size") <= F.col(f"most{r}")) & (F.col("hash") < F.col(f"below{r}")))
+    return taken
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every document; ``keep`` names other columns to carry.
 
     Takes ``doc_id``, ``text`` and ``source``; other columns are not read. A null
     text has no words; a null source is a source of its own, the last. ``taken``
-    is a whole multiple of the size, so a source misses its target by half of
-    one document at most (half of all rows that are equal in id and text, which
-    share a hash and are taken together). A source without words has target 0.
-    An empty table gives no rows. The hash depends on id and text only, so
+    is a whole multiple of the size: each document goes in as often as its source
+    can be taken whole, and once more under a threshold of its hash. What one
+    threshold leaves over is filled by documents that fit in it, under a threshold
+    of their own; the last round may go over by less than it would stay under. Rows that are equal in id and
+    text share a hash and are taken together. A source without words has target
+    0. An empty table gives no rows. The hash depends on id and text only, so
     reruns and other partitionings agree.
     """
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LEVEL_BITS * LEVELS)
     named = docs.select(F.struct(*keep).alias("row"), F.col("source"), words(F.col("text")).alias("size"), hashed.alias("hash"))
-    sized = named.select("source", "size", "hash").persist(StorageLevel.MEMORY_AND_DISK)  # two numbers a document
-    budgets = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    plan = budgets.withColumnRenamed("source", "budget_source").join(thresholds(sized, budgets), F.col("budget_source").eqNullSafe(F.col("source"))).drop("source")
-    if budgets.count() <= MOST_BROADCAST:  # else a join that splits the hot sources
-        plan = F.broadcast(plan)
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    joined = named.join(plan, F.col("source").eqNullSafe(F.col("budget_source")))
-    return joined.select("row.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
+    if tuple(keep) == ("doc_id",):
+        named = sized = named.persist(StorageLevel.MEMORY_AND_DISK)  # three numbers a document
+    else:
+        sized = named.select("source", "size", "hash").persist(StorageLevel.MEMORY_AND_DISK)
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
+    plan = cut(plan.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")))
+    few = plan.count() <= MOST_BROADCAST
+    for r in range(ROUNDS):
+        plan = plan.withColumn(f"most{r}", F.col("left") * MOST[r] if r else F.lit(MOST[0]))
+        free = _with(plan, sized.select("source", "size", "hash"), few).where(~_taken(r) & (F.col("size") <= F.col(f"most{r}"))).select("source", "size", "hash")
+        found = threshold(free, plan).withColumnsRenamed({"source": "found_source", "left": "found_left"})
+        nearer = (F.lit(r == ROUNDS - 1) & (F.col("next_words") > 0) & (F.col("found_left") * 2 >= F.col("next_words"))).cast("int")
+        plan = plan.join(found, F.col("source").eqNullSafe(F.col("found_source"))).withColumn("left", F.col("found_left")).withColumn(f"below{r}", F.col("below") + F.coalesce(nearer, F.lit(0)))
+        plan = cut(plan.drop("found_source", "found_left", "below", "next_words"))
+    copies = F.col("whole") + _taken(ROUNDS).cast("int")
+    return _with(plan, named, few).select("row.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
