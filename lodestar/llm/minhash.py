@@ -38,7 +38,9 @@ SKETCH = 2048
 #: Rounds in which each member of a bucket is compared with its nearest one of another component.
 ROUNDS = 2
 #: Bytes of text that are hashed at once.
-SLICE = 1_000_000
+SLICE = 500_000
+#: Rows that are unpacked at once, of an Arrow batch.
+ROWS = 500
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _odd = lambda n: _random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,7 +144,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, class_key, signature); the last two are null for texts without words."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
                 sets = shingle_sets(texts[a:b])
@@ -209,9 +211,8 @@ def shingles_of(docs: DataFrame, classes: DataFrame, involved: DataFrame) -> Dat
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).to_numpy())))
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                sets = [s for s in shingle_sets([t or b"" for t in part.column(1).to_pylist()]) if len(s)]
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class_key", "shingles"])
 
