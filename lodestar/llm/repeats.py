@@ -35,6 +35,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text whose anchors are found at once, and contexts that are sorted at once.
 SLICE, BLOCK = 1 << 20, 1 << 14
+#: Rows of an Arrow batch whose repeated grams and contexts are combined.
+ROWS = 2000
 
 _times = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.uint64((1 << 24) - 1)
@@ -240,7 +242,7 @@ def _anchor_rows(length: int):
     marked; the others are known to be repeated and are dealt out under numbers of their own."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             text, h, anchor, _, _ = anchors([t or b"" for t in batch.column(2).to_pylist()], length)
             if not len(h):
                 continue
@@ -279,7 +281,7 @@ def _context_rows(length: int):
     repeated for certain and go on as spans, dealt out evenly."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             text, h, anchor, first, last = anchors(texts, length)
             lists = batch.column(3)
