@@ -206,7 +206,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         return spans()
 
     for batch in batches:
-        for h, doc, version, anchor, first, stop, context in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        for h, doc, version, anchor, first, stop, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if context is None:
                 out.append((doc, version, first, stop))
                 if len(out) >= BLOCK:
@@ -230,6 +230,23 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     yield flushed()
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column compressed, for the shuffle that brings the texts together."""
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        packed = pa.array([None if t is None else compress(t) for t in batch.columns[-1].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+
+def _unpack(column: pa.Array) -> list[bytes | None]:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else plain(t) for t in column.to_pylist()]
+
+
 def _spread(ids: np.ndarray, versions: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Numbers that deal rows out evenly and alike at every run."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + versions.astype(np.uint64) + (anchor.astype(np.uint64) << np.uint64(20))
@@ -243,7 +260,7 @@ def _anchor_rows(length: int):
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            text, h, anchor, _, _ = anchors([t or b"" for t in batch.column(2).to_pylist()], length)
+            text, h, anchor, _, _ = anchors([t or b"" for t in _unpack(batch.column(2))], length)
             if not len(h):
                 continue
             ids, versions = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
@@ -273,16 +290,16 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield waiting.select(["id", "version", "anchor"])
 
 
-CONTEXTS = "part bigint, gram bigint, id bigint, version int, anchor bigint, first bigint, stop bigint, context binary"
+CONTEXTS = "part bigint, id bigint, version int, anchor bigint, first bigint, stop bigint, context binary"
 
 
 def _context_rows(length: int):
-    """Rows of CONTEXTS. Of equal contexts of a batch the earliest goes on whole, under its gram; the others are
-    repeated for certain and go on as spans, dealt out evenly."""
+    """Rows of CONTEXTS. Of equal contexts of a batch the earliest goes on whole, dealt out by its gram; the others are
+    repeated for certain and go on as spans up to ``stop``, dealt out evenly."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            texts = [t or b"" for t in _unpack(batch.column(2))]
             text, h, anchor, first, last = anchors(texts, length)
             lists = batch.column(3)
             flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
@@ -302,8 +319,8 @@ def _context_rows(length: int):
             aside = np.array([b is None for b in bodies], dtype=bool)
             own_ids, own_versions, own_anchor = ids[text[kept]], versions[text[kept]], anchor[kept]
             part = np.where(aside, _spread(own_ids, own_versions, own_anchor), h[kept].view(np.int64))
-            columns = [part, h[kept].view(np.int64), own_ids, own_versions, own_anchor, first[kept], last[kept] + length]
-            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+            stop = pa.array(last[kept] + length, mask=~aside)
+            out = pa.RecordBatch.from_arrays([*map(pa.array, (part, own_ids, own_versions, own_anchor, first[kept])), stop, pa.array(bodies, pa.binary())], names=[c.split()[0] for c in CONTEXTS.split(", ")])
             yield out.filter(pa.array(~again))
 
     return listed
@@ -343,7 +360,8 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Data
     ids = ids.join(heads, (F.col("k0") == F.col("h0")) & (F.col("k1") == F.col("h1"))).groupBy("id", "k0").agg(F.min(F.col("id") != F.col("head")).alias("copy"))
     ids = cut(ids.withColumn("version", F.dense_rank().over(Window.partitionBy("id").orderBy("k0")).cast("int")))  # 21 bytes a document
     # one shuffle of the texts, which the three uses below share
-    texts = named.select("id", "k0", "row", "body").repartition("id", "k0")
+    unpacked = named.select("id", "k0", "row", "body")
+    texts = unpacked.mapInArrow(_pack, unpacked.schema).repartition("id", "k0")
     known = ids.select("id", "k0", "copy", "version").hint("shuffle_hash")
     joined = texts.join(known, ["id", "k0"])
     # ``row`` goes along unread, and short texts too: with other columns or rows this would be another shuffle of the texts
@@ -354,14 +372,14 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Data
     lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
     contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors", "row")
     contexts = contexts.mapInArrow(_context_rows(length), CONTEXTS)
-    spans = contexts.repartition("part").sortWithinPartitions("gram", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
+    spans = contexts.repartition("part").sortWithinPartitions("part", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
     spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
     everything = joined.join(spans, ["id", "k0"], "left").select("row", "body", "copy", "found")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sizes, all_spans, all_kept = [], [], []
-            for body, copy, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for body, copy, found in zip(_unpack(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text = body or b""
                 spans = [(0, len(text))] if copy and len(text) >= length else merged([(s["start"], s["stop"]) for s in found or ()])
                 places = [0, *(x for s in spans for x in s), len(text)]
