@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .common import bucket_edges, bucket_of
 
@@ -93,9 +94,13 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def compare(docs: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, every: int = 50, radius: int = 6, blocks: int = 8) -> DataFrame:
     """Fingerprints of every document and of its edited text, and likenesses (1 - Hamming distance / bits).
 
+    n_within, for the ids that ``every`` divides, is the number of documents
+    (itself included) whose fingerprints are within the radius, by search();
+    it is null for others, and left out if ``every`` is 0.
+
     Takes ``doc_id`` and ``text``; other columns are not read. A null text is an
     empty one, whose only term is the pair of its ends, so all empty texts have
     one fingerprint. Of rows with equal ids the next is the one with the next
@@ -122,7 +127,17 @@ def compare(docs: DataFrame) -> DataFrame:
     )
     after = Window.partitionBy("bucket").orderBy("is_tail", "place")
     rows = rows.withColumns({f"n{k}": F.lead(f"f{k}").over(after) for k in range(HASHES)}).where(~F.col("is_tail"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("f").alias("fingerprint"), as_text("g").alias("edited_fingerprint"), likeness("f", "g").alias("near_edited"), likeness("f", "n").alias("near_next"))
+    out = ["doc_id", "n_chars", "edited_sha256", as_text("f").alias("fingerprint"), as_text("g").alias("edited_fingerprint"), likeness("f", "g").alias("near_edited"), likeness("f", "n").alias("near_next")]
+    if not every:
+        return rows.select(*out)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # some numbers and two hashes a document
+    is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    prints = [f"f{k}" for k in range(HASHES)]
+    asked = rows.where(is_query).groupBy(*prints).agg(F.min("doc_id").alias("doc_id"))
+    counts = search(asked, rows, "doc_id", radius, blocks).groupBy(F.col("query").alias("doc_id")).agg(F.sum("members").alias("n_within"))
+    known = asked.join(counts, "doc_id").select(*prints, "n_within")
+    queries = rows.where(is_query).join(known, prints, "left")
+    return queries.select(*out, "n_within").union(rows.where(~is_query).select(*out, F.lit(None).cast("bigint").alias("n_within")))
 
 
 def search(queries: DataFrame, marked: DataFrame, key: str, radius: int = 6, blocks: int = 8) -> DataFrame:

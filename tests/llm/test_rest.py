@@ -123,6 +123,8 @@ def test_simhash_edits(docs):
         assert r["near_edited"] == 1 - apart / simhash.BITS
         after = bin(int(r["fingerprint"], 16) ^ int(rows[(i + 1) % len(rows)]["fingerprint"], 16)).count("1")
         assert r["near_next"] == 1 - after / simhash.BITS
+        near = sum(bin(int(r["fingerprint"], 16) ^ int(o["fingerprint"], 16)).count("1") <= 6 for o in rows)
+        assert r["n_within"] == (near if r["doc_id"] % 50 == 0 else None)
 
 
 def test_simhash_search_is_complete(spark):
