@@ -1,12 +1,12 @@
 """Mixing sources to target weights by hash thresholds.
 
-Each document has a 48-bit hash. A source that is to give the fraction f of its
+Each document has a 32-bit hash. A source that is to give the fraction f of its
 words takes the documents whose hash lies under a threshold. The threshold is
-found from histograms of words by source and hash bucket: 4096 buckets of the
-upper 12 bits, then only the bucket that holds the threshold is split by the
-next 12 bits, and so on. What the threshold leaves over is filled in the same way
+found from histograms of words by source and hash bucket: 65536 buckets of the
+upper 16 bits, then only the bucket that holds the threshold is split by the
+lower ones. What the threshold leaves over is filled in the same way
 by smaller documents. Each level aggregates before it shuffles and gives
-4096 rows a source at most; documents are never sorted.
+65536 rows a source at most; documents are never sorted.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.storagelevel import StorageLevel
 
 from .common import WORD, cut
 
-LEVEL_BITS = 12
-LEVELS = 4
+LEVEL_BITS = 16
+LEVELS = 2
 #: Thresholds of a source: the first over all documents, the others over ever smaller ones.
-ROUNDS = 4
+ROUNDS = 3
 #: The largest document of each round, as a share of what is left.
-MOST = (float("inf"), 1.0, 0.5, 2.0)
+MOST = (float("inf"), 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
