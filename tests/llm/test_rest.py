@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +193,56 @@ def test_image_copies(spark):
     assert {(r["q"], r["m"]) for r in found.collect()} == {(100 + i, i) for i in range(6)} | {(100, 53)}
 
 
+def test_image_points_meet_as_by_brute_force():
+    rng = np.random.default_rng(5)
+    noisy = lambda p: np.clip(p + rng.normal(0, 6, p.shape), 0, 255)
+    for change in (noisy, lambda p: images.resized(p, 84, 84), np.rot90, lambda p: noisy(np.rot90(p))):
+        pictures = [images.render(rng.normal(size=64).tolist()) for _ in range(6)]
+        ours, theirs = ([np.frombuffer(d[3], np.uint64) for p in side for d in images.describe(images.decode(images.pgm(p)))] for side in (pictures, map(change, pictures)))
+        want = {(i, j) for i, a in enumerate(theirs) for j, b in enumerate(ours) if np.bitwise_count(a ^ b).sum() <= 15}
+        i, j = images.Tables(np.array(ours)).near(np.array(theirs))
+        assert len(want) > 50 and len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_image_copies_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pictures = [images.render(rng.normal(size=64).tolist()) for _ in range(10)]
+    changes = [lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255), lambda p: images.resized(p, 77, 77)]
+    indexed = images.points(spark.createDataFrame([(i, images.pgm(p)) for i, p in enumerate(pictures)], "id bigint, image binary")).persist()
+    queries = images.points(spark.createDataFrame([(i, images.pgm(change(p))) for i, (change, p) in enumerate((c, p) for c in changes for p in pictures)], "id bigint, image binary")).persist()
+    both = [[(r["class_key"], (r["y"], r["x"], r["scale"]), r["f0"], r["f1"]) for r in images.places(df).collect()] for df in (queries, indexed)]
+    pairs = defaultdict(list)
+    for q, at, q0, q1 in both[0]:
+        for m, own, m0, m1 in both[1]:
+            if ((q0 ^ m0) & (2**64 - 1)).bit_count() + ((q1 ^ m1) & (2**64 - 1)).bit_count() <= 15:
+                pairs[q, m].append((*at, *own))
+    want = {(*k, n) for k, v in pairs.items() if (n := images.agreed(np.array(v))) >= images.CONSENSUS}
+    for part in (images.PART, 500):
+        monkeypatch.setattr(images, "PART", part)
+        rows = images.copies(queries, indexed).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want) >= 10
+
+
+def test_whole_splits_no_value():
+    rng = np.random.default_rng(8)
+    for rows in (1, 3, 20):
+        keys = np.sort(rng.integers(0, 12, 60))
+        batches = [pa.RecordBatch.from_arrays([pa.array(k)], names=["k"]) for k in np.split(keys, np.sort(rng.integers(0, 60, 6)))]
+        got = [t.column(0).to_pylist() for t in images.whole(iter(batches), rows)]
+        assert sum(got, []) == keys.tolist() and sum(len(set(g)) for g in got) == len(set(keys.tolist())) and all(got)
+
+
+def test_near_blocks_lose_no_pair():
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 2**63, (300, 2)).astype(np.uint64)
+    for wrong in (15, 16):
+        bits = np.zeros((300, 128), np.uint8)
+        for row in bits:
+            row[rng.choice(128, wrong, replace=False)] = 1
+        i, j = images.Tables(prints).near(prints ^ np.packbits(bits, axis=1).view(np.uint64))
+        assert list(i) == list(j) == (list(range(300)) if wrong == 15 else [])
+
+
 def test_png_equals_pgm():
     rng = np.random.default_rng(0)
     pixels = rng.integers(0, 256, (20, 30), dtype=np.uint8)
