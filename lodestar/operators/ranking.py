@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import lexicon as L
 from ..functions.text import tokens, trim
@@ -51,10 +55,11 @@ def with_bonuses(scored: DataFrame, text: str, title: str, terms: str, rrf: str
     return scored.withColumn("score", score + L.CONFIDENCE_WEIGHT * (confidence - 0.5))
 
 
-def mmr_order(scores: list[float], sets: list[frozenset], places: list[str], k: int, weight: float = L.MMR_LAMBDA, per_url: int = L.CHUNKS_PER_URL) -> list[int]:
+def mmr_order(scores: list[float], sets: list[frozenset], places: list[str], k: int, weight: float = L.MMR_LAMBDA, per_url: int = L.CHUNKS_PER_URL, more: bool = False) -> list[int] | None:
     """Greedy choice of k candidates, given in order of their scores: relevant, and unlike those chosen before.
 
-    A candidate whose address has had ``per_url`` picks is passed over, unless all that are left are.
+    A candidate whose address has had ``per_url`` picks is passed over, unless all that are left are. With ``more``,
+    others of at most the last one's score come after these; null if one of them could be chosen.
     """
     most = max([*scores, 1e-9])
     left, picks, used = list(range(len(scores))), [], {}
@@ -62,30 +67,49 @@ def mmr_order(scores: list[float], sets: list[frozenset], places: list[str], k:
     while left and len(picks) < k:
         free = [i for i in left if used.get(places[i], 0) < per_url]
         if free:
-            best = max(free, key=lambda i: (weight * scores[i] / most - (1 - weight) * nearest[i], -i))
+            value, best = max((weight * scores[i] / most - (1 - weight) * nearest[i], -i) for i in free)
+            best = -best
         else:
-            best = left[0]
+            value, best = -float("inf"), left[0]
+        if more and value < weight * scores[-1] / most:
+            return None
         left.remove(best)
         picks.append(best)
         used[places[best]] = used.get(places[best], 0) + 1
         for i in left:
             union = len(sets[i] | sets[best])
             nearest[i] = max(nearest[i], len(sets[i] & sets[best]) / union if union else 1.0)
-    return picks
+    return None if more and len(picks) < k else picks
 
 
-def diversified(ranked: DataFrame, k: int, candidates: int) -> DataFrame:
-    """(query_id, seq, mmr_rank) from (query_id, seq, score, text, url), seq being the order by score.
+def diversified(ranked: DataFrame, k: int, candidates: int, key: str = "doc_id") -> DataFrame:
+    """(query_id, seq, key, score, mmr_rank) from (query_id, seq, key, score, text, url), seq being the order by score.
 
-    The kernel sees the first ``candidates`` rows of each query, a bound on its memory.
+    The kernel sees the first ``candidates`` rows of each query. Where a row behind
+    them could be chosen, it sees twice as many, until none could or there are none.
     """
-
-    def kernel(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("seq")
-        picks = mmr_order(batch["score"].tolist(), [frozenset(t) for t in batch["terms"]], batch["url"].tolist(), k)
-        return pd.DataFrame({"query_id": batch["query_id"].iloc[0], "seq": batch["seq"].to_numpy()[picks], "mmr_rank": range(1, len(picks) + 1)})
-
-    rows = ranked.where(F.col("seq") <= candidates).select("query_id", "seq", "score", "url", tokens(F.col("text")).alias("terms"))
-    return rows.groupBy("query_id").applyInPandas(kernel, "query_id bigint, seq int, mmr_rank int")
-
-
+    names = ["query_id", "seq", key, "score"]
+    schema = StructType([*(ranked.schema[c] for c in names), StructField("mmr_rank", IntegerType())])
+
+    def kernel(seen: int):
+        def picked(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values("seq")
+            picks = mmr_order(batch["score"].tolist(), [frozenset(t) for t in batch["terms"]], batch["url"].tolist(), k, more=len(batch) >= seen)
+            if picks is None:  # a row without a rank asks for more candidates
+                return batch[names].iloc[:1].assign(mmr_rank=pd.array([None], "Int32"))
+            return batch[names].iloc[picks].assign(mmr_rank=pd.array(range(1, len(picks) + 1), "Int32"))
+
+        return picked
+
+    done, left = [], None
+    while True:
+        rows = ranked.where(F.col("seq") <= candidates)
+        if left is not None:
+            rows = rows.join(left, "query_id", "left_semi")
+        rows = rows.select(*names, "url", tokens(F.col("text")).alias("terms"))
+        got = rows.groupBy("query_id").applyInPandas(kernel(candidates), schema).persist(StorageLevel.MEMORY_AND_DISK)  # k short rows a query
+        done.append(got.where("mmr_rank is not null"))
+        left = got.where("mmr_rank is null").select("query_id")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        candidates *= 2

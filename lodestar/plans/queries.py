@@ -13,7 +13,7 @@ from ..streaming import state
 
 YEAR = "2026"
 TOP = 10
-#: Rows of a query that diversity chooses from.
+#: Rows of a query that diversity looks at first; twice as many while a later one could be chosen.
 CANDIDATES = 100
 
 
@@ -123,9 +123,9 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fusion.top(_hybrid(spark, sf_dir).withColumn("size", -F.length("text")), CANDIDATES, "score", ("query_id",), ("size", "doc_id")).withColumn("seq", F.col("rank").cast("int"))
-    picks = ranking.diversified(best, TOP, CANDIDATES)
-    return picks.join(best.select("query_id", "seq", "doc_id", F.round("score", 6).alias("score")), ["query_id", "seq"]).select("query_id", "doc_id", "score", "seq", "mmr_rank")
+    rows = _hybrid(spark, sf_dir).withColumn("size", -F.length("text"))
+    ranked = fusion.top(rows, 2**31 - 1, "score", ("query_id",), ("size", "doc_id")).withColumnRenamed("rank", "seq")
+    return ranking.diversified(ranked, TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Column functions and operators of the retrieval library on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,18 @@ def test_citations(spark):
     answers = spark.createDataFrame([("k", "Alpha beta gamma holds [1]. Something unrelated entirely [2]. Out of range [9].")], "key string, answer string")
     sources = spark.createDataFrame([("k", 1, "alpha", "beta gamma holds"), ("k", 2, "zzz", "yyy")], "key string, n int, title string, text string")
     assert {(r["n"], r["flagged"]) for r in context.citations(answers, sources, "key").collect()} == {(1, False), (2, True)}
+
+
+def test_mmr_looks_behind_copies(spark):
+    rng = random.Random(2)
+    rows = [(1, i, float(1000 - i), "one and the same text of a copy", f"u{i}") for i in range(1, 251)] + [(1, i, 1000.0 - i, f"other words {i}", f"v{i // 4}") for i in range(251, 300)]
+    rows += [(2, i, 1.0, " ".join(rng.choices("abcdefgh", k=5)), f"u{i % 3}") for i in range(1, 60)]
+    rows += [(3, i, 9.0 - i / 100, f"text {i}", "u" if i <= 150 else f"v{i}") for i in range(1, 200)]
+    ranked = spark.createDataFrame([(q, i, i, *r) for q, i, *r in rows], "query_id bigint, seq int, doc_id bigint, score double, text string, url string")
+    got = ranking.diversified(ranked, 10, 20).collect()
+    for q in (1, 2, 3):
+        own = [r for r in rows if r[0] == q]
+        sets = {r["seq"]: frozenset(r["t"]) for r in ranked.where(F.col("query_id") == q).select("seq", text.tokens(F.col("text")).alias("t")).collect()}
+        want = ranking.mmr_order([r[2] for r in own], [sets[r[1]] for r in own], [r[4] for r in own], 10)
+        assert [r["seq"] for r in sorted(got, key=lambda r: r["mmr_rank"]) if r["query_id"] == q] == [i + 1 for i in want]
+    assert 251 in {r["seq"] for r in got if r["query_id"] == 1}
