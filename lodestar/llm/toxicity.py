@@ -1,9 +1,9 @@
 """Toxicity of text whose words may be disguised.
 
 A noisy channel writes letters as look-alike signs, spells words out with
-separators and repeats letters. Spans that show such traces become a character
+separators and repeats letters. Spans that allow another reading become a character
 lattice; Viterbi decoding under a character trigram model, counted over all
-texts, finds the likeliest plain spelling. A text without traces is a lattice
+texts, finds the likeliest plain spelling. A text without such spans is a lattice
 with one path and stays as it is. The restored text is then scored by word and
 word-beginning features weighted by their log odds in labelled documents.
 """
@@ -31,14 +31,19 @@ INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 # Costs in nats: a sign read as a letter, a sign or separator kept as a gap, one letter too many or two kept of a long run.
 COST_SIGN, COST_GAP, COST_RUN = 0.7, 5.0, 0.5
+# A letter that is read once though it stands twice, if less than half of the others do, and a separator passed over inside a word.
+COST_DOUBLE, COST_JOIN = 6.0, 2.0
 
 _L = r"[^\W\d_]"
 _S = "[" + re.escape("".join(SIGNS)) + "]"
-_D = "[" + re.escape(SEPARATORS) + "]"
+#: One sign of any kind, or up to three of white space.
+_D = r"(?:[^\w\s]|_|\s{1,3})"
 _X = f"(?:{_L}|{_S})"
-#: Letters spelled out one by one; a sign between or before letters; a letter three times.
-SPELLED = re.compile(rf"(?<![^\W_])(?<!{_S}){_X}(?:({_D}|  ){_X}(?![^\W_]|{_S})(?=\1|\W|$)){{3,}}")
-TRACE = re.compile(rf"(?<={_L}){_S}+(?={_L})|(?<![\w]){_S}{{1,3}}(?={_L})|({_L})\1\1")
+#: Letters spelled out one by one; fragments of one or two letters; a sign between or before letters, a letter twice, a separator between letters.
+SPELLED = re.compile(rf"(?<![^\W_])(?<!{_S}){_X}(?:({_D}){_X}(?![^\W_]|{_S})(?=\1|\W|$)){{2,}}")
+FRAGMENTS = re.compile(rf"(?<!\w){_L}{{1,2}}(?:\s{_L}{{1,2}}(?!\w)){{2,}}")
+TRACE = re.compile(rf"(?<={_L}){_S}+(?={_L})|(?<![\w]){_S}{{1,3}}(?={_L})|({_L})\1|(?<={_L})(?:[^\w\s]|_)(?={_L})")
+RUN = re.compile(rf"({_L})\1*")
 TOKEN_ENDS = re.compile(r"\s")
 
 GAP = 0
@@ -74,6 +79,8 @@ class CharacterModel:
 def lattice(span: str, spelled: bool) -> list[list[tuple[str, float]]]:
     """For each step the ways to read it: emitted letters and what they cost. A gap is a space."""
     steps, i = [], 0
+    runs = [len(r.group()) for r in RUN.finditer(span)]
+    double = COST_RUN + (COST_DOUBLE - COST_RUN) * min(1.0, 2 * runs.count(1) / max(1, len(runs)))  # less where most letters are repeated
     while i < len(span):
         c = span[i]
         j = i
@@ -82,14 +89,18 @@ def lattice(span: str, spelled: bool) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             if j - i >= 3:
                 steps.append([(c, COST_RUN), (c + c, COST_RUN)])
+            elif j - i == 2:
+                steps.append([(c + c, 0.0), (c, double)])
             else:
-                steps += [[(c, 0.0)]] * (j - i)
+                steps.append([(c, 0.0)])
         elif c in SIGNS:
             apart = [("", 0.0)] if spelled and c in SEPARATORS else []
             for _ in range(j - i):
                 steps.append([(x, COST_SIGN) for x in SIGNS[c]] + apart + [(" ", COST_GAP)])
         elif spelled:
             steps.append([("", 0.0), (" ", COST_GAP)])
+        elif j - i == 1 and not c.isdigit() and 0 < i and span[i - 1].isalpha() and span[j : j + 1].isalpha():
+            steps.append([(" ", 0.0), ("", COST_JOIN)])
         else:
             steps.append([(" ", 0.0)])
         i = j
@@ -123,13 +134,13 @@ def restorer(model):
     """text -> lower-case text with disguised spans in their likeliest plain spelling."""
     read = lru_cache(maxsize=50_000)(lambda span, spelled: decode(span, spelled, model))
 
-    def spans(pattern: re.Pattern, text: str, spelled: bool) -> str:
+    def spans(pattern: re.Pattern, text: str, spelled: bool, tokens: bool = False) -> str:
         parts, at = [], 0
         for found in pattern.finditer(text):
             a, b = found.span()
             if a < at:
                 continue
-            if not spelled:  # the whole token that shows the trace
+            if tokens:  # the whole token that shows the trace
                 while a > at and not text[a - 1].isspace():
                     a -= 1
                 end = TOKEN_ENDS.search(text, b)
@@ -144,7 +155,7 @@ def restorer(model):
 
     def restored(text: str | None) -> str:
         text = (text or "").lower().translate(INVISIBLE)
-        return spans(TRACE, spans(SPELLED, text, True), False)
+        return spans(TRACE, spans(FRAGMENTS, spans(SPELLED, text, True), False), False, tokens=True)
 
     return restored
 

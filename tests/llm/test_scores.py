@@ -1,6 +1,7 @@
 """Toxicity, language, quality: exact parts against brute force, and held-out accuracy."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -66,6 +67,23 @@ def test_disguises(restored, text, plain):
         assert plain in restored(f"the {text} one")
 
 
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [("iiddiioott", "idiot"), ("id-iot", "idiot"), ("mo.ron", "moron"), ("cl_own", "clown"), ("s c u m", "scum"), ("i:d:i:o:t", "idiot"), ("i—d—i—o—t", "idiot"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("a n d", "and"), ("tr as h", "trash"), ("st-up-id", "stupid")],
+)
+def test_further_disguises(restored, text, plain):
+    assert f" {plain} " in restored(f"the {text} one")
+
+
+def test_words_with_two_equal_letters_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    restored = toxicity.restorer(toxicity.CharacterModel(toxicity.character_counts(docs)))
+    words = [w for r in docs.collect() for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) if re.search(r"(.)\1", w) and not re.search(r"(.)\1\1", w)]
+    assert len(words) > 1000 and sum(restored(w) == w for w in words) > 0.98 * len(words)
+    for text in ("it is in an old", "we go to it as is"):
+        assert restored(text) == text
+
+
 def test_plain_text_stays(restored):
     for text in ("Clean text, with commas!! And $5 or 100% of it.", "THE!! WORDS!! the$$$ man&&&", "a b", ""):
         assert restored(text) == text.lower()
