@@ -223,6 +223,16 @@ def test_image_copies_by_brute_force(spark, monkeypatch):
         assert {tuple(r) for r in rows} == want and len(rows) == len(want) >= 10
 
 
+def test_small_crops_and_halved_copies_of_large_images(spark):
+    rng = np.random.default_rng(9)
+    large = [90 * images.resized(rng.random((40, 40)), 400, 400) + 120 * images.resized(rng.random((108, 108)), 400, 400) for _ in range(4)]
+    halved = lambda p, n: p.reshape(len(p) // n, n, -1, n).mean(axis=(1, 3))
+    asked = [(k * 10 + i, images.pgm(change(p))) for i, p in enumerate(large) for k, change in enumerate((lambda p: p[130:220, 200:290], lambda p: halved(p, 2), lambda p: halved(p, 2)[40:160, 60:180], lambda p: halved(p, 4)))]
+    indexed, queries = images.points(spark.createDataFrame([(i, images.pgm(p)) for i, p in enumerate(large)], "id bigint, image binary")), images.points(spark.createDataFrame(asked, "id bigint, image binary"))
+    found = images.copies(queries, indexed).join(images.members(queries).selectExpr("class_key query", "id q"), "query").join(images.members(indexed).selectExpr("class_key match", "id m"), "match")
+    assert {(r["q"], r["m"]) for r in found.collect()} == {(k * 10 + i, i) for k in range(4) for i in range(4)}
+
+
 def test_whole_splits_no_value():
     rng = np.random.default_rng(8)
     for rows in (1, 3, 20):
