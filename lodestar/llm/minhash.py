@@ -360,8 +360,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = gather(partners(left, roots, nearest, percent).join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        if sets is None:  # who is within the radius of anyone has a nearest one, so no other sets are needed later
-            sets = shingles_of(docs, classes, ends(pairs))
+        wanted = ends(pairs)
+        if sets is not None:  # later rounds add those whose nearest ones had all been tested
+            wanted = gather(wanted.join(sets.select("class_key"), "class_key", "left_anti"))
+        if sets is None or not wanted.isEmpty():
+            new_sets = shingles_of(docs, classes, wanted)
+            sets = new_sets if sets is None else sets.union(new_sets)
         new = confirmed(pairs, sets, percent)
         tested = tested.union(pairs)
         if not new.isEmpty():

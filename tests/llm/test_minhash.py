@@ -84,3 +84,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100)], "a bigint, b bigint")
     found = dict(components(edges).collect())
     assert all(found[i] == 1 for i in range(1, 61)) and {found[i] for i in (100, 101, 102)} == {100}
+
+
+def test_later_rounds_load_missing_sets(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        words = rng.choices(WORDS, k=200)
+        texts += [" ".join(words), " ".join(words[:-2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    within, partners = minhash.within_radius, minhash.partners
+    monkeypatch.setattr(minhash, "within_radius", lambda *a: within(*a).where("false"))
+    # the sketch ranks others first, all tested, but for one class
+    monkeypatch.setattr(minhash, "partners", lambda e, r, nearest, p: partners(e, r, nearest, p).orderBy("a", "b").limit(1) if nearest else partners(e, r, nearest, p))
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.group(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
