@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest piece, in characters with the mark of a word's beginning; the vocabulary's few longer ones aren't words.
-MAX_PIECE = 12
 #: Characters of text handled at once.
 SLICE = 2_000_000
 #: Pseudo-count of each piece in each language, and the probability of a character that no piece covers.
@@ -52,7 +50,7 @@ def vocabulary(path: str) -> dict[str, int]:
             except UnicodeDecodeError:
                 continue
             body = text.removeprefix(" ")
-            if LETTERS.fullmatch(body) and body == body.lower() and len(body) < MAX_PIECE:
+            if LETTERS.fullmatch(body) and body == body.lower():
                 pieces[(START if body != text else "") + body] = int(rank)
     return pieces
 
@@ -61,6 +59,7 @@ class Hashes:
     """Finds the pieces that begin at each character of many words at once."""
 
     def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
         self.keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         self.slots = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
         self.shared = np.zeros(1 << TABLE_BITS, dtype=bool)  # slots that several pieces want
@@ -112,7 +111,7 @@ def forward(words: list[str], hashes: Hashes, probabilities: np.ndarray, unknown
         starts = np.cumsum(lengths) - lengths
         codes[rows, np.arange(len(flat)) - starts[rows]] = flat
         running = np.searchsorted(-lengths, -np.arange(width), side="left")  # words longer than a column's number
-        alpha = np.zeros((min(MAX_PIECE, width) + 1, len(part), probabilities.shape[1]))
+        alpha = np.zeros((min(hashes.longest, width) + 1, len(part), probabilities.shape[1]))
         depth = len(alpha)
         alpha[0] = 1.0
         scale = np.zeros(len(part))

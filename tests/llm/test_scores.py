@@ -45,6 +45,13 @@ def test_forward_sums_all_segmentations():
             assert got[i, lang] == pytest.approx(brute(w, lang), rel=1e-9)
 
 
+def test_long_pieces_count():
+    pieces = language.vocabulary(language.default_path())
+    assert "▁international" in pieces and "▁understanding" in pieces
+    got = language.forward(["understanding", "xx"], language.Hashes(["▁understanding", "▁"]), np.array([[0.25], [0.1]]))
+    assert got[0, 0] == pytest.approx(math.log(0.25), abs=1e-6)
+
+
 def test_long_words_dont_underflow():
     got = language.forward(["a" * 5000], language.Hashes(["a", "▁a"]), np.array([[1e-3], [1e-3]]))
     assert np.isfinite(got).all() and got[0, 0] < -30000
