@@ -40,6 +40,8 @@ ROWS = 2000
 
 _times = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.uint64((1 << 24) - 1)
+#: Bytes of a text that are searched for anchors at once, at most.
+PART = (1 << 24) - 1
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -87,12 +89,16 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         own, base = owner[first], starts[owner[first]]
         for column, values in zip(found, (own + i, grams[chosen[first]], chosen[first] - base + offset, first - base + offset, last - base + offset), strict=True):
             column.append(values)
-    return tuple(np.concatenate(column) for column in found)
+    text, h, anchor, first, last = (np.concatenate(column) for column in found)
+    # windows of two parts of a text that chose one anchor are neighbours too
+    edges = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]), [True]])) if len(text) else np.zeros(1, int)
+    begin = edges[:-1]
+    return text[begin], h[begin], anchor[begin], first[begin], last[edges[1:] - 1]
 
 
 def _parts(texts: list[bytes], length: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """(number of the first text, offset in it, texts) of runs of about SLICE bytes; texts too short for a window come along."""
-    i, most = 0, (1 << 24) - 1
+    i, most = 0, PART
     while i < len(texts):
         if len(texts[i]) > SLICE:
             for offset in range(0, max(1, len(texts[i]) - length + 1), most - length):

@@ -62,3 +62,13 @@ def test_column_rounds_sort_suffixes():
         for back in range(11):
             at = 10 - back
             assert marked[i, back] == any(contexts[j][at : at + 6] == c[at : at + 6] for j in range(i))
+
+
+def test_parts_of_a_text_share_anchors(monkeypatch):
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"abcdef") for _ in range(n)) for n in (3000, 150, 2500, 90)]
+    whole = [a.tolist() for a in repeats.anchors(texts)]
+    monkeypatch.setattr(repeats, "SLICE", 400)
+    for part in (450, 601, 997):
+        monkeypatch.setattr(repeats, "PART", part)
+        assert [a.tolist() for a in repeats.anchors(texts)] == whole
