@@ -10,6 +10,7 @@ word-beginning features weighted by their log odds in labelled documents.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -27,7 +28,7 @@ from .common import fold_of
 # Signs that stand for letters, and signs that are put between letters.
 SIGNS = {"*": "aeiou", "0": "ou", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*·,/\\~'"
-INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+INVISIBLE = tuple("­​‌‍⁠﻿")
 
 # Costs in nats: a sign read as a letter, a sign or separator kept as a gap, one letter too many or two kept of a long run.
 COST_SIGN, COST_GAP, COST_RUN = 0.7, 5.0, 0.5
@@ -44,7 +45,8 @@ SPELLED = re.compile(rf"(?<![^\W_])(?<!{_S}){_X}(?:({_D}){_X}(?![^\W_]|{_S})(?=\
 FRAGMENTS = re.compile(rf"(?<!\w){_L}{{1,2}}(?:\s{_L}{{1,2}}(?!\w)){{2,}}")
 TRACE = re.compile(rf"(?<={_L}){_S}+(?={_L})|(?<![\w]){_S}{{1,3}}(?={_L})|({_L})\1|(?<={_L})(?:[^\w\s]|_)(?={_L})")
 RUN = re.compile(rf"({_L})\1*")
-TOKEN_ENDS = re.compile(r"\s")
+DOUBLED = re.compile(r"(.)\1")
+WHITE = re.compile(r"(\s+)")
 
 GAP = 0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž"
@@ -70,14 +72,14 @@ class CharacterModel:
         uniform = 1 / SYMBOLS
         p1 = (one + 1) / (one.sum() + 1 / uniform)
         p2 = (two + 20 * p1) / (two.sum(axis=1, keepdims=True) + 20)
-        self.cost = -np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20))
+        self.cost = (-np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20))).ravel().tolist()
 
     def __call__(self, a: int, b: int, c: int) -> float:
-        return self.cost.item((a * SYMBOLS + b) * SYMBOLS + c)
+        return self.cost[(a * SYMBOLS + b) * SYMBOLS + c]
 
 
 def lattice(span: str, spelled: bool) -> list[list[tuple[str, float]]]:
-    """For each step the ways to read it: emitted letters and what they cost. A gap is a space."""
+    """For each step the ways to read it: emitted letters and what they cost. A gap is a space; plain letters in a row are one step."""
     steps, i = [], 0
     runs = [len(r.group()) for r in RUN.finditer(span)]
     double = COST_RUN + (COST_DOUBLE - COST_RUN) * min(1.0, 2 * runs.count(1) / max(1, len(runs)))  # less where most letters are repeated
@@ -91,6 +93,8 @@ def lattice(span: str, spelled: bool) -> list[list[tuple[str, float]]]:
                 steps.append([(c, COST_RUN), (c + c, COST_RUN)])
             elif j - i == 2:
                 steps.append([(c + c, 0.0), (c, double)])
+            elif steps and len(steps[-1]) == 1 and steps[-1][0][0] != " ":
+                steps[-1] = [(steps[-1][0][0] + c, 0.0)]
             else:
                 steps.append([(c, 0.0)])
         elif c in SIGNS:
@@ -112,11 +116,11 @@ def decode(span: str, spelled: bool, model) -> str:
     best: dict[tuple[int, int], tuple[float, tuple]] = {(GAP, GAP): (0.0, ())}
     for options in lattice(span, spelled):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        coded = [(emitted, extra, [CODE.get(c) or (OTHER if c.isalpha() else GAP) for c in emitted]) for emitted, extra in options]
         for (a, b), (cost, path) in best.items():
-            for emitted, extra in options:
+            for emitted, extra, symbols in coded:
                 x, y, total = a, b, cost + extra
-                for c in emitted:
-                    k = CODE.get(c, OTHER if c.isalpha() else GAP)
+                for k in symbols:
                     total += model(x, y, k)
                     x, y = y, k
                 if (x, y) not in new or total < new[x, y][0]:
@@ -130,34 +134,68 @@ def decode(span: str, spelled: bool, model) -> str:
     return "".join(reversed(parts))
 
 
-def restorer(model):
-    """text -> lower-case text with disguised spans in their likeliest plain spelling."""
-    read = lru_cache(maxsize=50_000)(lambda span, spelled: decode(span, spelled, model))
-
-    def spans(pattern: re.Pattern, text: str, spelled: bool, tokens: bool = False) -> str:
-        parts, at = [], 0
-        for found in pattern.finditer(text):
-            a, b = found.span()
-            if a < at:
-                continue
-            if tokens:  # the whole token that shows the trace
-                while a > at and not text[a - 1].isspace():
-                    a -= 1
-                end = TOKEN_ENDS.search(text, b)
-                b = end.start() if end else len(text)
-                while b > a and not (text[b - 1].isalnum() or (text[b - 1] in SIGNS and text[b - 1] not in "!|+")):
-                    b -= 1
-                if b <= a:
-                    continue
-            parts += [text[at:a], read(text[a:b], spelled)]
-            at = b
-        return "".join([*parts, text[at:]]) if parts else text
-
-    def restored(text: str | None) -> str:
-        text = (text or "").lower().translate(INVISIBLE)
-        return spans(TRACE, spans(FRAGMENTS, spans(SPELLED, text, True), False), False, tokens=True)
-
-    return restored
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Tokens whose plain reading a task remembers.
+REMEMBERED = 200_000
+
+
+class Restorer:
+    """Reads disguised spans of texts in their likeliest plain spelling.
+
+    Letters that are spelled out, and short fragments, are read across white
+    space. All other traces lie within a token, whose reading depends on nothing
+    else, so each token is read once however often it occurs.
+    """
+
+    def __init__(self, model):
+        self.read = lru_cache(maxsize=REMEMBERED)(lambda span, spelled: decode(span, spelled, model))
+        self.tokens: dict[str, str] = {}
+
+    def __call__(self, text: str | None) -> str:
+        """The text in lower case, all but disguised spans as it is."""
+        return "".join(part if k % 2 else self._token(part) for k, part in enumerate(WHITE.split(self._joined(text))))
+
+    def plain(self, text: str | None) -> str:
+        """The restored text's words, letters only, a space around each."""
+        found = self._joined(text).split()
+        if len(self.tokens) > REMEMBERED:
+            self.tokens.clear()
+        for token in set(found).difference(self.tokens):
+            self.tokens[token] = NOT_LETTERS.sub(" ", self._token(token)).strip()
+        return f" {' '.join(filter(None, map(self.tokens.__getitem__, found)))} "
+
+    def _joined(self, text: str | None) -> str:
+        text = (text or "").lower()
+        for c in INVISIBLE:
+            text = text.replace(c, "")
+        for pattern, spelled in ((SPELLED, True), (FRAGMENTS, False)):
+            text = pattern.sub(lambda found: self.read(found.group(), spelled), text)  # noqa: B023
+        return text
+
+    def _token(self, token: str) -> str:
+        found = None if token.isalpha() and not DOUBLED.search(token) else TRACE.search(token)
+        if not found:
+            return token
+        end = len(token)
+        while end > found.end() and not (token[end - 1].isalnum() or (token[end - 1] in SIGNS and token[end - 1] not in "!|+")):
+            end -= 1
+        return self.read(token[:end], False) + token[end:]
+
+
+restorer = Restorer
+_own: list[tuple[bytes, Restorer]] = []
+
+
+def own_restorer(counts: np.ndarray) -> Restorer:
+    """The restorer of these trigram counts; a worker keeps the last one, so that its tasks share what it remembers."""
+    key = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
+    if not _own or _own[0][0] != key:
+        _own[:] = [(key, Restorer(CharacterModel(counts)))]
+    return _own[0][1]
+
+
+#: Characters that are counted at once.
+COUNTED = 1 << 20
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -165,9 +203,10 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                c = np.concatenate([[GAP, GAP], codes(text.as_py() or ""), [GAP]])
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            joined = "  ".join(text or "" for text in batch.column(0).to_pylist())
+            for lo in range(0, len(joined) + 1, COUNTED):  # neighbours share two symbols
+                c = codes(f"  {joined} "[lo : lo + COUNTED + 2])
                 kept = (c[1:-1] != GAP) | (c[2:] != GAP)  # runs of gaps count once
                 total += np.bincount(((c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:])[kept], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
@@ -179,15 +218,8 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def plain(restored: str) -> str:
-    return f" {NOT_LETTERS.sub(' ', restored)} "
-
-
 def features(text: str) -> set[str]:
-    """Whole words and their first 3 to 6 letters, as strings that can be searched in plain()."""
+    """Whole words and their first 3 to 6 letters, as strings that can be searched in restored text."""
     found = set()
     for word in set(text.split()):
         found.add(f" {word} ")
@@ -232,8 +264,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Toxic documents that a feature must occur in, its least log odds, and the number of features kept.
-SUPPORT, LEAST_ODDS, FEATURES = 5, 1.5, 20_000
+#: Toxic documents of the sample that a feature must occur in, and its least log odds. The sample bounds the number of features.
+SUPPORT, LEAST_ODDS = 5, 1.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, modulus: int = 5, held: int = 0, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
@@ -247,9 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, modulus: int = 5
     model = spark.sparkContext.broadcast(counts)
 
     def restore_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored = restorer(CharacterModel(model.value))
+        restored = own_restorer(model.value).plain
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([plain(restored(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["text", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([restored(t) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["text", "toxic"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(train), "doc_id")  # at most ``sample`` pairs of numbers
     texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
@@ -262,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, modulus: int = 5
 
     sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     candidates = texts.where("toxic = 1").select("text").mapInArrow(listed, "feature string").groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    toxic_counts = {r.feature: r.n for r in candidates.orderBy(F.desc("n"), "feature").limit(10 * FEATURES).collect()}
+    toxic_counts = {r.feature: r.n for r in candidates.orderBy(F.desc("n"), "feature").collect()}
     names = list(toxic_counts)
     shared = spark.sparkContext.broadcast(dict.fromkeys(names, 1.0))
 
@@ -277,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, modulus: int = 5
 
     clean_counts = {r.i: r.n for r in texts.where("toxic = 0").select("text").mapInArrow(clean_hits, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     odds = {f: math.log((toxic_counts[f] + 0.5) / (sizes.get(1, 0) + 1)) - math.log((clean_counts.get(i, 0) + 0.5) / (sizes.get(0, 0) + 1)) for i, f in enumerate(names)}
-    kept = dict(sorted(((f, w) for f, w in odds.items() if w >= LEAST_ODDS), key=lambda x: (-x[1], x[0]))[:FEATURES])
+    kept = dict(sorted(((f, w) for f, w in odds.items() if w >= LEAST_ODDS), key=lambda x: (-x[1], x[0])))
     weights = spark.sparkContext.broadcast(kept)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +332,9 @@ def score(docs: DataFrame, counts: np.ndarray, model: tuple[dict[str, float], np
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, line = shared.value
-        restored, machine = restorer(CharacterModel(own)), Automaton(weights)
+        restored, machine = own_restorer(own).plain, Automaton(weights)
         for batch in batches:
-            rows = np.array([machine.statistics(plain(restored(t.as_py()))) for t in batch.column(1)]).reshape(-1, 3)
+            rows = np.array([machine.statistics(restored(t.as_py())) for t in batch.column(1)]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(rows @ line[:-1] + line[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
