@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of some dozen bytes that may be sent to all executors; where there are more, a shuffle joins them.
+MOST_BROADCAST = 100_000
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,11 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the folder that the cluster names alone; set one only where there is none, as in tests."""
+    """Leave the folder that the cluster names alone; set one only where there is none, as in tests on one machine."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-checkpoints-"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for what is written between stages."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
