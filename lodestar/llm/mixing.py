@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .common import WORD, cut
+from .common import MOST_BROADCAST, WORD, cut
 
 LEVEL_BITS = 16
 LEVELS = 2
@@ -34,32 +34,43 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+#: Ranges that sources are sorted in.
+RANGES = 64
+
+
+def turns(totals: DataFrame) -> DataFrame:
+    """``totals`` with turn: the source's number, from 1, by code point, null last. Sorted in ranges, whose sizes are added up."""
+    order = (F.col("source").isNull(), F.col("source").cast("binary"))
+    ranged = cut(totals.repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # RANGES rows at most
+    before = sizes.select(F.col("range").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.join(F.broadcast(before), F.col("range") == F.col("of")).withColumn("turn", F.col("before") + inside).drop("range", "of", "before")
+
+
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Target words of each source, from one row (source, source_size) a source.
 
     Sources by code point, null last, take the weights in turn. The sources
     share ``share`` times all words by weight; none gets more than ``cap`` times
     its own words, and what is over goes to the others by weight. That is
-    min(cap * size, weight * level) for one level. Sources sorted by
-    size / weight reach their caps in that order, so running sums give the level.
+    min(cap * size, weight * level) for one level: it rises as sources that it
+    caps leave their excess to the others, a sum over all sources each time,
+    until it caps no more of them.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     turn = F.element_at(F.array(*map(F.lit, weights)), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
-    by_fill = Window.orderBy(F.col("source_size") / F.col("weight"), "turn")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    budget = F.sum("source_size").over(everything) * F.lit(share)
-    level = (budget - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * cap) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    full = F.max(F.when(F.col("capped"), F.col("turn_by_fill"))).over(everything)
-    return (
-        totals.withColumn("turn", F.row_number().over(order))
-        .withColumn("weight", turn)
-        .withColumns({"turn_by_fill": F.row_number().over(by_fill), "level": level})
-        .withColumn("capped", F.col("source_size") * cap <= F.col("weight") * F.col("level"))
-        .withColumn("full", F.coalesce(full, F.lit(0)))
-        .withColumn("level", F.max(F.when(F.col("turn_by_fill") == F.col("full") + 1, F.col("level"))).over(everything))
-        .select("source", "source_size", F.when(F.col("turn_by_fill") <= F.col("full"), F.col("source_size") * cap).otherwise(F.col("weight") * F.col("level")).alias("target"))
-    )
+    weighed = cut(turns(totals).select("source", "source_size", turn.alias("weight")))  # some numbers a source
+    level, known = 0.0, -1
+    while True:
+        capped = F.col("source_size") * cap <= F.col("weight") * F.lit(level)
+        one = weighed.agg(
+            F.count_if(capped).alias("capped"), F.sum("source_size").alias("size"), F.sum(F.when(capped, F.col("source_size") * cap)).alias("spent"), F.sum(F.when(~capped, F.col("weight"))).alias("weight")
+        ).first()
+        if one.capped == known or not one.weight:
+            break
+        known = one.capped
+        level = ((one.size or 0) * share - (one.spent or 0.0)) / one.weight
+    return weighed.select("source", "source_size", F.least(F.col("source_size") * cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
 def threshold(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -101,10 +112,6 @@ def threshold(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.col("prefix").alias("below"), "left", "next_words")
 
 
-#: Sources whose thresholds may be sent to all executors: a few dozen bytes each.
-MOST_BROADCAST = 100_000
-
-
 def _with(plan: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
     """``rows`` with their source's plan; a plan of many sources is joined by a shuffle that splits the hot ones."""
     named = plan.withColumnRenamed("source", "plan_source")
