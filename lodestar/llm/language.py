@@ -9,8 +9,9 @@ each distinct word of a slice of texts, for all words of the slice at once.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Characters of text handled at once.
-SLICE = 2_000_000
+#: Characters of text handled at once, and cells of the matrix that words are padded into.
+SLICE, CELLS = 2_000_000, 1 << 18
+#: Letters from which a word is gone through by itself.
+LONG = 200
 #: Pseudo-count of each piece in each language, and the probability of a character that no piece covers.
 SMOOTHING, UNKNOWN = 0.5, 1e-8
 UNDETERMINED = "und"
@@ -60,6 +63,7 @@ class Hashes:
 
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces), default=1)
+        self.index = {p: i for i, p in enumerate(pieces)}
         self.keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         self.slots = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
         self.shared = np.zeros(1 << TABLE_BITS, dtype=bool)  # slots that several pieces want
@@ -97,12 +101,19 @@ def forward(words: list[str], hashes: Hashes, probabilities: np.ndarray, unknown
     ``probabilities`` has a row a piece and a column a language. Words are padded
     into a matrix and the pass goes over columns, longest words first, so that
     each step is one array operation for all words that are still running.
-    Alphas are rescaled at every column, as long words underflow otherwise.
+    Alphas are rescaled every few columns, as long words underflow otherwise. A
+    matrix has CELLS cells at most; words from LONG letters on take no matrix.
     """
     order = sorted(range(len(words)), key=lambda i: -len(words[i]))
     out = np.zeros((len(words), probabilities.shape[1]))
-    for lo in range(0, len(order), 4096):
-        part = order[lo : lo + 4096]
+    lo = 0
+    while lo < len(order):
+        if len(words[order[lo]]) >= LONG:
+            out[order[lo]] = forward_long(words[order[lo]], hashes, probabilities, unknown)
+            lo += 1
+            continue
+        part = order[lo : lo + CELLS // (len(words[order[lo]]) + 1)]
+        lo += len(part)
         lengths = np.array([len(words[i]) + 1 for i in part])
         width = int(lengths[0])
         codes = np.zeros((len(part), width), dtype=np.uint64)
@@ -139,6 +150,25 @@ def forward(words: list[str], hashes: Hashes, probabilities: np.ndarray, unknown
     return out
 
 
+def forward_long(word: str, hashes: Hashes, probabilities: np.ndarray, unknown: float = UNKNOWN) -> np.ndarray:
+    """The same for one word, in memory of the longest piece: the alphas of the last places only."""
+    text = START + word
+    alphas, scale = deque([np.ones(probabilities.shape[1])], maxlen=hashes.longest), 0.0
+    for end in range(1, len(text) + 1):
+        total = alphas[-1] * unknown
+        for k in range(1, min(hashes.longest, end, len(alphas)) + 1):
+            i = hashes.index.get(text[end - k : end])
+            if i is not None:
+                total = total + alphas[-k] * probabilities[i]
+        alphas.append(total)
+        if end % 16 == 0:
+            top = float(total.max())
+            for i in range(len(alphas)):
+                alphas[i] = alphas[i] / top
+            scale += math.log(top)
+    return np.log(alphas[-1]) + scale
+
+
 def _slices(texts: list) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about SLICE characters; a longer text is a run of its own."""
     start, size = 0, 0
