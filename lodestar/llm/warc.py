@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .common import bucket_edges, bucket_of
+from .common import MOST_BROADCAST, bucket_edges, bucket_of, cut
 
 SCHEMA = "record_id string, kind string, uri string, ts bigint, status int, headers map<string,string>, body binary"
 
@@ -60,7 +62,7 @@ def resolve(records: DataFrame) -> DataFrame:
     records spreads over many tasks: within a bucket a window finds the latest
     response, and each bucket begins with the latest one of the buckets before,
     of which one row a URL and bucket is sorted. Bodies are joined last, by the
-    record they are needed from.
+    record they are needed from; of records that repeat the greatest body is taken.
     """
     rows = records.select("record_id", "kind", "status", "ts", canonical(F.col("uri")).alias("url"), F.col("headers").alias("own"))
     rows = rows.withColumn("bucket", bucket_of("ts", bucket_edges(rows, "ts")))
@@ -88,8 +90,28 @@ def resolve(records: DataFrame) -> DataFrame:
     kept = F.map_filter(F.col("source.stored"), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
     merged = F.when(F.col("resolved"), F.map_concat(kept, F.coalesce(allowed, F.create_map().cast("map<string,string>")))).otherwise(F.col("own"))
     done = named.select("record_id", "url", F.when(F.col("resolved"), F.col("source.from")).alias("refers_to"), "resolved", "reason", merged.alias("headers"))
-    bodies = records.where((F.col("kind") == "response") & (F.col("status") == 200)).groupBy(F.col("record_id").alias("of")).agg(F.max("body").alias("body"))
-    return done.join(bodies, F.col("refers_to") == F.col("of"), "left").drop("of")
+    return with_bodies(cut(done), records)
+
+
+#: Revisits of one response that get its body in one task.
+SHARED = 1000
+
+
+def with_bodies(done: DataFrame, records: DataFrame) -> DataFrame:
+    """``done`` with the bodies of the records that it refers to.
+
+    Only these go on. A response that many revisits refer to is sent in as many
+    copies as there are runs of SHARED of them, so they spread over many tasks.
+    """
+    fans = done.where("refers_to is not null").groupBy(F.col("refers_to").alias("of")).agg(F.ceil(F.count("*") / SHARED).alias("fan"))
+    fans = fans.persist(StorageLevel.MEMORY_AND_DISK)  # a name and a number for each response that is needed
+    full = records.where((F.col("kind") == "response") & (F.col("status") == 200)).select("record_id", "body")
+    bodies = full.join(fans, F.col("record_id") == F.col("of")).groupBy("of").agg(F.max("body").alias("body"), F.max("fan").alias("fan"))
+    copies = bodies.select("of", "body", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)).alias("run"))
+    hot = fans.where("fan > 1").select(F.col("of").alias("hot"), F.col("fan").alias("hot_fan"))
+    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+    dealt = done.join(hot, F.col("refers_to") == F.col("hot"), "left").withColumn("dealt", F.pmod(F.xxhash64("record_id"), F.coalesce("hot_fan", F.lit(1))))
+    return dealt.join(copies, (F.col("refers_to") == F.col("of")) & (F.col("dealt") == F.col("run")), "left").select(*done.columns, "body")
 
 
 def header_text(headers: Column) -> Column:
@@ -98,7 +120,11 @@ def header_text(headers: Column) -> Column:
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Rows of SCHEMA from a WARC file, plain or gzipped by record; records that aren't whole are left out."""
+    """Rows of SCHEMA from a WARC file, plain or gzipped by record.
+
+    Records that aren't whole are left out, as are those without a usable length:
+    the search goes on behind their heads.
+    """
     from datetime import datetime
 
     for raw in _members(data):
@@ -108,20 +134,23 @@ def parse(data: bytes) -> Iterator[tuple]:
             if end < 0:
                 break
             warc = _headers(raw[at:end])
-            length = int(warc.get("content-length", "0") or 0)
-            block = raw[end + 4 : end + 4 + length]
-            at = end + 4 + length
-            if len(block) < length:
+            at = end + 4
+            length = warc.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                continue
+            if len(raw) - at < int(length):
                 break
+            block = bytes(raw[at : at + int(length)])
+            at += int(length)
             if warc.get("warc-type") not in ("response", "revisit"):
                 continue
             head, _, body = block.partition(b"\r\n\r\n")
             status = head.split(b"\r\n", 1)[0].split(b" ")
             try:
                 ts = int(datetime.fromisoformat(warc.get("warc-date", "").replace("Z", "+00:00")).timestamp())
-            except ValueError:
+            except (ValueError, OverflowError):
                 ts = None
-            code = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
+            code = int(status[1]) if len(status) > 1 and status[1].isdigit() and len(status[1]) < 5 else None
             yield warc.get("warc-record-id"), warc["warc-type"], warc.get("warc-target-uri"), ts, code, list(_headers(head).items()), body
 
 
@@ -134,29 +163,44 @@ def _headers(block: bytes) -> dict[str, str]:
     return found
 
 
+#: Compressed bytes that are opened at once.
+PIECE = 1 << 16
+
+
 def _members(data: bytes) -> Iterator[bytes]:
+    """What each gzip member of a file holds, or the file itself if it isn't gzipped; ends where it is damaged.
+
+    Goes through the file once: a member is opened piece by piece, and the next one begins where it ended.
+    """
+    view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+    while data[at : at + 2] == b"\x1f\x8b":
+        member, out = zlib.decompressobj(31), []
         try:
-            yield member.decompress(data)
+            while not member.eof and at < len(data):
+                piece = view[at : at + PIECE]
+                out.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
         except zlib.error:
             return
-        data = member.unused_data
+        yield b"".join(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Response and revisit records of WARC files, through Spark's own file reader."""
+    """Response and revisit records of WARC files, through Spark's own file reader.
+
+    A file is one row of that reader, so files must be under 2 GB, as crawlers write them; a file that can't be read as WARC gives no rows.
+    """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = ["record_id", "kind", "uri", "ts", "status", "headers", "body"]
         for batch in batches:
             for content in batch.column(0):
-                rows = [*parse(content.as_py())]
-                if rows:
+                found = parse(content.as_py())
+                while rows := [*islice(found, 1000)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, SCHEMA)
