@@ -12,9 +12,15 @@ in front of its last suffix. The new order follows from the old by a stable sort
 on the inserted symbol (the Burrows-Wheeler step), and the common prefix of
 neighbours is one more than the least of those that lay between them. Columns of
 symbols are read from, and orders and common prefixes written to, sequential
-files outside memory; two columns are held at a time. Suffixes of whole
+files; two columns are held at a time. Suffixes of whole
 documents are never sorted across tasks: a corpus has as many rounds as its
 longest document has bytes, and this has ``2 * length`` at most.
+
+A gram with more distinct contexts than a block holds is split: windows that
+start within some distances of the anchor have more bytes than the gram in
+common, so contexts go on once for each half of the distances, under these
+bytes, and halves are halved again where that isn't enough. A single distance
+leaves whole windows, which are then equal.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text whose anchors are found at once, and contexts that are sorted at once.
 SLICE, BLOCK = 1 << 20, 1 << 14
+#: Bytes that the sequential files of a task may hold in memory: above what a block needs, about 30 MB, so they stay there.
+SCRATCH = 1 << 26
 #: Rows of an Arrow batch whose repeated grams and contexts are combined.
 ROWS = 2000
 
@@ -125,7 +134,7 @@ def repeated_windows(groups: np.ndarray, contexts: list[bytes], before: np.ndarr
     sizes = np.array([len(c) for c in contexts])
     left, right = int(before.max()), int((sizes - before).max())
     marked = np.zeros((m, left + 1), dtype=bool)
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as built:
+    with tempfile.SpooledTemporaryFile(SCRATCH) as symbols, tempfile.SpooledTemporaryFile(SCRATCH) as built:
         # columns from the last to the first, each a byte for every context
         width = left + right
         for lo in range(0, m, 1024):
@@ -184,21 +193,44 @@ def insert_column(order: np.ndarray, prefix: np.ndarray, ended: np.ndarray, grou
     return new, out
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows from contexts that come sorted by gram, document and place.
+#: Spans of repeated windows, or, where span is false, contexts of a split gram: windows that start from ``near`` to ``far``
+#: bytes before their anchor.
+SORTED = "span boolean, id bigint, version int, start bigint, stop bigint, part bigint, near int, far int, anchor bigint, context binary"
+_SORTED = pa.schema([("span", pa.bool_()), ("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("part", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("anchor", pa.int64()), ("context", pa.binary())])
+
+
+def _halves(part: int, near: int, far: int, anchor: int, first: int, context: bytes, length: int) -> Iterator[tuple]:
+    """(part, near, far, first, context) of a context whose windows start near to far bytes before its anchor, for each half of these."""
+    for a, b in ((near, (near + far) // 2), ((near + far) // 2 + 1, far)):
+        begin, end = max(first, anchor - b), min(first + len(context), anchor - a + length)  # the context has windows from begin to end - length
+        if end - begin >= length:
+            shared = context[anchor - a - first : anchor - b + length - first]  # what all these windows have
+            key = hashlib.blake2b(b"%d %d %d " % (part, a, b) + shared, digest_size=8).digest()
+            yield int.from_bytes(key, "little", signed=True), a, b, begin, context[begin - first : end - first]
+
+
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows of SORTED from contexts that come sorted by part (their gram, or what stands for it), document and place.
 
-    A context equal to an earlier one of its gram, which a dictionary knows, is
-    all repeated and needs no sorting, so groups of copies take the memory of
-    their distinct contexts only.
+    A context equal to an earlier one of its part, which a dictionary knows, is
+    all repeated and needs no sorting. A part with more than ``block`` distinct
+    contexts goes on in halves, so memory holds at most two blocks.
     """
-    rows, known, gram, number, was = [], {}, None, -1, None
+    rows, known, part, number, was, split = [], {}, None, -1, None, False
     out: list[tuple] = []
 
     def spans() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "version", "start", "stop"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_SORTED), _SORTED, strict=True)], schema=_SORTED)
         out.clear()
         return batch
 
+    def found(doc: int, version: int, start: int, stop: int) -> None:
+        out.append((True, doc, version, start, stop, None, None, None, None, None))
+
+    def go_on(h: int, doc: int, version: int, near: int, far: int, anchor: int, first: int, context: bytes) -> None:
+        for to, a, b, begin, body in _halves(h, near, far, anchor, first, context, length):
+            out.append((False, doc, version, begin, None, to, a, b, anchor, body))
+
     def flushed() -> pa.RecordBatch:
         if rows:
             groups, before = np.array([r[0] for r in rows]), np.array([r[4] - r[5] for r in rows])
@@ -207,31 +239,39 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             left = marked.shape[1] - 1
             for (r, a), (_, b) in zip(np.argwhere(edge == 1), np.argwhere(edge == -1), strict=True):
                 first = rows[r][4] - left  # the place of column 0
-                out.append((rows[r][1], rows[r][2], int(first + a), int(first + b - 1 + length)))
+                found(rows[r][1], rows[r][2], int(first + a), int(first + b - 1 + length))
             rows.clear()
         return spans()
 
     for batch in batches:
-        for h, doc, version, anchor, first, stop, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for h, doc, version, anchor, first, stop, context, near, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if context is None:
-                out.append((doc, version, first, stop))
-                if len(out) >= BLOCK:
+                found(doc, version, first, stop)
+                if len(out) >= block:
                     yield spans()
                 continue
-            if h != gram:
-                gram, number, known = h, number + 1, {}
-                if len(rows) >= BLOCK:
+            if h != part:
+                part, number, known, split = h, number + 1, {}, False
+                if len(rows) >= block:
                     yield flushed()
             if (h, doc, version, anchor) == was:  # a row that occurs twice
                 continue
             was = (h, doc, version, anchor)
-            key = (anchor - first, context)
-            if key in known:
-                out.append((doc, version, first, first + len(context)))
+            if split:
+                go_on(h, doc, version, near, far, anchor, first, context)
+            elif (key := (anchor - first, context)) in known:
+                found(doc, version, first, first + len(context))
+            elif len(known) >= block and far > near:
+                split = True
+                for of, *row in rows:
+                    if of == number:
+                        go_on(h, row[0], row[1], near, far, row[3], row[4], row[2])
+                rows[:] = [r for r in rows if r[0] != number]
+                go_on(h, doc, version, near, far, anchor, first, context)
             else:
                 known[key] = True
                 rows.append((number, doc, version, context, anchor, first))
-            if len(out) >= BLOCK:
+            if len(out) >= block:
                 yield spans()
     yield flushed()
 
@@ -342,7 +382,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def _repeated(contexts: DataFrame, length: int, block: int) -> DataFrame:
+    """(id, version, start, stop): spans of repeated windows from CONTEXTS with near and far, in as many passes as parts must be halved."""
+    passes = []
+    while True:
+        dealt = contexts.repartition("part").sortWithinPartitions("part", "id", "version", "anchor")
+        done = cut(dealt.mapInArrow(lambda batches: _sorted_blocks(batches, length, block), SORTED))  # some numbers a span
+        passes.append(done.where("span").select("id", "version", "start", "stop"))
+        contexts = done.where("not span").select("part", "id", "version", "anchor", F.col("start").alias("first"), F.col("stop"), "context", "near", "far")
+        if contexts.isEmpty():
+            return reduce(DataFrame.unionAll, passes)
+
+
+def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, block: int = BLOCK) -> DataFrame:
     """Columns of ``docs`` but text, with n_bytes, spans (array of start, stop in bytes) and kept (the bytes that stay).
 
     With ``as_text``, kept is a string, without the bytes of characters that were
@@ -378,7 +430,7 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Data
     lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
     contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors", "row")
     contexts = contexts.mapInArrow(_context_rows(length), CONTEXTS)
-    spans = contexts.repartition("part").sortWithinPartitions("part", "id", "version", "anchor").mapInArrow(lambda batches: _sorted_blocks(batches, length), "id bigint, version int, start bigint, stop bigint")
+    spans = _repeated(contexts.withColumns({"near": F.lit(0), "far": F.lit(length - GRAM)}), length, block)
     spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
     everything = joined.join(spans, ["id", "k0"], "left").select("row", "body", "copy", "found")
 
