@@ -1,77 +1,5 @@
-"""A corpus through five operators: toxic documents go, one of each near-duplicate
-group stays, repeated passages are cut, sources are mixed, the rest is packed.
+"""The pipeline's stages, for a driver that looks for them at the top of the repository; the code is lodestar.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
-writes as Parquet and reads again for the next stage. All but the last return
-the columns of documents.
-"""
+from lodestar.llm.pipeline import ORACLE_SQL, STAGES, cut_repeats, drop_toxic, keep_one_of_near_copies, mix_sources, pack_sequences, run
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestar.llm import minhash, mixing, packing, repeats, toxicity
-from lodestar.llm.common import ensure_checkpoint_dir, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _columns(df: DataFrame, text: Column | None = None) -> DataFrame:
-    """The columns of documents; with a new text, n_chars is its length."""
-    kept = df if text is None else df.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    return kept.select(*COLUMNS)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
-    return _columns(scored.where("predicted = 0"))
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
-    return _columns(minhash.keep_one(docs.select(*COLUMNS)))
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the byte strings that occur earlier; a null text stays null."""
-    return _columns(repeats.remove(docs.select(*COLUMNS), as_text=True), F.col("kept"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs, keep=COLUMNS)
-    return _columns(mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of at most 1024 tokens."""
-    return packing.pack(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("minhash_near_dedup", keep_one_of_near_copies),
-    ("suffix_array_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("best_fit_packing", pack_sequences),
-]
-
-#: Hashes, classifiers and tokenizers aren't expressible in SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
-    out = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}-{name}")
-        docs = spark.read.parquet(f"{out}/{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "cut_repeats", "drop_toxic", "keep_one_of_near_copies", "mix_sources", "pack_sequences", "run"]
