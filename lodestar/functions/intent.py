@@ -8,12 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import trim
+from .text import let, trim
 
 
 def _any(text: Column, needles: Sequence[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, needles)), lambda n: text.contains(n))
-
+    return let(text, lambda known: F.exists(F.array(*map(F.lit, needles)), lambda n: known.contains(n)))
 
 
 def words(query: Column) -> Column:
@@ -97,3 +96,25 @@ def chunk_count(focus: Column, optimal: Column) -> Column:
 def variations(query: Column) -> Column:
     q = trim(query)
     return F.when(q == "", F.array().cast("array<string>")).otherwise(F.array(q, F.concat(q, F.lit(" news")), F.concat(q, F.lit(" forum"))))
+
+
+def domain_variations(query: Column, domain: Column) -> Column:
+    """A query, and with the words that its domain adds."""
+    added = F.lit(L.DOMAIN_SUFFIXES["default"])
+    for name, words_of in L.DOMAIN_SUFFIXES.items():
+        added = F.when(domain == name, words_of).otherwise(added)
+    return let(trim(query), lambda q: F.when(q == "", F.array().cast("array<string>")).otherwise(F.array(q, F.concat(q, F.lit(" "), added))))
+
+
+def with_year_live(query: Column, year: str) -> Column:
+    """The same as with_year() where a live search looks for words of its own list only."""
+    low = F.lower(query)
+    return F.when(_any(low, L.LIVE_RECENCY) & ~_any(low, L.YEARS), F.concat(query, F.lit(f" {year}"))).otherwise(query)
+
+
+def live_url_cap(focus: Column, asked: Column, usual: int) -> Column:
+    return F.least(F.coalesce(asked, F.lit(usual)), F.when(focus.eqNullSafe("lite"), 50).otherwise(900))
+
+
+def live_chunk_count(focus: Column) -> Column:
+    return F.when(focus.eqNullSafe("research"), 50).otherwise(25)

@@ -97,6 +97,7 @@ RESEARCH = ["explain", "analyze", "research", "comprehensive", "in depth", "deta
 RECENCY = ["latest", "current", "newest", "recent", "today", "now", "updated", "breaking", "just", "new"]
 RELATIVE = ["this year", "this week", "this month", "this quarter", "yesterday", "last week", "last month", "right now", "as of"]
 IMPLICIT = ["who is the", "how much is", "what is the price", "what is the score", "what is the status", "is it", "are they", "will they", "ceo of", "president of", "prime minister", "leader of", "worth of", "net worth", "stock price", "market cap", "population of"]
+LIVE_RECENCY = ["latest", "current", "recent", "today", "new", "now", "this year", "right now", "as of", "updated", "newest"]
 YEARS = [str(y) for y in range(2020, 2031)]
 NEWS = ["news", "breaking", "announced"]
 

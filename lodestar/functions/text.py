@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,18 +12,27 @@ from .lexicon import CHUNK_LEAST, CHUNK_MOST, OVERLAP, STOPWORDS
 # Beginnings of lines that are no content.
 BOILERPLATE = (
     r"(?i)^(share (this|on|via)|read more|subscribe|sign up|follow us|cookie|accept all|privacy policy|terms of (service|use)|advertisement|sponsored|related articles|trending|popular posts|most read|you may also (like|enjoy)|"
-    r"© [0-9]{4}|all rights reserved|powered by|loading\.\.\.|please wait|click here|read the full|continue reading|view more|show more|see also|tags?:|categories?:|filed under|posted in|last (updated|modified)|published|modified|edited|"
+    r"© \d{4}|all rights reserved|powered by|loading\.\.\.|please wait|click here|read the full|continue reading|view more|show more|see also|tags?:|categories?:|filed under|posted in|last (updated|modified)|published|modified|edited|"
     r"log ?in|register|sign ?in|free trial|download now|buy now|add to cart|leave a (comment|reply)|your email|required fields|notify me|rss|print this|email this|bookmark|save to|report (this|abuse)|flag|spam|inappropriate|"
-    r"next article|previous article|newer posts?|older posts?|page [0-9]+ of [0-9]+|showing [0-9]+|results? for|sort by|filter by|refine|close|dismiss|got it|accept|decline|no thanks|maybe later|not now|we use cookies|"
-    r"manage (preferences|consent)|cookie (settings|preferences|consent)|reject (all )?cookies|gdpr|data protection|we value your privacy|consent|personalize|customize your|opt[ -]?(in|out)|unsubscribe|paywall|premium content|"
+    r"next article|previous article|newer posts?|older posts?|page \d+ of \d+|showing \d+|results? for|sort by|filter by|refine|close|dismiss|got it|accept|decline|no thanks|maybe later|not now|we use cookies|"
+    r"manage (preferences|consent)|cookie (settings|preferences|consent)|accept (all )?cookies|reject (all )?cookies|gdpr|data protection|we value your privacy|consent|personalize|customize your|opt[ -]?(in|out)|unsubscribe|paywall|premium content|"
     r"members only|subscriber exclusive|sign in to (read|continue)|create (a )?free account|start your free|already a (member|subscriber)|this content is|upgrade to)"
 )
 CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F​‌‍﻿­  ]"
 
 
+# White space of any kind.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
     """Without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often, or in whatever inner function, it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -35,8 +46,12 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of two bytes or more that aren't stop words."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(raw_tokens(text), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: (F.octet_length(t) >= 2) & ~t.isin(*STOPWORDS))
+
+
+def without_stopwords(raw: Column) -> Column:
+    """tokens() from raw_tokens()."""
+    return F.filter(raw, lambda t: ~t.isin(*STOPWORDS))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -49,24 +64,19 @@ def _join(a: Column, b: Column, by: str) -> Column:
     return F.when(a == "", b).otherwise(F.concat(a, F.lit(by), b))
 
 
+#: The shortest run of whole sentences of CHUNK_LEAST characters that another one follows, behind the run before it.
+_RUN = rf"(?s)\G ?+(.{{{CHUNK_LEAST - 1},}}?[.!?])(?= \p{{Lu}})"
+
+
 def sentence_chunks(text: Column) -> Column:
     """Cut after a sentence once a chunk has CHUNK_LEAST characters; a shorter rest joins the last chunk."""
-    pieces = F.split(F.regexp_replace(text, r"([.!?]) (\p{Lu})", "$1\u0001$2"), "\u0001")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state: Column, piece: Column) -> Column:
-        grown = _join(state["open"], piece, " ")
-        full = F.length(grown) >= CHUNK_LEAST
-        return F.struct(F.when(full, F.concat(state["done"], F.array(grown))).otherwise(state["done"]).alias("done"), F.when(full, "").otherwise(grown).alias("open"))
 
-    def finish(state: Column, last: Column) -> Column:
-        rest, n = trim(_join(state["open"], last, " ")), F.size(state["done"])
-        joined = F.concat(F.slice(state["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(state["done"], -1), rest)))
-        return F.when(rest == "", state["done"]).when((F.length(rest) < CHUNK_LEAST) & (n > 0), joined).otherwise(F.concat(state["done"], F.array(rest)))
+    def finish(done: Column, rest: Column) -> Column:
+        n = F.size(done)
+        joined = F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(done, -1), rest)))
+        return F.when(rest == "", done).when((F.length(rest) < CHUNK_LEAST) & (n > 0), joined).otherwise(F.concat(done, F.array(rest)))
 
-    # the last piece ends no sentence that another follows, so it is never cut off by itself
-    cut = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)
-    return finish(cut, F.element_at(pieces, -1))
+    return let(F.regexp_extract_all(text, F.lit(_RUN), F.lit(1)), lambda done: let(trim(F.regexp_replace(text, _RUN, "")), lambda rest: finish(done, rest)))
 
 
 def paragraphs(text: Column) -> Column:
@@ -102,11 +112,13 @@ def overlapped(parts: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """A tenth of its bytes, 5 for each line like a sentence; a third less if most lines are short."""
-    own = F.transform(lines(text), trim)
-    sentences = F.size(F.filter(own, lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[A-Z].*[.!?]$")))
-    short = F.size(F.filter(own, lambda x: F.octet_length(x) < 15)) / F.size(own)
-    score = F.expr("0L") + F.floor(F.octet_length(text) / 10) + sentences * 5
-    return F.when((text != "") & (short > 0.6), score - F.floor(score / 3)).otherwise(score)
+    def scored(own: Column) -> Column:
+        sentences = F.size(F.filter(own, lambda x: (F.octet_length(x) >= 30) & x.rlike(r"[A-Z].*[.!?]$")))
+        short = F.size(F.filter(own, lambda x: F.octet_length(x) < 15)) / F.size(own)
+        score = F.expr("0L") + F.floor(F.octet_length(text) / 10) + sentences * 5
+        return F.when((text != "") & (short > 0.6), score - F.floor(score / 3)).otherwise(score)
+
+    return let(F.transform(lines(text), trim), scored)
 
 
 def fingerprint(paragraph: Column) -> Column:
@@ -116,14 +128,9 @@ def fingerprint(paragraph: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """Without control characters, repeated paragraphs, and lines that are short or boilerplate."""
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), "\r", "\n"), "\n\n"), trim), lambda p: p != "")
-    keyed = F.transform(parts, lambda p: F.struct(fingerprint(p).alias("key"), p.alias("part")))
-    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, x: Column) -> Column:
-        known = F.array_contains(state["keys"], x["key"])
-        more = lambda a, b: F.when(known, a).otherwise(F.concat(a, F.array(b)))
-        return F.struct(more(state["keys"], x["key"]).alias("keys"), more(state["parts"], x["part"]).alias("parts"))
-
-    first = F.aggregate(keyed, start, step, lambda s: s["parts"])
-    kept = F.transform(first, lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), trim), lambda x: (F.octet_length(x) >= 3) & ~x.rlike(BOILERPLATE)), " "))
-    return trim(F.regexp_replace(F.array_join(F.filter(kept, lambda p: F.octet_length(p) >= 10), "\n\n"), r"(?U)\s{3,}", " "))
+    # sorted by key and place, the first of a key stands behind another key; then back in order
+    keyed = F.array_sort(F.transform(parts, lambda p, i: F.struct(fingerprint(p).alias("key"), i.alias("place"), p.alias("part"))))
+    first = let(keyed, lambda k: F.array_sort(F.transform(F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["key"] != x["key"])), lambda x: F.struct(x["place"].alias("place"), x["part"].alias("part")))))
+    content = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), trim), lambda x: (F.octet_length(x) >= 3) & ~x.rlike(BOILERPLATE)), " ")
+    kept = F.filter(F.transform(first, lambda x: content(x["part"])), lambda p: F.octet_length(p) >= 10)
+    return trim(F.regexp_replace(F.array_join(kept, "\n\n"), r"(?U)\s{3,}", " "))

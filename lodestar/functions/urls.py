@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import CREDIBILITY, INSTITUTIONAL, SKIP_DOMAINS, SKIP_EXTENSIONS, TRACKING, TRUST
-from .text import trim
+from .text import let, trim
 
 _SHAPE = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -66,9 +69,8 @@ def dedup_key(url: Column) -> Column:
 
 def skipped(url: Column) -> Column:
     """Names a domain anywhere, or ends in a file type, that is passed over."""
-    low = F.lower(url)
-    named = F.exists(F.array(*map(F.lit, SKIP_DOMAINS)), lambda d: low.contains(d))
-    return named | F.exists(F.array(*map(F.lit, SKIP_EXTENSIONS)), lambda e: F.lower(path(url)).endswith(e))
+    named = let(F.lower(url), lambda low: F.exists(F.array(*map(F.lit, SKIP_DOMAINS)), lambda d: low.contains(d)))
+    return named | let(F.lower(path(url)), lambda low: F.exists(F.array(*map(F.lit, SKIP_EXTENSIONS)), lambda e: low.endswith(e)))
 
 
 def focus_bypass(url: Column, focus: Column) -> Column:
@@ -81,16 +83,19 @@ def old_reddit(url: Column) -> Column:
     return F.regexp_replace(url, r"://(?:www\.)?reddit\.com", "://old.reddit.com")
 
 
+def _parameter(href: Column, names: str) -> Column:
+    """The first parameter of one of these names, decoded; a plus is a space. Null if there is none."""
+    raw = F.regexp_extract(F.regexp_replace(href, "#.*$", ""), rf"[?&](?:{names})=([^&]*)", 1)
+    return F.when(href.rlike(rf"[?&](?:{names})="), F.coalesce(F.try_url_decode(raw), raw))
+
+
 def redirect_target(href: Column) -> Column:
-    """Where a result link leads: itself, or what it carries in url= or uddg=; null if neither."""
-    plain = lambda p: F.regexp_replace(p, r"\+", "%2B")  # noqa: E731  a plus stays a plus here
-    carried = lambda name: _decoded(plain(F.regexp_extract(href, f"[?&]{name}=([^&]*)", 1)))
+    """Where a result link leads: itself if it is an address, or the first q= or url= that /url? carries, or uddg=; null if neither."""
     return (
-        F.when(href.rlike("[?&]uddg="), carried("uddg"))
-        .when(href.startswith("/url?") & href.rlike(r"[?&]q="), carried("q"))
-        .when(href.startswith("/url?") & href.rlike(r"[?&]url="), carried("url"))
+        F.when(href.rlike("^https?://"), href)
         .when(href.startswith("//"), F.concat(F.lit("https:"), href))
-        .when(href.rlike("^https?://"), href)
+        .when(href.startswith("/url?") & href.rlike("[?&](q|url)="), _parameter(href, "q|url"))
+        .when(href.contains("uddg="), let(_parameter(href, "uddg"), lambda once: F.coalesce(F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B"))), once)))
     )
 
 
@@ -108,5 +113,5 @@ def trust(url: Column) -> Column:
     h = host(url)
     out = F.when(h.endswith(".gov") | h.endswith(".edu"), 1.5)
     for score, needles in TRUST:
-        out = out.when(F.exists(F.array(*map(F.lit, needles)), lambda n: h.contains(n)), score)
+        out = out.when(reduce(or_, (h.contains(n) for n in needles)), score)
     return out.otherwise(1.0).cast("float")
