@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """``run`` (query_id, item, rank) with grade, 0 where none is known; repeated items stay."""
@@ -15,12 +17,16 @@ def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 
 
+def _ideal(qrels: DataFrame, k: int) -> DataFrame:
+    """(query_id, idcg) of the ``k`` best judgments of each query, which tasks pick out before the shuffle."""
+    best = Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "item")
+    return qrels.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("idcg"))
+
+
 def ndcg(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, dcg, idcg, ndcg) of the queries in the run; 0 where nothing is relevant."""
     dcg = judged(run, qrels).where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    best = Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "item")
-    ideal = qrels.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("idcg"))
-    both = run.select("query_id").distinct().join(dcg, "query_id", "left").join(ideal, "query_id", "left").select("query_id", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), F.coalesce("idcg", F.lit(0.0)).alias("idcg"))
+    both = run.select("query_id").distinct().join(dcg, "query_id", "left").join(_ideal(qrels, k), "query_id", "left").select("query_id", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), F.coalesce("idcg", F.lit(0.0)).alias("idcg"))
     return both.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0))
 
 
@@ -29,6 +35,19 @@ def reciprocal_rank(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return judged(run, qrels).groupBy("query_id").agg(F.coalesce(F.lit(1.0) / F.min(F.when(F.col("grade") > 0, F.col("rank"))), F.lit(0.0)).alias("rr"))
 
 
+def reciprocal_rank_of(scored: DataFrame, qrels: DataFrame, score: str) -> DataFrame:
+    """reciprocal_rank() of lists that aren't ranked yet: (query_id, item, ``score``), best score first, then the smallest item.
+
+    The first relevant item's rank is one more than the number of items before
+    it, so lists are counted, with sums before the shuffle, and never sorted.
+    """
+    relevant = scored.join(qrels.where(F.col("grade") > 0).select("query_id", "item"), ["query_id", "item"])
+    most = relevant.groupBy("query_id").agg(F.max(score).alias("at"))
+    first = relevant.join(most, "query_id").where(F.col(score) == F.col("at")).groupBy("query_id", "at").agg(F.min("item").alias("first"))
+    before = F.count_if((F.col(score) > F.col("at")) | ((F.col(score) == F.col("at")) & (F.col("item") < F.col("first"))))
+    return scored.join(first, "query_id", "left").groupBy("query_id").agg(F.when(F.max("at").isNotNull(), F.lit(1.0) / (before + 1)).otherwise(0.0).alias("rr"))
+
+
 def recall(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): relevant items among the first k, of all that are relevant."""
     hits = judged(run, qrels).groupBy("query_id").agg(F.count_if((F.col("rank") <= k) & (F.col("grade") > 0)).alias("hits"))
@@ -36,11 +55,43 @@ def recall(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return hits.join(total, "query_id", "left").select("query_id", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("recall"))
 
 
-def report(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """One row with the means over queries."""
-    per_query = ndcg(run, qrels).join(reciprocal_rank(run, qrels), "query_id").join(recall(run, qrels, 10).withColumnRenamed("recall", "r10"), "query_id").join(recall(run, qrels, 20).withColumnRenamed("recall", "r20"), "query_id")
+def report(run: DataFrame, qrels: DataFrame, rr: DataFrame | None = None) -> DataFrame:
+    """One row with the means over queries; ``rr`` where the run is only the head of the lists. The run meets its judgments once."""
+    found = lambda k: F.count_if((F.col("rank") <= k) & (F.col("grade") > 0)).alias(f"h{k}")
+    own = judged(run, qrels).groupBy("query_id").agg(
+        F.coalesce(F.sum(F.when(F.col("rank") <= 10, _gain(F.col("grade"), F.col("rank")))), F.lit(0.0)).alias("dcg"), F.coalesce(F.lit(1.0) / F.min(F.when(F.col("grade") > 0, F.col("rank"))), F.lit(0.0)).alias("rr"), found(10), found(20)
+    )
+    if rr is not None:
+        own = own.drop("rr").join(rr, "query_id")
+    total = qrels.groupBy("query_id").agg(F.count_if(F.col("grade") > 0).alias("total"))
+    per_query = own.join(_ideal(qrels, 10), "query_id", "left").join(total, "query_id", "left")
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return per_query.agg(F.count("*").alias("queries_evaluated"), mean("ndcg").alias("mean_ndcg"), mean("rr").alias("mrr"), mean("r10").alias("mean_recall_10"), mean("r20").alias("mean_recall_20"))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return per_query.agg(F.count("*").alias("queries_evaluated"), mean(part("dcg", "idcg")).alias("mean_ndcg"), mean(F.col("rr")).alias("mrr"), mean(part("h10", "total")).alias("mean_recall_10"), mean(part("h20", "total")).alias("mean_recall_20"))
+
+
+def golden_qrels(run: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The part of a run (query, url, rank) whose query is judged, and the judgments it meets, both by query_id and item.
+
+    ``golden`` has (ord, query, url, grade). Queries are equal but for case; of several equal ones the last counts.
+    An address is judged under its normalised form, and where that isn't known, as it stands.
+    """
+    asked = golden.groupBy(F.lower("query").alias("key")).agg(F.max("ord").alias("ord"))
+    qrels = golden.where("url is not null").join(asked, "ord").select(F.col("key").alias("query_id"), F.col("url").alias("item"), F.coalesce("grade", F.lit(0)).alias("grade"))
+    own = run.select("query", F.lower("query").alias("query_id"), "url", "rank").join(asked.select(F.col("key").alias("query_id")), "query_id", "left_semi")
+    plain = own.withColumn("norm_url", F.coalesce(urls.normalized(F.col("url")), F.col("url")))
+    known = qrels.select("query_id", F.col("item").alias("norm_url"), F.lit(True).alias("known"))
+    named = plain.join(known, ["query_id", "norm_url"], "left").select("query", "query_id", F.when(F.col("known"), F.col("norm_url")).otherwise(F.col("url")).alias("item"), "rank")
+    return named, qrels
+
+
+def golden_report(run: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row: queries_evaluated of all lists, judged ones, and means over the judged ones; lists of one query in other letters are lists of their own."""
+    named, qrels = golden_qrels(run, golden)
+    lists = named.select("query", "query_id").distinct()
+    own = lists.join(qrels, "query_id").select(F.col("query").alias("query_id"), "item", "grade")
+    means = report(named.select(F.col("query").alias("query_id"), "item", "rank"), own).withColumnRenamed("queries_evaluated", "judged")
+    return means.join(run.agg(F.count_distinct("query").alias("queries_evaluated")), F.lit(True))
 
 
 def percentiles(samples: DataFrame, by: str, value: str, shares: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
@@ -65,3 +116,11 @@ def health(events: DataFrame, by: str) -> DataFrame:
     """(by, total, succeeded, failed, success_rate): a row of type 'error' is a failure."""
     counted = events.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"))
     return counted.select(by, "total", (F.col("total") - F.col("failed")).alias("succeeded"), "failed", share(F.col("total") - F.col("failed"), F.col("total")).alias("success_rate"))
+
+
+def contribution(hits: DataFrame, final: DataFrame) -> DataFrame:
+    """(engine, returned, in_final, contribution_rate): how many of an engine's hits are among the addresses of ``final`` (norm_url)."""
+    named = hits.select("engine", F.coalesce(urls.normalized(F.col("url")), F.col("url")).alias("norm_url")).groupBy("engine", "norm_url").agg(F.count("*").alias("n"))
+    kept = named.join(final.select("norm_url", F.lit(1).alias("kept")).distinct(), "norm_url", "left")
+    counted = kept.groupBy("engine").agg(F.sum("n").alias("returned"), F.coalesce(F.sum(F.when(F.col("kept") == 1, F.col("n"))), F.lit(0)).alias("in_final"))
+    return counted.withColumn("contribution_rate", share(F.col("in_final"), F.col("returned")))

@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import lexicon as L
-from ..functions.text import tokens, trim
+from ..functions import urls
+from ..functions.text import chunks, let, overlapped, tokens, trim
 
 
-def postings(chunks: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): how often each chunk has each term, and its length in terms."""
-    split = chunks.select(*key, tokens(F.col(text)).alias("t")).select(*key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return split.groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+#: Stands in a chunk's postings for the chunk itself; no token is empty.
+CHUNK = ""
 
 
 def statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
     """One row: number of chunks and mean length in terms, both at least 1 (or a share of 1)."""
-    sizes = chunks.select(F.size(tokens(F.col(text))).cast("bigint").alias("n"))
-    return sizes.agg(F.count("*").alias("n_chunks"), F.sum("n").alias("total")).select("n_chunks", F.coalesce("total", F.lit(0)).alias("total_tokens"), (F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)) / F.greatest("n_chunks", F.lit(1))).alias("avgdl"))
+    return _averaged(chunks.select(F.size(tokens(F.col(text))).cast("bigint").alias("n")))
 
 
-def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str], title: str | None = None) -> DataFrame:
-    """(query_id, key, bm25, score) of the chunks that share a term with a query.
+def _averaged(sizes: DataFrame) -> DataFrame:
+    total = F.coalesce("total", F.lit(0))
+    return sizes.agg(F.count("*").alias("n_chunks"), F.sum("n").alias("total")).select("n_chunks", total.alias("total_tokens"), (F.greatest(total, F.lit(1)) / F.greatest("n_chunks", F.lit(1))).alias("avgdl"))
+
+
+def postings(chunks: DataFrame, key: list[str], asked: DataFrame, text: str = "text") -> DataFrame:
+    """(key, term, tf, dl) for the terms of ``asked``, and a row of term CHUNK for each chunk: its length goes into the statistics.
+
+    Texts are split once, and only these rows are shuffled.
+    """
+    split = chunks.select(*key, tokens(F.col(text)).alias("t")).select(*key, F.coalesce(F.size("t"), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit(CHUNK)), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
+    wanted = asked.select("term").distinct().union(asked.sparkSession.range(1).select(F.lit(CHUNK).alias("term")))
+    return split.join(wanted, "term", "left_semi").groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, phrase, term): the distinct terms of each query, and the query as a phrase."""
+    return queries.select("query_id", F.lower(trim(F.col("query"))).alias("phrase"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(query_id, phrase, key, bm25) of the chunks that share a term with a query.
 
     All queries see all chunks, so document frequencies are counted once. Only
     terms of queries are kept before anything is grouped.
     """
-    terms = queries.select("query_id", F.lower(trim(F.col("query"))).alias("phrase"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    split = chunks.select(*key, tokens(F.col("text")).alias("t")).select(*key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    asked = terms.select("term").distinct()
-    counted = split.join(asked, "term", "left_semi").groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    terms = query_terms(queries)
+    rows = postings(chunks, key, terms)
+    counted = rows.where(F.col("term") != CHUNK)
     frequency = counted.groupBy("term").agg(F.count("*").alias("df"))
-    one = statistics(chunks)
+    one = _averaged(rows.where(F.col("term") == CHUNK).select(F.col("dl").cast("bigint").alias("n")))
     idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.lit(L.BM25_K1) * (F.lit(1 - L.BM25_B) + F.lit(L.BM25_B) * F.greatest("dl", F.lit(1)) / F.col("avgdl"))
     part = idf * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + norm) + F.lit(L.BM25_DELTA) * idf
@@ -47,12 +65,29 @@ def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str], title: str
 
 def with_bonuses(scored: DataFrame, text: str, title: str, terms: str, rrf: str | None = None, most: str | None = None, confidence: float = L.CONFIDENCE) -> DataFrame:
     """score: bm25, the whole phrase in the text, query terms in the title, agreement of engines, and a prior."""
-    low_title = F.lower(F.col(title))
-    score = F.col("bm25") + F.when((F.col("phrase") != "") & F.lower(F.col(text)).contains(F.col("phrase")), L.PHRASE_BONUS).otherwise(0.0)
-    score = score + F.size(F.filter(F.col(terms), lambda t: low_title.contains(t))) * L.TITLE_BONUS
+    phrase = F.when((F.col("phrase") != "") & F.lower(F.col(text)).contains(F.col("phrase")), L.PHRASE_BONUS).otherwise(0.0)
+    named = let(F.lower(F.col(title)), lambda low: F.size(F.filter(F.col(terms), lambda t: low.contains(t))))
+    return scored.withColumn("score", _total(F.col("bm25") + phrase + F.coalesce(named, F.lit(0)) * L.TITLE_BONUS, rrf, most, confidence))
+
+
+def _total(own: Column, rrf: str | None, most: str | None, confidence: float = L.CONFIDENCE) -> Column:
     if rrf is not None:
-        score = score * (1 + L.CONSENSUS * F.coalesce(F.col(rrf), F.lit(0.0)) / F.greatest(F.col(most), F.lit(1e-9)))
-    return scored.withColumn("score", score + L.CONFIDENCE_WEIGHT * (confidence - 0.5))
+        own = own * (1 + L.CONSENSUS * F.coalesce(F.col(rrf), F.lit(0.0)) / F.greatest(F.col(most), F.lit(1e-9)))
+    return own + L.CONFIDENCE_WEIGHT * (confidence - 0.5)
+
+
+def hopeful(scored: DataFrame, k: int, terms: str, rrf: str | None = None, most: str | None = None) -> DataFrame:
+    """The rows that may be among the ``k`` best of their query once with_bonuses() knows their texts.
+
+    Without any bonus the k-th best row has a score that each of these can
+    reach with all of them, so rows can be left out before texts are joined.
+    """
+    least, best = _total(F.col("bm25"), rrf, most), _total(F.col("bm25") + L.PHRASE_BONUS + F.size(terms) * L.TITLE_BONUS, rrf, most)
+    rows = scored.withColumns({"__least": least, "__best": best})
+    order = Window.partitionBy("query_id").orderBy(F.desc("__least"))
+    bar = rows.select("query_id", "__least").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).groupBy("query_id").agg(F.max("__k").alias("__n"), F.min("__least").alias("__bar"))
+    bar = bar.select("query_id", F.when(F.col("__n") == k, F.col("__bar")).otherwise(float("-inf")).alias("__bar"))
+    return rows.join(bar, "query_id").where(F.col("__best") >= F.col("__bar") - 1e-6).drop("__least", "__best", "__bar")
 
 
 def mmr_order(scores: list[float], sets: list[frozenset], places: list[str], k: int, weight: float = L.MMR_LAMBDA, per_url: int = L.CHUNKS_PER_URL, more: bool = False) -> list[int] | None:
@@ -82,14 +117,20 @@ def mmr_order(scores: list[float], sets: list[frozenset], places: list[str], k:
     return None if more and len(picks) < k else picks
 
 
-def diversified(ranked: DataFrame, k: int, candidates: int, key: str = "doc_id") -> DataFrame:
+def diversified(ranked: DataFrame | Callable[[int, DataFrame | None], DataFrame], k: int, candidates: int, key: str = "doc_id") -> DataFrame:
     """(query_id, seq, key, score, mmr_rank) from (query_id, seq, key, score, text, url), seq being the order by score.
 
     The kernel sees the first ``candidates`` rows of each query. Where a row behind
     them could be chosen, it sees twice as many, until none could or there are none.
+    ``ranked`` may be a function of their number and of the queries that are still
+    open (null: all), so that texts are joined to these rows only.
     """
-    names = ["query_id", "seq", key, "score"]
-    schema = StructType([*(ranked.schema[c] for c in names), StructField("mmr_rank", IntegerType())])
+
+    def first(n: int, left: DataFrame | None) -> DataFrame:
+        if callable(ranked):
+            return ranked(n, left)
+        rows = ranked.where(F.col("seq") <= n)
+        return rows if left is None else rows.join(left, "query_id", "left_semi")
 
     def kernel(seen: int):
         def picked(batch: pd.DataFrame) -> pd.DataFrame:
@@ -101,15 +142,51 @@ def diversified(ranked: DataFrame, k: int, candidates: int, key: str = "doc_id")
 
         return picked
 
-    done, left = [], None
+    done, left, names = [], None, ["query_id", "seq", key, "score"]
     while True:
-        rows = ranked.where(F.col("seq") <= candidates)
-        if left is not None:
-            rows = rows.join(left, "query_id", "left_semi")
-        rows = rows.select(*names, "url", tokens(F.col("text")).alias("terms"))
+        rows = first(candidates, left).select(*names, "url", tokens(F.col("text")).alias("terms"))
+        schema = StructType([*(rows.schema[c] for c in names), StructField("mmr_rank", IntegerType())])
         got = rows.groupBy("query_id").applyInPandas(kernel(candidates), schema).persist(StorageLevel.MEMORY_AND_DISK)  # k short rows a query
         done.append(got.where("mmr_rank is not null"))
         left = got.where("mmr_rank is null").select("query_id")
         if left.isEmpty():
             return reduce(DataFrame.unionAll, done)
         candidates *= 2
+
+
+class Passages:
+    """Scored passages of many sources.
+
+    ``sources`` has source_id, url, title and text; ``votes`` norm_url and rrf,
+    which go to sources by their normalised address, 0 where it has none.
+    chunk_id is a struct of source_id and the chunk's number. A passage must
+    share a term with a query to be scored for it.
+    """
+
+    def __init__(self, queries: DataFrame, sources: DataFrame, votes: DataFrame):
+        plain = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
+        split = sources.select("source_id", chunks(F.col("text")).alias("c")).select("source_id", F.posexplode(overlapped(F.col("c"))).alias("n", "text")).where(trim(F.col("text")) != "")
+        self.pieces = split.select(F.struct("source_id", "n").alias("chunk_id"), "text")
+        named = sources.select("source_id", "title", plain.alias("url")).join(votes.select(F.col("norm_url").alias("url"), "rrf"), "url", "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
+        most = votes.agg(F.coalesce(F.max("rrf"), F.lit(0.0)).alias("most"))
+        self.terms = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
+        scored = bm25_plus(queries, self.pieces, ["chunk_id"]).withColumn("source_id", F.col("chunk_id.source_id")).join(named, "source_id").join(self.terms, "query_id")
+        self.scored = scored.join(F.broadcast(most), F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)  # numbers and names
+
+    def best(self, n: int, left: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_id, score, seq, text, url): the ``n`` best passages of each query, or of those in ``left``."""
+        rows = hopeful(self.scored if left is None else self.scored.join(left, "query_id", "left_semi"), n, "terms", "rrf", "most").join(self.pieces, "chunk_id")
+        return top_by_score(with_bonuses(rows, "text", "title", "terms", "rrf", "most").withColumn("score", F.round("score", 9)), n, "chunk_id")
+
+    def chosen(self, k: int, candidates: int = 100) -> DataFrame:
+        """(query_id, chunk_id, score, mmr_rank): good passages that are unlike each other; of a query without terms the first ones, unscored, in order."""
+        picked = diversified(self.best, k, candidates, "chunk_id").select("query_id", "chunk_id", "score", "mmr_rank")
+        first = self.pieces.orderBy("chunk_id").limit(k).select("chunk_id").withColumn("mmr_rank", F.row_number().over(Window.orderBy("chunk_id")))
+        silent = self.terms.where(F.size("terms") == 0).select("query_id")
+        return picked.union(silent.join(F.broadcast(first), F.lit(True)).select("query_id", "chunk_id", F.lit(None).cast("double"), "mmr_rank"))
+
+
+def top_by_score(scored: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` best rows of each query with seq, their order: by score, then the longest text, then the key."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("text").desc(), key)
+    return scored.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= n)

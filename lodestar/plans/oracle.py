@@ -135,6 +135,29 @@ scored AS (
   FROM bm JOIN documents USING (doc_id)
 )"""
 
+# judged lists of addresses: those of the last entry of a query count, under the normalised address if it is judged, else under the plain one
+GOLDEN = f"""{NORM},
+met AS (SELECT page_id, url, norm_url, page_id % (SELECT count(*) FROM benchmark) AS query_id FROM norm),
+said AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') || ' ' || item_id AS query FROM benchmark),
+lists AS (SELECT query_id, lower(query) AS key, CASE WHEN query_id % 2 = 0 THEN lower(query) ELSE query END AS said, url, norm_url, row_number() OVER (PARTITION BY query_id ORDER BY md5(url), page_id) AS rank FROM met JOIN said USING (query_id)),
+qrels AS (SELECT query_id, CASE WHEN page_id % 2 = 0 THEN norm_url ELSE url END AS item, max(page_id % 4) AS grade FROM met WHERE query_id % 5 <> 4 GROUP BY 1, 2),
+graded AS (SELECT l.query_id, key, rank, coalesce(a.grade, b.grade, 0) AS grade FROM lists l LEFT JOIN qrels a ON a.query_id = l.query_id AND a.item = l.norm_url LEFT JOIN qrels b ON b.query_id = l.query_id AND b.item = l.url WHERE l.query_id IN (SELECT query_id FROM qrels)),
+perfect AS (SELECT query_id, sum(CASE WHEN k <= 10 THEN (pow(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS idcg, count(*) FILTER (grade > 0) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS k FROM qrels) GROUP BY query_id),
+scores AS (SELECT query_id, any_value(key) AS key, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, any_value(idcg) AS idcg, any_value(total) AS total, coalesce(1.0 / min(rank) FILTER (grade > 0), 0) AS rr,
+                  count(*) FILTER (rank <= 10 AND grade > 0) AS h10, count(*) FILTER (rank <= 20 AND grade > 0) AS h20 FROM graded JOIN perfect USING (query_id) GROUP BY query_id)"""
+
+SOURCES = f"""
+src AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(b.text, '\\s+')[1:6], ' ') AS query, d.doc_id AS source_id, 'https://' || d.source || '.example.org/' || d.doc_id AS url,
+               array_to_string(regexp_split_to_array(d.text, '\\s+')[1:4], ' ') AS title, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+
+HITS = f"""{RAW}, {NORM},
+changed AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.reddit.com/x.com/' || page_id WHEN 1 THEN regexp_replace(url, '^https?:', 'HTTP:') ELSE url END AS url, CASE page_id % 5 WHEN 0 THEN 'https://www.reddit.com/x.com/' || page_id WHEN 1 THEN regexp_replace(norm_url, '^https?:', 'http:') ELSE norm_url END AS norm_url,
+                   CASE page_id % 5 WHEN 0 THEN 'www.reddit.com/x.com/' || page_id ELSE dedup_key END AS dedup_key, path FROM norm),
+hits AS (SELECT page_id % (SELECT count(*) FROM benchmark) AS query_id, page_id, c.url, norm_url, dedup_key, path, engine, rank_position FROM raw JOIN changed c USING (page_id) WHERE engine IN ('google', 'bing', 'wiby') AND page_id % (SELECT count(*) FROM benchmark) % 7 <> 6),
+passed AS (SELECT *, page_id % 5 = 0 OR {has('lower(url)', L.SKIP_DOMAINS)} OR {' OR '.join(f"suffix(lower(path), {quoted(e)})" for e in L.SKIP_EXTENSIONS)} AS passed FROM hits),
+kept AS (SELECT * FROM passed WHERE NOT passed),
+focused AS (SELECT * FROM passed WHERE NOT passed OR (query_id % 4 = 0 AND contains(norm_url, '//www.reddit.com')))"""
+
 SQL = {
     "rrf_scores": f"WITH {RAW}, {NORM} SELECT norm_url, round(sum({WEIGHT} / ({L.RRF_K} + greatest(rank_position, 1))), 9) AS rrf, count(*) AS hits FROM raw JOIN norm USING (page_id) GROUP BY norm_url",
     "rrf_topk": f"WITH {RAW}, {NORM} SELECT norm_url, round(sum({WEIGHT} / ({L.RRF_K} + greatest(rank_position, 1))), 9) AS rrf FROM raw JOIN norm USING (page_id) GROUP BY norm_url ORDER BY rrf DESC, norm_url LIMIT 50",
@@ -148,7 +171,7 @@ SQL = {
     "credibility_tag": "SELECT page_id, CASE WHEN suffix(h, '.gov') OR suffix(h, '.edu') THEN " + quoted(L.INSTITUTIONAL) + " " + " ".join(f"WHEN contains(h, {quoted(n)}) THEN {quoted(t)}" for n, t in L.CREDIBILITY)
     + r" ELSE '[General Web - ' || regexp_replace(h, '^(www\.)+', '') || ']' END AS tag, CAST(CAST(CASE WHEN suffix(h, '.gov') OR suffix(h, '.edu') THEN 1.5 " + " ".join(f"WHEN {has('h', ns)} THEN {t}" for t, ns in L.TRUST)
     + f" ELSE 1.0 END AS FLOAT) AS DOUBLE) AS trust FROM (SELECT page_id, {HOST} AS h FROM pages)",
-    "redirect_resolve": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN regexp_replace(url, '^https?:', 'https:') ELSE url END AS target FROM pages",
+    "redirect_resolve": "SELECT page_id, CASE WHEN page_id % 7 = 6 THEN NULL WHEN page_id % 7 = 4 THEN 'https://p.example/?uddg=' || replace(url_encode(url), '%20', '+') WHEN page_id % 7 = 2 THEN regexp_replace(url, '^https?:', 'https:') ELSE url END AS target FROM pages",
     "query_analysis": f"""WITH {QUERIES}, a AS (SELECT query_id, {INTENT} AS intent, {HINT} AS temporal_hint, CASE WHEN {WORDS} <= 3 THEN 'simple' WHEN {WORDS} <= 8 THEN 'medium' ELSE 'complex' END AS complexity, {has(LOW, L.NEWS)} AS news FROM q),
         b AS (SELECT *, CASE WHEN intent = 'factual' THEN CASE WHEN complexity = 'simple' THEN 15 ELSE 20 END WHEN intent = 'comparison' THEN 30 WHEN intent = 'navigational' THEN 10 WHEN intent = 'research' THEN 40 ELSE 25 END AS optimal_sources FROM a)
         SELECT query_id, intent, temporal_hint, complexity, temporal_hint IS NOT NULL OR news AS boost_news, temporal_hint IS NOT NULL AS is_time_sensitive, optimal_sources,
@@ -181,7 +204,22 @@ SQL = {
         j AS (SELECT doc_id, {TRIM.format("regexp_replace(array_to_string(kept, chr(10) || chr(10)), '[\\s\\p{Z}]{3,}', ' ', 'g')")} AS done FROM c)
         SELECT doc_id, md5(done) AS md5, length(done) AS n_chars FROM j""",
     "jaccard_pairs": f"WITH d AS (SELECT doc_id, list_distinct({tokens('text')}) AS t FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 9) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1",
-    "title_extract": "SELECT page_id, md5(t) AS title_md5, length(t) AS n_chars FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)",
+    "title_extract": r"""WITH p AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS html FROM pages),
+        t AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS own, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS head FROM p),
+        n AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'Shown ' || page_id WHEN 2 THEN head WHEN 3 THEN own || ' - Site | More' ELSE own END AS title,
+              CASE page_id % 4 WHEN 1 THEN 'Shown ' || page_id WHEN 2 THEN head ELSE trim(split_part(split_part(own, ' - ', 1), ' | ', 1)) END AS live FROM t)
+        SELECT page_id, md5(title) AS title_md5, md5(live) AS live_title_md5, length(title) AS n_chars FROM n""",
+    "video_pages": r"""WITH v AS (SELECT page_id, unnest([false, true]) AS live, page_id % 2 = 0 AS js, page_id % 3 <> 0 AS long FROM pages),
+        w AS (SELECT *, CASE WHEN live THEN CASE WHEN long THEN 'meta' WHEN js THEN 'json' ELSE 'article' END ELSE CASE WHEN js THEN 'json' WHEN long THEN 'meta' ELSE 'article' END END AS way FROM v)
+        SELECT page_id, live, CASE WHEN live OR way = 'json' THEN 'Video ' || page_id ELSE 'Video ' || page_id || ' - Site' END AS title,
+               CASE way WHEN 'json' THEN 'About video ' || page_id || ', "well" & good second' WHEN 'meta' THEN 'A description that is long enough, of video ' || page_id ELSE 'An article beside the video, with words that nobody reads but that are long enough for one.' END AS text,
+               CASE way WHEN 'json' THEN 'video_json' WHEN 'meta' THEN 'video_meta' ELSE 'semantic' END AS strategy FROM w""",
+    "serp_parse": r"""SELECT page_id, unnest([1, 2, 3]) AS rank, unnest([url, 'https://two.example/?n=' || page_id, 'https://three.example/' || page_id]) AS url,
+        unnest(['Page ' || page_id, 'Second hit', 'Third hit']) AS title, unnest(['Spoken', '', '']) AS snippet FROM pages""",
+    "engine_serps": r"""WITH e AS (SELECT page_id, regexp_replace(url, '^https?:', 'https:') AS u, unnest(['brave', 'yahoo', 'mojeek', 'qwant', 'startpage', 'duckduckgo', 'bing']) AS engine FROM pages),
+        h AS (SELECT page_id, engine, 1 AS page, 1 AS rank, u AS url, 'one ' AS w FROM e UNION ALL SELECT page_id, engine, 1, 2, 'https://two.example/' || page_id, 'two ' FROM e
+              UNION ALL SELECT page_id, engine, 2, 2, 'https://three.example/' || page_id, 'three ' FROM e UNION ALL SELECT page_id, engine, 4, 1, 'https://four.example/' || page_id, 'four ' FROM e WHERE engine = 'bing')
+        SELECT page_id, engine, page, rank, url, 'Title ' || w || page_id AS title, CASE WHEN engine IN ('qwant', 'startpage') THEN '' ELSE 'Said of ' || w || page_id END AS snippet FROM h""",
     "context_relevance": rf"""WITH w AS (SELECT doc_id, text, lower(array_to_string(regexp_split_to_array(text, '\s+')[1:4], ' ')) AS title, list_filter(regexp_split_to_array(lower(array_to_string(regexp_split_to_array(text, '\s+')[3:7], ' ')), '[\s\p{{Z}}]+'), lambda x: strlen(x) > 2 AND NOT list_contains({listed(L.CONTEXT_STOPWORDS)}, x)) AS kw FROM documents)
         SELECT doc_id, round(CAST(CASE WHEN len(kw) = 0 THEN 1.0::FLOAT ELSE CAST(3 * len(list_filter(kw, lambda x: contains(title, x))) + len(list_filter(kw, lambda x: contains(title || ' ' || lower(text), x))) AS FLOAT) / CAST(len(kw) * 4 AS FLOAT) END AS DOUBLE), 6) AS relevance FROM w""",
     "research_batches": f"WITH {RANKED} SELECT part, doc_id, place, CAST(floor((place - 1) / {L.BATCH}) AS INT) AS batch FROM ranked",
@@ -201,7 +239,17 @@ SQL = {
     "ndcg": f"WITH {JUDGED} SELECT query_id, round(dcg, 6) AS dcg, round(idcg, 6) AS idcg, round(ndcg, 6) AS ndcg FROM means",
     "mrr": f"WITH {JUDGED} SELECT query_id, round(rr, 6) AS rr FROM means",
     "recall_at_k": f"WITH {JUDGED} SELECT query_id, round(r20, 6) AS recall FROM means",
-    "eval_report": f"WITH {JUDGED} SELECT count(*) AS queries_evaluated, round(avg(ndcg), 6) AS mean_ndcg, round(avg(rr), 6) AS mrr, round(avg(r10), 6) AS mean_recall_10, round(avg(r20), 6) AS mean_recall_20 FROM means",
+    "eval_report": f"""WITH {JUDGED}, v AS (SELECT list_sort(list(value)) AS v FROM events), h AS (SELECT user_id, count(*) FILTER (event_type <> 'error') / count(*) AS rate FROM events GROUP BY user_id),
+        c AS (SELECT count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'purchase') AS p FROM events)
+        SELECT count(*) AS queries_evaluated, round(avg(ndcg), 6) AS mean_ndcg, round(avg(rr), 6) AS mrr, round(avg(r10), 6) AS mean_recall_10, round(avg(r20), 6) AS mean_recall_20,
+          {', '.join(f"(SELECT v[CAST(floor({p / 100} * (len(v) - 1) + 0.5) AS BIGINT) + 1] FROM v) AS latency_p{p}" for p in (50, 95, 99))},
+          (SELECT count(*) FROM h) AS engines, (SELECT round(avg(rate), 6) FROM h) AS success_rate, (SELECT round(v / (v + c), 6) FROM c) AS engine_hit_ratio, (SELECT round(s / (s + p), 6) FROM c) AS scrape_hit_ratio,
+          (SELECT round(c / (c + s), 6) FROM c) AS answer_hit_ratio, 0.7::DOUBLE AS avg_extraction_confidence FROM means""",
+    "golden_eval": f"WITH {GOLDEN} SELECT md5(key) AS query_md5, round(dcg, 6) AS dcg, round(idcg, 6) AS idcg, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM scores",
+    "golden_report": f"""WITH {GOLDEN} SELECT (SELECT count(DISTINCT said) FROM lists) AS queries_evaluated, count(*) AS judged, round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS mean_ndcg, round(avg(rr), 6) AS mrr,
+        round(avg(CASE WHEN total > 0 THEN h10 / total ELSE 0 END), 6) AS mean_recall_10, round(avg(CASE WHEN total > 0 THEN h20 / total ELSE 0 END), 6) AS mean_recall_20 FROM scores""",
+    "engine_contribution": f"""WITH {RAW}, {NORM}, f AS (SELECT norm_url FROM (SELECT norm_url, round(sum({WEIGHT} / (60.0 + greatest(rank_position, 1))), 9) AS rrf FROM raw JOIN norm USING (page_id) GROUP BY norm_url) ORDER BY rrf DESC, norm_url LIMIT 10)
+        SELECT engine, count(*) AS returned, count(*) FILTER (norm_url IN (SELECT norm_url FROM f)) AS in_final, round(count(*) FILTER (norm_url IN (SELECT norm_url FROM f)) / count(*), 6) AS contribution_rate FROM raw JOIN norm USING (page_id) GROUP BY engine""",
     "latency_percentiles": "WITH s AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS mean FROM events GROUP BY event_type) SELECT event_type, len(v) AS n, "
     + ", ".join(f"v[CAST(floor({p / 100} * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS p{p}" for p in (50, 95, 99))
     + ", round(mean, 6) AS mean FROM s",
@@ -217,13 +265,24 @@ SQL = {
     "cooldown_state": f"WITH e AS (SELECT *, {AT} AS sec FROM events), p AS (SELECT *, lag(event_type) OVER w AS kind, lag(sec) OVER w AS since FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)) SELECT event_id, user_id, coalesce(kind = 'error' AND sec - since < 120, false) AS cooling FROM p",
     "deadline_filter": f"WITH e AS (SELECT {AT} AS sec, CAST(floor({AT} / 60) AS BIGINT) AS minute FROM events), f AS (SELECT *, min(sec) OVER (PARTITION BY minute) AS first FROM e) SELECT minute, count(*) FILTER (sec - first <= 6) AS kept, count(*) FILTER (sec - first > 6) AS dropped FROM f GROUP BY minute",
     "event_windows": f"SELECT CAST(floor({AT} / 3600) * 3600 AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "engine_requests": f"""WITH e AS (SELECT unnest({listed([n.strip() for n in E.DEFAULT.split(',') if n.strip()])}) AS engine),
-        t AS (SELECT engine, CASE {' '.join(f"WHEN {'engine = ' + quoted(b) if b == 'info' else f'starts_with(engine, {quoted(b)}) AND contains(engine, {quoted(p)})'} THEN {quoted(a)}" for b, p, a, _ in E.TEMPLATES)} END AS tmpl,
+    "engine_requests": f"""WITH e AS (SELECT unnest({listed([n.strip() for n in E.DEFAULT.split(',') if n.strip()])}) AS name),
+        i AS (SELECT name, CASE WHEN name IN ('brave', 'brave_news') THEN 'brave' WHEN name IN ('yahoo', 'yahoo_news') THEN 'yahoo' WHEN name IN ('duckduckgo', 'duckduckgo_html', 'duckduckgo_news', 'duckduckgo_images', 'duckduckgo_videos') THEN 'duckduckgo' ELSE name END AS engine FROM e),
+        own(engine, tmpl, form, pages, first, step) AS (VALUES
+          ('wikipedia', 'https://en.wikipedia.org/w/api.php?action=opensearch&search={{query}}&limit=20&namespace=0&format=json', '', 1, 0, 0), ('wiby', 'https://wiby.me/json/?q={{query}}', '', 1, 0, 0),
+          ('duckduckgo', 'https://lite.duckduckgo.com/lite/', 'q={{query}}&s={{offset}}&dc={{next}}', 2, 0, 20), ('brave', 'https://search.brave.com/search?q={{query}}&source=web&offset={{offset}}', '', 3, 0, 10),
+          ('yahoo', 'https://search.yahoo.com/search?p={{query}}&n=20&b={{offset}}', '', 5, 1, 10), ('qwant', 'https://www.qwant.com/?q={{query}}&t=web&offset={{offset}}', '', 3, 0, 10),
+          ('mojeek', 'https://www.mojeek.com/search?q={{query}}&s={{offset}}', '', 5, 1, 10), ('startpage', 'https://www.startpage.com/sp/search', 'query={{query}}&cat=web&language=english&page={{page}}', 5, 0, 10)),
+        t AS (SELECT name, engine, CASE {' '.join(f"WHEN {'engine = ' + quoted(b) if b == 'info' else f'starts_with(engine, {quoted(b)}) AND contains(engine, {quoted(p)})'} THEN {quoted(a)}" for b, p, a, _ in E.TEMPLATES)} END AS tmpl,
           CASE {' '.join(f"WHEN {'engine = ' + quoted(b) if b == 'info' else f'starts_with(engine, {quoted(b)}) AND contains(engine, {quoted(p)})'} THEN {n}" for b, p, _, n in E.TEMPLATES)} END AS pages,
-          CASE {' '.join(f"WHEN suffix(engine, {quoted(x)}) THEN {quoted(h)}" for x, h in E.GOOGLE_HOSTS.items())} ELSE 'www.google.com' END AS host FROM e),
+          CASE {' '.join(f"WHEN suffix(engine, {quoted(x)}) THEN {quoted(h)}" for x, h in E.GOOGLE_HOSTS.items())} ELSE 'www.google.com' END AS host FROM i WHERE engine NOT IN (SELECT engine FROM own)),
+        a AS (SELECT name, engine, replace(tmpl, '{{host}}', host) AS tmpl, '' AS form, pages, 0 AS first, 10 AS step FROM t WHERE tmpl IS NOT NULL UNION ALL SELECT name, engine, tmpl, form, pages, first, step FROM i JOIN own USING (engine)),
         q AS (SELECT item_id AS query_id, {FIRST_SIX} AS query FROM benchmark),
-        r AS (SELECT query_id, engine, replace(tmpl, '{{host}}', host) AS tmpl, unnest(generate_series(1, pages)) AS page, replace(url_encode(trim(query)), '+', '%20') AS text FROM q CROSS JOIN t WHERE tmpl IS NOT NULL)
-        SELECT query_id, engine, page, md5(replace(replace(replace(tmpl, '{{query}}', text), '{{offset}}', CAST((page - 1) * 10 AS VARCHAR)), '{{page}}', CAST(page AS VARCHAR))) AS md5 FROM r""",
+        r AS (SELECT query_id, name, engine, tmpl, form, first, step, unnest(generate_series(1, pages)) AS page, replace(url_encode(trim(query)), '+', '%20') AS text FROM q CROSS JOIN a),
+        n AS (SELECT *, first + (page - 1) * step AS o FROM r),
+        f AS (SELECT *, CASE WHEN engine = 'duckduckgo' AND page = 1 THEN 'q={{query}}' ELSE form END AS sent FROM n),
+        s AS (SELECT query_id, name, engine, page, replace(replace(replace(replace(tmpl, '{{query}}', text), '{{offset}}', CAST(o AS VARCHAR)), '{{next}}', CAST(o + 1 AS VARCHAR)), '{{page}}', CAST(page AS VARCHAR)) AS address,
+                     replace(replace(replace(replace(sent, '{{query}}', text), '{{offset}}', CAST(o AS VARCHAR)), '{{next}}', CAST(o + 1 AS VARCHAR)), '{{page}}', CAST(page AS VARCHAR)) AS form FROM f)
+        SELECT query_id, name, engine, page, md5(address) AS md5, md5(form) AS form_md5 FROM s""",
     "serp_dedup": f"WITH {RAW}, {NORM} SELECT norm_url, url, engine, rank_position FROM (SELECT norm_url, raw.url, engine, rank_position, row_number() OVER (PARTITION BY norm_url ORDER BY rank_position, engine, raw.url) AS k FROM raw JOIN norm USING (page_id)) WHERE k = 1",
     "paragraph_dedup": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT doc_id, left({TRIM.format("regexp_replace(lower(line), '[\\s\\p{Z}]+', ' ', 'g')")}, 80) AS f FROM l) SELECT md5(f) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM f WHERE f <> '' GROUP BY f",
     "json_engines": "SELECT page_id, url, 'Page ' || page_id AS title, unnest(['s', 'w']) AS snippet, 1 AS rank_position FROM pages WHERE page_id % 5 <> 0",
@@ -233,11 +292,74 @@ SQL = {
         d AS (SELECT conv_id, turn, left(replace(replace(replace(replace(replace(done, '**', ''), '##', ''), '`', ''), chr(10) || chr(10), '. '), chr(10), ' '), 5000) AS p FROM c),
         e AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(p, '\[[0-9, ]*\]', '', 'g'), '\[([^\]]*)\]?', '\1', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS said FROM d)
         SELECT conv_id, turn, md5(said) AS md5, length(said) AS n_chars FROM e""",
-    "ranked_context": f"""WITH {RANKED}, s AS (SELECT *, 10 + strlen(part) + strlen(text) AS est FROM ranked),
-        b AS (SELECT *, coalesce(sum(est + length(CAST(place AS VARCHAR))) OVER (PARTITION BY part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + est > {4 * L.CONTEXT_BYTES_LITE} AS over_it FROM s),
-        m AS (SELECT *, bool_or(over_it) OVER (PARTITION BY part ORDER BY place) AS stopped FROM b),
-        c AS (SELECT part, string_agg('[' || place || '] ' || part || chr(10) || text || chr(10) || chr(10), '' ORDER BY place) AS context FROM m WHERE NOT stopped GROUP BY part)
-        SELECT part, strlen(context) AS n_bytes, md5(context) AS md5 FROM c""",
+    "ranked_context": f"""WITH {SOURCES}, m(mode, least, most, budget) AS (VALUES ('lite', 0.05, 30, 16000), ('research', 0.0, 50, 12000)),
+        w AS (SELECT *, list_filter(regexp_split_to_array(lower(query), '[\\s\\p{{Z}}]+'), lambda x: strlen(x) > 2 AND NOT list_contains({listed(L.CONTEXT_STOPWORDS)}, x)) AS kw FROM src),
+        v AS (SELECT *, CASE WHEN len(kw) = 0 THEN 1.0::FLOAT ELSE CAST(3 * len(list_filter(kw, lambda x: contains(lower(title), x))) + len(list_filter(kw, lambda x: contains(lower(title || ' ' || text), x))) AS FLOAT) / CAST(len(kw) * 4 AS FLOAT) END AS rel FROM w),
+        r AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY rel DESC, source_id) AS k FROM v CROSS JOIN m WHERE rel >= CAST(least AS FLOAT)),
+        n AS (SELECT *, count(*) OVER (PARTITION BY mode, query_id) AS n FROM r WHERE k <= most),
+        p AS (SELECT *, CASE WHEN n <= 2 THEN k WHEN k % 2 = 1 THEN (k + 1) // 2 ELSE n + 1 - k // 2 END AS place, '[General Web - ' || regexp_extract(url, '^https://([^/]+)', 1) || '] ' || title || ' (' || url || ')' || chr(10) AS head, {TRIM.format('text')} AS body FROM n),
+        b AS (SELECT *, strlen(head) + strlen(body) + 6 AS est FROM p),
+        o AS (SELECT *, coalesce(sum(est + length(CAST(place AS VARCHAR))) OVER (PARTITION BY mode, query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + est > budget AS over_it FROM b),
+        s AS (SELECT *, bool_or(over_it) OVER (PARTITION BY mode, query_id ORDER BY place) AS stopped FROM o),
+        c AS (SELECT mode, query_id, string_agg('[' || place || '] ' || head || body || chr(10) || chr(10), '' ORDER BY place) AS context FROM s WHERE NOT stopped GROUP BY mode, query_id)
+        SELECT mode, query_id, strlen(context) AS n_bytes, md5(context) AS md5 FROM c""",
+    "largest_results": f"WITH {SOURCES} SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY strlen(text) DESC, source_id) AS place FROM src",
+    "carried_report": """WITH t AS (SELECT doc_id, CASE WHEN strlen(text) <= 3000 THEN text ELSE '[...truncated...] ' || right(text, list_max(list_filter(generate_series(750, 3000), lambda k: strlen(right(text, k)) <= 3000))) END AS kept FROM documents)
+        SELECT doc_id, md5(kept) AS md5, strlen(kept) AS n_bytes, md5('QUERY: q' || chr(10) || chr(10) || 'EXISTING REPORT (summary):' || chr(10) || kept || chr(10) || chr(10) || 'NEW SOURCES (Batch 2/3):' || chr(10) || 'c') AS asked_md5 FROM t""",
+    "live_texts": """WITH t AS (SELECT doc_id, text, doc_id % 3 AS f, strlen(text) AS n FROM documents)
+        , k AS (SELECT doc_id, CASE WHEN f = 0 AND n > 4000 THEN left(text, list_max(list_filter(generate_series(1000, 4000), lambda k: strlen(left(text, k)) <= 4000))) ELSE text END AS kept FROM t WHERE CASE f WHEN 0 THEN n >= 120 WHEN 1 THEN n >= 10 ELSE n >= 50 END)
+        SELECT doc_id, strlen(kept) AS n_bytes, md5(kept) AS md5 FROM k""",
+    "retry_choice": f"""WITH a AS (SELECT conv_id, turn, {PLAIN.format(TRIM.format(f'({SAID})'))} AS t FROM conversations WHERE role = 'assistant'),
+        b AS (SELECT *, lower(regexp_extract(t, '^([^\\n]*)', 1)) AS line, {TRIM.format("regexp_replace(t, '^[^\\n]*', '')")} AS rest FROM a),
+        c AS (SELECT conv_id, turn, {TRIM.format(f"CASE WHEN {has('line', L.PREAMBLES)} AND rest <> '' THEN rest ELSE t END")} AS one FROM b),
+        d AS (SELECT *, CASE WHEN (conv_id * 3 + turn) % 3 = 0 THEN left(one, 60) WHEN (conv_id * 3 + turn) % 4 = 0 THEN replace(one || ' more', '[1]', '') ELSE '[' || left(one, 40) END AS two FROM c)
+        SELECT conv_id, turn, md5(CASE WHEN strlen(two) > strlen(one) OR (contains(two, '[') AND NOT contains(one, '[')) THEN two ELSE one END) AS md5 FROM d""",
+    "query_variations": f"""WITH {QUERIES}, t AS (SELECT query_id, {TRIM.format('query')} AS q FROM q)
+        SELECT query_id, md5(CASE WHEN q = '' THEN '' ELSE q || '|' || q || ' news|' || q || ' forum' END) AS general,
+        md5(CASE WHEN q = '' THEN '' ELSE q || '|' || q || ' ' || ['programming tutorial', 'research study', 'market analysis', 'medical research', 'latest 2026', 'guide'][query_id % 6 + 1] END) AS specialised FROM t""",
+    "query_year_live": f"""WITH {QUERIES}, t AS (SELECT query_id, query || CASE WHEN query_id % 3 = 0 THEN ' latest' ELSE '' END || CASE WHEN query_id % 5 = 0 THEN ' 2024' ELSE '' END AS q FROM q)
+        SELECT query_id, md5(CASE WHEN {has('lower(q)', ['latest', 'current', 'recent', 'today', 'new', 'now', 'this year', 'right now', 'as of', 'updated', 'newest'])} AND NOT {has('lower(q)', [str(y) for y in range(2020, 2031)])} THEN q || ' 2026' ELSE q END) AS md5 FROM t""",
+    "mode_caps": f"""WITH {QUERIES}, a AS (SELECT query_id, {INTENT} AS intent, CASE WHEN {WORDS} <= 3 THEN 'simple' WHEN {WORDS} <= 8 THEN 'medium' ELSE 'complex' END AS complexity, CASE WHEN query_id % 2 = 0 THEN 40 END AS wish FROM q),
+        b AS (SELECT *, CASE WHEN intent = 'factual' THEN CASE WHEN complexity = 'simple' THEN 15 ELSE 20 END WHEN intent = 'comparison' THEN 30 WHEN intent = 'navigational' THEN 10 WHEN intent = 'research' THEN 40 ELSE 25 END AS optimal, least(coalesce(wish, 420), 100) AS usual FROM a),
+        c AS (SELECT *, CASE WHEN complexity = 'simple' THEN least(usual, 50) WHEN complexity = 'complex' THEN 100 ELSE usual END AS tuned, unnest(['auto', 'lite', 'fast', 'specialized_tech', 'research', 'reddit']) AS mode FROM b)
+        SELECT query_id, mode, CASE WHEN mode IN ('auto', 'lite') THEN CASE WHEN intent = 'navigational' THEN least(tuned, 30) ELSE tuned END WHEN mode = 'fast' THEN least(coalesce(wish, 30), 30) WHEN mode = 'specialized_tech' THEN least(coalesce(wish, 100), 150) ELSE least(coalesce(wish, 420), 900) END AS url_cap,
+          CASE WHEN mode = 'research' THEN 200 WHEN mode = 'specialized_tech' THEN 50 ELSE greatest(optimal, 25) END AS chunk_count, least(coalesce(wish, 420), CASE WHEN mode = 'lite' THEN 50 ELSE 900 END) AS live_cap, CASE WHEN mode = 'research' THEN 50 ELSE 25 END AS live_chunks FROM c""",
+    "fetch_rules": """WITH t AS (SELECT page_id, unnest([1, 2]) AS attempt FROM pages), n AS (SELECT *, page_id + attempt AS n FROM t),
+        o AS (SELECT page_id, attempt, CASE WHEN n % 5 IN (0, 1) THEN 'blocked' WHEN n % 7 = 1 THEN 'skip' ELSE 'read' END AS outcome FROM n)
+        SELECT a.page_id, a.attempt FROM o a JOIN o f ON f.page_id = a.page_id AND f.attempt = 1 WHERE a.outcome = 'read' AND (a.attempt = 1 OR f.outcome = 'blocked')""",
+    "search_answers": f"""WITH {HITS}, fetched AS (SELECT query_id, least(count(DISTINCT dedup_key), 20) AS deduplicated FROM kept GROUP BY query_id),
+        firsts AS (SELECT query_id, url, engine, row_number() OVER (PARTITION BY query_id ORDER BY engine, rank_position, page_id) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id, norm_url ORDER BY engine, rank_position, page_id) AS k FROM hits) WHERE k = 1),
+        shown AS (SELECT query_id, string_agg(seq || ' ' || engine || ' ' || url, '|' ORDER BY seq) AS results FROM firsts WHERE seq <= 20 GROUP BY query_id),
+        counted AS (SELECT query_id, count(*) AS total_raw, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM hits GROUP BY query_id)
+        SELECT item_id AS query_id, CASE WHEN deduplicated > 0 THEN 200 ELSE 404 END AS status, coalesce(total_raw, 0) AS total_raw, coalesce(deduplicated, 0) AS deduplicated, engines,
+          md5(CASE WHEN deduplicated > 0 THEN results ELSE '' END) AS results_md5, CASE WHEN deduplicated > 0 THEN '' ELSE 'No results found. Search engines may be unreachable.' END AS error
+        FROM benchmark LEFT JOIN counted c ON c.query_id = item_id LEFT JOIN fetched f ON f.query_id = item_id LEFT JOIN shown s ON s.query_id = item_id""",
+    "fetch_list": f"""WITH {HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, dedup_key ORDER BY engine, rank_position, page_id) AS k FROM focused),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY engine, rank_position, page_id) AS seq FROM k WHERE k = 1) SELECT query_id, seq, norm_url, engine FROM n WHERE seq <= 15""",
+    "live_events": f"""WITH {HITS}, told AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'lite' END AS focus, {TRIM.format(FIRST_SIX)} || CASE WHEN item_id % 4 = 0 THEN ' site:reddit.com' ELSE '' END AS q FROM benchmark),
+        asked AS (SELECT *, CASE WHEN {has('lower(q)', ['latest', 'current', 'recent', 'today', 'new', 'now', 'this year', 'right now', 'as of', 'updated', 'newest'])} AND NOT {has('lower(q)', [str(y) for y in range(2020, 2031)])} THEN q || ' 2026' ELSE q END AS asked, CASE WHEN focus = 'lite' THEN 50 ELSE 420 END AS cap FROM told),
+        raw_n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id), adr AS (SELECT query_id, count(DISTINCT dedup_key) AS n FROM focused GROUP BY query_id), shown AS (SELECT query_id, count(DISTINCT norm_url) AS n FROM hits GROUP BY query_id),
+        read AS (SELECT h.query_id, count(*) AS n FROM hits h JOIN pages p USING (page_id) JOIN asked a ON a.query_id = h.query_id WHERE h.engine = 'google' AND strlen(p.html) % 200 >= CASE WHEN focus = 'reddit' THEN 10 WHEN focus = 'lite' THEN 100 ELSE 50 END GROUP BY h.query_id),
+        a AS (SELECT asked.*, coalesce(raw_n.n, 0) AS raw_hits, least(coalesce(adr.n, 0), cap) AS addresses, least(coalesce(shown.n, 0), cap) AS shown, coalesce(read.n, 0) AS pages FROM asked LEFT JOIN raw_n USING (query_id) LEFT JOIN adr USING (query_id) LEFT JOIN shown USING (query_id) LEFT JOIN read USING (query_id)),
+        s AS (SELECT query_id, 1 AS seq, 'info' AS kind, -1 AS n, 'started' AS t FROM a UNION ALL SELECT query_id, 2, 'info', -1, 'searching: ' || asked FROM a UNION ALL SELECT query_id, 3, 'info', raw_hits, 'hits' FROM a UNION ALL SELECT query_id, 4, 'info', addresses, 'addresses' FROM a
+              UNION ALL SELECT query_id, 5, 'search_hits', shown, '' FROM a UNION ALL SELECT query_id, 6, 'ranked_chunks', least(pages, 25), '' FROM a WHERE focus = 'lite' UNION ALL SELECT query_id, 7, 'scrape_complete', CASE WHEN focus = 'lite' THEN least(pages, 25) ELSE pages END, '' FROM a)
+        SELECT query_id, seq, kind, n, md5(t) AS md5 FROM s""",
+    "proxy_turns": "SELECT page_id, ['http://a:1', 'http://b:2', 'http://c:3', 'socks5h://127.0.0.1:9050', 'socks5h://127.0.0.1:9051'][page_id % 5 + 1] AS proxy FROM pages",
+    "model_list": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' || page_id || ',z' || page_id ELSE 'b' || page_id || ',g' || page_id END AS models FROM pages",
+    "silent_queries": f"WITH {CHUNKS}, f AS (SELECT doc_id AS source_id, i - 1 AS n, row_number() OVER (ORDER BY doc_id, i) AS mmr_rank FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)) SELECT q AS query_id, source_id, n, mmr_rank FROM f CROSS JOIN (SELECT unnest([1, 2]) AS q) WHERE mmr_rank <= 10",
+    "passage_scores": f"""WITH {CHUNKS}, e AS (SELECT doc_id, c, i, CAST(floor(length(c[i - 1]) * 0.15) AS INT) AS n FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)),
+        w AS (SELECT *, {TRIM.format("CASE WHEN contains(right(c[i - 1], n), ' ') THEN substr(right(c[i - 1], n), strpos(right(c[i - 1], n), ' ')) ELSE right(c[i - 1], n) END")} AS lead FROM e),
+        o AS (SELECT doc_id, i - 1 AS place, CASE WHEN i = 1 OR n <= 10 OR lead = '' THEN c[i] ELSE lead || '… ' || c[i] END AS chunk FROM w),
+        terms AS (SELECT item_id AS query_id, lower({FIRST_SIX}) AS phrase, unnest(list_distinct({tokens(FIRST_SIX)})) AS term FROM benchmark), split AS (SELECT doc_id, place, chunk, {tokens('chunk')} AS t FROM o WHERE {TRIM.format('chunk')} <> ''),
+        sizes AS (SELECT count(*) AS n, greatest(sum(len(t)), 1) / greatest(count(*), 1) AS avgdl FROM split), each AS (SELECT doc_id, place, len(t) AS dl, unnest(t) AS term FROM split),
+        counted AS (SELECT doc_id, place, term, count(*) AS tf, any_value(dl) AS dl FROM each WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, place, term), freq AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+        bm AS (SELECT query_id, phrase, doc_id, place, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(dl, 1) / avgdl)) + 1.0)) AS bm25 FROM terms JOIN counted USING (term) JOIN freq USING (term) CROSS JOIN sizes GROUP BY query_id, phrase, doc_id, place),
+        votes AS (SELECT doc_id, (1.5 + CAST(CAST(0.8 AS FLOAT) AS DOUBLE)) / (60.0 + doc_id % 40 + 1) AS rrf FROM documents WHERE doc_id % 3 = 0),
+        named AS (SELECT doc_id, lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:4], ' ')) AS title FROM documents), per AS (SELECT query_id, list(term) AS ts FROM terms GROUP BY query_id),
+        scored AS (SELECT query_id, doc_id, place, chunk, round((bm25 + CASE WHEN phrase <> '' AND contains(lower(chunk), phrase) THEN 1.25 ELSE 0 END + 0.5 * len(list_filter(ts, lambda x: contains(title, x)))) * (1 + 0.5 * coalesce(rrf, 0) / (SELECT max(rrf) FROM votes)) + 0.05 * (0.7 - 0.5), 9) AS score
+                   FROM bm JOIN split USING (doc_id, place) JOIN named USING (doc_id) JOIN per USING (query_id) LEFT JOIN votes USING (doc_id)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(chunk) DESC, doc_id, place) AS k FROM scored)
+        SELECT query_id, doc_id AS source_id, place AS n, round(score, 6) AS score FROM best WHERE k <= 10""",
     "iterative_reports": """WITH o AS (SELECT conv_id, list(text ORDER BY turn, text) AS b FROM conversations GROUP BY conv_id),
         r AS (SELECT conv_id, list_reduce(b, lambda s, x: CASE WHEN s = '' THEN x ELSE right(s, 200) || chr(10) || x END) AS report FROM o) SELECT conv_id, md5(report) AS md5, length(report) AS n_chars FROM r""",
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import intent, lexicon, text, urls
-from ..operators import context, evaluation, fusion, ranking
+from ..operators import context, evaluation, fusion, ranking, responses
 from ..sources import engines, html, tables
 from ..sources.tables import table
-from ..streaming import state
+from ..streaming import live, state
 
 YEAR = "2026"
 TOP = 10
@@ -57,8 +58,17 @@ def credibility_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.col("page_id") % 4
-    href = F.when(page == 0, F.concat(F.lit("//duck.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))).when(page == 1, F.concat(F.lit("/url?q="), F.url_encode("url"))).when(page == 2, F.regexp_replace("url", "^https?:", "")).otherwise(F.col("url"))
+    """Links of seven kinds to the addresses of pages, or to none."""
+    kind, to = F.col("page_id") % 7, F.url_encode("url")
+    href = (
+        F.when(kind == 0, F.concat(F.lit("/l/?uddg="), to, F.lit("&rut=1")))
+        .when(kind == 1, F.concat(F.lit("/url?q="), to, F.lit("&url=https%3A%2F%2Fother.example")))
+        .when(kind == 2, F.regexp_replace("url", "^https?:", ""))
+        .when(kind == 3, F.col("url"))
+        .when(kind == 4, F.concat(F.lit("https://p.example/?uddg="), to))
+        .when(kind == 5, F.concat(F.lit("/url?sa=t&url="), to, F.lit("&q=https%3A%2F%2Fother.example")))
+        .otherwise("/about")
+    )
     return table(spark, sf_dir, "pages").select("page_id", urls.redirect_target(href).alias("target"))
 
 
@@ -81,8 +91,9 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.size(text.raw_tokens(F.col("text"))).alias("n_raw"))
+    split = table(spark, sf_dir, "documents").select("doc_id", text.raw_tokens(F.col("text")).alias("r"))
+    kept = split.select("doc_id", F.size("r").alias("n_raw"), text.without_stopwords(F.col("r")).alias("t"))
+    return kept.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), "n_raw")
 
 
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,32 +111,62 @@ def bm25_plus_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.top(scored, TOP, "bm25", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "bm25", "rank")
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored chunks of documents with title, address and the agreement of engines.
+class _Hybrid:
+    """Documents scored for each benchmark query, with title, address and the agreement of engines.
 
     Queries that share a term with a third of all documents meet many of them:
-    texts are joined after only the best of each query are left.
+    texts are joined to those that can be among the best of a query only.
     """
-    docs = table(spark, sf_dir, "documents")
-    queries = tables.benchmark_queries(spark, sf_dir)
-    named = docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("title"), "text")
-    votes = named.select("doc_id", ((F.col("doc_id") % 7 + 1) / (F.lit(lexicon.RRF_K) + F.col("doc_id") % 40 + 1)).alias("rrf"))
-    most = votes.agg(F.max("rrf").alias("most"))
-    scored = ranking.bm25_plus(queries, docs, ["doc_id"])
-    terms = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
-    rows = scored.join(named, "doc_id").join(votes, "doc_id").join(terms, "query_id").join(F.broadcast(most), F.lit(True))
-    return ranking.with_bonuses(rows, "text", "title", "terms", "rrf", "most")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        docs, queries = table(spark, sf_dir, "documents"), tables.benchmark_queries(spark, sf_dir)
+        rrf = (F.col("doc_id") % 7 + 1) / (F.lit(lexicon.RRF_K) + F.col("doc_id") % 40 + 1)
+        self.named = docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("title"), "text")
+        terms = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
+        scored = ranking.bm25_plus(queries, docs, ["doc_id"]).withColumn("rrf", rrf).join(terms, "query_id")
+        self.scored = scored.join(F.broadcast(docs.agg(F.max(rrf).alias("most"))), F.lit(True))
+
+    def best(self, k: int, left: DataFrame | None = None) -> DataFrame:
+        """All rows that may be among the ``k`` best of their query, with their scores."""
+        rows = self.scored if left is None else self.scored.join(left, "query_id", "left_semi")
+        return ranking.with_bonuses(ranking.hopeful(rows, k, "terms", "rrf", "most").join(self.named, "doc_id"), "text", "title", "terms", "rrf", "most")
 
 
 def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _hybrid(spark, sf_dir).withColumn("score", F.round("score", 6))
+    scored = _Hybrid(spark, sf_dir).best(TOP).withColumn("score", F.round("score", 6))
     return fusion.top(scored, TOP, "score", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "score", "rank")
 
 
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hybrid(spark, sf_dir).withColumn("size", -F.length("text"))
-    ranked = fusion.top(rows, 2**31 - 1, "score", ("query_id",), ("size", "doc_id")).withColumnRenamed("rank", "seq")
-    return ranking.diversified(ranked, TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
+    hybrid = _Hybrid(spark, sf_dir)
+    hybrid.scored = hybrid.scored.persist(StorageLevel.MEMORY_AND_DISK)  # some numbers a row, read again for more candidates
+    return ranking.diversified(lambda n, left: ranking.top_by_score(hybrid.best(n, left), n, "doc_id"), TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> ranking.Passages:
+    """Passages of all documents for the benchmark's queries; two engines rank each third document's address, one of them spelled otherwise."""
+    docs = table(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id"))
+    sources = docs.select(F.col("doc_id").alias("source_id"), F.concat("url", F.lit("?utm_source=feed#top")).alias("url"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("title"), "text")
+    hits = docs.where("doc_id % 3 = 0").select("url", F.explode(F.array(F.lit("google"), F.lit("wiby"))).alias("engine"), (F.col("doc_id") % 40 + 1).cast("int").alias("rank_position"))
+    return ranking.Passages(tables.benchmark_queries(spark, sf_dir), sources, fusion.rrf(hits))
+
+
+def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best passages of each query, before diversity."""
+    return _passages(spark, sf_dir).best(TOP).select("query_id", "chunk_id.source_id", "chunk_id.n", F.round("score", 6).alias("score"))
+
+
+def passage_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten passages of each query that are unlike each other, at most three of an address."""
+    return _passages(spark, sf_dir).chosen(TOP, CANDIDATES).select("query_id", "chunk_id.source_id", "chunk_id.n", F.round("score", 6).alias("score"), "mmr_rank")
+
+
+def silent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of stop words only: the first passages, in order."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit("https://a.example").alias("url"), F.lit("").alias("title"), "text")
+    queries = spark.createDataFrame([(1, "the of and"), (2, "to be or not to be")], "query_id bigint, query string")
+    votes = spark.createDataFrame([], "norm_url string, rrf double")
+    return ranking.Passages(queries, docs, votes).chosen(TOP).select("query_id", "chunk_id.source_id", "chunk_id.n", "mmr_rank")
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,23 +189,77 @@ def clean_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the one of the id after it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return docs.join(after, "doc_id").select("doc_id", F.round(text.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
+    """Each document against the one of the id after it. Texts are split once; a document's terms go to both pairs that it is in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("t"))
+    sides = docs.select(F.posexplode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("side", "doc_id"), "t")
+    both = sides.groupBy("doc_id").agg(F.collect_list(F.struct("side", "t")).alias("x")).where(F.size("x") == 2).select("doc_id", F.array_sort("x").alias("x"))
+    return both.select("doc_id", F.round(text.jaccard(F.get("x", F.lit(0))["t"], F.get("x", F.lit(1))["t"]), 9).alias("jaccard"))
 
 
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(raw.cast("binary")).alias("title_md5"), F.length(raw).alias("n_chars"))
+    """Titles of pages of which some have one in their head for others to show, or none, or one with their site's name."""
+    kind, tag = F.col("page_id") % 4, r"(?s)<title>(.*?)</title>"
+    page = F.when(kind == 1, F.regexp_replace("html", "<title>", F.concat(F.lit('<meta property="og:title" content=" Shown '), "page_id", F.lit(' "><title>')))).when(kind == 2, F.regexp_replace("html", tag, "")).when(kind == 3, F.regexp_replace("html", tag, "<title>$1 - Site | More</title>")).otherwise(F.col("html"))
+    named = html.titles(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), page.alias("html")))
+    return named.select(F.col("id").alias("page_id"), *(F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("title", "live_title")), F.length("title").alias("n_chars"))
 
 
 def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.articles(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")).withColumnRenamed("id", "page_id")
 
 
+def video_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of videos: half have their description in JSON, all a long or short one in their head."""
+    own = F.concat(F.lit("About video "), "page_id", F.lit(', \\"well\\" \\u0026 good\\nsecond'))
+    head = F.when(F.col("page_id") % 3 == 0, F.lit("short")).otherwise(F.concat(F.lit("A description that is long enough, of video "), "page_id"))
+    page = F.concat(F.lit("<title>Video "), "page_id", F.lit(' - Site</title><meta name="description" content="'), head, F.lit('">'), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script>{"shortDescription":"'), own, F.lit('"}</script>'))).otherwise(""), F.lit("<article><p>An article beside the video, with words that nobody reads but that are long enough for one.</p></article>"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), page.alias("html"), F.concat(F.lit("https://www.youtube.com/watch?v="), "page_id").alias("url"))
+    both = html.articles(pages).withColumn("live", F.lit(False)).union(html.articles(pages, live=True).withColumn("live", F.lit(True)))
+    return both.select(F.col("id").alias("page_id"), "live", "title", "text", "strategy")
+
+
 def serp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.links(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html"), "https://pages.example", "search.example").withColumnRenamed("id", "page_id")
+    """Result pages made of addresses: hits in three places, repeated, own, short and relative ones between them."""
+    link = lambda to, name, more="": F.concat(F.lit('<a href="'), to, F.lit(f'"{more}>'), name, F.lit("</a>"))
+    own, two, three = F.replace("url", F.lit("&"), F.lit("&amp;")), F.concat(F.lit("/url?q="), F.url_encode(F.concat(F.lit("https://two.example/?n="), "page_id")), F.lit("&amp;sa=U")), F.concat(F.lit("/l/?uddg="), F.url_encode(F.concat(F.lit("https://three.example/"), "page_id")))
+    page = F.concat(
+        F.lit('<nav><a href="/about">About us</a><a href="https://nav.example/">Not a hit</a></nav><div id="search">'), link(own, F.concat(F.lit(" Page "), "page_id"), ' aria-label="Spoken"'), link(two, F.lit("Second <b>hit</b>")), link(F.lit("https://short.example/"), F.lit("ab")),
+        F.lit("</div><main><h2>"), link(own, F.lit("Again")), F.lit("</h2>"), link(F.lit("https://search.example/help"), F.lit("Own page")), F.lit("</main><ul><li>"), link(three, F.lit("Third hit")), F.lit('<li><a href="/local">Relative</a></ul>'),
+    )
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("bing").alias("engine"), F.lit(1).alias("page"), page.alias("html"))
+    return html.links(pages, "search.example").select(F.col("id").alias("page_id"), "rank", "url", "title", "snippet")
+
+
+def _hit_markup(engine: str, url: Column, title: Column, said: Column) -> Column:
+    """How a hit stands on an engine's result page."""
+    shapes = {
+        "brave": ('<div class="snippet fdb"><div class="snippet-title"><a href="{u}">{t}</a></div><p class="snippet-description">{s}</p></div>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+        "yahoo": ('<div class="dd algo algo-x"><h3><a href="https://r.example/_ylt=x/RU={u}/RK=2/RS=y">{t}</a></h3><div class="compText"><p>{s}</p></div></div>', F.url_encode(url)),
+        "mojeek": ('<ul class="results-standard"><li class="r1"><a class="ob" href="{u}">link</a><h2><a class="title" href="{u}">{t}</a></h2><p class="s">{s}</p></li></ul>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+        "qwant": ('<div><a href="{u}">{t}</a><span>{s}</span></div>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+        "startpage": ('<div class="result css-1"><a class="result-title result-link css-2" href="{u}">{t}</a><p class="description">{s}</p></div>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+        "duckduckgo": ('<table><tr><td><a class="result-snippet" href="{u}">{t}</a></td></tr><tr><td class="result-snippet">{s}</td></tr></table>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+        "bing": ('<article><a href="{u}" aria-label="{s}">{t}</a></article>', F.replace(url, F.lit("&"), F.lit("&amp;"))),
+    }
+    shape, to = shapes[engine]
+    filled = F.replace(F.replace(F.replace(F.lit(shape), F.lit("{u}"), to), F.lit("{t}"), title), F.lit("{s}"), said)
+    return F.concat(F.lit('<div id="results">'), filled, F.lit("</div>")) if engine == "brave" else filled
+
+
+def engine_serps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four result pages of each of seven engines for every page's address: the third is empty, the second repeats a hit."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("url", "^https?:", "https:").alias("u"))
+    n = F.col("id").cast("string")
+    hit = lambda engine, url, title, said: _hit_markup(engine, url, F.concat(F.lit(title), n), F.concat(F.lit(said), n))
+    listed = []
+    for engine in ("brave", "yahoo", "mojeek", "qwant", "startpage", "duckduckgo", "bing"):
+        bodies = [
+            F.concat(hit(engine, F.col("u"), "Title one ", "Said of one "), hit(engine, F.concat(F.lit("https://two.example/"), n), "Title two ", "Said of two ")), F.concat(hit(engine, F.col("u"), "Other title ", "Other words "), hit(engine, F.concat(F.lit("https://three.example/"), n), "Title three ", "Said of three ")),
+            F.lit("<p>nothing</p>"), hit(engine, F.concat(F.lit("https://four.example/"), n), "Title four ", "Said of four "),
+        ]
+        listed += [F.struct(F.lit(engine).alias("engine"), F.lit(k).alias("page"), body.alias("html")) for k, body in enumerate(bodies, 1)]
+    rows = pages.select("id", F.explode(F.array(*listed)).alias("x")).select("id", "x.*")
+    return html.merged(html.links(rows, "www.bing.com")).withColumnRenamed("id", "page_id")
 
 
 def context_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,29 +301,73 @@ def citation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "n", F.round("overlap", 6).alias("overlap"), "flagged")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of a source in an order that a hash gives, and their labels as judgments."""
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of a source in an order that a hash gives: the whole lists, their first 20, and labels as judgments."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"))
-    run = fusion.top(docs.withColumn("h", F.md5(F.col("item").cast("string").cast("binary"))), 2**31 - 1, "h", ("query_id",), ("item",)).select("query_id", "item", "rank")
+    whole = docs.withColumn("h", F.md5(F.col("item").cast("string").cast("binary")))
+    head = fusion.top(whole, 20, "h", ("query_id",), ("item",)).select("query_id", "item", "rank")
     grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), tables.grade().alias("grade"))
-    return run, docs.join(grades, "item").select("query_id", "item", "grade")
+    return whole, head, docs.join(grades, "item").select("query_id", "item", "grade")
 
 
 def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.ndcg(*_judged(spark, sf_dir)).select("query_id", *(F.round(c, 6).alias(c) for c in ("dcg", "idcg", "ndcg")))
+    _, head, qrels = _judged(spark, sf_dir)
+    return evaluation.ndcg(head, qrels).select("query_id", *(F.round(c, 6).alias(c) for c in ("dcg", "idcg", "ndcg")))
 
 
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.reciprocal_rank(*_judged(spark, sf_dir)).select("query_id", F.round("rr", 6).alias("rr"))
+    whole, _, qrels = _judged(spark, sf_dir)
+    return evaluation.reciprocal_rank_of(whole, qrels, "h").select("query_id", F.round("rr", 6).alias("rr"))
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.recall(*_judged(spark, sf_dir), 20).select("query_id", F.round("recall", 6).alias("recall"))
+    _, head, qrels = _judged(spark, sf_dir)
+    return evaluation.recall(head, qrels, 20).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = evaluation.report(*_judged(spark, sf_dir))
-    return one.select("queries_evaluated", *(F.round(c, 6).alias(c) for c in ("mean_ndcg", "mrr", "mean_recall_10", "mean_recall_20")))
+    """Means over queries, latencies, health of engines, hit ratios of caches, and the mean confidence of extraction."""
+    whole, head, qrels = _judged(spark, sf_dir)
+    events = table(spark, sf_dir, "events")
+    means = evaluation.report(head, qrels, evaluation.reciprocal_rank_of(whole, qrels, "h"))
+    means = means.select("queries_evaluated", *(F.round(c, 6).alias(c) for c in ("mean_ndcg", "mrr", "mean_recall_10", "mean_recall_20")))
+    latency = evaluation.percentiles(events.withColumn("stage", F.lit("total")), "stage", "value").select(*(F.col(f"p{p}").alias(f"latency_p{p}") for p in (50, 95, 99)))
+    engines_seen = evaluation.health(events, "user_id").agg(F.count("*").alias("engines"), F.round(F.avg("success_rate"), 6).alias("success_rate"))
+    confidence = table(spark, sf_dir, "pages").agg(F.round(F.avg(F.lit(lexicon.CONFIDENCE)), 6).alias("avg_extraction_confidence"))
+    for one in (latency, engines_seen, cache_hit_ratio(spark, sf_dir), confidence):
+        means = means.join(F.broadcast(one), F.lit(True))
+    return means
+
+
+def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lists of addresses for the benchmark's queries, and judgments of pages; queries are judged twice, each fifth not at all."""
+    queries = tables.benchmark_queries(spark, sf_dir).withColumn("query", F.concat_ws(" ", "query", "query_id"))
+    one = queries.agg(F.count("*").alias("of"))
+    pages = table(spark, sf_dir, "pages").join(F.broadcast(one), F.lit(True)).withColumn("query_id", F.pmod("page_id", "of"))
+    met = pages.join(F.broadcast(queries), "query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5("url"), "page_id"))
+    run = met.select(F.when(F.col("query_id") % 2 == 0, F.lower("query")).otherwise(F.col("query")).alias("query"), "url", rank.alias("rank"))
+    plain = F.when(F.col("page_id") % 2 == 0, urls.normalized(F.col("url"))).otherwise(F.col("url"))
+    judged = met.where("query_id % 5 <> 4").groupBy(F.col("query_id").alias("ord"), "query", plain.alias("url")).agg(F.max(F.col("page_id") % 4).cast("int").alias("grade"))
+    return run, judged.union(judged.select(F.col("ord") - 1000, "query", "url", F.lit(3)))  # an earlier entry of the same query, which doesn't count
+
+
+def golden_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, golden = _golden(spark, sf_dir)
+    named, qrels = evaluation.golden_qrels(run, golden)
+    per_query = evaluation.ndcg(named.select("query_id", "item", "rank"), qrels)
+    return per_query.select(F.md5(F.col("query_id").cast("binary")).alias("query_md5"), *(F.round(c, 6).alias(c) for c in ("dcg", "idcg", "ndcg")))
+
+
+def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = evaluation.golden_report(*_golden(spark, sf_dir))
+    return done.select("queries_evaluated", "judged", *(F.round(c, 6).alias(c) for c in ("mean_ndcg", "mrr", "mean_recall_10", "mean_recall_20")))
+
+
+def engine_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each engine's hits are among the ten addresses that fusion puts first."""
+    hits = tables.raw_results(spark, sf_dir)
+    return evaluation.contribution(hits, responses.fused(hits, TOP)).withColumn("contribution_rate", F.round("contribution_rate", 6))
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +403,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = engines.requests(tables.benchmark_queries(spark, sf_dir), engines.enabled(spark))
-    return asked.select("query_id", "engine", "page", F.md5(F.col("address").cast("binary")).alias("md5"))
+    return asked.select("query_id", "name", "engine", "page", F.md5(F.col("address").cast("binary")).alias("md5"), F.md5(F.coalesce("form", F.lit("")).cast("binary")).alias("form_md5"))
 
 
 def serp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,13 +433,133 @@ def spoken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.answers(spark, sf_dir).select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", F.md5(F.col("said").cast("binary")).alias("md5"), F.length("said").alias("n_chars"))
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the sources of the benchmark's queries, dealt out by their ids."""
+    queries = tables.benchmark_queries(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(queries.agg(F.count("*").alias("of"))), F.lit(True)).withColumn("query_id", F.pmod("doc_id", "of"))
+    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
+    return docs.join(F.broadcast(queries), "query_id").select("query_id", "query", F.col("doc_id").alias("source_id"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), title.alias("title"), "text")
+
+
 def ranked_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that is put together for each part of a source: numbered blocks within the budget."""
-    size = F.lit(10) + F.octet_length("part") + F.octet_length("text")
-    kept = context.within_budget(_ranked(spark, sf_dir), "part", "place", size, 4 * lexicon.CONTEXT_BYTES_LITE)
-    block = F.concat(F.lit("["), F.col("place"), F.lit("] "), "part", F.lit("\n"), "text", F.lit("\n\n"))
-    joined = kept.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "").alias("context"))
-    return joined.select("part", F.octet_length("context").alias("n_bytes"), F.md5(F.col("context").cast("binary")).alias("md5"))
+    """The text that each query's answer is made from, for both modes."""
+    sources = _sources(spark, sf_dir)
+    both = [context.joined(context.ranked(sources, mode)).withColumn("mode", F.lit(mode)) for mode in context.FLOOR]
+    return responses.union(both).select("mode", "query_id", F.octet_length("context").alias("n_bytes"), F.md5(F.col("context").cast("binary")).alias("md5"))
+
+
+def carried_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a long text goes into the next request, and that request."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", context.carried(F.col("text")).alias("kept"), context.continuation(F.lit("q"), F.col("text"), F.lit("c"), F.lit(2), F.lit(3)).alias("asked"))
+    return rows.select("doc_id", F.md5(F.col("kept").cast("binary")).alias("md5"), F.octet_length("kept").alias("n_bytes"), F.md5(F.col("asked").cast("binary")).alias("asked_md5"))
+
+
+def retry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second answer, which every third time is cut short and every fourth time has no citations, against the first."""
+    first = context.processed(F.col("raw"))
+    n = F.col("conv_id") * 3 + F.col("turn")
+    second = F.when(n % 3 == 0, F.substring(first, 1, 60)).when(n % 4 == 0, F.regexp_replace(F.concat(first, F.lit(" more")), r"\[1\]", "")).otherwise(F.concat(F.lit("["), F.substring(first, 1, 40)))
+    return tables.answers(spark, sf_dir).select("conv_id", "turn", context.better(second, first).alias("kept")).select("conv_id", "turn", F.md5(F.col("kept").cast("binary")).alias("md5"))
+
+
+def query_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query is asked as, in general and in the domain that its id gives."""
+    domain = F.element_at(F.array(*map(F.lit, ["tech", "science", "finance", "health", "news", "other"])), (F.col("query_id") % 6 + 1).cast("int"))
+    return tables.queries(spark, sf_dir).select("query_id", *(F.md5(F.array_join(v, "|").cast("binary")).alias(c) for c, v in (("general", intent.variations(F.col("query"))), ("specialised", intent.domain_variations(F.col("query"), domain)))))
+
+
+def query_year_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year that a live search adds; every third query says 'latest', every fifth names a year."""
+    q = F.concat("query", F.when(F.col("query_id") % 3 == 0, " latest").otherwise(""), F.when(F.col("query_id") % 5 == 0, " 2024").otherwise(""))
+    return tables.queries(spark, sf_dir).select("query_id", F.md5(intent.with_year_live(q, YEAR).cast("binary")).alias("md5"))
+
+
+MODES = ("auto", "lite", "fast", "specialized_tech", "research", "reddit")
+
+
+def mode_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many addresses and chunks each mode takes for a query, with and without a wish, and how many a live search does."""
+    q = F.col("query")
+    known = tables.queries(spark, sf_dir).select("query_id", intent.intent(q).alias("kind"), intent.complexity(q).alias("grade"))
+    rows = known.select("query_id", "kind", "grade", F.explode(F.array(*map(F.lit, MODES))).alias("mode"), F.when(F.col("query_id") % 2 == 0, F.lit(40)).cast("int").alias("wish"))
+    return rows.select("query_id", "mode", intent.url_cap(F.col("mode"), F.col("wish"), 420, F.col("kind"), F.col("grade")).alias("url_cap"), intent.chunk_count(F.col("mode"), intent.source_count(F.col("kind"), F.col("grade"))).alias("chunk_count"), intent.live_url_cap(F.col("mode"), F.col("wish"), 420).alias("live_cap"), intent.live_chunk_count(F.col("mode")).alias("live_chunks"))
+
+
+def _query_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's queries with a focus, and hits for all but each seventh: pages by three engines, every fifth of them on a host that is passed over."""
+    focus = F.when(F.col("query_id") % 4 == 0, "reddit").when(F.col("query_id") % 4 == 1, "lite")
+    queries = tables.benchmark_queries(spark, sf_dir).withColumn("focus", focus)
+    one = queries.agg(F.count("*").alias("of"))
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://www.reddit.com/x.com/"), "page_id")).when(F.col("page_id") % 5 == 1, F.regexp_replace("url", "^https?:", "HTTP:")).otherwise(F.col("url"))
+    batches = [tables.raw_results(spark, sf_dir).where(F.col("engine") == e).select("page_id", url.alias("url"), "engine", "rank_position") for e in ("google", "bing", "wiby")]
+    hits = responses.union(batches).join(F.broadcast(one), F.lit(True)).withColumn("query_id", F.pmod("page_id", "of")).where("query_id % 7 <> 6").drop("of")
+    return queries, hits
+
+
+def _arrival() -> list[Column]:
+    return [F.col("engine"), F.col("rank_position"), F.col("page_id")]
+
+
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer row of each query: counters, engines and hits, or an error."""
+    queries, hits = _query_hits(spark, sf_dir)
+    done = responses.answers(queries, hits, _arrival(), 20)
+    listed = F.array_join(F.transform("results", lambda r: F.concat_ws(" ", r["seq"].cast("string"), r["engine"], r["url"])), "|")
+    return done.select("query_id", "status", "total_raw", "deduplicated", F.array_join("engines", ",").alias("engines"), F.md5(F.coalesce(listed, F.lit("")).cast("binary")).alias("results_md5"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def fetch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses that are fetched for each query, by its focus, at most 15."""
+    queries, hits = _query_hits(spark, sf_dir)
+    kept = responses.distinct_addresses(hits.join(F.broadcast(queries.select("query_id", "focus")), "query_id"), _arrival(), 15, F.col("focus"))
+    return kept.select("query_id", "seq", "norm_url", "engine")
+
+
+def fetch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tries of which pages are read, by status, kind of content and what came before."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("raw"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    n = F.col("page_id") + F.col("attempt")
+    status = F.when(n % 5 == 0, 403).when(n % 5 == 1, 503).otherwise(200)
+    kind = F.when(n % 7 == 0, F.lit(None)).when(n % 7 == 1, "application/pdf").when(n % 7 == 2, "application/xhtml+xml").otherwise("text/html; charset=utf-8")
+    tries = pages.select("page_id", F.concat_ws("#", "raw", "page_id").alias("url"), "attempt", status.alias("status"), kind.alias("content_type"))
+    return responses.fetched(tries).select("page_id", "attempt")
+
+
+def live_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live search keeps of each document by the focus that its id gives."""
+    focus = F.element_at(F.array(*map(F.lit, ["lite", "reddit", "research"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    kept = table(spark, sf_dir, "documents").select("doc_id", responses.live_text(F.col("text"), focus).alias("kept")).where("kept is not null")
+    return kept.select("doc_id", F.octet_length("kept").alias("n_bytes"), F.md5(F.col("kept").cast("binary")).alias("md5"))
+
+
+def largest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of a query that weren't ranked, the largest first."""
+    rows = _sources(spark, sf_dir).withColumn("seq", F.col("source_id"))
+    return responses.by_size(rows, F.octet_length("text")).select("query_id", "source_id", "place")
+
+
+def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live search tells for each query, stage by stage."""
+    queries, hits = _query_hits(spark, sf_dir)
+    read = hits.where("engine = 'google'").join(table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("size")), "page_id").select("query_id", (F.col("size") % 200).alias("n_bytes"))
+    told = live.events(queries, hits, read, _arrival(), YEAR)
+    return told.select("query_id", "seq", "kind", F.coalesce("n", F.lit(-1)).alias("n"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
+
+
+def proxy_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short pool from all three kinds of setting, dealt to pages in turn."""
+    lines = spark.createDataFrame([("list", 0, " http://a:1, http://b:2 ,,http://a:1"), ("file", 0, "# comment"), ("file", 1, " http://c:3 "), ("file", 2, "http://b:2"), ("ports", 0, "9050, x1,9051")], "kind string, ord int, line string")
+    asked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"))
+    return engines.dealt(asked, engines.proxies(lines)).select(F.col("seq").alias("page_id"), "proxy")
+
+
+def model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of models that services send, in both shapes, made of pages."""
+    n = F.col("page_id").cast("string")
+    first = F.concat(F.lit('{"data":[{"id":"models/z'), n, F.lit('"},{"id":" a'), n, F.lit('"},{"id":""}]}'))
+    second = F.concat(F.lit('{"models":[{"name":"models/g'), n, F.lit('","supportedGenerationMethods":["generateContent"]},{"name":"models/e","supportedGenerationMethods":["embedContent"]},{"name":"b'), n, F.lit('"}]}'))
+    rows = table(spark, sf_dir, "pages").select("page_id", engines.models(F.when(F.col("page_id") % 2 == 0, first).otherwise(second)).alias("m"))
+    return rows.select("page_id", F.array_join("m", ",").alias("models"))
 
 
 def count_or_timeout_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,8 +573,10 @@ def iterative_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, tokenize_counts, doc_freq,
-    corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, sentence_chunks, chunk_overlap, text_quality, clean_dedupe, jaccard_pairs, title_extract, article_extract, serp_parse, context_relevance,
-    research_batches, lost_in_middle, context_budget, answer_post_process, citation_overlap, ndcg, mrr, recall_at_k, eval_report, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
-    deadline_filter, event_windows, engine_requests, serp_dedup, paragraph_dedup, json_engines, spoken_answers, ranked_context, count_or_timeout_batches, iterative_reports,
+    rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, query_variations, query_year_live,
+    mode_caps, tokenize_counts, doc_freq, corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, passage_scores, passage_ranking, silent_queries, sentence_chunks, chunk_overlap, text_quality, clean_dedupe,
+    jaccard_pairs, title_extract, article_extract, video_pages, serp_parse, engine_serps, context_relevance, research_batches, lost_in_middle, context_budget, ranked_context, carried_report, answer_post_process,
+    retry_choice, citation_overlap, ndcg, mrr, recall_at_k, eval_report, golden_eval, golden_report, engine_contribution, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
+    deadline_filter, event_windows, engine_requests, serp_dedup, search_answers, fetch_list, fetch_rules, live_texts, largest_results, live_events, proxy_turns, model_list, paragraph_dedup, json_engines,
+    spoken_answers, count_or_timeout_batches, iterative_reports,
 )

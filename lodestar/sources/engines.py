@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Names of the engines that are asked if none are given.
 DEFAULT = """wikipedia,duckduckgo,duckduckgo_html,duckduckgo_news,duckduckgo_images,duckduckgo_videos,brave,brave_news,yahoo,yahoo_news,bing,bing_news,bing_images,bing_videos,bing_us,bing_uk,bing_in,bing_de,bing_fr,
 bing_es,bing_it,bing_jp,bing_ca,bing_au,bing_nl,bing_se,bing_no,bing_fi,google,google_news,google_scholar,google_images,google_videos,google_us,google_uk,google_in,google_de,google_fr,google_es,google_it,google_br,
@@ -42,14 +44,41 @@ TEMPLATES = [
 ]
 
 
+# Other names of engines that have result pages of their own.
+ALIASES = {
+    "duckduckgo": ["duckduckgo", "duckduckgo_html", "duckduckgo_news", "duckduckgo_images", "duckduckgo_videos"],
+    "brave": ["brave", "brave_news"],
+    "yahoo": ["yahoo", "yahoo_news"],
+}
+# Fixed values: (address, form that is sent, pages, first offset, offset from page to page) of these engines.
+OWN = {
+    "wikipedia": ("https://en.wikipedia.org/w/api.php?action=opensearch&search={query}&limit=20&namespace=0&format=json", None, 1, 0, 0),
+    "wiby": ("https://wiby.me/json/?q={query}", None, 1, 0, 0),
+    "duckduckgo": ("https://lite.duckduckgo.com/lite/", "q={query}&s={offset}&dc={next}", 2, 0, 20),
+    "brave": ("https://search.brave.com/search?q={query}&source=web&offset={offset}", None, 3, 0, 10),
+    "yahoo": ("https://search.yahoo.com/search?p={query}&n=20&b={offset}", None, 5, 1, 10),
+    "qwant": ("https://www.qwant.com/?q={query}&t=web&offset={offset}", None, 3, 0, 10),
+    "mojeek": ("https://www.mojeek.com/search?q={query}&s={offset}", None, 5, 1, 10),
+    "startpage": ("https://www.startpage.com/sp/search", "query={query}&cat=web&language=english&page={page}", 5, 0, 10),
+}
+
+
 def enabled(spark: SparkSession, names: str = DEFAULT) -> DataFrame:
     """(ord, engine) of a list with commas: trimmed, in lower case, without empty ones."""
     one = spark.range(1).select(F.posexplode(F.filter(F.transform(F.split(F.lit(names), ","), lambda n: F.lower(F.regexp_replace(n, r"\s", ""))), lambda n: n != "")).alias("ord", "engine"))
     return one
 
 
+def implementation(name: Column) -> Column:
+    """The engine that answers under a name."""
+    out = name
+    for engine, names in ALIASES.items():
+        out = F.when(name.isin(*names), engine).otherwise(out)
+    return out
+
+
 def template(engine: Column) -> tuple[Column, Column]:
-    """Address and number of result pages of an engine; null if it isn't known."""
+    """Address and number of result pages of an engine that is read in the general way; null if it isn't known."""
     host = F.lit("www.google.com")
     for end, name in GOOGLE_HOSTS.items():
         host = F.when(engine.endswith(end), name).otherwise(host)
@@ -57,17 +86,37 @@ def template(engine: Column) -> tuple[Column, Column]:
     for begin, part, address, pages in reversed(TEMPLATES):
         wanted = (engine == begin) if begin == "info" else engine.startswith(begin) & engine.contains(part)
         found = F.when(wanted, F.struct(F.lit(address).alias("address"), F.lit(pages).alias("pages"))).otherwise(found)
-    return F.replace(found["address"], F.lit("{host}"), host), found["pages"]
+    once = let(found, lambda f: F.struct(F.replace(f["address"], F.lit("{host}"), host).alias("address"), f["pages"].alias("pages")))
+    return once["address"], once["pages"]
+
+
+def asked_at(engine: Column) -> Column:
+    """Struct (address, form, pages, first, step) of an engine, its own or the general one; null fields if it isn't known."""
+    address, pages = template(engine)
+    shape = "struct<address:string,form:string,pages:int,first:int,step:int>"
+    out = F.struct(address.alias("address"), F.lit(None).cast("string").alias("form"), pages.alias("pages"), F.lit(0).alias("first"), F.lit(10).alias("step")).cast(shape)
+    for name, values in OWN.items():
+        out = F.when(engine == name, F.struct(*map(F.lit, values)).cast(shape)).otherwise(out)
+    return out
 
 
 def requests(queries: DataFrame, engines: DataFrame) -> DataFrame:
-    """(query_id, engine, page, address): a row for each result page of each known engine. ``engines`` is a short list."""
-    address, pages = template(F.col("engine"))
-    known = engines.select("engine", address.alias("template"), pages.alias("pages")).where("template is not null")
-    asked = queries.join(F.broadcast(known), F.lit(True)).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("pages"))))
+    """(query_id, name, engine, page, address, form): a row for each result page of each known engine. ``engines`` is a short list.
+
+    Names that stand for one engine ask it once each. A form is what is sent; the first page of a form that has an offset is sent without it.
+    """
+    known = engines.select(F.col("engine").alias("name"), implementation(F.col("engine")).alias("engine")).select("name", "engine", let(F.col("engine"), asked_at).alias("at")).where("at.address is not null")
+    asked = queries.join(F.broadcast(known), F.lit(True)).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("at.pages"))))
     text = F.replace(F.url_encode(F.trim("query")), F.lit("+"), F.lit("%20"))
-    filled = F.replace(F.replace(F.replace(F.col("template"), F.lit("{query}"), text), F.lit("{offset}"), ((F.col("page") - 1) * 10).cast("string")), F.lit("{page}"), F.col("page").cast("string"))
-    return asked.select("query_id", "engine", "page", filled.alias("address"))
+    offset = F.col("at.first") + (F.col("page") - 1) * F.col("at.step")
+
+    def filled(shape: Column) -> Column:
+        for mark, value in (("{query}", text), ("{offset}", offset.cast("string")), ("{next}", (offset + 1).cast("string")), ("{page}", F.col("page").cast("string"))):
+            shape = F.replace(shape, F.lit(mark), value)
+        return shape
+
+    form = F.when((F.col("page") == 1) & F.col("at.form").contains("{offset}"), F.regexp_replace("at.form", r"&s=.*$", "")).otherwise(F.col("at.form"))
+    return asked.select("query_id", "name", "engine", "page", filled(F.col("at.address")).alias("address"), filled(form).alias("form"))
 
 
 def opensearch(answer: Column) -> Column:
@@ -97,8 +146,13 @@ GRADES = {"NotRelevant": 0, "Marginal": 1, "Relevant": 2, "Perfect": 3}
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """(query, expected_intent, expected_mode, url, grade) of a file of judged queries; a query without judgments has none."""
     rows = spark.read.schema(GOLDEN).json(path, multiLine=True).select(F.explode("queries").alias("q")).select("q.*")
+    return judgments(rows).select("query", "expected_intent", "expected_mode", "url", "grade")
+
+
+def judgments(rows: DataFrame) -> DataFrame:
+    """A row (url, grade) for each of the relevance judgments, a map from address to the grade's name."""
     grade = F.create_map(*(F.lit(x) for kv in GRADES.items() for x in kv))
-    return rows.select("query", "expected_intent", "expected_mode", F.explode("relevance_judgments").alias("url", "name")).select("query", "expected_intent", "expected_mode", "url", F.try_element_at(grade, F.col("name")).alias("grade"))
+    return rows.select("*", F.explode("relevance_judgments").alias("url", "name")).withColumn("grade", F.try_element_at(grade, F.col("name")))
 
 
 HISTORY = "id string, query string, focus_mode string, answer string, sources_count bigint, sources_found bigint, elapsed_secs double, timestamp string"
@@ -109,11 +163,23 @@ def append_history(entries: DataFrame, path: str) -> None:
 
 
 def history(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
-    """Past searches, the newest first; lines that can't be read are left out."""
+    """Past searches, the newest first; lines that can't be read are left out, and no folder is an empty history."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], HISTORY)
     rows = spark.read.schema(HISTORY).json(path, mode="DROPMALFORMED").orderBy(F.desc("timestamp"), F.desc("id"))
     return rows if newest is None else rows.limit(newest)
 
 
+def history_count(spark: SparkSession, path: str) -> int:
+    return history(spark, path).count()
+
+
+def clear_history(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def server_events(lines: DataFrame) -> DataFrame:
     """(stream, ord, data) of lines (stream, ord, line) of a server-sent stream, up to [DONE]."""
     said = lines.withColumn("data", F.trim(F.regexp_extract(F.regexp_replace("line", "\r$", ""), "^data:(.*)$", 1))).where(F.col("line").startswith("data:"))
@@ -143,3 +209,31 @@ def video_description(html: Column) -> Column:
     for mark, instead in (("\\n", " "), ('\\"', '"'), ("\\u0026", "&"), ("\\/", "/")):
         raw = F.replace(raw, F.lit(mark), F.lit(instead))
     return F.nullif(F.trim(raw), F.lit(""))
+
+
+def proxies(lines: DataFrame) -> DataFrame:
+    """(n, proxy) from (kind, ord, line): a 'list' with commas, the lines of a 'file' without comments, then 'ports' of this machine; each once, where it came first."""
+    parts = F.transform(F.split("line", ","), lambda p: F.trim(p))
+    local = F.transform(F.filter(parts, lambda p: p.rlike("^[0-9]+$")), lambda p: F.concat(F.lit("socks5h://127.0.0.1:"), p))
+    each = F.when(F.col("kind") == "list", parts).when(F.col("kind") == "file", F.filter(F.array(F.trim("line")), lambda p: ~p.startswith("#"))).when(F.col("kind") == "ports", local)
+    order = F.when(F.col("kind") == "list", 0).when(F.col("kind") == "file", 1).otherwise(2)
+    rows = lines.select(order.alias("k"), "ord", F.posexplode(F.filter(each, lambda p: p != "")).alias("i", "proxy"))
+    first = rows.groupBy("proxy").agg(F.min(F.struct("k", "ord", "i")).alias("at"))
+    return first.select((F.row_number().over(Window.orderBy("at")) - 1).alias("n"), "proxy")  # a short list of settings
+
+
+def dealt(requests: DataFrame, pool: DataFrame, seq: str = "seq") -> DataFrame:
+    """Requests, numbered from 0 in ``seq``, each with the proxy whose turn it is; null without any."""
+    size = pool.agg(F.count("*").alias("of"))
+    turns = requests.join(F.broadcast(size), F.lit(True)).withColumn("n", F.when(F.col("of") > 0, F.pmod(F.col(seq), F.col("of"))).cast("int"))
+    return turns.join(F.broadcast(pool), "n", "left").drop("n", "of")
+
+
+def models(answer: Column) -> Column:
+    """Sorted names in a service's list of models: ids of 'data', or if there are none names of 'models' that can generate, without their folder."""
+    ids = F.from_json(F.get_json_object(answer, "$.data"), "array<struct<id:string>>")
+    named = F.from_json(F.get_json_object(answer, "$.models"), "array<struct<name:string,supportedGenerationMethods:array<string>>>")
+    able = F.filter(named, lambda m: m["supportedGenerationMethods"].isNull() | F.array_contains(m["supportedGenerationMethods"], "generateContent"))
+    clean = lambda names: F.filter(F.transform(names, lambda m: F.regexp_replace(F.trim(m), "^models/", "")), lambda m: F.coalesce(m, F.lit("")) != "")
+    first = clean(F.transform(ids, lambda m: m["id"]))
+    return F.array_sort(F.when(F.size(first) > 0, first).otherwise(F.coalesce(clean(F.transform(able, lambda m: m["name"])), F.array().cast("array<string>"))))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
-from urllib.parse import parse_qs, unquote, urlsplit
+from urllib.parse import parse_qsl, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import BOILERPLATE, CONTROL
 
@@ -30,8 +32,9 @@ BODY_CLASSES = """post-content entry-content article-body story-body article__bo
 mw-parser-output field-body node__content blog-post-content single-post-content post-text articleBody caas-body article__content story-content post__content""".split()
 BODY_IDS = "article-body content main-content post-content story-body mw-content-text".split()
 KINDS = "Article NewsArticle BlogPosting TechArticle ScholarlyArticle Report WebPage CreativeWork".split()
-FOR = "article content main body text post entry story page prose markdown document paper passage reading hentry blog storycontent".split()
-AGAINST = """comment footer sidebar nav menu header breadcrumb widget ad- advert social share related popup modal cookie banner promo newsletter signup subscribe pagination pager toolbar masthead skip-link
+FOR = """article content main body text post entry story page prose markdown document paper passage reading hentry blog blog-post single-post article-content article-text article-body ArticleBody
+post-content post-text postBody storycontent""".split()
+AGAINST = """comment footer sidebar nav menu header breadcrumb widget ad- advert social share related popup modal cookie banner promo newsletter signup subscribe pagination pager toolbar masthead skip-link sidebar
 complementary supplementary sponsor outbrain taboola recirculation trending more-stories recommendations you-may-also suggested feedback rating login register print email-article""".split()
 _FOR, _AGAINST = (re.compile("|".join(map(re.escape, words)), re.I) for words in (FOR, AGAINST))
 _BOILERPLATE, _CONTROL = re.compile(BOILERPLATE), re.compile(CONTROL)
@@ -43,6 +46,7 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     inside: list[Node | str] = field(default_factory=list)
+    parent: Node | None = None
 
     def walk(self) -> Iterator[Node]:
         """This element and all below it, in the document's order."""
@@ -81,7 +85,7 @@ class _Tree(HTMLParser):
                     break
                 if self.open[k].tag in SCOPES and self.open[k].tag != closed:
                     break
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, parent=self.open[-1])
         self.open[-1].inside.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -108,16 +112,67 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def _unseen(node: Node) -> bool:
+    return node.tag in UNSEEN or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(node.attrs.get("style", "")))
+
+
 def visible(node: Node) -> str:
-    """What a reader sees: pieces joined by spaces, blocks on lines of their own."""
-    if node.tag in UNSEEN or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or _HIDDEN.search(node.attrs.get("style", "")):
+    """What a reader sees: pieces joined by spaces, blocks on lines of their own. Elements may be nested at any depth."""
+    if _unseen(node):
         return ""
-    parts = []
-    for x in node.inside:
-        own = x.strip() if isinstance(x, str) else visible(x)
-        if own:
-            parts.append(f"\n{own}\n" if isinstance(x, Node) and x.tag in BLOCKS else own)
-    return " ".join(parts)
+    path: list[tuple[Node, Iterator[Node | str], list[str]]] = [(node, iter(node.inside), [])]
+    while True:
+        at, rest, parts = path[-1]
+        for x in rest:
+            if isinstance(x, str):
+                if own := x.strip():
+                    parts.append(own)
+            elif not _unseen(x):
+                path.append((x, iter(x.inside), []))
+                break
+        else:
+            path.pop()
+            own = " ".join(parts)
+            if not path:
+                return own
+            if own:
+                path[-1][2].append(f"\n{own}\n" if at.tag in BLOCKS else own)
+
+
+@dataclass
+class Sums:
+    """Of an element and all below it: bytes that are visible, of text, of markup, and of links' text; numbers of paragraphs and rich elements below."""
+
+    seen: int = 0
+    text: int = 0
+    markup: int = 0
+    links: int = 0
+    paragraphs: int = 0
+    rich: int = 0
+
+
+def sums(root: Node) -> dict[int, Sums]:
+    """Sums of each element, by its id(): children first, so each element is added up once."""
+    found: dict[int, Sums] = {}
+    for node in reversed([*root.walk()]):
+        own = Sums(markup=2 * len(node.tag) + 5 + sum(len(k) + _bytes(v) + 4 for k, v in node.attrs.items()))
+        pieces = []
+        for x in node.inside:
+            if isinstance(x, str):
+                own.text += _bytes(x)
+                pieces.append(_bytes(x.strip()))
+                continue
+            below = found[id(x)]
+            own.text += below.text
+            own.markup += below.markup
+            own.links += below.links + (below.text if x.tag == "a" else 0)
+            own.paragraphs += below.paragraphs + (x.tag == "p")
+            own.rich += below.rich + (x.tag in RICH)
+            pieces.append(below.seen + 2 if below.seen and x.tag in BLOCKS else below.seen)
+        if not _unseen(node):
+            own.seen = sum(pieces) + max(0, sum(map(bool, pieces)) - 1)
+        found[id(node)] = own
+    return found
 
 
 def clean(text: str) -> str:
@@ -144,17 +199,14 @@ def quality(text: str) -> int:
     return score - score // 3 if own and sum(_bytes(x) < 15 for x in own) / len(own) > 0.6 else score
 
 
-def score(node: Node) -> float:
+def score(node: Node, own: Sums) -> float:
     """How much an element looks like the article: paragraphs, names, density, length, few links, rich parts."""
-    below = node.find(lambda n: True)
     names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    text = _bytes(node.text())
-    markup = text + sum(2 * len(n.tag) + 5 + sum(len(k) + _bytes(v) + 4 for k, v in n.attrs.items()) for n in [node, *below])
-    links = sum(_bytes(n.text()) for n in below if n.tag == "a") / text if text else 0.0
-    total = 3.0 * sum(n.tag == "p" for n in below) + 25.0 * bool(_FOR.search(names)) - 25.0 * bool(_AGAINST.search(names)) + 50.0 * text / max(1, markup)
-    total += sum(bonus for least, bonus in ((200, 5), (1000, 10), (3000, 15)) if text > least)
+    links = own.links / own.text if own.text else 0.0
+    total = 3.0 * own.paragraphs + 25.0 * bool(_FOR.search(names)) - 25.0 * bool(_AGAINST.search(names)) + 50.0 * own.text / max(1, own.text + own.markup)
+    total += sum(bonus for least, bonus in ((200, 5), (1000, 10), (3000, 15)) if own.text > least)
     total -= 40 if links > 0.5 else 20 if links > 0.3 else 8 if links > 0.15 else 0
-    return total + 3.0 * sum(n.tag in RICH for n in below)
+    return total + 3.0 * own.rich
 
 
 def _best(texts: list[str]) -> str:
@@ -215,7 +267,8 @@ def extract(html: str, live: bool = False) -> tuple[str, str, str]:
     root = parse(html)
 
     def scored() -> str:
-        boxes = [(score(n), n) for n in root.find(lambda n: n.tag in CONTAINERS) if _bytes(visible(n)) > 100]
+        known = sums(root)
+        boxes = [(score(n, known[id(n)]), n) for n in root.find(lambda n: n.tag in CONTAINERS) if known[id(n)].seen > 100]
         return visible(max(boxes, key=lambda b: b[0])[1]) if boxes else ""
 
     def elements() -> str:
@@ -240,49 +293,232 @@ def extract(html: str, live: bool = False) -> tuple[str, str, str]:
     return name, clean(visible(body[0] if body else root)), "body"
 
 
-def articles(pages: DataFrame, live: bool = False, most_bytes: int = 1_500_000) -> DataFrame:
-    """(id, title, text, strategy, n_bytes) of each page; a null page gives empty strings. Pages are cut at ``most_bytes``."""
+def video(html: str, live: bool = False) -> tuple[str, str, str] | None:
+    """(title, text, strategy) of a video's page: the description in its JSON, or that in its head if longer than 30 bytes; a live search looks there first."""
+    root = parse(html)
+    head = _meta(root, "name", "description")
+    found = re.search(r'"shortDescription":"((?:\\.|[^"\\])*)"', html)
+    own = found[1] if found else ""
+    for mark, instead in (("\\n", " "), ('\\"', '"'), ("\\u0026", "&"), ("\\/", "/")):
+        own = own.replace(mark, instead)
+    ways = [("video_json", own.strip(), live or bool(own.strip())), ("video_meta", head if _bytes(head) > 30 else "", live)]
+    for way, text, cut in reversed(ways) if live else ways:
+        if text:
+            return title(root, cut), text, way
+    return None
+
+
+#: Fixed value: a video's page.
+VIDEO = "youtube.com/watch"
+
+
+def articles(pages: DataFrame, live: bool = False, most_bytes: int = 1_500_000, focus: str | None = None) -> DataFrame:
+    """(id, title, text, strategy, n_bytes) of each page (id, html, url if known); a null page gives empty strings.
+
+    Pages are cut at ``most_bytes``, as what is fetched is. Where url or ``focus`` tell that a page shows a video, its description is the text.
+    """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [extract((h or "").encode()[:most_bytes].decode(errors="ignore"), live) for h in batch.column(1).to_pylist()]
+            rows = []
+            for h, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                page = (h or "").encode()[:most_bytes].decode(errors="ignore")
+                shown = video(page, live) if focus == "youtube" or VIDEO in (url or "") else None
+                rows.append(shown or extract(page, live))
             columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([_bytes(r[1]) for r in rows], pa.int64())], names=["id", "title", "text", "strategy", "n_bytes"])
 
-    return pages.selectExpr("cast(id as bigint) id", "html").mapInArrow(extracted, "id bigint, title string, text string, strategy string, n_bytes bigint")
+    url = F.col("url") if "url" in pages.columns else F.lit(None)
+    return pages.select(F.col("id").cast("bigint"), "html", url.cast("string").alias("url")).mapInArrow(extracted, "id bigint, title string, text string, strategy string, n_bytes bigint")
+
+
+_PART = re.compile(r"^([\w-]+)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:\*='([^']*)')?\]")
+
+
+@lru_cache(maxsize=256)
+def _selector(css: str) -> list[list[Callable[[Node], bool]]]:
+    """Alternatives of a list with commas; each a path of tests, the last one for the element itself."""
+
+    def test(compound: str) -> Callable[[Node], bool]:
+        parts = [m.groups() for m in _PART.finditer(compound)]
+
+        def holds(n: Node) -> bool:
+            for tag, name, own_id, attr, piece in parts:
+                if tag and n.tag != tag or name and name not in n.attrs.get("class", "").split() or own_id and n.attrs.get("id") != own_id:
+                    return False
+                if attr and (attr not in n.attrs or piece is not None and piece not in n.attrs[attr]):
+                    return False
+            return True
 
+        return holds
 
-def target(href: str, base: str) -> str:
-    """Where a result link leads, '' if nowhere."""
-    for mark in ("uddg", "q", "url"):
-        if f"{mark}=" in href and (mark == "uddg" or href.startswith("/url?")):
-            found = parse_qs(urlsplit(href).query).get(mark, [""])[0]
-            if found:
-                return found
-    if m := re.search(r"/RU=([^/]+)/", href):
-        return unquote(m[1])
+    return [[test(c) for c in path.split()] for path in css.split(",")]
+
+
+def _matches(node: Node, path: list[Callable[[Node], bool]]) -> bool:
+    if not path[-1](node):
+        return False
+    left, above = len(path) - 2, node.parent
+    while left >= 0 and above is not None:
+        if path[left](above):
+            left -= 1
+        above = above.parent
+    return left < 0
+
+
+def select(root: Node, css: str) -> list[Node]:
+    """Elements below ``root``, in order, that match tags, .classes, #ids and [attributes], with spaces for 'anywhere below'."""
+    ways = _selector(css)
+    return [n for n in root.walk() if n is not root and any(_matches(n, way) for way in ways)]
+
+
+def target(href: str) -> str:
+    """Where a result link leads, '' if nowhere: itself, the first q= or url= of a /url? link, or uddg=."""
+    if href.startswith(("http://", "https://")):
+        return href
     if href.startswith("//"):
         return f"https:{href}"
-    return href if href.startswith(("http://", "https://")) else (base + href if href.startswith("/") else "")
+    asked = parse_qsl(urlsplit(href).query, keep_blank_values=True)
+    if href.startswith("/url?"):
+        for name, value in asked:
+            if name in ("q", "url"):
+                return value
+    return next((unquote(value) for name, value in asked if name == "uddg"), "")
+
+
+def yahoo_target(href: str) -> str:
+    """What stands behind RU= up to the next slash, or behind the last /*; an address elsewhere is itself."""
+    if "RU=" in href:
+        return unquote(href.split("RU=", 1)[1].split("/", 1)[0])
+    if "/*http" in href:
+        return "http" + href.rsplit("/*http", 1)[1]
+    return href if href.startswith(("http://", "https://")) and "yahoo.com" not in href else ""
+
+
+Hit = tuple[str, str, str]
+#: Where the general reader looks for links, in this order, until it has LINKS_SEEN of them, and the most hits of a page.
+PLACES = ("#search a[href]", "article a[href]", "main a[href]", "h2 a[href]", "h3 a[href]", "li a[href]")
+LINKS_SEEN, HITS = 120, 40
+
+
+def result_links(html: str, own: str, most: int = HITS) -> list[Hit]:
+    """(url, title, snippet) of any engine's result page: links to other hosts than ``own``, each address once."""
+    root, links = parse(html), []
+    for place in PLACES:
+        links += select(root, place)
+        if len(links) > LINKS_SEEN:
+            break
+    found, known = [], set()
+    for n in links:
+        url = target(n.attrs["href"])
+        if len(found) == most or not url.startswith(("http://", "https://")) or (own and own in url) or url in known:
+            continue
+        known.add(url)
+        if _bytes(title := n.text().strip()) >= 3:
+            found.append((url, title, n.attrs.get("aria-label", "")))
+    return found
+
+
+def _outer(root: Node, css: str, begin: str, without: Sequence[str], least: int, once: bool) -> list[Hit]:
+    """Links that lead out of an engine's own pages, with a title of ``least`` bytes."""
+    found, known = [], set()
+    for n in select(root, css):
+        url, title = n.attrs.get("href", ""), n.text().strip()
+        if url.startswith(begin) and not any(w in url for w in without) and _bytes(title) >= least and not (once and url in known):
+            known.add(url)
+            found.append((url, title, ""))
+    return found
+
+
+def _boxes(root: Node, box: str, link: str, text: str, led: Callable[[str], str]) -> list[Hit]:
+    """A hit for each box: its first link, by where it leads, and its first text."""
+    found = []
+    for n in select(root, box):
+        links, texts = select(n, link), select(n, text)
+        url = led(links[0].attrs["href"]) if links and "href" in links[0].attrs else ""
+        title = links[0].text().strip() if links else ""
+        if url and title:
+            found.append((url, title, texts[0].text().strip() if texts else ""))
+    return found
+
+
+def _rows(root: Node) -> list[Hit]:
+    """Hits of a table in which a row with a link is followed by one with its snippet."""
+    found, title, url = [], "", ""
+    for row in select(root, "tr"):
+        links = select(row, "a.result-snippet")
+        if links:
+            if not (href := links[0].attrs.get("href", "/")).startswith("/"):
+                url, title = href, links[0].text().strip()
+        elif url and title and (cells := select(row, "td.result-snippet")):
+            if text := cells[0].text().strip():
+                found.append((url, title, text))
+            title = url = ""
+    return found
+
+
+def _plain(without: str = "") -> Callable[[str], str]:
+    return lambda href: href if href.startswith("http") and not (without and without in href) else ""
+
+
+# Where engines' own result pages have hits.
+READERS: dict[str, Callable[[Node], list[Hit]]] = {
+    "brave": lambda r: _boxes(r, "#results .snippet", ".snippet-title a, .result-header a, .heading-serpresult a", ".snippet-description, .snippet-content, .result-snippet", _plain()) or _outer(r, "a[href]", "https://", ["brave.com"], 6, False),
+    "yahoo": lambda r: _boxes(r, ".algo-sr, .dd.algo, li.ov-a", "h3 a, .compTitle a, .title a", ".compText p, .fc-falcon, .lh-l", yahoo_target),
+    "mojeek": lambda r: _boxes(r, "ul.results-standard li", "a.title, h2 a", "p.s", _plain("mojeek.com")),
+    "qwant": lambda r: _outer(r, "a[href]", "https://", ["qwant.com", "google.com", "bing.com"], 5, True),
+    "startpage": lambda r: _outer(r, "a.result-link, a[class*='result-link']", "http", ["startpage.com"], 5, False) or _outer(r, "a[href]", "https://", ["startpage.com", "google.com", "bing.com"], 11, True),
+    "duckduckgo": _rows,
+}
+
+
+def hits(html: str, engine: str, own: str) -> list[Hit]:
+    return READERS[engine](parse(html)) if engine in READERS else result_links(html, own)
+
+
+def links(pages: DataFrame, own: str = "") -> DataFrame:
+    """(id, engine, page, rank, url, title, snippet) of result pages (id, engine, page, html), and a row with rank null of each page without a hit.
+
+    Engines without a reader of their own are read in the general way, without links to the host ``own``, or to that in a column of this name.
+    A null page has no hit.
+    """
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, engine, page, body, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = hits(body or "", engine, host or "")
+                rows += [(i, engine, page, k, *h) for k, h in enumerate(found, 1)] or [(i, engine, page, None, None, None, None)]
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=["id", "engine", "page", "rank", "url", "title", "snippet"])
 
-def result_links(html: str, base: str, own: str, most: int = 40) -> list[tuple[str, str, str]]:
-    """(url, title, snippet) of a result page: links to other hosts than ``own``, each address once, at most ``most``."""
-    found: dict[str, tuple[str, str, str]] = {}
-    for n in parse(html).find(lambda n: n.tag == "a" and "href" in n.attrs):
-        url, name = target(n.attrs["href"], base), " ".join(n.text().split())
-        if url.startswith(("http://", "https://")) and own not in url and _bytes(name) >= 3 and url not in found and len(found) < most:
-            found[url] = (url, name, n.attrs.get("aria-label", ""))
-    return list(found.values())
+    host = F.col("own") if "own" in pages.columns else F.lit(own)
+    rows = pages.select(F.col("id").cast("bigint"), "engine", F.col("page").cast("int"), "html", host.alias("own"))
+    return rows.mapInArrow(listed, "id bigint, engine string, page int, rank int, url string, title string, snippet string")
 
 
-def links(pages: DataFrame, base: str, own: str) -> DataFrame:
-    """(id, rank, url, title, snippet) of each result page; relative links belong to ``base``, those to the host ``own`` are left out."""
+#: Engines that go on after an empty page, always or after the first one.
+GO_ON_FIRST = ("qwant", "startpage")
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def merged(found: DataFrame) -> DataFrame:
+    """The hits of links() without those behind an engine's first empty page, each address of an engine once, where it came first.
+
+    Engines that are read in the general way go on after empty pages; some others do after an empty first page. Ranks stay those of the page.
+    """
+    stops = F.col("rank").isNull() & F.col("engine").isin(*READERS) & ~(F.col("engine").isin(*GO_ON_FIRST) & (F.col("page") == 1))
+    end = found.where(stops).groupBy("id", "engine").agg(F.min("page").alias("end"))
+    kept = found.where("rank is not null").join(end, ["id", "engine"], "left").where("end is null or page < end")
+    first = kept.groupBy("id", "engine", "url").agg(F.min_by(F.struct("page", "rank", "title", "snippet"), F.struct("page", "rank")).alias("x"))
+    return first.select("id", "engine", "x.page", "x.rank", "url", "x.title", "x.snippet")
+
+
+def titles(pages: DataFrame) -> DataFrame:
+    """(id, title, live_title) of each page (id, html); the live one is cut at ' - ' and ' | '. A null page has empty ones."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *r) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, r in enumerate(result_links(h or "", base, own), 1)]
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["id", "rank", "url", "title", "snippet"])
+            roots = [parse(h or "") for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([title(r, cut) for r in roots], pa.string()) for cut in (False, True))], names=["id", "title", "live_title"])
 
-    return pages.selectExpr("cast(id as bigint) id", "html").mapInArrow(listed, "id bigint, rank int, url string, title string, snippet string")
+    return pages.selectExpr("cast(id as bigint) id", "html").mapInArrow(named, "id bigint, title string, live_title string")

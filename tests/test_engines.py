@@ -17,6 +17,27 @@ def test_templates(spark):
     assert [r["address"] for r in asked] == [f"https://www.google.de/search?q=a%20b%26c&start={k}" for k in (0, 10, 20)]
 
 
+def test_own_addresses(spark):
+    rows = spark.createDataFrame([("yahoo_news",), ("duckduckgo_html",), ("startpage",), ("wikipedia",), ("unknown",)], "engine string")
+    asked = engines.requests(spark.createDataFrame([(1, "a b")], "query_id int, query string"), rows).collect()
+    by = {}
+    for r in sorted(asked, key=lambda r: r["page"]):
+        by.setdefault((r["name"], r["engine"]), []).append((r["address"], r["form"]))
+    assert by["yahoo_news", "yahoo"] == [(f"https://search.yahoo.com/search?p=a%20b&n=20&b={k}", None) for k in (1, 11, 21, 31, 41)]
+    assert by["duckduckgo_html", "duckduckgo"] == [("https://lite.duckduckgo.com/lite/", "q=a%20b"), ("https://lite.duckduckgo.com/lite/", "q=a%20b&s=20&dc=21")]
+    assert by["startpage", "startpage"][4] == ("https://www.startpage.com/sp/search", "query=a%20b&cat=web&language=english&page=5")
+    assert len(by["wikipedia", "wikipedia"]) == 1 and ("unknown", "unknown") not in by
+
+
+def test_proxies(spark):
+    lines = spark.createDataFrame([("ports", 0, "1x, 9050"), ("file", 2, "b"), ("file", 1, "#c"), ("list", 0, "a, b,,a")], "kind string, ord int, line string")
+    pool = engines.proxies(lines)
+    assert sorted(map(tuple, pool.collect())) == [(0, "a"), (1, "b"), (2, "socks5h://127.0.0.1:9050")]
+    asked = spark.createDataFrame([(0,), (1,), (5,)], "seq int")
+    assert [r["proxy"] for r in engines.dealt(asked, pool).orderBy("seq").collect()] == ["a", "b", "socks5h://127.0.0.1:9050"]
+    assert [r["proxy"] for r in engines.dealt(asked, pool.where("false")).collect()] == [None] * 3
+
+
 def test_enabled(spark):
     assert [r["engine"] for r in engines.enabled(spark, " Bing,, YAHOO ,").collect()] == ["bing", "yahoo"]
 
@@ -41,6 +62,15 @@ def test_history(spark, tmp_path):
     assert [r["id"] for r in engines.history(spark, path).collect()] == ["2", "1", "0"] and engines.history(spark, path, 1).count() == 1
 
 
+def test_history_is_counted_and_cleared(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert engines.history_count(spark, path) == 0
+    engines.append_history(spark.createDataFrame([("1", "q", None, "a", 1, 1, 0.5, "2024-01-01")], engines.HISTORY), path)
+    assert engines.history_count(spark, path) == 1
+    engines.clear_history(spark, path)
+    assert engines.history(spark, path).collect() == []
+
+
 def test_server_events(spark):
     lines = ["event: x", "data: one\r", "", "data:two", "data: [DONE]", "data: late"]
     rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream string, ord int, line string")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import intent, text, urls
-from lodestar.operators import context, evaluation, fusion, ranking
+from lodestar.operators import context, evaluation, fusion, ranking, responses
 
 
 def apply(spark, f, values, kind="string"):
@@ -36,7 +36,11 @@ def test_skips_and_keys(spark):
 
 
 def test_redirects(spark):
-    cases = {"//d.example/l/?uddg=https%3A%2F%2Fa.org%2F%3Fx%3D1&rut=2": "https://a.org/?x=1", "/url?q=https%3A%2F%2Fa.org&sa=U": "https://a.org", "//a.org/p": "https://a.org/p", "https://a.org": "https://a.org", "/local": None}
+    cases = {
+        "/l/?uddg=https%3A%2F%2Fa.org%2F%3Fx%3D1&rut=2": "https://a.org/?x=1", "/url?q=https%3A%2F%2Fa.org&sa=U": "https://a.org", "//a.org/p": "https://a.org/p", "https://a.org": "https://a.org", "/local": None,
+        "https://a.org/p?uddg=https%3A%2F%2Fb.org": "https://a.org/p?uddg=https%3A%2F%2Fb.org", "//d.example/l/?uddg=https%3A%2F%2Fa.org": "https://d.example/l/?uddg=https%3A%2F%2Fa.org",
+        "/url?sa=t&url=https%3A%2F%2Fu.org&q=https%3A%2F%2Fq.org": "https://u.org", "/url?q=https%3A%2F%2Fq.org%2Fa+b&url=https%3A%2F%2Fu.org": "https://q.org/a b",
+    }
     assert apply(spark, urls.redirect_target, list(cases)) == list(cases.values())
 
 
@@ -171,3 +175,99 @@ def test_mmr_looks_behind_copies(spark):
         want = ranking.mmr_order([r[2] for r in own], [sets[r[1]] for r in own], [r[4] for r in own], 10)
         assert [r["seq"] for r in sorted(got, key=lambda r: r["mmr_rank"]) if r["query_id"] == q] == [i + 1 for i in want]
     assert 251 in {r["seq"] for r in got if r["query_id"] == 1}
+
+
+def test_texts_without_a_boundary_take_linear_time(spark):
+    body = "word " * 60_000
+    assert apply(spark, text.sentence_chunks, [body.strip()]) == [[body.strip()]]
+    many = "A short one. " * 20_000
+    got = apply(spark, text.sentence_chunks, [many.strip()])[0]
+    assert " ".join(got) == many.strip() and all(80 <= len(c) < 170 for c in got)
+
+
+def test_many_paragraphs(spark):
+    body = "\n\n".join(f"Paragraph number {i % 500} of a long text" for i in range(5000))
+    assert apply(spark, text.cleaned, [body]) == ["\n\n".join(f"Paragraph number {i} of a long text" for i in range(500))]
+
+
+def test_variations_and_live_rules(spark):
+    rows = spark.createDataFrame([(" q ", "tech"), ("q", "other"), ("", "tech")], "q string, d string")
+    assert [r[0] for r in rows.select(intent.domain_variations(F.col("q"), F.col("d"))).collect()] == [["q", "q programming tutorial"], ["q", "q guide"], []]
+    assert apply(spark, lambda q: intent.with_year_live(q, "2026"), ["updated list", "who was it", "now 2023"]) == ["updated list 2026", "who was it", "now 2023"]
+
+
+def test_lists_that_arent_ranked(spark):
+    rng = random.Random(5)
+    rows = [(q, i, rng.choice("abcd")) for q in ("x", "y", "z") for i in range(40)]
+    qrels = [(q, i, rng.randrange(3)) for q in ("x", "y") for i in range(0, 40, 7)] + [("z", 3, 0)]
+    scored = spark.createDataFrame(rows, "query_id string, item int, h string")
+    judged = spark.createDataFrame(qrels, "query_id string, item int, grade int")
+    ranked = fusion.top(scored, 100, "h", ("query_id",), ("item",))
+    want = {r["query_id"]: r["rr"] for r in evaluation.reciprocal_rank(ranked, judged).collect()}
+    assert {r["query_id"]: r["rr"] for r in evaluation.reciprocal_rank_of(scored, judged, "h").collect()} == want
+
+
+def test_golden(spark):
+    run = spark.createDataFrame([("Q One", "https://A.org/?utm_source=x", 1), ("Q One", "https://b.org/p#f", 2), ("q two", "https://a.org/", 1), ("unknown", "https://a.org/", 1)], "query string, url string, rank int")
+    golden = spark.createDataFrame([(0, "q one", "https://b.org/p#f", 3), (1, "q one", "https://a.org/", 2), (1, "q one", "https://b.org/p#f", 1), (2, "q two", "https://c.org/", 3)], "ord int, query string, url string, grade int")
+    named, qrels = evaluation.golden_qrels(run, golden)
+    assert {tuple(r) for r in named.select("query", "item", "rank").collect()} == {("Q One", "https://a.org/", 1), ("Q One", "https://b.org/p#f", 2), ("q two", "https://a.org/", 1)}
+    assert {tuple(r) for r in qrels.collect()} == {("q one", "https://a.org/", 2), ("q one", "https://b.org/p#f", 1), ("q two", "https://c.org/", 3)}
+    one = evaluation.golden_report(run, golden).first()
+    assert one["queries_evaluated"] == 3 and one["judged"] == 2 and one["mean_ndcg"] == pytest.approx(0.5) and one["mrr"] == 0.5 and one["mean_recall_10"] == 0.5
+
+
+def test_hopeful_keeps_the_best(spark):
+    rng = random.Random(1)
+    rows = [(q, d, "the phrase", 10 * rng.random(), rng.random() / 50, ["alpha", "beta"], 0.02, rng.choice(["alpha x", "none", "alpha beta"]), rng.choice(["has the phrase in it", "has nothing"])) for q in range(4) for d in range(200)]
+    scored = spark.createDataFrame(rows, "query_id int, doc_id int, phrase string, bm25 double, rrf double, terms array<string>, most double, title string, text string")
+    full = fusion.top(ranking.with_bonuses(scored, "text", "title", "terms", "rrf", "most"), 7, "score", ("query_id",), ("doc_id",))
+    some = ranking.hopeful(scored, 7, "terms", "rrf", "most")
+    again = fusion.top(ranking.with_bonuses(some, "text", "title", "terms", "rrf", "most"), 7, "score", ("query_id",), ("doc_id",))
+    assert some.count() < 600 and {tuple(r) for r in again.select("query_id", "doc_id", "rank").collect()} == {tuple(r) for r in full.select("query_id", "doc_id", "rank").collect()}
+
+
+def test_passages(spark):
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "the of")], "query_id int, query string")
+    long = "Alpha beta gamma delta is said here at some length so that it is a chunk of its own. "
+    sources = spark.createDataFrame([(1, "https://A.org/?utm_source=x", "Alpha", long * 8), (2, "https://b.org/", "t", "alpha once"), (3, "https://c.org/", "t", ""), (4, "https://d.org/", "t", None)], "source_id int, url string, title string, text string")
+    votes = spark.createDataFrame([("https://a.org/", 0.5)], "norm_url string, rrf double")
+    got = ranking.Passages(queries, sources, votes).chosen(4, 2).collect()
+    ones = sorted((r["mmr_rank"], r["chunk_id"]["source_id"]) for r in got if r["query_id"] == 1)
+    assert ones[0][1] == 1 and {s for _, s in ones} == {1, 2} and sum(s == 1 for _, s in ones) == 3
+    assert [(tuple(r["chunk_id"]), r["score"]) for r in sorted(got, key=lambda r: r["mmr_rank"]) if r["query_id"] == 2] == [((1, 0), None), ((1, 1), None), ((1, 2), None), ((1, 3), None)]
+
+
+def test_carried_report_begins_with_a_whole_character(spark):
+    bodies = ["short", "a" * 3001, "é" * 2000, "x" + "é" * 2000, "\U0001f600" * 1000, "xy" + "\U0001f600" * 1000]
+    for body, got in zip(bodies, apply(spark, context.carried, bodies), strict=True):
+        if len(body.encode()) <= 3000:
+            assert got == body
+        else:
+            kept = got.removeprefix("[...truncated...] ")
+            assert kept != got and body.endswith(kept) and 2997 <= len(kept.encode()) <= 3000
+    rows = spark.createDataFrame([("longer", "short"), ("a", "bb"), ("[", "bb"), ("[1]", "b[1]")], "r string, f string")
+    assert [r[0] for r in rows.select(context.better(F.col("r"), F.col("f"))).collect()] == ["longer", "bb", "[", "b[1]"]
+
+
+def test_ranked_context_by_hand(spark):
+    rows = [("q", "alpha beta", i, f"https://s{i}.org/", "alpha" if i == 3 else "t", text) for i, text in enumerate(["alpha", "nothing", "alpha beta", "alpha beta", "beta"])]
+    sources = spark.createDataFrame(rows, "query_id string, query string, source_id int, url string, title string, text string")
+    got = context.joined(context.ranked(sources)).first()["context"]
+    assert got.split("\n\n")[:-1] == ["[1] [General Web - s3.org] alpha (https://s3.org/)\nalpha beta", "[2] [General Web - s0.org] t (https://s0.org/)\nalpha", "[3] [General Web - s4.org] t (https://s4.org/)\nbeta", "[4] [General Web - s2.org] t (https://s2.org/)\nalpha beta"]
+
+
+def test_live_texts(spark):
+    bodies = ["x" * 9, "x" * 110, "x" * 130, "é" * 2001, "xé" + "\U0001f600" * 1000]
+    kept = apply(spark, lambda t: responses.live_text(t, F.lit("lite")), bodies)
+    assert kept[:3] == [None, None, bodies[2]] and kept[3] == "é" * 2000 and kept[4] == "xé" + "\U0001f600" * 999
+    assert apply(spark, lambda t: responses.live_text(t, F.lit("reddit")), ["x" * 9, "x" * 10]) == [None, "x" * 10]
+    assert apply(spark, lambda t: responses.live_text(t, F.lit(None).cast("string")), ["x" * 49, "x" * 50]) == [None, "x" * 50]
+
+
+def test_answers_without_results(spark):
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    hits = spark.createDataFrame([(1, "https://a.org/x", "google", 1), (1, "HTTPS://A.org/x/", "bing", 1), (1, "https://x.com/a", "bing", 2), (2, "https://x.com/a", "bing", 1)], "query_id int, url string, engine string, rank_position int")
+    got = {r["query_id"]: r for r in responses.answers(queries, hits, [F.col("rank_position"), F.col("engine")], 2).collect()}
+    assert (got[1]["status"], got[1]["total_raw"], got[1]["deduplicated"], got[1]["engines"]) == (200, 3, 1, ["bing", "google"]) and len(got[1]["results"]) == 2
+    assert (got[2]["status"], got[2]["results"]) == (404, None) and got[3]["total_raw"] == 0 and got[3]["error"]

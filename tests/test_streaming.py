@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.streaming import state
+from lodestar.streaming import live, state
 
 
 def source(spark, small):
@@ -41,3 +41,17 @@ def test_cooldown_and_deadline(spark):
     assert {r["event_id"]: r["cooling"] for r in state.cooldowns(events).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
     assert {(r["kept"], r["dropped"]) for r in state.within_deadline(events).collect()} == {(1, 0)}
     assert [tuple(r) for r in state.sessions(events).collect()] == [(7, 1, 5, "scraping_done")]
+
+
+def test_live_search_tells_its_stages(spark, tmp_path):
+    hits = [(1, "https://a.org/x", "google", 1, 200), (1, "https://A.org/x/", "bing", 1, 60), (2, "https://www.reddit.com/r", "google", 1, 20)]
+    spark.createDataFrame(hits, "query_id int, url string, engine string, rank_position int, n_bytes int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    queries = spark.createDataFrame([(1, "latest news", "lite"), (2, "cats", "reddit"), (3, "not asked", None)], "query_id int, query string, focus string")
+    order = [F.col("rank_position"), F.col("engine")]
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second start has nothing to tell
+        live.follow(stream, queries, order, "2026", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    told = {(r["query_id"], r["seq"]): (r["kind"], r["n"], r["text"]) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert told[1, 2] == ("info", None, "searching: latest news 2026") and told[2, 2][2] == "searching: cats site:reddit.com"
+    assert told[1, 3][1] == 2 and told[1, 4][1] == 1 and told[1, 5][1] == 2 and told[1, 6] == ("ranked_chunks", 1, None) and told[1, 7][1] == 1
+    assert told[2, 4][1] == 1 and told[2, 7][1] == 1 and (2, 6) not in told and (3, 1) not in told
