@@ -14,57 +14,66 @@ from .text import let, trim
 _SHAPE = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
 
-def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(trim(url), _SHAPE, k)
+_GROUPS = ("scheme", "host", "port", "path", "query")
+
+
+def _parts(url: Column) -> Column:
+    """Struct of scheme and host in lower case, port, path and query as they are; empty strings if it isn't http or https."""
+    groups = {name: k for k, name in enumerate(_GROUPS, 1)}
+    cut = lambda text, name: F.regexp_extract(text, _SHAPE, groups[name])
+    return let(trim(url), lambda t: F.struct(*((F.lower(cut(t, n)) if n in ("scheme", "host") else cut(t, n)).alias(n) for n in _GROUPS)))
 
 
 def host(url: Column) -> Column:
     """In lower case; empty if the address isn't http or https."""
-    return F.lower(_part(url, 2))
+    return F.lower(F.regexp_extract(trim(url), _SHAPE, 2))
 
 
-def _port(url: Column) -> Column:
-    scheme, port = F.lower(_part(url, 1)), _part(url, 3)
-    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    return F.when(usual, "").otherwise(F.concat(F.lit(":"), port))
+def _port(p: Column) -> Column:
+    usual = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
+    return F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"]))
 
 
-def path(url: Column) -> Column:
+def _path(raw: Column) -> Column:
     """With dot segments resolved; '/' if empty."""
-    raw = _part(url, 4)
     parts = F.slice(F.split(raw, "/"), 2, 1_000_000)
 
     def step(done: Column, part: Column) -> Column:
         return F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
 
-    resolved = F.aggregate(parts, F.array().cast("array<string>"), step, lambda p: F.concat(F.lit("/"), F.array_join(p, "/")))
-    ends_in_dots = raw.rlike(r"/\.{1,2}$")
-    resolved = F.when(ends_in_dots & ~resolved.endswith("/"), F.concat(resolved, F.lit("/"))).otherwise(resolved)
+    ended = lambda done: F.when(raw.rlike(r"/\.{1,2}$") & ~done.endswith("/"), F.concat(done, F.lit("/"))).otherwise(done)
+    resolved = F.aggregate(parts, F.array().cast("array<string>"), step, lambda p: ended(F.concat(F.lit("/"), F.array_join(p, "/"))))
     return F.when(raw == "", "/").when(raw.contains("/."), resolved).otherwise(raw)
 
 
+def path(url: Column) -> Column:
+    """With dot segments resolved; '/' if empty."""
+    return let(F.regexp_extract(trim(url), _SHAPE, 4), _path)
+
+
 def _decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), text)
 
 
-def query(url: Column) -> Column:
+def _query(raw: Column) -> Column:
     """'?' and the parameters that don't track, decoded; empty if there are none."""
-    tracking = F.array(*map(F.lit, TRACKING))
-    pairs = F.transform(F.filter(F.split(_part(url, 5), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
-    kept = F.transform(F.filter(pairs, lambda p: ~F.array_contains(tracking, F.lower(p["k"]))), lambda p: F.concat(p["k"], F.lit("="), p["v"]))
-    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    pairs = F.transform(F.filter(F.split(raw, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    kept = F.transform(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)), lambda p: F.concat(p["k"], F.lit("="), p["v"]))
+    return let(F.array_join(kept, "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
 def normalized(url: Column) -> Column:
     """Without fragment and tracking parameters; null if it isn't http or https."""
-    return F.when(host(url) != "", F.concat(F.lower(_part(url, 1)), F.lit("://"), host(url), _port(url), path(url), query(url)))
+    return let(_parts(url), lambda p: F.when(p["host"] != "", F.concat(p["scheme"], F.lit("://"), p["host"], _port(p), _path(p["path"]), _query(p["query"]))))
 
 
 def dedup_key(url: Column) -> Column:
     """Of a normalised address: host and path in lower case, and the query as it is."""
-    asked = _part(url, 5)
-    key = F.concat(host(url), F.regexp_replace(F.lower(path(url)), "/+$", ""), F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked)))
-    return F.when(host(url) != "", key).otherwise(F.lower(url))
+
+    def key(p: Column) -> Column:
+        return F.concat(p["host"], F.regexp_replace(F.lower(_path(p["path"])), "/+$", ""), F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+
+    return let(_parts(url), lambda p: F.when(p["host"] != "", key(p)).otherwise(F.lower(url)))
 
 
 def skipped(url: Column) -> Column:
@@ -101,17 +110,23 @@ def redirect_target(href: Column) -> Column:
 
 def credibility(url: Column) -> Column:
     """The label of the first needle that the host has; else the host without www."""
-    h = F.when(host(url) == "", "unknown").otherwise(host(url))
-    out = F.when(h.endswith(".gov") | h.endswith(".edu"), INSTITUTIONAL)
-    for needle, label in CREDIBILITY:
-        out = out.when(h.contains(needle), label)
-    return out.otherwise(F.concat(F.lit("[General Web - "), F.regexp_replace(h, r"^(www\.)+", ""), F.lit("]")))
+
+    def label(h: Column) -> Column:
+        out = F.when(h.endswith(".gov") | h.endswith(".edu"), INSTITUTIONAL)
+        for needle, known in CREDIBILITY:
+            out = out.when(h.contains(needle), known)
+        return out.otherwise(F.concat(F.lit("[General Web - "), F.regexp_replace(h, r"^(www\.)+", ""), F.lit("]")))
+
+    return let(F.coalesce(F.nullif(host(url), F.lit("")), F.lit("unknown")), label)
 
 
 def trust(url: Column) -> Column:
     """A float multiplier by the first tier that the host belongs to."""
-    h = host(url)
-    out = F.when(h.endswith(".gov") | h.endswith(".edu"), 1.5)
-    for score, needles in TRUST:
-        out = out.when(reduce(or_, (h.contains(n) for n in needles)), score)
-    return out.otherwise(1.0).cast("float")
+
+    def tier(h: Column) -> Column:
+        out = F.when(h.endswith(".gov") | h.endswith(".edu"), 1.5)
+        for score, needles in TRUST:
+            out = out.when(reduce(or_, (h.contains(n) for n in needles)), score)
+        return out.otherwise(1.0).cast("float")
+
+    return let(host(url), tier)
