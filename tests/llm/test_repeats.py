@@ -72,3 +72,36 @@ def test_parts_of_a_text_share_anchors(monkeypatch):
     for part in (450, 601, 997):
         monkeypatch.setattr(repeats, "PART", part)
         assert [a.tolist() for a in repeats.anchors(texts)] == whole
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_split_grams_equal_brute_force(spark, block):
+    rng = random.Random(block)
+    line = "this line of more than thirty-two bytes stands in all of them; "
+    rows = []
+    for i in range(60):
+        around = ["".join(rng.choice("ab") for _ in range(rng.choice([5, 40, 90]))) for _ in range(3)]
+        rows.append((i, around[0] + line * rng.choice([1, 1, 2]) + around[1] + rng.choice([line[:50], "", line]) + around[2]))
+    rows += [(100 + i, r[1]) for i, r in enumerate(rows[:5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    done = repeats.remove(docs, 100, block=block).selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept) n", "size(spans) s", "sha2(kept, 256) h")
+    assert {r["doc_id"]: tuple(r)[1:] for r in done.collect()} == brute(rows, 100)
+
+
+def test_memory_of_a_gram_with_very_many_contexts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(n):
+        for lo in range(0, n, 10_000):
+            ids = np.arange(lo, lo + 10_000)
+            bodies = [b"%07d" % i + b"x" * 60 + b"g" * 32 + b"%06d" % (i % 1000) + b"y" * 60 for i in ids]
+            columns = [np.zeros(len(ids), np.int64), ids, np.zeros(len(ids), np.int32), np.full(len(ids), 67), np.zeros(len(ids), np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(ids), pa.int64()), pa.array(bodies, pa.binary()), pa.array(np.zeros(len(ids), np.int32)), pa.array(np.full(len(ids), 68, np.int32))], names=list("abcdefghi"))
+
+    tracemalloc.start()
+    made = sum(b.num_rows for b in repeats._sorted_blocks(batches(200_000), 100, 2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 400_000 and peak < 60 << 20

@@ -114,6 +114,47 @@ def test_tokens_of_odd_texts():
         assert encode(text, disallowed_special=()).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_all_characters():
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_to_numpy
+    points = [chr(c) for c in [*range(0x800), *range(0x2000, 0x2070), *range(0x3000, 0x3100), 0xD7FF, 0xE000, 0xFEFF, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    texts = [*points, *(f"a{c}b {c}{c} c" for c in points), "".join(points), "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "'S 's 'LL I'd", "1234567890" * 9, "\r\n\t \x0b\x0c\x85\xa0\u3000 z"]
+    for text in texts:
+        assert encode(text, disallowed_special=()).tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("splits", [1, 7, 64])
+def test_pack_into_few_sequences(docs, splits):
+    rows = packing.pack(docs.repartition(splits)).select("length", "sequence_id").collect()
+    ideal = -(-sum(r["length"] for r in rows) // packing.CAPACITY)
+    assert len({r["sequence_id"] for r in rows}) <= 1.005 * ideal
+
+
+def test_pack_odd_rows(spark):
+    texts = [(1, None), (1, None), (2, ""), (None, "null id"), (3, "word " * 5000), (3, "word " * 5000), *((10 + i, "tie") for i in range(40))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("piece", "open", "sequence_id", "part", "offset")}).repartition(3)
+    rows = packing.pack(docs).collect()
+    assert sum(r["doc_id"] in (1, 2) and r["length"] == 1 for r in rows) == 3 and sum(r["doc_id"] is None for r in rows) == 1
+    long = sorted(r["start"] for r in rows if r["doc_id"] == 3)
+    assert long[::2] == long[1::2] and sum(r["length"] for r in rows if r["doc_id"] == 3) == 2 * (max(long) + 1024)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    names = [None, *(f"host{rng.randrange(10**6)}.é" for _ in range(400))]
+    sizes = {n: rng.choice([0, 1, 10, 1000, rng.randrange(10**6)]) for n in names}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([*sizes.items()], "source string, source_size bigint")).collect()}
+    order = sorted(sizes, key=lambda n: (n is None, (n or "").encode()))
+    want = fill([sizes[n] for n in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2)
+    assert all(abs(got[n] - t) <= 1e-6 * max(1, t) for n, t in zip(order, want, strict=True))
+
+
 def test_simhash_edits(docs):
     rows = sorted(simhash.compare(docs).collect())
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
@@ -183,6 +224,61 @@ def test_warc_files(spark, tmp_path):
     assert {r["ts"] for r in rows} == {1704067200} and rows[0]["headers"]["etag"] == '"1"'
 
 
+@pytest.mark.parametrize("length", ["-500", "abc", "", "99999999999", "1e3", "²"])
+def test_warc_with_bad_lengths(length):
+    def record(n, block):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{len(block)}>\r\nWARC-Date: junk\r\nContent-Length: {n}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    first, last = b"HTTP/1.1 200 OK\r\n\r\nfirst", b"HTTP/1.1 xyz\r\n\r\nthe last"
+    rows = [*warc.parse(record(len(first), first) + record(length, b"HTTP/1.1 200 OK\r\n\r\nbad") + record(len(last), last))]
+    bodies = [bytes(r[6]) for r in rows]
+    assert bodies == ([b"first"] if length == "99999999999" else [b"first", b"the last"]) and rows[0][3] is None and rows[-1][4] in (200, None)
+
+
+def test_warc_members_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    block = rng.randbytes(15_000)
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    data = gzip.compress(head + block + b"\r\n\r\n") * 1400
+    began = time.time()
+    assert len(data) > 20_000_000 and sum(1 for _ in warc.parse(data)) == 1400
+    assert time.time() - began < 10
+    assert sum(1 for _ in warc.parse(data[:-100])) == 1399 and [*warc.parse(b"\x1f\x8bjunk")] == []
+
+
+def test_warc_hot_and_repeated_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARED", 3)
+    rows = [("a", "response", "http://x.org/p", 10, 200, {"etag": '"1"'}, b"one"), ("a", "response", "http://x.org/p", 10, 200, {"etag": '"1"'}, b"one"), ("b", "response", "http://y.org/", 10, 200, {"etag": '"1"'}, b"two")]
+    rows += [(f"r{i}", "revisit", "http://x.org/p", 20 + i // 2, 304, {"etag": '"1"'}, None) for i in range(10)] + [("r3", "revisit", "http://x.org/p", 21, 304, {"etag": '"1"'}, None)]
+    got = warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()
+    assert len(got) == 11 and {(r["refers_to"], bytes(r["body"])) for r in got} == {("a", b"one")} and sum(r["record_id"] == "r3" for r in got) == 2
+
+
+def test_images_turned_resized_and_cut(spark):
+    rng = np.random.default_rng(12)
+    pictures = [images.render(rng.normal(size=64).tolist()) for _ in range(10)]
+    asked = [(k * 100 + i, images.pgm(change(p))) for k, change in enumerate(images.EDITS.values()) for i, p in enumerate(pictures)]
+    indexed, queries = images.points(spark.createDataFrame([(i, images.pgm(p)) for i, p in enumerate(pictures)], "id bigint, image binary")), images.points(spark.createDataFrame(asked, "id bigint, image binary"))
+    found = images.copies(queries, indexed).join(images.members(queries).selectExpr("class_key query", "id q"), "query").join(images.members(indexed).selectExpr("class_key match", "id m"), "match")
+    met = {(r["q"], r["m"]) for r in found.collect()}
+    assert all(q % 100 == m for q, m in met)
+    for k in range(len(images.EDITS)):
+        assert sum((k * 100 + i, i) in met for i in range(10)) >= 9, k
+
+
+def test_images_query_on_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    vector = lambda: rng.normal(size=64).tolist()
+    same = vector()
+    rows = [(0, vector()), (50, same), (50, same), (51, same), (100, None), (None, vector()), (-50, vector()), *((i, vector()) for i in range(1, 12))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit("clash") for c in ("id", "image", "class_key", "label", "found")})
+    got = {r["vec_id"]: r for r in images.search(table).collect()}
+    assert set(got) == {0, 50, 100, -50} and got[0]["found"] and got[50]["n_matches"] == 3 and not got[100]["found"] and got[100]["inliers"] == 0 and got[-50]["found"]
+    assert images.search(table.where("false")).collect() == []
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(3)
     pictures = {i: images.render(rng.normal(size=64).tolist()) for i in range(12)}
@@ -262,6 +358,75 @@ def test_png_equals_pgm():
     assert np.array_equal(images.decode(png), images.decode(images.pgm(pixels.astype(float))))
 
 
+def _folder(spark, tmp_path, docs, labels):
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    body = "some words of a text that is long enough to have shingles and to be told from others "
+    docs = [(1, body * 3, "en", "a", None, "x"), (1, body * 3, "en", "a", None, "x"), (2, body * 3, None, None, 5, None), (3, None, "en", "a", 0, None), (3, None, "en", "a", 0, None), (4, "", None, "b", None, None), (None, "a text without an id, and with some words", "en", "b", 1, None)]
+    docs += [(10 + i, f"document number {i} " + " ".join(f"w{i}x{k}" for k in range(60)), "en", "b", 1, None) for i in range(8)]
+    folder = _folder(spark, tmp_path, docs, [])
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = []
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, at, folder).write.parquet(f"{folder}/out{k}")
+        at = spark.read.parquet(f"{folder}/out{k}")
+        counts.append(at.count())
+        if k < 4:
+            assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert counts[0] == len(docs) and counts[1] == counts[2] == 8 + 4  # of three copies one stays, and one of two equal null texts
+    assert pipeline.run(spark, folder).count() == counts[4]
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    assert pipeline.run(spark, _folder(spark, tmp_path, [], [])).collect() == []
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    """Each stage against a plain form of its rule, on documents with known copies, passages and insults."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    docs, labels = [], []
+    for i in range(300):
+        insult = " you stupid idiot and pathetic worthless moron " if i % 6 == 0 else " "
+        docs.append((i, text(40) + insult + text(30) + (" " + passage if i % 10 == 1 else ""), "en", f"s{i % 3}", 1, None))
+        if i % 2 == 0:
+            labels.append((i, 1, int(i % 6 == 0)))
+    docs += [(1000 + i, docs[i][1], "en", "s0", 1, None) for i in (1, 2, 7)] + [(2000 + i, docs[i][1].rsplit(" ", 1)[0], "en", "s1", 1, None) for i in (3, 4)]
+    folder = _folder(spark, tmp_path, docs, labels)
+    at, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(pipeline.STAGES[:4]):
+        stage(spark, at, folder).write.parquet(f"{folder}/out{k}")
+        at = spark.read.parquet(f"{folder}/out{k}")
+        seen.append([(r["doc_id"], r["text"], r["source"]) for r in at.collect()])
+    assert {d for d, _, _ in seen[0]} == {d[0] for d in docs if d[0] % 6 or d[0] >= 1000}
+    assert {d for d, _, _ in seen[1]} == {d for d, _, _ in seen[0] if d < 1000}
+    kept = {d: t for d, t, _ in seen[2]}
+    holders = sorted(d for d in kept if d % 10 == 1)
+    assert passage in kept[holders[0]] and all(passage[5:-5] not in kept[d] for d in holders[1:])
+    assert all(kept[d] == t for d, t, _ in seen[1] if d % 10 != 1)
+    words = defaultdict(int)
+    for _, t, s in seen[2]:
+        words[s] += len(t.split())
+    taken = defaultdict(int)
+    for _, t, s in seen[3]:
+        taken[s] += len(t.split())
+    names = sorted(words)
+    for s, target in zip(names, fill([words[s] for s in names], [3, 1, 2], 1.5, 2), strict=True):
+        assert abs(taken[s] - target) <= 130
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as pipeline
 

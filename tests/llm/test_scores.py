@@ -57,6 +57,51 @@ def test_long_words_dont_underflow():
     assert np.isfinite(got).all() and got[0, 0] < -30000
 
 
+def test_long_words_by_themselves_score_as_in_a_matrix(monkeypatch):
+    pieces = language.vocabulary(language.default_path())
+    names = sorted(pieces)
+    rng = np.random.default_rng(1)
+    p = rng.random((len(names), 3)) / len(names)
+    hashes = language.Hashes(names)
+    words = ["internationally" * 12, "ab" * 80, "é" * 100, "漢字" * 60]
+    alone = np.array([language.forward_long(w, hashes, p) for w in words])
+    monkeypatch.setattr(language, "LONG", 10**9)
+    assert np.allclose(alone, language.forward(words, hashes, p), rtol=1e-9)
+    monkeypatch.setattr(language, "CELLS", 200)
+    assert np.allclose(alone, language.forward(words, hashes, p), rtol=1e-9)
+
+
+def test_memory_of_a_very_long_word():
+    import tracemalloc
+
+    names = sorted(language.vocabulary(language.default_path()))
+    hashes, p = language.Hashes(names), np.full((len(names), 4), 1 / len(names))
+    tracemalloc.start()
+    got = language.forward(["lorem" * 20_000, *(["word"] * 5000)], hashes, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and peak < 64 << 20
+
+
+def test_tokens_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    read = toxicity.Restorer(lambda a, b, c: 1.0)
+    for k in range(30):
+        assert read.plain(" ".join(f"word{chr(97 + i)}{chr(97 + k % 26)}" for i in range(20))).count("word") == 20
+        assert len(read.tokens) <= 50 + 20
+
+
+def test_counts_of_long_texts_are_those_of_a_character_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Ab  1 cé" * 400), (2, None), (3, ""), (4, "x")], "doc_id bigint, text string")
+    want = np.zeros(toxicity.SYMBOLS**3)
+    for text in ("Ab  1 cé" * 400, "", "", "x"):
+        codes = [0, 0, *toxicity.codes(text).tolist(), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            if b or c:
+                want[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    assert (toxicity.character_counts(docs) == want).all()
+
+
 @pytest.fixture(scope="module")
 def restored(spark):
     docs = spark.createDataFrame([(i, "you stupid idiot and pathetic loser, the worthless clown is disgusting trash and scum and moron") for i in range(30)], "doc_id bigint, text string")
