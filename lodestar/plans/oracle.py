@@ -189,6 +189,18 @@ SQL = {
     "corpus_stats": f"SELECT count(*) AS n_chunks, sum(n)::BIGINT AS total_tokens, round(greatest(sum(n), 1) / greatest(count(*), 1), 6) AS avgdl FROM (SELECT len({tokens('text')}) AS n FROM documents)",
     "bm25_plus_topk": f"WITH {BM25} SELECT query_id, doc_id, bm25, rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10",
     "hybrid_scores": f"WITH {BM25}, {SCORED} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
+    "mmr_topk": f"""WITH RECURSIVE {BM25}, {SCORED}, s AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chars DESC, doc_id) AS seq, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9) AS rel FROM (SELECT query_id, doc_id, chars, round(score, 9) AS score FROM scored)),
+        t AS (SELECT doc_id, list_distinct(t) AS ts FROM docs),
+        p AS (SELECT query_id, doc_id, seq, score, rel, 0.0::DOUBLE AS sim, 0 AS step, false AS chosen FROM s
+              UNION ALL
+              SELECT w.query_id, w.doc_id, w.seq, w.score, w.rel, greatest(w.sim, CASE WHEN len(a.ts) + len(c.ts) = 0 THEN 1.0 ELSE len(list_intersect(a.ts, c.ts)) / (len(a.ts) + len(c.ts) - len(list_intersect(a.ts, c.ts))) END), w.step + 1, w.doc_id = w.best
+              FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY 0.7 * rel - (1 - 0.7) * sim DESC, seq) AS best FROM p WHERE NOT chosen AND step < 10) w JOIN t a ON a.doc_id = w.doc_id JOIN t c ON c.doc_id = w.best)
+        SELECT query_id, doc_id, round(score, 6) AS score, seq, step AS mmr_rank FROM p WHERE chosen""",
+    "count_or_timeout_batches": f"""WITH RECURSIVE e AS (SELECT user_id, {AT} AS sec, row_number() OVER (PARTITION BY user_id ORDER BY {AT}, event_id) AS rn FROM events),
+        b AS (SELECT user_id, 0 AS batch, rn AS first, sec AS start FROM e WHERE rn = 1
+              UNION ALL SELECT b.user_id, b.batch + 1, min(x.rn), arg_min(x.sec, x.rn) FROM b JOIN e x ON x.user_id = b.user_id AND x.rn > b.first AND (x.rn >= b.first + 30 OR x.sec - b.start > 3600) GROUP BY b.user_id, b.batch),
+        n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id)
+        SELECT user_id, batch, coalesce(lead(first) OVER (PARTITION BY user_id ORDER BY batch), n + 1) - first AS n, start FROM b JOIN n USING (user_id)""",
     "sentence_chunks": f"WITH {CHUNKS} SELECT doc_id, i - 1 AS chunk_idx, length(c[i]) AS n_chars, md5(c[i]) AS md5 FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)",
     "chunk_overlap": f"""WITH {CHUNKS}, e AS (SELECT doc_id, c, i, CAST(floor(length(c[i - 1]) * {L.OVERLAP}) AS INT) AS n FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)),
         w AS (SELECT *, {TRIM.format("CASE WHEN contains(right(c[i - 1], n), ' ') THEN substr(right(c[i - 1], n), strpos(right(c[i - 1], n), ' ')) ELSE right(c[i - 1], n) END")} AS lead FROM e),

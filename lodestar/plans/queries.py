@@ -140,7 +140,8 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hybrid = _Hybrid(spark, sf_dir)
     hybrid.scored = hybrid.scored.persist(StorageLevel.MEMORY_AND_DISK)  # some numbers a row, read again for more candidates
-    return ranking.diversified(lambda n, left: ranking.top_by_score(hybrid.best(n, left), n, "doc_id"), TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
+    ranked = lambda n, left: ranking.top_by_score(hybrid.best(n, left).withColumn("score", F.round("score", 9)), n, "doc_id")
+    return ranking.diversified(ranked, TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> ranking.Passages:
