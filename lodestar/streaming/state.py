@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,22 +61,44 @@ def count_or_timeout(events: DataFrame, most: int = 30, seconds: int = 5) -> Dat
     """(user_id, batch, n, start): a batch opens with an event and closes at ``most`` events or ``seconds`` after it opened.
 
     A batch's end depends on where it began, so each user's events are folded in
-    order; state is one open batch.
+    order; they come as a sorted stream, and state is one open batch. Events
+    without a time are left out.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, n, start = [], 0, 0.0
-        for at in frame.sort_values(["at", "event_id"])["at"]:
-            if n and (n >= most or at - start > seconds):
-                rows.append((n, start))
-                n = 0
-            if not n:
-                start = at
-            n += 1
-        rows.append((n, start))
-        return pd.DataFrame([(frame["user_id"].iloc[0], k, n, start) for k, (n, start) in enumerate(rows)], columns=["user_id", "batch", "n", "start"])
-
-    return _seconds(events).select("user_id", "event_id", "at").groupBy("user_id").applyInPandas(fold, "user_id bigint, batch int, n int, start double")
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, number, n, start = None, 0, 0, 0.0
+        out: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["user_id", "batch", "n", "start"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            users, ats = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.r_[True, users[1:] != users[:-1], True]) if len(users) else np.zeros(1, int)
+            for i, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if users[i] != user:
+                    if n:
+                        out.append((user, number, n, start))
+                    user, number, n = int(users[i]), 0, 0
+                while i < end:
+                    if n and (n >= most or ats[i] - start > seconds):
+                        out.append((user, number, n, start))
+                        number, n = number + 1, 0
+                    if not n:
+                        start = float(ats[i])
+                    taken = max(1, int(np.searchsorted(ats[i : min(end, i + most - n)] - start, seconds, side="right")))
+                    n, i = n + taken, i + taken
+            yield told()
+        if n:
+            out.append((user, number, n, start))
+        yield told()
+
+    rows = _seconds(events).where("at is not null and user_id is not null").select(F.col("user_id").cast("bigint"), "at", "event_id")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").select("user_id", "at").mapInArrow(folded, "user_id bigint, batch int, n bigint, start double")
 
 
 def reports(batches: DataFrame, tail: int = 3000) -> DataFrame:
