@@ -11,42 +11,52 @@ from .common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from labels outside the held-out fold; nulls and empties as toxicity.classify() defines them."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null texts have no words, a null source is the last one."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from documents outside the held-out fold; 'und' without a letter."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector's picture, edited in one of seven ways, searched in all pictures."""
     return images.search(table(spark, sf_dir, "embeddings"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links at a similarity of 0.75 of five-word shingles; no words, no links."""
     return minhash.group(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens; a null text is its end token."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learnt from labels outside the held-out fold; a null text is an empty one."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; a null text is an empty one, repeated rows repeat."""
     return simhash.compare(table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits made of every page, resolved to the responses that they confirm."""
     return warc.revisits(table(spark, sf_dir, "pages"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is left without byte strings of 100 that start earlier; a null text is empty."""
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
