@@ -37,6 +37,8 @@ RADIUS = CHUNKS * (ERRORS + 1) - 1
 SKETCH = 2048
 #: Rounds in which each member of a bucket is compared with its nearest one of another component.
 ROUNDS = 2
+#: Members of a bucket that are compared with each other, or with as many others, in one go; larger buckets are cut into blocks.
+TOGETHER = 4096
 #: Bytes of text that are hashed at once.
 SLICE = 500_000
 #: Rows that are unpacked at once, of an Arrow batch.
@@ -234,21 +236,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return gather(met.where(F.col("common") * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
 
 
-def _partners(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, packed: list[bytes], nearest: bool, percent: int) -> Iterator[tuple[int, int]]:
+def _partners(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, packed: list[bytes], nearest: bool, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of a bucket's members of different roots that are within the radius and that their sketches don't rule out.
 
     ``nearest``: only the likeliest one of each member. Else all, each once: small
-    components first, against all that follow.
+    components first, against all that follow. Of members of two blocks only
+    those of different ones are paired, as others meet elsewhere.
     """
     _, number, counts = np.unique(roots, return_inverse=True, return_counts=True)
     order = np.argsort(counts[number], kind="stable")
-    keys, roots, sizes = keys[order], roots[order], sizes[order]
+    keys, roots, sizes, blocks = keys[order], roots[order], sizes[order], blocks[order]
+    apart = bool((blocks != blocks[0]).any())
     signs, sketch = (x[order] for x in _opened(packed))
     n = len(keys) if nearest else len(keys) - int(counts.max())
     for i in range(n):
         first = 0 if nearest else i + 1
         bits = _possible(sketch[i], sketch[first:], sizes[first:] + sizes[i], percent)
-        at = np.flatnonzero((bits >= 0) & (roots[first:] != roots[i]))
+        at = np.flatnonzero((bits >= 0) & (roots[first:] != roots[i]) & ((blocks[first:] != blocks[i]) | (not apart)))
         at = at[(signs[i] != signs[first:][at]).sum(axis=1) <= RADIUS]
         if nearest and len(at):
             at = at[[int(np.argmin(bits[at] / (sizes[at] + sizes[i])))]]
@@ -256,11 +260,19 @@ def _partners(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, packed: li
             yield min(int(keys[i]), k), max(int(keys[i]), k)
 
 
-def opened(entries: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, class_key, n, signature) of the buckets whose members are of several components."""
+def opened(entries: DataFrame, roots: DataFrame, classes: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(bucket, class_key, n, signature, block) of the buckets whose members are of several components.
+
+    A bucket with more than ``together`` members is several: one for each pair of
+    its blocks, so that each comparison is of a bounded number of members, and
+    those of a large bucket spread over many tasks.
+    """
     named = _named(entries, roots)
-    several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    return cut(named.join(several, "bucket").join(classes.select("class_key", "n", "signature"), "class_key").select("bucket", "class_key", "n", "signature"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / together).alias("blocks")).where("least <> most").select("bucket", "blocks")
+    rows = named.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")))
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    to = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    return cut(other.select("class_key", to.alias("bucket"), F.col("block").cast("int").alias("block")).join(classes.select("class_key", "n", "signature"), "class_key").select("bucket", "class_key", "n", "signature", "block"))
 
 
 def _named(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,12 +289,12 @@ def partners(entries: DataFrame, roots: DataFrame, nearest: bool, percent: int)
         def done(part: pa.Table) -> None:
             if not part.num_rows:
                 return
-            bucket, keys, own, sizes = (part.column(k).to_numpy() for k in range(4))
-            packed = part.column(4).to_pylist()
+            bucket, keys, own, sizes, blocks = (part.column(k).to_numpy() for k in range(5))
+            packed = part.column(5).to_pylist()
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if (own[a:b] != own[a]).any():
-                    found.update(_partners(keys[a:b], own[a:b], sizes[a:b], packed[a:b], nearest, percent))
+                    found.update(_partners(keys[a:b], own[a:b], sizes[a:b], blocks[a:b], packed[a:b], nearest, percent))
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -305,7 +317,7 @@ def partners(entries: DataFrame, roots: DataFrame, nearest: bool, percent: int)
             done(pa.Table.from_batches(waiting))
         yield flushed()
 
-    rows = _named(entries, roots).select("bucket", "class_key", "root", "n", "signature").repartition("bucket").sortWithinPartitions("bucket")
+    rows = _named(entries, roots).select("bucket", "class_key", "root", "n", "block", "signature").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
@@ -342,7 +354,7 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, together: int = TOGETHER) -> DataFrame:
     """(doc_id, text_key, n_shingles, root, component_id) of every row; root, the component's number, is null without shingles."""
     if percent < PERCENT:
         raise ValueError(f"the signatures find similarities from {PERCENT} percent")
@@ -354,7 +366,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = gather(within_radius(shared.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), classes, percent))
     links = confirmed(stars, shingles_of(docs, classes, ends(stars)), percent)
     roots = components(links)
-    left = opened(shared.select("bucket", "class_key"), roots, classes)
+    left = opened(shared.select("bucket", "class_key"), roots, classes, together)
     tested, sets = stars, None
     for nearest in [True] * ROUNDS + [False]:
         pairs = gather(partners(left, roots, nearest, percent).join(tested, ["a", "b"], "left_anti"))

@@ -53,6 +53,15 @@ def test_components_equal_brute_force(spark):
     assert [r["kept"] for r in rows] == [r["doc_id"] == r["component_id"] for r in rows]
 
 
+def test_blocks_of_large_buckets_lose_no_link(spark):
+    rng = random.Random(6)
+    texts = [t for edits in (4, 7, 9) for t in family(rng, 40, edits)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.linked(docs, together=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)[0]
+
+
 def test_all_pairs_within_the_radius_share_a_bucket(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, minhash.VALUES, dtype=np.uint16)
