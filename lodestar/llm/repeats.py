@@ -18,9 +18,9 @@ longest document has bytes, and this has ``2 * length`` at most.
 
 A gram with more distinct contexts than a block holds is split: windows that
 start within some distances of the anchor have more bytes than the gram in
-common, so contexts go on once for each half of the distances, under these
-bytes, and halves are halved again where that isn't enough. A single distance
-leaves whole windows, which are then equal.
+common, so contexts go on once for each of some ranges of distances, under these
+bytes, and, where that isn't enough, once for each distance. That leaves whole
+windows, which are then equal.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,15 +192,20 @@ def insert_column(order: np.ndarray, prefix: np.ndarray, ended: np.ndarray, grou
     return new, out
 
 
-#: Spans of repeated windows, or, where span is false, contexts of a split gram: windows that start from ``near`` to ``far``
-#: bytes before their anchor.
-SORTED = "span boolean, id bigint, version int, start bigint, stop bigint, part bigint, near int, far int, anchor bigint, context binary"
-_SORTED = pa.schema([("span", pa.bool_()), ("id", pa.int64()), ("version", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("part", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("anchor", pa.int64()), ("context", pa.binary())])
-
-
-def _halves(part: int, near: int, far: int, anchor: int, first: int, context: bytes, length: int) -> Iterator[tuple]:
-    """(part, near, far, first, context) of a context whose windows start near to far bytes before its anchor, for each half of these."""
-    for a, b in ((near, (near + far) // 2), ((near + far) // 2 + 1, far)):
+#: Windows in their context, from ``near`` to ``far`` bytes before an anchor (all that have its gram, if not said); without a context, a span of repeated ones from first to stop.
+CONTEXTS = "part bigint, id bigint, version int, anchor bigint, first bigint, stop bigint, context binary"
+RANGED = f"{CONTEXTS}, near int, far int"
+_CONTEXTS = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("version", pa.int32()), ("anchor", pa.int64()), ("first", pa.int64()), ("stop", pa.int64()), ("context", pa.binary())])
+_RANGED = pa.schema([*_CONTEXTS, ("near", pa.int32()), ("far", pa.int32())])
+#: Ranges of distances that a gram with too many contexts is split into first.
+RANGES = 8
+
+
+def _ranges(part: int, near: int, far: int, pieces: int, anchor: int, first: int, context: bytes, length: int) -> Iterator[tuple]:
+    """(part, near, far, first, context) of a context whose windows start near to far bytes before its anchor, for each of ``pieces`` ranges of these."""
+    step = -(-(far - near + 1) // pieces)
+    for a in range(near, far + 1, step):
+        b = min(far, a + step - 1)
         begin, end = max(first, anchor - b), min(first + len(context), anchor - a + length)  # the context has windows from begin to end - length
         if end - begin >= length:
             shared = context[anchor - a - first : anchor - b + length - first]  # what all these windows have
@@ -209,27 +213,28 @@ def _halves(part: int, near: int, far: int, anchor: int, first: int, context: by
             yield int.from_bytes(key, "little", signed=True), a, b, begin, context[begin - first : end - first]
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Rows of SORTED from contexts that come sorted by part (their gram, or what stands for it), document and place.
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int = BLOCK, pieces: int = RANGES) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated windows from contexts that come sorted by part (their gram, or what stands for it), document and place.
 
-    A context equal to an earlier one of its part, which a dictionary knows, is
-    all repeated and needs no sorting. A part with more than ``block`` distinct
-    contexts goes on in halves, so memory holds at most two blocks.
+    Rows of CONTEXTS or RANGED come in, of RANGED go out; a span is one without a context. A context
+    equal to an earlier one of its part, which a dictionary knows, is all
+    repeated and needs no sorting. Those of a part with more than ``block``
+    distinct ones go on in ``pieces`` ranges, so memory holds at most two blocks.
     """
     rows, known, part, number, was, split = [], {}, None, -1, None, False
     out: list[tuple] = []
 
-    def spans() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_SORTED), _SORTED, strict=True)], schema=_SORTED)
+    def told() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_RANGED), _RANGED, strict=True)], schema=_RANGED)
         out.clear()
         return batch
 
     def found(doc: int, version: int, start: int, stop: int) -> None:
-        out.append((True, doc, version, start, stop, None, None, None, None, None))
+        out.append((hash((doc, start)), doc, version, start, start, stop, None, 0, 0))
 
     def go_on(h: int, doc: int, version: int, near: int, far: int, anchor: int, first: int, context: bytes) -> None:
-        for to, a, b, begin, body in _halves(h, near, far, anchor, first, context, length):
-            out.append((False, doc, version, begin, None, to, a, b, anchor, body))
+        for to, a, b, begin, body in _ranges(h, near, far, pieces, anchor, first, context, length):
+            out.append((to, doc, version, anchor, begin, None, body, a, b))
 
     def flushed() -> pa.RecordBatch:
         if rows:
@@ -241,14 +246,20 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int =
                 first = rows[r][4] - left  # the place of column 0
                 found(rows[r][1], rows[r][2], int(first + a), int(first + b - 1 + length))
             rows.clear()
-        return spans()
+        return told()
 
     for batch in batches:
+        if batch.num_columns == len(_CONTEXTS):
+            whole = [pa.array(np.full(batch.num_rows, n, np.int32)) for n in (0, length - GRAM)]
+            batch = pa.RecordBatch.from_arrays([*batch.columns, *whole], schema=_RANGED)
+        if batch.column(6).null_count == batch.num_rows:  # spans only
+            yield batch
+            continue
         for h, doc, version, anchor, first, stop, context, near, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if context is None:
                 found(doc, version, first, stop)
                 if len(out) >= block:
-                    yield spans()
+                    yield told()
                 continue
             if h != part:
                 part, number, known, split = h, number + 1, {}, False
@@ -272,7 +283,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int =
                 known[key] = True
                 rows.append((number, doc, version, context, anchor, first))
             if len(out) >= block:
-                yield spans()
+                yield told()
     yield flushed()
 
 
@@ -336,7 +347,6 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield waiting.select(["id", "version", "anchor"])
 
 
-CONTEXTS = "part bigint, id bigint, version int, anchor bigint, first bigint, stop bigint, context binary"
 
 
 def _context_rows(length: int):
@@ -366,7 +376,7 @@ def _context_rows(length: int):
             own_ids, own_versions, own_anchor = ids[text[kept]], versions[text[kept]], anchor[kept]
             part = np.where(aside, _spread(own_ids, own_versions, own_anchor), h[kept].view(np.int64))
             stop = pa.array(last[kept] + length, mask=~aside)
-            out = pa.RecordBatch.from_arrays([*map(pa.array, (part, own_ids, own_versions, own_anchor, first[kept])), stop, pa.array(bodies, pa.binary())], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+            out = pa.RecordBatch.from_arrays([*map(pa.array, (part, own_ids, own_versions, own_anchor, first[kept])), stop, pa.array(bodies, pa.binary())], schema=_CONTEXTS)
             yield out.filter(pa.array(~again))
 
     return listed
@@ -383,15 +393,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _repeated(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """(id, version, start, stop): spans of repeated windows from CONTEXTS with near and far, in as many passes as parts must be halved."""
-    passes = []
-    while True:
+    """(id, version, start, stop): spans of repeated windows from CONTEXTS.
+
+    Three passes: over grams, over the ranges of those with too many contexts,
+    over single distances. Spans go along, some numbers each, so all is one plan.
+    """
+    for pieces in (RANGES, length, 1):
         dealt = contexts.repartition("part").sortWithinPartitions("part", "id", "version", "anchor")
-        done = cut(dealt.mapInArrow(lambda batches: _sorted_blocks(batches, length, block), SORTED))  # some numbers a span
-        passes.append(done.where("span").select("id", "version", "start", "stop"))
-        contexts = done.where("not span").select("part", "id", "version", "anchor", F.col("start").alias("first"), F.col("stop"), "context", "near", "far")
-        if contexts.isEmpty():
-            return reduce(DataFrame.unionAll, passes)
+        contexts = dealt.mapInArrow(lambda batches, pieces=pieces: _sorted_blocks(batches, length, block, pieces), RANGED)
+    return contexts.select("id", "version", F.col("first").alias("start"), "stop")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, block: int = BLOCK) -> DataFrame:
@@ -430,7 +440,7 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, block:
     lists = twice.groupBy("id", "version").agg(F.collect_set("anchor").alias("anchors")).join(numbers, ["id", "version"]).select("id", "k0", "anchors").hint("shuffle_hash")
     contexts = heads_only.join(lists, ["id", "k0"]).select("id", "version", "body", "anchors", "row")
     contexts = contexts.mapInArrow(_context_rows(length), CONTEXTS)
-    spans = _repeated(contexts.withColumns({"near": F.lit(0), "far": F.lit(length - GRAM)}), length, block)
+    spans = _repeated(contexts, length, block)
     spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found")).join(numbers, ["id", "version"]).select("id", "k0", "found").hint("shuffle_hash")
     everything = joined.join(spans, ["id", "k0"], "left").select("row", "body", "copy", "found")
 

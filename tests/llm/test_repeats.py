@@ -104,4 +104,4 @@ def test_memory_of_a_gram_with_very_many_contexts():
     made = sum(b.num_rows for b in repeats._sorted_blocks(batches(200_000), 100, 2000))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert made == 400_000 and peak < 60 << 20
+    assert made == 1_600_000 and peak < 60 << 20
