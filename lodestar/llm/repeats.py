@@ -28,9 +28,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
@@ -213,13 +215,14 @@ def _ranges(part: int, near: int, far: int, pieces: int, anchor: int, first: int
             yield int.from_bytes(key, "little", signed=True), a, b, begin, context[begin - first : end - first]
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int = BLOCK, pieces: int = RANGES) -> Iterator[pa.RecordBatch]:
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int = BLOCK, pieces: int = RANGES, split_only: bool | None = None) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows from contexts that come sorted by part (their gram, or what stands for it), document and place.
 
     Rows of CONTEXTS or RANGED come in, of RANGED go out; a span is one without a context. A context
     equal to an earlier one of its part, which a dictionary knows, is all
     repeated and needs no sorting. Those of a part with more than ``block``
     distinct ones go on in ``pieces`` ranges, so memory holds at most two blocks.
+    ``split_only``: only these, for which nothing is sorted, or else only spans.
     """
     rows, known, part, number, was, split = [], {}, None, -1, None, False
     out: list[tuple] = []
@@ -230,13 +233,16 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int =
         return batch
 
     def found(doc: int, version: int, start: int, stop: int) -> None:
-        out.append((hash((doc, start)), doc, version, start, start, stop, None, 0, 0))
+        if not split_only:
+            out.append((hash((doc, start)), doc, version, start, start, stop, None, 0, 0))
 
     def go_on(h: int, doc: int, version: int, near: int, far: int, anchor: int, first: int, context: bytes) -> None:
-        for to, a, b, begin, body in _ranges(h, near, far, pieces, anchor, first, context, length):
+        for to, a, b, begin, body in () if split_only is False else _ranges(h, near, far, pieces, anchor, first, context, length):
             out.append((to, doc, version, anchor, begin, None, body, a, b))
 
     def flushed() -> pa.RecordBatch:
+        if split_only:
+            rows.clear()
         if rows:
             groups, before = np.array([r[0] for r in rows]), np.array([r[4] - r[5] for r in rows])
             marked = repeated_windows(groups, [r[3] for r in rows], before, length)
@@ -252,9 +258,8 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int =
         if batch.num_columns == len(_CONTEXTS):
             whole = [pa.array(np.full(batch.num_rows, n, np.int32)) for n in (0, length - GRAM)]
             batch = pa.RecordBatch.from_arrays([*batch.columns, *whole], schema=_RANGED)
-        if batch.column(6).null_count == batch.num_rows:  # spans only
-            yield batch
-            continue
+        if split_only:
+            batch = batch.filter(pc.is_valid(batch.column(6)))
         for h, doc, version, anchor, first, stop, context, near, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if context is None:
                 found(doc, version, first, stop)
@@ -396,12 +401,15 @@ def _repeated(contexts: DataFrame, length: int, block: int) -> DataFrame:
     """(id, version, start, stop): spans of repeated windows from CONTEXTS.
 
     Three passes: over grams, over the ranges of those with too many contexts,
-    over single distances. Spans go along, some numbers each, so all is one plan.
+    over single distances. Each pass reads its shuffled rows twice, for spans and
+    for what goes on, so spans aren't shuffled from pass to pass; all is one plan.
     """
+    passes = []
     for pieces in (RANGES, length, 1):
         dealt = contexts.repartition("part").sortWithinPartitions("part", "id", "version", "anchor")
-        contexts = dealt.mapInArrow(lambda batches, pieces=pieces: _sorted_blocks(batches, length, block, pieces), RANGED)
-    return contexts.select("id", "version", F.col("first").alias("start"), "stop")
+        spans, contexts = (dealt.mapInArrow(lambda batches, pieces=pieces, only=only: _sorted_blocks(batches, length, block, pieces, only), RANGED) for only in (False, True))
+        passes.append(spans.select("id", "version", F.col("first").alias("start"), "stop"))
+    return reduce(DataFrame.unionAll, passes)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, block: int = BLOCK) -> DataFrame:
