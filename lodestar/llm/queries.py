@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import images, language, minhash, mixing, packing, quality, repeats, simhash, toxicity, warc
+from . import images, language, lm, merging, minhash, mixing, packing, quality, repeats, simhash, spelling, toxicity, warc
 from .common import table
 
 
@@ -60,9 +60,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id after the merge of two drawn branches; nulls are empty first, a dropped row has three nulls."""
+    return merging.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under counts of the documents outside the held-out fold; a null text is its end only."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its commonest near word and the root that those lead to; null texts have no words."""
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op4_images, op5_minhash, op6_packing, op7_quality, op8_simhash, op9_warc, op10_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_language, op4_images, op5_minhash, op6_packing, op7_quality, op8_simhash, op9_warc, op10_repeats, op11_merge, op12_lm, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.REVISITS_SQL}
+    return {"op9_warc": warc.REVISITS_SQL, "op11_merge": merging.DIGEST_SQL, "op13_spelling": spelling.GROUP_SQL}
