@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +39,22 @@ from .common import cut, fold_of
 ORDER = 2
 #: Counts are held to this factor.
 BASE = 1.5
-#: Probes of a key, and bits for one: half of all bits are set, so a key that isn't there is found once in 2^PROBES.
-PROBES = 7
-BITS = PROBES / np.log(2)
+#: Bits that a key sets in one word of 64, and bits of the filter for each key: one that isn't there is found less than once in 100 times.
+PROBES = 5
+BITS = 12
 #: Weight of the lower order, in occurrences of the context.
 MASS = 30.0
 MOST_FILTER = 256 << 20
 #: Words whose exact counts are broadcast, at most, of 24 bytes each.
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 19
 #: Bytes of text a segment, tokens that a task counts before it sends them on, and bytes that are split at a time.
-SEGMENT, TOKENS, SLICE = 16 << 20, 2 << 20, 4 << 20
+SEGMENT, TOKENS, SLICE = 4 << 20, 1 << 20, 2 << 20
+#: Partitions that segments are dealt to, at most; each is gone through segment by segment.
+MOST_PARTITIONS = 1 << 14
 END = b""
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LEVEL = np.arange(256, dtype=np.uint64) * _GOLD
+_ONE = np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +102,7 @@ class Tokens:
         self.lo, self.hi = digests[:, 0].copy(), digests[:, 1].copy()
 
     def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order from 2 on: the places that have so many tokens before them, the n-grams that end there, and their contexts."""
+        """For each order from 2 on: the places that have so many tokens before them, the distinct n-grams that end there, and which of them does."""
         before, places = [], np.arange(len(self.ids))
         for k in range(1, order):
             shifted = np.r_[np.zeros(k, dtype=np.int64), self.ids[:-k]][: len(self.ids)]
@@ -106,23 +110,23 @@ class Tokens:
                 places = places[before[-1][places] != 0]
                 shifted[before[-1] == 0] = 0
             before.append(shifted)
-            context = self.lo[before[-1][places]]
-            for ids in before[-2::-1]:
-                context = _mix(context * _GOLD + self.lo[ids[places]])
-            yield places, _mix(context * _GOLD + self.lo[self.ids[places]]), context
+            key = self.lo[shifted[places]]
+            for ids in [*before[-2::-1], self.ids]:
+                key = _mix(key * _GOLD + self.lo[ids[places]])
+            yield places, *np.unique(key, return_inverse=True)
 
 
-def _slices(raws: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about SLICE bytes; a longer text is a run of its own."""
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Runs of texts of about SLICE bytes, with their bounds; a longer text is a run of its own."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, size = 0, 0
-    for i, raw in enumerate(raws):
-        n = len(raw or b"")
+    for i, n in enumerate(lengths):
         if i > start and size + n > SLICE:
-            yield start, i
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
-    if start < len(raws):
-        yield start, len(raws)
+    if start < len(lengths):
+        yield start, len(lengths), column.slice(start).to_pylist()
 
 
 def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -153,9 +157,9 @@ def _blocks(order: int, keys: list[np.ndarray], counts: np.ndarray, bits: int) -
             yield int(of[a]), order, b"".join([*(k[a:b].tobytes() for k in keys), counts[a:b].astype(np.uint32).tobytes()])
 
 
-def _read(order: int, block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def _read(order: int, block: pa.Buffer) -> tuple[list[np.ndarray], np.ndarray]:
     width = 2 if order == 1 else 1
-    n = len(block) // (8 * width + 4)
+    n = block.size // (8 * width + 4)
     return [np.frombuffer(block, np.uint64, n, 8 * n * i) for i in range(width)], np.frombuffer(block, np.uint32, n, 8 * n * width).astype(np.int64)
 
 
@@ -182,12 +186,11 @@ def _counter(order: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             return _batch(rows, _BLOCK)
 
         for batch in batches:
-            raws = batch.column(0).to_pylist()
-            for a, b in _slices(raws):
-                tokens = Tokens(raws[a:b])
+            for _, _, raws in _slices(batch.column(0)):
+                tokens = Tokens(raws)
                 held[1].append(([tokens.lo, tokens.hi], np.bincount(tokens.ids, minlength=len(tokens.lo))))
-                for k, (_, keys, _) in enumerate(tokens.grams(order), 2):
-                    held[k].append(([keys], np.ones(len(keys), dtype=np.int64)))
+                for k, (_, keys, which) in enumerate(tokens.grams(order), 2):
+                    held[k].append(([keys], np.bincount(which, minlength=len(keys))))
                 n += len(tokens.ids)
                 if n >= TOKENS:
                     yield told()
@@ -198,48 +201,46 @@ def _counter(order: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A segment's part of the filter: as many bits as its keys need, at least 64."""
+    """A segment's part of the filter: as many words of 64 bits as its keys need, at least one."""
     levels = levels_of(counts)
-    bits = np.zeros(-(-max(64, int(np.ceil(levels.sum() * BITS))) // 64) * 64, dtype=bool)
+    words = np.zeros(max(1, -(-int(levels.sum()) * BITS // 64)), dtype=np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _places(keys[levels >= level], level, np.uint64(len(bits))):
-            bits[at] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+        at, mask = _bits(keys[levels >= level], level, np.uint64(len(words)))
+        np.bitwise_or.at(words, at.astype(np.int64), mask)
+    return words.tobytes()
 
 
-def _places(keys: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+def _bits(keys: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word that holds (key, level), and its bits there."""
     key = _mix(keys + _LEVEL[level])
-    low, high = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (low + np.uint64(i) * high) % size
+    mask = _ONE << (key & np.uint64(63))
+    for i in range(1, PROBES):
+        mask |= _ONE << ((key >> np.uint64(6 * i)) & np.uint64(63))
+    return (key >> np.uint64(32)) % size, mask
 
 
 class Filter:
-    """Parts of the filter by segment, as one run of bytes; segments that aren't there hold nothing."""
+    """Parts of the filter by segment, as one run of words; segments that aren't there hold nothing."""
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
-        self.bits, n = bits, 1 << bits
-        sizes = np.zeros(n, dtype=np.int64)
-        for s, part in parts.items():
-            sizes[s] = len(part)
-        self.starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        self.sizes = (sizes * 8).astype(np.uint64)
-        self.bytes = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), dtype=np.uint8)
+    def __init__(self, parts: Iterable[tuple[int, bytes | memoryview]], bits: int, n_bytes: int):
+        self.bits, at = bits, 0
+        self.starts, self.sizes, self.words = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.uint64), np.zeros(n_bytes // 8, dtype=np.uint64)
+        for segment, part in parts:
+            own = np.frombuffer(part, dtype=np.uint64)
+            self.starts[segment], self.sizes[segment] = at, len(own)
+            self.words[at : at + len(own)] = own
+            at += len(own)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level that each key is held with, 0 for none: levels are probed in turn until one is missing."""
         out = np.zeros(len(keys), dtype=np.uint8)
         of = _segment(keys, self.bits)
         alive = np.flatnonzero(self.sizes[of] > 0)
-        level = 1
+        own, of, level = keys[alive], of[alive], 1
         while len(alive):
-            key = _mix(keys[alive] + _LEVEL[level])
-            low, high = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) | np.uint64(1)
-            start, size = self.starts[of[alive]], self.sizes[of[alive]]
-            for i in range(PROBES):
-                at = ((low + np.uint64(i) * high) % size).astype(np.int64)
-                hit = (self.bytes[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, low, high, start, size = alive[hit], low[hit], high[hit], start[hit], size[hit]
+            at, mask = _bits(own, level, self.sizes[of])
+            hit = (self.words[self.starts[of] + at] & mask) == mask
+            alive, own, of = alive[hit], own[hit], of[hit]
             out[alive] = level
             level += 1
         return out
@@ -265,11 +266,11 @@ def _merged(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             return _batch([*rows, (at, 0, len(part), 0, part)], _PART)
 
         for batch in batches:
-            for segment, k, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for segment, k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if segment != at and held:
                     yield told()
                 at = segment
-                held[k].append(block)
+                held[k].append(block.as_buffer())
         if held:
             yield told()
 
@@ -331,7 +332,7 @@ def fit(texts: DataFrame, order: int = ORDER, mass: float = MASS) -> Model:
     n_bytes = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, n_bytes / SEGMENT)))))
     blocks = rows.mapInArrow(_counter(order, bits), "segment int, part int, block binary")
-    parts = cut(blocks.repartition(1 << bits, "segment").sortWithinPartitions("segment", "part").mapInArrow(_merged(bits), "segment int, part int, size bigint, total bigint, block binary"))
+    parts = cut(blocks.repartition(min(1 << bits, MOST_PARTITIONS), "segment").sortWithinPartitions("segment", "part").mapInArrow(_merged(bits), "segment int, part int, size bigint, total bigint, block binary"))
     one = parts.agg(F.sum(F.when(F.col("part") == 1, F.col("total"))).alias("tokens"), F.sum(F.when(F.col("part") == 1, F.col("size"))).alias("words"), F.sum(F.when(F.col("part") == 0, F.col("size"))).alias("bytes")).first()
     return Model(parts, bits, order, one.tokens or 0, one.words or 0, one.bytes or 0, mass)
 
@@ -345,15 +346,23 @@ def probabilities(order_counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
     return p
 
 
-def _summary(tokens_ids: np.ndarray, sizes: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], word_levels: np.ndarray, exact: np.ndarray, model: tuple[int, int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known, base, score) of each text; ``exact`` counts below 0 are left to others."""
+def _summary(ids: np.ndarray, sizes: np.ndarray, word_levels: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], exact: np.ndarray, model: tuple[int, int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, base, score) of each text from the levels of its words and of the (places, levels) of longer n-grams; ``exact`` counts below 0 are left to others.
+
+    A context is the n-gram one shorter that ends a token earlier; what ends before a text begins is END.
+    """
     n_tokens, n_words, mass = model
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    singles = _MIDDLE[word_levels][tokens_ids]
-    longer = [(places, _MIDDLE[own], _MIDDLE[context]) for places, own, context in grams]
+    was = word_levels[ids]
+    singles, longer = _MIDDLE[was], []
+    for places, own in grams:
+        context = np.r_[word_levels[:1], was[:-1]][places]
+        longer.append((places, _MIDDLE[own], _MIDDLE[context]))
+        was = np.zeros_like(was)
+        was[places] = own
     score = np.add.reduceat(np.log10(probabilities(longer, singles, n_tokens, n_words, mass)), starts)
     base = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 1) / (n_tokens + n_words + 1)), 0.0)
-    return np.add.reduceat((exact > 0).astype(np.int64)[tokens_ids], starts), np.add.reduceat(base[tokens_ids], starts), score
+    return np.add.reduceat((exact > 0).astype(np.int64)[ids], starts), np.add.reduceat(base[ids], starts), score
 
 
 _ASKED = "row_id bigint, doc_id bigint, held_out boolean, raw binary"
@@ -375,26 +384,26 @@ def _broadcast_rows(model: Model, docs: DataFrame) -> DataFrame:
     lo, hi, n = (got.column(c).to_numpy() for c in ("lo", "hi", "n"))
     order = np.argsort(lo.view(np.uint64))
     parts = model.parts.where("part = 0").select("segment", "block").toArrow()  # at most MOST_FILTER bytes
-    held = dict(zip(parts.column("segment").to_pylist(), parts.column("block").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((Filter(held, model.bits), lo.view(np.uint64)[order], hi.view(np.uint64)[order], n[order]))
+    held = Filter(((s.as_py(), b.as_buffer()) for s, b in zip(parts.column("segment"), parts.column("block"), strict=True)), model.bits, model.n_bytes)
+    del parts, got
+    shared = spark.sparkContext.broadcast((held, lo.view(np.uint64)[order], hi.view(np.uint64)[order], n[order]))
     model.shares.append(shared)
     numbers, longest = (model.n_tokens, model.n_words, model.mass), model.order
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, keys, checks, counts = shared.value
         for batch in batches:
-            raws = batch.column(3).to_pylist()
             ids = [batch.column(i).to_pylist() for i in range(3)]
-            for a, b in _slices(raws):
-                tokens = Tokens(raws[a:b])
+            for a, b, raws in _slices(batch.column(3)):
+                tokens = Tokens(raws)
                 levels = filter_.levels(tokens.lo)
                 exact = np.where(levels > 0, -1, 0).astype(np.int64)  # what isn't in the filter doesn't occur
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, tokens.lo), len(keys) - 1)
                     hit = (keys[at] == tokens.lo) & (checks[at] == tokens.hi)
                     exact[hit] = counts[at[hit]]
-                grams = [(places, filter_.levels(own), filter_.levels(context)) for places, own, context in tokens.grams(longest)]
-                known, base, score = _summary(tokens.ids, tokens.sizes, grams, levels, exact, numbers)
+                grams = [(places, filter_.levels(own)[which]) for places, own, which in tokens.grams(longest)]
+                known, base, score = _summary(tokens.ids, tokens.sizes, levels, grams, exact, numbers)
                 own = [c[a:b] for c in ids]
                 yield _doc_rows(own, tokens.sizes, known, base, score, _mix(np.array(own[0], dtype=np.uint64)))
                 open_ = np.flatnonzero(exact[tokens.ids] < 0)
@@ -422,16 +431,15 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            raws = batch.column(3).to_pylist()
             ids = [batch.column(i).to_pylist() for i in range(3)]
-            for a, b in _slices(raws):
-                tokens = Tokens(raws[a:b])
+            for a, b, raws in _slices(batch.column(3)):
+                tokens = Tokens(raws)
                 grams = [*tokens.grams(longest)]
-                keys = np.concatenate([tokens.lo, *(x for _, own, context in grams for x in (own, context))])
+                keys = np.concatenate([tokens.lo, *(own for _, own, _ in grams)])
                 of = _segment(keys, bits)
                 order = np.argsort(of, kind="stable")
                 edges = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
-                rows = [(number, -1, 2, pickle.dumps(([c[a:b] for c in ids], tokens.ids, tokens.sizes, [g[0] for g in grams], order, len(tokens.lo))))]
+                rows = [(number, -1, 2, pickle.dumps(([c[a:b] for c in ids], tokens.ids, tokens.sizes, [(places, len(own), which) for places, own, which in grams], order, len(tokens.lo))))]
                 for s, e in zip(edges, np.r_[edges[1:], len(order)], strict=True):
                     own = order[s:e]
                     rows.append((number, int(of[own[0]]), 2, pickle.dumps((keys[own], tokens.hi[own[own < len(tokens.lo)]]))))  # words come first
@@ -446,7 +454,7 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
                 if segment != at:
                     at, filter_, words = segment, None, None
                 if part == 0:
-                    filter_ = Filter({segment: block}, bits)
+                    filter_ = Filter([(segment, block)], bits, len(block))
                 elif part == 1:
                     words = _words(block)
                 else:
@@ -472,10 +480,10 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
             exact = np.zeros(n_words, dtype=np.int64)
             exact[order[order < n_words]] = np.concatenate([a[1] for a in answers])
             grams, at = [], n_words
-            for p in places:
-                grams.append((p, levels[at : at + len(p)], levels[at + len(p) : at + 2 * len(p)]))
-                at += 2 * len(p)
-            known, base, score = _summary(tokens, sizes, grams, levels[:n_words], exact, numbers)
+            for where, n, which in places:
+                grams.append((where, levels[at : at + n][which]))
+                at += n
+            known, base, score = _summary(tokens, sizes, levels[:n_words], grams, exact, numbers)
             return _doc_rows(ids, sizes, known, base, score, np.zeros(len(sizes), dtype=np.uint64))
 
         for batch in batches:
@@ -491,7 +499,7 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
 
     sent = cut(docs.mapInArrow(asking, _SENT))  # read twice
     held = model.parts.select(F.lit(-1).cast("bigint").alias("slice"), "segment", "part", "block")
-    answers = held.unionByName(sent.where("segment >= 0")).repartition(1 << bits, "segment").sortWithinPartitions("segment", "part").mapInArrow(answering, _SENT)
+    answers = held.unionByName(sent.where("segment >= 0")).repartition(min(1 << bits, MOST_PARTITIONS), "segment").sortWithinPartitions("segment", "part").mapInArrow(answering, _SENT)
     back = sent.where("segment < 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "segment")
     return back.mapInArrow(gathered, _ROW).withColumn("n", F.lit(None).cast("bigint"))
 

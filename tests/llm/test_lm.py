@@ -66,7 +66,7 @@ def test_contract_columns_are_exact(docs):
 def test_scores_are_near_those_of_exact_counts(docs, order):
     want = {r[0]: r for r in plain(order, lm.MASS)}
     for r in lm.score(docs, order=order).collect():
-        assert r.score == pytest.approx(want[r.doc_id][6], abs=0.1 * r.n_tokens), r.doc_id  # counts are held to a factor of 1.5
+        assert r.score == pytest.approx(want[r.doc_id][6], abs=0.15 * order * r.n_tokens), r.doc_id  # counts are held to a factor of 1.5
         assert r.score <= 0
 
 
@@ -95,7 +95,7 @@ def test_filter_never_reads_too_low_and_seldom_too_high():
     counts = rng.zipf(1.7, len(keys)).clip(1, 10**9)
     of = lm._segment(keys, 4)
     parts = {s: lm.build(keys[of == s], counts[of == s]) for s in range(16)}
-    held_ = lm.Filter(parts, 4)
+    held_ = lm.Filter(parts.items(), 4, sum(map(len, parts.values())))
     levels = held_.levels(keys)
     assert (levels >= lm.levels_of(counts)).all() and (levels > lm.levels_of(counts)).mean() < 0.02
     assert (held_.levels(keys | np.uint64(1)) > 0).mean() < 0.02
