@@ -27,14 +27,19 @@ def first_hits(hits: DataFrame, order: list[Column], most: int, by: str = "query
     return _head(first, order, most, by)
 
 
+def fetchable(hits: DataFrame, focus: Column | None = None) -> DataFrame:
+    """The hits that may be fetched, with norm_url and key, which is equal for addresses that are one."""
+    wanted = ~urls.skipped(F.col("url")) if focus is None else F.coalesce(urls.focus_bypass(F.col("url"), focus), F.lit(False)) | ~urls.skipped(F.col("url"))
+    return hits.withColumn("norm_url", urls.normalized(F.col("url"))).where(F.col("norm_url").isNotNull() & wanted).withColumn("key", urls.dedup_key(F.col("norm_url")))
+
+
 def distinct_addresses(hits: DataFrame, order: list[Column], most: int, focus: Column | None = None, by: str = "query_id") -> DataFrame:
     """(by, norm_url, seq, ...): addresses to be fetched for a query, in order of arrival, at most ``most``.
 
     Those that are passed over are left out, unless the focus wants them, and
     addresses that differ in scheme, case or a slash at the end are one.
     """
-    wanted = ~urls.skipped(F.col("url")) if focus is None else F.coalesce(urls.focus_bypass(F.col("url"), focus), F.lit(False)) | ~urls.skipped(F.col("url"))
-    keyed = hits.withColumn("norm_url", urls.normalized(F.col("url"))).where(F.col("norm_url").isNotNull() & wanted).withColumn("key", urls.dedup_key(F.col("norm_url")))
+    keyed = fetchable(hits, focus)
     fields = [c for c in keyed.columns if c not in (by, "key")]
     first = keyed.groupBy(by, "key").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("x")).select(by, "x.*")
     return _head(first, order, most, by)

@@ -243,9 +243,9 @@ SQL = {
         b AS (SELECT *, lower(regexp_extract(t, '^([^\\n]*)', 1)) AS line, {TRIM.format("regexp_replace(t, '^[^\\n]*', '')")} AS rest FROM a),
         c AS (SELECT conv_id, turn, {TRIM.format(f"CASE WHEN {has('line', L.PREAMBLES)} AND rest <> '' THEN rest ELSE t END")} AS done FROM b)
         SELECT conv_id, turn, md5(done) AS md5, length(done) AS n_chars, strlen(done) < 80 OR (strlen(done) > 200 AND NOT regexp_matches(done, '\\[[123]\\]')) AS insufficient FROM c""",
-    "citation_overlap": rf"""WITH a AS (SELECT conv_id || '/' || turn AS key, {SAID} AS raw FROM conversations WHERE role = 'assistant' AND (conv_id * 7 + turn) % 2 = 0),
-        c AS (SELECT key, raw, regexp_extract(left(raw, length(raw) - 4), '(?s)^(?:.*\. )?(.*)$', 1) || '[1]' AS claim FROM a),
-        w AS (SELECT key, lower(' ' || left(raw, 400)) AS source, list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: strlen(x) > 3)) AS words FROM c),
+    "citation_overlap": rf"""WITH a AS (SELECT conv_id || '/' || turn AS key, {SAID} AS raw, conv_id FROM conversations WHERE role = 'assistant' AND (conv_id * 7 + turn) % 2 = 0),
+        c AS (SELECT key, d.text, regexp_extract(left(raw, length(raw) - 4), '(?s)^(?:.*\. )?(.*)$', 1) || '[1]' AS claim FROM a JOIN documents d ON d.doc_id = a.conv_id),
+        w AS (SELECT key, lower(' ' || text) AS source, list_distinct(list_filter(regexp_split_to_array(lower(claim), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: strlen(x) > 3)) AS words FROM c),
         o AS (SELECT key, len(list_filter(words, lambda x: contains(source, x))) / len(words) AS overlap FROM w WHERE len(words) > 0)
         SELECT key, 1 AS n, round(overlap, 6) AS overlap, overlap < 0.25 AS flagged FROM o""",
     "ndcg": f"WITH {JUDGED} SELECT query_id, round(dcg, 6) AS dcg, round(idcg, 6) AS idcg, round(ndcg, 6) AS ndcg FROM means",
@@ -375,3 +375,27 @@ SQL = {
     "iterative_reports": """WITH o AS (SELECT conv_id, list(text ORDER BY turn, text) AS b FROM conversations GROUP BY conv_id),
         r AS (SELECT conv_id, list_reduce(b, lambda s, x: CASE WHEN s = '' THEN x ELSE right(s, 200) || chr(10) || x END) AS report FROM o) SELECT conv_id, md5(report) AS md5, length(report) AS n_chars FROM r""",
 }
+#: Streams give what their tables do.
+SQL |= {"session_stream": SQL["session_ttl"], "batch_stream": SQL["count_or_timeout_batches"], "deadline_stream": SQL["deadline_filter"], "cooldown_stream": SQL["cooldown_state"], "fetch_list_stream": SQL["fetch_list"]}
+SQL["session_store"] = """
+WITH e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'wipe' WHEN 'error' THEN 'get' ELSE 'update' END AS c FROM events
+), s AS (
+  SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before FROM e WHERE c <> 'get'
+), b AS (
+  SELECT *, sum(CASE WHEN c IN ('create', 'wipe') OR before IS NULL OR us - before >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS g FROM s
+), x AS (
+  SELECT *, first_value(c) OVER w AS began, count(*) OVER w - 1 AS updates FROM b WINDOW w AS (PARTITION BY user_id, g ORDER BY us, event_id)
+), a AS (
+  SELECT e.*, last_value(CASE WHEN x.c IS NOT NULL THEN {'began': x.began, 'updates': x.updates, 'status': x.event_type, 'us': x.us} END IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.us, e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+  FROM e LEFT JOIN x ON x.user_id = e.user_id AND x.event_id = e.event_id
+), f AS (
+  SELECT *, coalesce(l.began = 'create' AND us - l.us < 86400000000, false) AS found FROM a WHERE c = 'get'
+)
+SELECT user_id, event_id, found, CASE WHEN found THEN l.status ELSE '' END AS status, (CASE WHEN found THEN l.updates ELSE -1 END)::BIGINT AS updates FROM f"""
+SQL["stored_results"] = r"""
+WITH e AS (SELECT page_id, regexp_replace(url, '^https?:', 'https:') AS u, unnest(['yahoo', 'mojeek', 'bing']) AS engine FROM pages)
+SELECT page_id, engine, 1 AS page, 1 AS rank_position, u AS url, 'Title one ' || page_id AS title, 'Said of one ' || page_id AS snippet FROM e
+UNION ALL SELECT page_id, engine, 1, 2, 'https://two.example/' || page_id, 'Title two ' || page_id, 'Said of two ' || page_id FROM e
+UNION ALL SELECT page_id, engine, 2, 1, u, 'Other title ' || page_id, 'Other words ' || page_id FROM e
+UNION ALL SELECT page_id, engine, 2, 2, 'https://three.example/' || page_id, 'Title three ' || page_id, 'Said of three ' || page_id FROM e"""

@@ -8,9 +8,9 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions import intent, lexicon, text, urls
 from ..operators import context, evaluation, fusion, ranking, responses
-from ..sources import engines, html, tables
+from ..sources import engines, html, results, tables
 from ..sources.tables import table
-from ..streaming import live, state
+from ..streaming import keyed, live, state
 
 YEAR = "2026"
 TOP = 10
@@ -199,7 +199,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages of which some have one in their head for others to show, or none, or one with their site's name."""
-    kind, tag = F.col("page_id") % 4, r"(?s)<title>(.*?)</title>"
+    kind, tag = F.col("page_id") % 4, r"(?s)<title>\s*(.*?)\s*</title>"
     page = F.when(kind == 1, F.regexp_replace("html", "<title>", F.concat(F.lit('<meta property="og:title" content=" Shown '), "page_id", F.lit(' "><title>')))).when(kind == 2, F.regexp_replace("html", tag, "")).when(kind == 3, F.regexp_replace("html", tag, "<title>$1 - Site | More</title>")).otherwise(F.col("html"))
     named = html.titles(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), page.alias("html")))
     return named.select(F.col("id").alias("page_id"), *(F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("title", "live_title")), F.length("title").alias("n_chars"))
@@ -247,8 +247,8 @@ def _hit_markup(engine: str, url: Column, title: Column, said: Column) -> Column
     return F.concat(F.lit('<div id="results">'), filled, F.lit("</div>")) if engine == "brave" else filled
 
 
-def engine_serps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four result pages of each of seven engines for every page's address: the third is empty, the second repeats a hit."""
+def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four result pages (id, engine, page, html) of each of seven engines for every page's address: the third is empty, the second repeats a hit."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("url", "^https?:", "https:").alias("u"))
     n = F.col("id").cast("string")
     hit = lambda engine, url, title, said: _hit_markup(engine, url, F.concat(F.lit(title), n), F.concat(F.lit(said), n))
@@ -259,8 +259,19 @@ def engine_serps(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("<p>nothing</p>"), hit(engine, F.concat(F.lit("https://four.example/"), n), "Title four ", "Said of four "),
         ]
         listed += [F.struct(F.lit(engine).alias("engine"), F.lit(k).alias("page"), body.alias("html")) for k, body in enumerate(bodies, 1)]
-    rows = pages.select("id", F.explode(F.array(*listed)).alias("x")).select("id", "x.*")
-    return html.merged(html.links(rows, "www.bing.com")).withColumnRenamed("id", "page_id")
+    return pages.select("id", F.explode(F.array(*listed)).alias("x")).select("id", "x.*")
+
+
+def engine_serps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.merged(html.links(_result_pages(spark, sf_dir), "www.bing.com")).withColumnRenamed("id", "page_id")
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the first two result pages of three engines, read from stored pages of all."""
+    folder = tables.new_folder(spark)
+    results.store(_result_pages(spark, sf_dir), folder, F.lit("www.bing.com"))
+    wanted = results.hits(spark, folder).where(F.col("engine").isin("yahoo", "mojeek", "bing") & (F.col("page") <= 2))
+    return wanted.withColumnRenamed("id", "page_id")
 
 
 def context_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,8 +307,10 @@ def answer_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a conversation's answers against the document of its number."""
     rows = tables.answers(spark, sf_dir).withColumn("key", F.concat_ws("/", "conv_id", "turn"))
-    sources = rows.select("key", F.lit(1).alias("n"), F.lit("").alias("title"), F.substring("raw", 1, 400).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text")
+    sources = rows.select("conv_id", "key").join(docs, "conv_id").select("key", F.lit(1).alias("n"), F.lit("").alias("title"), "text")
     found = context.citations(rows.select("key", F.col("raw").alias("answer")), sources, "key")
     return found.select("key", "n", F.round("overlap", 6).alias("overlap"), "flagged")
 
@@ -573,11 +586,65 @@ def iterative_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.reports(turns, 200).select(F.col("key").alias("conv_id"), F.md5(F.col("report").cast("binary")).alias("md5"), F.length("report").alias("n_chars"))
 
 
+def _replay(spark: SparkSession, rows: DataFrame, key: Column, id_: Column, word: Column, processor: keyed.InOrder) -> DataFrame:
+    """What the processor tells of rows that come as a stream, which is stopped and started again half way; the ending row's key is left out."""
+    told = keyed.replayed(rows, lambda s: keyed.kept(s, key, F.col("ts"), id_, word, processor), tables.new_folder(spark))
+    return told.where(F.col("key") >= 0)
+
+
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_ttl() of events that come as a stream."""
+    told = _replay(spark, table(spark, sf_dir, "events").select("ts", "user_id", "event_id", "event_type"), F.col("user_id"), F.col("event_id"), F.col("event_type"), keyed.Sessions())
+    last = told.groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("sessions", "longest", "last_status"), "seq").alias("x"))
+    return last.select("user_id", "x.*")
+
+
+#: What a kind of event is to a session store.
+COMMANDS = {"signup": "create", "purchase": "wipe", "error": "get"}
+
+
+def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session store's answers: sign-ups create a session, purchases wipe it, errors ask for it, all else updates it; it lives a day."""
+    command = F.concat_ws(" ", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in COMMANDS.items() for x in pair)), F.col("event_type")), F.lit("update")), F.col("event_type"))
+    told = _replay(spark, table(spark, sf_dir, "events").select("ts", "user_id", "event_id", "event_type"), F.col("user_id"), F.col("event_id"), command, keyed.Store(86_400))
+    return told.where("id is not null").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "found", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("updates", F.lit(-1)).alias("updates"))
+
+
+def batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_or_timeout_batches() of events that come as a stream."""
+    told = _replay(spark, table(spark, sf_dir, "events").select("ts", "user_id", "event_id"), F.col("user_id"), F.col("event_id"), F.lit(""), keyed.Batches(30, 3600))
+    return told.select(F.col("key").alias("user_id"), "batch", "n", "start")
+
+
+def deadline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deadline_filter() of events that come as a stream; late ones are told one by one."""
+    told = _replay(spark, table(spark, sf_dir, "events").select("ts", "event_id"), F.when(F.col("event_id") >= 0, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)).otherwise(-1), F.col("event_id"), F.lit(""), keyed.Deadline())
+    return told.groupBy(F.col("key").alias("minute")).agg(F.sum("kept").alias("kept"), F.count("late").alias("dropped"))
+
+
+def cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cooldown_state() of events that come as a stream."""
+    told = _replay(spark, table(spark, sf_dir, "events").select("ts", "user_id", "event_id", "event_type"), F.col("user_id"), F.col("event_id"), F.col("event_type"), keyed.Cooldowns())
+    return told.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "cooling")
+
+
+def fetch_list_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fetch_list() of hits that come as a stream in the order of arrival: a second for each engine's rank, a microsecond for each page."""
+    queries, hits = _query_hits(spark, sf_dir)
+    wanted = responses.fetchable(hits.join(F.broadcast(queries.select("query_id", "focus")), "query_id"), F.col("focus"))
+    engine = F.element_at(F.create_map(*(F.lit(x) for pair in (("bing", 0), ("google", 1), ("wiby", 2)) for x in pair)), F.col("engine"))
+    ts = F.timestamp_micros((engine * 100 + F.col("rank_position")).cast("bigint") * 1_000_000_000 + F.col("page_id"))
+    rows = wanted.select(ts.alias("ts"), "query_id", F.col("page_id").alias("id"), "key", "norm_url", "engine")
+    told = _replay(spark, rows, F.col("query_id"), F.col("id") * 3 + F.coalesce(engine, F.lit(0)), F.col("key"), keyed.FirstAddresses(15)).withColumnRenamed("key", "query_id")
+    named = rows.select("query_id", (F.col("id") * 3 + engine).alias("id"), "norm_url", "engine")
+    return told.join(named, ["query_id", "id"]).select("query_id", "seq", "norm_url", "engine")
+
+
 ALL = (
     rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, query_variations, query_year_live,
     mode_caps, tokenize_counts, doc_freq, corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, passage_scores, passage_ranking, silent_queries, sentence_chunks, chunk_overlap, text_quality, clean_dedupe,
     jaccard_pairs, title_extract, article_extract, video_pages, serp_parse, engine_serps, context_relevance, research_batches, lost_in_middle, context_budget, ranked_context, carried_report, answer_post_process,
     retry_choice, citation_overlap, ndcg, mrr, recall_at_k, eval_report, golden_eval, golden_report, engine_contribution, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
     deadline_filter, event_windows, engine_requests, serp_dedup, search_answers, fetch_list, fetch_rules, live_texts, largest_results, live_events, proxy_turns, model_list, paragraph_dedup, json_engines,
-    spoken_answers, count_or_timeout_batches, iterative_reports,
+    spoken_answers, count_or_timeout_batches, iterative_reports, session_stream, session_store, batch_stream, deadline_stream, cooldown_stream, fetch_list_stream, stored_results,
 )

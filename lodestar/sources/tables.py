@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; on one machine, without that setting, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="lodestar-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits (url, engine, rank_position, seq): every page by every engine, at a rank from 1 to LINKS that a hash gives."""
     hit = F.explode(F.array(*map(F.lit, ENGINES))).alias("engine")
