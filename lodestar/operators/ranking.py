@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import lexicon as L
 from ..functions import urls
 from ..functions.text import chunks, let, overlapped, tokens, trim
+from ..sources.tables import written
 
 
 #: Stands in a chunk's postings for the chunk itself; no token is empty.
@@ -45,8 +45,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.lower(trim(F.col("query"))).alias("phrase"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
-    """(query_id, phrase, key, bm25) of the chunks that share a term with a query.
+def title_hits(queries: DataFrame, titled: DataFrame, key: list[str]) -> DataFrame:
+    """(query_id, phrase, key) of rows (key, title) whose title contains a term, inside a word or as one.
+
+    Titles emit what stands in their words, up to the longest term's length, so terms are looked up and not searched for.
+    """
+    terms = query_terms(queries)
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    words = F.array_distinct(F.split(F.lower("title"), r"[^\p{IsAlphabetic}\p{N}]+"))
+    parts = titled.select(*key, F.explode(words).alias("word")).where("word <> ''").select(*key, "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    ends = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length("word") - F.col("at") + 1))
+    return terms.join(parts.select(*key, F.explode(F.transform(ends, lambda n: F.substring("word", F.col("at"), n))).alias("term")), "term").select("query_id", "phrase", *key)
+
+
+def zero_rows(asked: DataFrame, scored: DataFrame, rows: DataFrame, n: int, order: list[Column], key: str) -> DataFrame:
+    """(query_id, key, seq) of the rows without a score that fill up the lists of queries with less than ``n`` scored ones, in ``order``.
+
+    ``scored`` (query_id, key) holds all scored rows of such queries. The first 2 n rows of all are enough to choose from.
+    """
+    counted = scored.groupBy("query_id").agg(F.count("*").alias("m"))
+    short = asked.join(counted, "query_id", "left").select("query_id", F.coalesce("m", F.lit(0)).alias("m")).where(F.col("m") < n)
+    first = rows.orderBy(*order).limit(2 * n).select(key, F.row_number().over(Window.orderBy(*order)).alias("at"))
+    free = short.join(F.broadcast(first), F.lit(True)).join(scored.select("query_id", key), ["query_id", key], "left_anti")
+    numbered = free.withColumn("seq", F.col("m") + F.row_number().over(Window.partitionBy("query_id").orderBy("at")))
+    return numbered.where(F.col("seq") <= n).select("query_id", key, "seq")
+
+
+def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str], others: DataFrame | None = None) -> DataFrame:
+    """(query_id, phrase, key, bm25) of the chunks that share a term with a query, and of ``others`` (query_id, phrase, key).
 
     All queries see all chunks, so document frequencies are counted once. Only
     terms of queries are kept before anything is grouped.
@@ -60,7 +86,10 @@ def bm25_plus(queries: DataFrame, chunks: DataFrame, key: list[str]) -> DataFram
     norm = F.lit(L.BM25_K1) * (F.lit(1 - L.BM25_B) + F.lit(L.BM25_B) * F.greatest("dl", F.lit(1)) / F.col("avgdl"))
     part = idf * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + norm) + F.lit(L.BM25_DELTA) * idf
     scored = counted.join(frequency, "term").join(F.broadcast(one), F.lit(True)).withColumn("part", part)
-    return terms.join(scored, "term").groupBy("query_id", "phrase", *key).agg(F.sum("part").alias("bm25"))
+    parts = terms.join(scored, "term").select("query_id", "phrase", *key, "part")
+    if others is not None:
+        parts = parts.union(others.select("query_id", "phrase", *key, F.lit(0.0)))
+    return parts.groupBy("query_id", "phrase", *key).agg(F.sum("part").alias("bm25"))
 
 
 def with_bonuses(scored: DataFrame, text: str, title: str, terms: str, rrf: str | None = None, most: str | None = None, confidence: float = L.CONFIDENCE) -> DataFrame:
@@ -76,6 +105,10 @@ def _total(own: Column, rrf: str | None, most: str | None, confidence: float = L
     return own + L.CONFIDENCE_WEIGHT * (confidence - 0.5)
 
 
+#: Score of a row that has nothing of a query.
+NOTHING = round(L.CONFIDENCE_WEIGHT * (L.CONFIDENCE - 0.5), 9)
+
+
 def hopeful(scored: DataFrame, k: int, terms: str, rrf: str | None = None, most: str | None = None) -> DataFrame:
     """The rows that may be among the ``k`` best of their query once with_bonuses() knows their texts.
 
@@ -146,7 +179,7 @@ def diversified(ranked: DataFrame | Callable[[int, DataFrame | None], DataFrame]
     while True:
         rows = first(candidates, left).select(*names, "url", tokens(F.col("text")).alias("terms"))
         schema = StructType([*(rows.schema[c] for c in names), StructField("mmr_rank", IntegerType())])
-        got = rows.groupBy("query_id").applyInPandas(kernel(candidates), schema).persist(StorageLevel.MEMORY_AND_DISK)  # k short rows a query
+        got = written(rows.groupBy("query_id").applyInPandas(kernel(candidates), schema))  # k short rows a query
         done.append(got.where("mmr_rank is not null"))
         left = got.where("mmr_rank is null").select("query_id")
         if left.isEmpty():
@@ -159,31 +192,58 @@ class Passages:
 
     ``sources`` has source_id, url, title and text; ``votes`` norm_url and rrf,
     which go to sources by their normalised address, 0 where it has none.
-    chunk_id is a struct of source_id and the chunk's number. A passage must
-    share a term with a query to be scored for it.
+    chunk_id is a struct of source_id and the chunk's number. Passages that neither
+    share a term with a query nor have one in their title have no bonus; they fill
+    up its list if there aren't enough others.
     """
 
     def __init__(self, queries: DataFrame, sources: DataFrame, votes: DataFrame):
-        plain = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
-        split = sources.select("source_id", chunks(F.col("text")).alias("c")).select("source_id", F.posexplode(overlapped(F.col("c"))).alias("n", "text")).where(trim(F.col("text")) != "")
-        self.pieces = split.select(F.struct("source_id", "n").alias("chunk_id"), "text")
-        named = sources.select("source_id", "title", plain.alias("url")).join(votes.select(F.col("norm_url").alias("url"), "rrf"), "url", "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
-        most = votes.agg(F.coalesce(F.max("rrf"), F.lit(0.0)).alias("most"))
+        self.sources, self.queries, self.votes = sources, queries, votes
         self.terms = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
-        scored = bm25_plus(queries, self.pieces, ["chunk_id"]).withColumn("source_id", F.col("chunk_id.source_id")).join(named, "source_id").join(self.terms, "query_id")
-        self.scored = scored.join(F.broadcast(most), F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)  # numbers and names
+
+    @staticmethod
+    def _pieces(sources: DataFrame) -> DataFrame:
+        split = sources.select("source_id", chunks(F.col("text")).alias("c")).select("source_id", F.posexplode(overlapped(F.col("c"))).alias("n", "text")).where(trim(F.col("text")) != "")
+        return split.select(F.struct("source_id", "n").alias("chunk_id"), "text")
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return written(self._pieces(self.sources))
+
+    @cached_property
+    def named(self) -> DataFrame:
+        plain = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
+        return self.sources.select("source_id", "title", plain.alias("url")).join(self.votes.select(F.col("norm_url").alias("url"), "rrf"), "url", "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        most = self.votes.agg(F.coalesce(F.max("rrf"), F.lit(0.0)).alias("most"))
+        titled = title_hits(self.queries, self.sources.select("source_id", "title"), ["source_id"]).distinct()
+        others = titled.join(self.pieces.select("chunk_id", F.col("chunk_id.source_id").alias("source_id")), "source_id")
+        scored = bm25_plus(self.queries, self.pieces, ["chunk_id"], others).withColumn("source_id", F.col("chunk_id.source_id")).join(self.named, "source_id").join(self.terms, "query_id")
+        return written(scored.join(F.broadcast(most), F.lit(True)))
 
     def best(self, n: int, left: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, seq, text, url): the ``n`` best passages of each query, or of those in ``left``."""
-        rows = hopeful(self.scored if left is None else self.scored.join(left, "query_id", "left_semi"), n, "terms", "rrf", "most").join(self.pieces, "chunk_id")
-        return top_by_score(with_bonuses(rows, "text", "title", "terms", "rrf", "most").withColumn("score", F.round("score", 9)), n, "chunk_id")
+        scored = self.scored if left is None else self.scored.join(left, "query_id", "left_semi")
+        asked = self.terms.where(F.size("terms") > 0).select("query_id")
+        asked = asked if left is None else asked.join(left, "query_id", "left_semi")
+        rows = hopeful(scored, n, "terms", "rrf", "most").join(self.pieces, "chunk_id")
+        found = top_by_score(with_bonuses(rows, "text", "title", "terms", "rrf", "most").withColumn("score", F.round("score", 9)), n, "chunk_id")
+        names = ["query_id", "chunk_id", "score", "seq", "text", "url"]
+        zero = zero_rows(asked, scored, self.pieces.select("chunk_id", F.length("text").alias("size")), n, [F.desc("size"), F.col("chunk_id")], "chunk_id")
+        zero = zero.join(self.pieces, "chunk_id").join(self.named.select(F.col("source_id").alias("of"), "url"), F.col("chunk_id.source_id") == F.col("of"))
+        return found.select(*names).union(zero.withColumn("score", F.lit(NOTHING)).select(*names))
 
     def chosen(self, k: int, candidates: int = 100) -> DataFrame:
         """(query_id, chunk_id, score, mmr_rank): good passages that are unlike each other; of a query without terms the first ones, unscored, in order."""
-        picked = diversified(self.best, k, candidates, "chunk_id").select("query_id", "chunk_id", "score", "mmr_rank")
-        first = self.pieces.orderBy("chunk_id").limit(k).select("chunk_id").withColumn("mmr_rank", F.row_number().over(Window.orderBy("chunk_id")))
+        few = self.sources.where(trim(F.col("text")) != "").orderBy("source_id").limit(k)  # each has a passage at least
+        first = self._pieces(few).orderBy("chunk_id").limit(k).select("chunk_id").withColumn("mmr_rank", F.row_number().over(Window.orderBy("chunk_id")))
         silent = self.terms.where(F.size("terms") == 0).select("query_id")
-        return picked.union(silent.join(F.broadcast(first), F.lit(True)).select("query_id", "chunk_id", F.lit(None).cast("double"), "mmr_rank"))
+        told = silent.join(F.broadcast(first), F.lit(True)).select("query_id", "chunk_id", F.lit(None).cast("double").alias("score"), "mmr_rank")
+        if self.terms.where(F.size("terms") > 0).isEmpty():
+            return told
+        return diversified(self.best, k, candidates, "chunk_id").select("query_id", "chunk_id", "score", "mmr_rank").union(told)
 
 
 def top_by_score(scored: DataFrame, n: int, key: str) -> DataFrame:

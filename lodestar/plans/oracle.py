@@ -84,6 +84,8 @@ parts AS (
 bm AS (
   SELECT query_id, phrase, doc_id, sum(idf * tf * {L.BM25_K1 + 1} / (tf + {L.BM25_K1} * ({1 - L.BM25_B} + {L.BM25_B} * greatest(dl, 1) / avgdl)) + {L.BM25_DELTA} * idf) AS bm25
   FROM parts GROUP BY query_id, phrase, doc_id
+), filled AS (
+  SELECT query_id, phrase, doc_id, coalesce(bm25, 0) AS bm25 FROM (SELECT DISTINCT query_id, phrase FROM terms) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN bm USING (query_id, phrase, doc_id)
 )"""
 
 PIECES = r"string_split(regexp_replace({0}, '([.!?]) (\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1))"
@@ -127,12 +129,13 @@ SAID = r"CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN '<think>let me see' || chr(
 PLAIN = r"regexp_replace({0}, '(?is)<think>.*?(</think>|$)', '', 'g')"
 AT = "epoch_us(ts) / 1000000.0"
 SCORED = f"""
+per AS (SELECT query_id, list(term) AS ts FROM terms GROUP BY query_id),
 scored AS (
   SELECT query_id, doc_id, strlen(text) AS size, length(text) AS chars,
     (bm25 + CASE WHEN phrase <> '' AND contains(lower(text), phrase) THEN {L.PHRASE_BONUS} ELSE 0 END
-      + {L.TITLE_BONUS} * len(list_filter((SELECT list(term) FROM terms x WHERE x.query_id = bm.query_id), lambda t: contains(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:4], ' ')), t))))
+      + {L.TITLE_BONUS} * len(list_filter(ts, lambda t: contains(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:4], ' ')), t))))
     * (1 + {L.CONSENSUS} * ((doc_id % 7 + 1) / ({L.RRF_K} + doc_id % 40 + 1)) / (SELECT max((doc_id % 7 + 1) / ({L.RRF_K} + doc_id % 40 + 1)) FROM documents)) + {L.CONFIDENCE_WEIGHT} * ({L.CONFIDENCE} - 0.5) AS score
-  FROM bm JOIN documents USING (doc_id)
+  FROM filled bm JOIN documents USING (doc_id) JOIN per USING (query_id)
 )"""
 
 # judged lists of addresses: those of the last entry of a query count, under the normalised address if it is judged, else under the plain one
@@ -187,7 +190,7 @@ SQL = {
     "tokenize_counts": rf"SELECT doc_id, len({tokens('text')}) AS n_tokens, len(list_distinct({tokens('text')})) AS n_distinct, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: strlen(t) >= 2)) AS n_raw FROM documents",
     "doc_freq": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n_chunks, sum(n)::BIGINT AS total_tokens, round(greatest(sum(n), 1) / greatest(count(*), 1), 6) AS avgdl FROM (SELECT len({tokens('text')}) AS n FROM documents)",
-    "bm25_plus_topk": f"WITH {BM25} SELECT query_id, doc_id, bm25, rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10",
+    "bm25_plus_topk": f"WITH {BM25} SELECT query_id, doc_id, bm25, rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM filled) WHERE rank <= 10",
     "hybrid_scores": f"WITH {BM25}, {SCORED} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
     "mmr_topk": f"""WITH RECURSIVE {BM25}, {SCORED}, s AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chars DESC, doc_id) AS seq, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9) AS rel FROM (SELECT query_id, doc_id, chars, round(score, 9) AS score FROM scored)),
         t AS (SELECT doc_id, list_distinct(t) AS ts FROM docs),
@@ -358,7 +361,7 @@ SQL = {
         SELECT query_id, seq, kind, n, md5(t) AS md5 FROM s""",
     "proxy_turns": "SELECT page_id, ['http://a:1', 'http://b:2', 'http://c:3', 'socks5h://127.0.0.1:9050', 'socks5h://127.0.0.1:9051'][page_id % 5 + 1] AS proxy FROM pages",
     "model_list": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' || page_id || ',z' || page_id ELSE 'b' || page_id || ',g' || page_id END AS models FROM pages",
-    "silent_queries": f"WITH {CHUNKS}, f AS (SELECT doc_id AS source_id, i - 1 AS n, row_number() OVER (ORDER BY doc_id, i) AS mmr_rank FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)) SELECT q AS query_id, source_id, n, mmr_rank FROM f CROSS JOIN (SELECT unnest([1, 2]) AS q) WHERE mmr_rank <= 10",
+    "silent_queries": f"WITH {CHUNKS}, f AS (SELECT doc_id AS source_id, i - 1 AS n, row_number() OVER (ORDER BY doc_id, i) AS mmr_rank FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)) SELECT q AS query_id, source_id, n, mmr_rank FROM f CROSS JOIN (SELECT item_id AS q FROM benchmark) WHERE mmr_rank <= 10",
     "passage_scores": f"""WITH {CHUNKS}, e AS (SELECT doc_id, c, i, CAST(floor(length(c[i - 1]) * 0.15) AS INT) AS n FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chunked)),
         w AS (SELECT *, {TRIM.format("CASE WHEN contains(right(c[i - 1], n), ' ') THEN substr(right(c[i - 1], n), strpos(right(c[i - 1], n), ' ')) ELSE right(c[i - 1], n) END")} AS lead FROM e),
         o AS (SELECT doc_id, i - 1 AS place, CASE WHEN i = 1 OR n <= 10 OR lead = '' THEN c[i] ELSE lead || '… ' || c[i] END AS chunk FROM w),
@@ -369,7 +372,7 @@ SQL = {
         votes AS (SELECT doc_id, (1.5 + CAST(CAST(0.8 AS FLOAT) AS DOUBLE)) / (60.0 + doc_id % 40 + 1) AS rrf FROM documents WHERE doc_id % 3 = 0),
         named AS (SELECT doc_id, lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:4], ' ')) AS title FROM documents), per AS (SELECT query_id, list(term) AS ts FROM terms GROUP BY query_id),
         scored AS (SELECT query_id, doc_id, place, chunk, round((bm25 + CASE WHEN phrase <> '' AND contains(lower(chunk), phrase) THEN 1.25 ELSE 0 END + 0.5 * len(list_filter(ts, lambda x: contains(title, x)))) * (1 + 0.5 * coalesce(rrf, 0) / (SELECT max(rrf) FROM votes)) + 0.05 * (0.7 - 0.5), 9) AS score
-                   FROM bm JOIN split USING (doc_id, place) JOIN named USING (doc_id) JOIN per USING (query_id) LEFT JOIN votes USING (doc_id)),
+                   FROM (SELECT query_id, phrase, doc_id, place, coalesce(bm25, 0) AS bm25 FROM (SELECT DISTINCT query_id, phrase FROM terms) CROSS JOIN (SELECT doc_id, place FROM split) LEFT JOIN bm USING (query_id, phrase, doc_id, place)) bm JOIN split USING (doc_id, place) JOIN named USING (doc_id) JOIN per USING (query_id) LEFT JOIN votes USING (doc_id)),
         best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(chunk) DESC, doc_id, place) AS k FROM scored)
         SELECT query_id, doc_id AS source_id, place AS n, round(score, 6) AS score FROM best WHERE k <= 10""",
     "iterative_reports": """WITH o AS (SELECT conv_id, list(text ORDER BY turn, text) AS b FROM conversations GROUP BY conv_id),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import intent, lexicon, text, urls
 from ..operators import context, evaluation, fusion, ranking, responses
@@ -108,7 +107,14 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_plus_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ranking.bm25_plus(tables.benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("bm25", F.round("bm25", 6))
-    return fusion.top(scored, TOP, "bm25", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "bm25", "rank")
+    best = fusion.top(scored, TOP, "bm25", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "bm25", "rank").persist()  # ten numbers a query
+    return best.union(_unscored(spark, sf_dir, best, TOP, [F.col("doc_id")]).select("query_id", "doc_id", F.lit(0.0), "seq"))
+
+
+def _unscored(spark: SparkSession, sf_dir: str, scored: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """Documents that fill up the lists of the benchmark's queries."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
+    return ranking.zero_rows(ranking.query_terms(tables.benchmark_queries(spark, sf_dir)).select("query_id").distinct(), scored, docs, n, order, "doc_id")
 
 
 class _Hybrid:
@@ -123,7 +129,8 @@ class _Hybrid:
         rrf = (F.col("doc_id") % 7 + 1) / (F.lit(lexicon.RRF_K) + F.col("doc_id") % 40 + 1)
         self.named = docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ").alias("title"), "text")
         terms = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
-        scored = ranking.bm25_plus(queries, docs, ["doc_id"]).withColumn("rrf", rrf).join(terms, "query_id")
+        titled = ranking.title_hits(queries, self.named, ["doc_id"])
+        scored = ranking.bm25_plus(queries, docs, ["doc_id"], titled).withColumn("rrf", rrf).join(terms, "query_id")
         self.scored = scored.join(F.broadcast(docs.agg(F.max(rrf).alias("most"))), F.lit(True))
 
     def best(self, k: int, left: DataFrame | None = None) -> DataFrame:
@@ -134,13 +141,21 @@ class _Hybrid:
 
 def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _Hybrid(spark, sf_dir).best(TOP).withColumn("score", F.round("score", 6))
-    return fusion.top(scored, TOP, "score", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "score", "rank")
+    best = fusion.top(scored, TOP, "score", ("query_id",), ("doc_id",)).select("query_id", "doc_id", "score", "rank").persist()  # ten numbers a query
+    return best.union(_unscored(spark, sf_dir, best, TOP, [F.col("doc_id")]).select("query_id", "doc_id", F.lit(ranking.NOTHING), "seq"))
 
 
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hybrid = _Hybrid(spark, sf_dir)
-    hybrid.scored = hybrid.scored.persist(StorageLevel.MEMORY_AND_DISK)  # some numbers a row, read again for more candidates
-    ranked = lambda n, left: ranking.top_by_score(hybrid.best(n, left).withColumn("score", F.round("score", 9)), n, "doc_id")
+    hybrid.scored = tables.written(hybrid.scored)  # some numbers a row, read again for more candidates
+
+    def ranked(n: int, left: DataFrame | None) -> DataFrame:
+        names = ["query_id", "doc_id", "score", "seq", "text", "url"]
+        found = ranking.top_by_score(hybrid.best(n, left).withColumn("score", F.round("score", 9)), n, "doc_id").select(*names)
+        zero = _unscored(spark, sf_dir, hybrid.scored, n, [F.desc("size"), F.col("doc_id")])
+        zero = zero if left is None else zero.join(left, "query_id", "left_semi")
+        return found.union(zero.join(hybrid.named, "doc_id").withColumn("score", F.lit(ranking.NOTHING)).select(*names))
+
     return ranking.diversified(ranked, TOP, CANDIDATES).select("query_id", "doc_id", F.round("score", 6).alias("score"), "seq", "mmr_rank")
 
 
@@ -163,9 +178,10 @@ def passage_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries of stop words only: the first passages, in order."""
+    """The stop words of each benchmark query, without the others: the first passages, in order."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit("https://a.example").alias("url"), F.lit("").alias("title"), "text")
-    queries = spark.createDataFrame([(1, "the of and"), (2, "to be or not to be")], "query_id bigint, query string")
+    said = F.array_join(F.filter(F.split(F.lower("query"), " "), lambda w: w.isin(*lexicon.STOPWORDS)), " ")
+    queries = tables.benchmark_queries(spark, sf_dir).select("query_id", said.alias("query"))
     votes = spark.createDataFrame([], "norm_url string, rrf double")
     return ranking.Passages(queries, docs, votes).chosen(TOP).select("query_id", "chunk_id.source_id", "chunk_id.n", "mmr_rank")
 

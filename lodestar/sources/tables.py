@@ -26,6 +26,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, so that it is computed once and its lineage ends."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits (url, engine, rank_position, seq): every page by every engine, at a rank from 1 to LINKS that a hash gives."""
     hit = F.explode(F.array(*map(F.lit, ENGINES))).alias("engine")
