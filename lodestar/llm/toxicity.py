@@ -34,16 +34,20 @@ INVISIBLE = tuple("­​‌‍⁠﻿")
 COST_SIGN, COST_GAP, COST_RUN = 0.7, 5.0, 0.5
 # A letter that is read once though it stands twice, if less than half of the others do, and a separator passed over inside a word.
 COST_DOUBLE, COST_JOIN = 6.0, 2.0
+# A sign that is none where a word ends.
+COST_END = 1.0
 
 _L = r"[^\W\d_]"
 _S = "[" + re.escape("".join(SIGNS)) + "]"
-#: One sign of any kind, or up to three of white space.
-_D = r"(?:[^\w\s]|_|\s{1,3})"
+#: One sign of any kind, or a run of white space.
+_D = r"(?:[^\w\s]|_|\s+)"
 _X = f"(?:{_L}|{_S})"
+#: Signs that are letters at the end of a word more often than they end a sentence; three equal ones are ornament there.
+_E = "[" + re.escape("".join(c for c in SIGNS if c not in "!|+*")) + "]"
 #: Letters spelled out one by one; fragments of one or two letters; a sign between or before letters, a letter twice, a separator between letters.
 SPELLED = re.compile(rf"(?<![^\W_])(?<!{_S}){_X}(?:({_D}){_X}(?![^\W_]|{_S})(?=\1|\W|$)){{2,}}")
 FRAGMENTS = re.compile(rf"(?<!\w){_L}{{1,2}}(?:\s{_L}{{1,2}}(?!\w)){{2,}}")
-TRACE = re.compile(rf"(?<={_L}){_S}+(?={_L})|(?<![\w]){_S}{{1,3}}(?={_L})|({_L})\1|(?<={_L})(?:[^\w\s]|_)(?={_L})")
+TRACE = re.compile(rf"(?<={_L}){_S}+(?={_L})|(?<![\w]){_S}{{1,3}}(?={_L})|({_L})\1|(?<={_L})(?:[^\w\s]|_)(?={_L})|(?<={_L})(?!(?P<o>.)(?P=o)(?P=o)){_E}+(?=[\W_]*$)")
 RUN = re.compile(rf"({_L})\1*")
 DOUBLED = re.compile(r"(.)\1")
 WHITE = re.compile(r"(\s+)")
@@ -99,8 +103,9 @@ def lattice(span: str, spelled: bool) -> list[list[tuple[str, float]]]:
                 steps.append([(c, 0.0)])
         elif c in SIGNS:
             apart = [("", 0.0)] if spelled and c in SEPARATORS else []
-            for _ in range(j - i):
-                steps.append([(x, COST_SIGN) for x in SIGNS[c]] + apart + [(" ", COST_GAP)])
+            ends = not any(map(str.isalpha, span[j:]))
+            for k in range(j - i):
+                steps.append([(x, COST_SIGN) for x in SIGNS[c]] + apart + [(" ", (0.0 if k else COST_END) if ends else COST_GAP)])
         elif spelled:
             steps.append([("", 0.0), (" ", COST_GAP)])
         elif j - i == 1 and not c.isdigit() and 0 < i and span[i - 1].isalpha() and span[j : j + 1].isalpha():

@@ -121,7 +121,7 @@ def test_disguises(restored, text, plain):
 
 @pytest.mark.parametrize(
     ("text", "plain"),
-    [("iiddiioott", "idiot"), ("id-iot", "idiot"), ("mo.ron", "moron"), ("cl_own", "clown"), ("s c u m", "scum"), ("i:d:i:o:t", "idiot"), ("i—d—i—o—t", "idiot"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("a n d", "and"), ("tr as h", "trash"), ("st-up-id", "stupid")],
+    [("iiddiioott", "idiot"), ("id-iot", "idiot"), ("mo.ron", "moron"), ("cl_own", "clown"), ("s c u m", "scum"), ("i:d:i:o:t", "idiot"), ("i—d—i—o—t", "idiot"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("a n d", "and"), ("i    d    i    o    t", "idiot"), ("idio7", "idiot"), ("5tup1d", "stupid"), ("tra$h", "trash"), ("tr as h", "trash"), ("st-up-id", "stupid")],
 )
 def test_further_disguises(restored, text, plain):
     assert f" {plain} " in restored(f"the {text} one")
