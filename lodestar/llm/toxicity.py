@@ -141,7 +141,7 @@ def decode(span: str, spelled: bool, model) -> str:
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Tokens whose plain reading a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 30_000
 
 
 class Restorer:
