@@ -89,6 +89,7 @@ def focus_bypass(url: Column, focus: Column) -> Column:
 
 
 def old_reddit(url: Column) -> Column:
+    """The address that is fetched for one of the forum's: its old host, whose pages are plain."""
     return F.regexp_replace(url, r"://(?:www\.)?reddit\.com", "://old.reddit.com")
 
 

@@ -94,18 +94,60 @@ def golden_report(run: DataFrame, golden: DataFrame) -> DataFrame:
     return means.join(run.agg(F.count_distinct("query").alias("queries_evaluated")), F.lit(True))
 
 
+#: Bits of an ordered value that are left out at each level of percentiles(); a level has 2^22 buckets at most.
+LEVELS = (44, 22, 0)
+#: So many groups are broadcast, more are joined by a shuffle.
+MANY_GROUPS = 100_000
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as the long whose order is the double's: its IEEE bits, negated below 0; both zeros are 0, NaN is the largest."""
+    size = F.abs(value)
+    guess = F.greatest(F.lit(-1022), F.floor(F.log2(size)).cast("int"))
+    most = size / F.pow(F.lit(2.0), guess)  # the logarithm is rounded, so the guess can be one off
+    exponent = guess + F.when(most >= 2, 1).when((most < 1) & (guess > -1022), -1).otherwise(0)
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0**52)
+    bits = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
+    infinite = F.lit(0x7FF << 52)
+    signed = F.when(size == float("inf"), infinite).otherwise(bits)
+    return F.when(F.isnan(value), infinite + 1).when(value == 0, F.lit(0).cast("bigint")).when(value < 0, -signed).otherwise(signed)
+
+
 def percentiles(samples: DataFrame, by: str, value: str, shares: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Nearest-rank percentiles and the mean of each group: the value at index round(p / 100 * (n - 1)).
 
-    The values of a group are counted by distinct value first, so only their
-    running sum is sorted, not all rows.
+    Values (read as doubles) are selected exactly by histograms of their ordered
+    bits: the first level counts all of a group's values in buckets of equal
+    leading bits, each next one only those in the buckets that hold a rank. So
+    what is shuffled and sorted is buckets, at most 2^22 of a group a level,
+    however many values there are. ``samples`` is read once a level. Null values
+    are passed over, NaN is the largest, a null group is a group, and a group
+    without values has no row.
     """
-    counted = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value))
-    total = F.sum("n").over(Window.partitionBy(by))
-    placed = counted.withColumns({"upto": upto, "total": total})
-    at = lambda p: F.floor(F.lit(p / 100.0) * (F.col("total") - 1) + 0.5)
-    return placed.groupBy(by).agg(F.first("total").alias("n"), *(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in shares), (F.sum(F.col(value) * F.col("n")) / F.first("total")).alias("mean"))
+    rows = samples.select(F.col(by).alias("g"), F.col(value).alias("v")).where(F.col("v").isNotNull())
+    rows = rows.withColumn("bits", ordered_bits(F.col("v").cast("double")))
+    few = rows.select("g").distinct().limit(MANY_GROUPS + 1).count() <= MANY_GROUPS
+    first = rows.groupBy("g", F.shiftright("bits", LEVELS[0]).alias("at")).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.min("v").alias("v"))
+    group, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("at")
+    placed = first.withColumns({"upto": F.sum("n").over(before), "total": F.sum("n").over(group), "mean": F.sum("s").over(group) / F.sum("n").over(group)})
+    rank = lambda p: F.floor(F.lit(p / 100.0) * (F.col("total") - 1) + 0.5)
+    wanted = F.array(*(F.struct(F.lit(p).alias("p"), rank(p).alias("rest")) for p in shares))
+    picked = _holding(placed.withColumn("wanted", wanted), ["total", "mean"])
+    for upper, lower in zip(LEVELS, LEVELS[1:]):
+        asked = picked.select(F.col("g").alias("of"), F.col("at").alias("within"), "wanted", "total", "mean")
+        met = rows.join(F.broadcast(asked) if few else asked, F.col("g").eqNullSafe(F.col("of")) & (F.shiftright("bits", upper) == F.col("within")))
+        counted = met.groupBy("g", "within", F.shiftright("bits", lower).alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("v"), *(F.first(c).alias(c) for c in ("wanted", "total", "mean")))
+        picked = _holding(counted.withColumn("upto", F.sum("n").over(Window.partitionBy("g", "within").orderBy("at"))), ["total", "mean"])
+    one = picked.select("g", "total", "mean", "v", F.explode("wanted").alias("w"))
+    found = one.groupBy("g").agg(F.first("total").alias("n"), *(F.min(F.when(F.col("w.p") == p, F.col("v"))).alias(f"p{p}") for p in shares), F.first("mean").alias("mean"))
+    return found.withColumnRenamed("g", by)
+
+
+def _holding(placed: DataFrame, more: list[str]) -> DataFrame:
+    """The buckets (g, at, n, upto, v) that hold a wanted rank, with ranks counted from the bucket's start."""
+    start = F.col("upto") - F.col("n")
+    held = F.transform(F.filter("wanted", lambda w: (w.rest >= start) & (w.rest < F.col("upto"))), lambda w: F.struct(w.p.alias("p"), (w.rest - start).alias("rest")))
+    return placed.select("g", "at", "v", held.alias("wanted"), *more).where(F.size("wanted") > 0)
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -124,3 +166,18 @@ def contribution(hits: DataFrame, final: DataFrame) -> DataFrame:
     kept = named.join(final.select("norm_url", F.lit(1).alias("kept")).distinct(), "norm_url", "left")
     counted = kept.groupBy("engine").agg(F.sum("n").alias("returned"), F.coalesce(F.sum(F.when(F.col("kept") == 1, F.col("n"))), F.lit(0)).alias("in_final"))
     return counted.withColumn("contribution_rate", share(F.col("in_final"), F.col("returned")))
+
+
+def whole_report(means: DataFrame, latency: DataFrame, engines: DataFrame, ratios: DataFrame, confidence: DataFrame, stamp: Column, version: str) -> DataFrame:
+    """All of an evaluation in one row: when it was made and by which version, means, latencies, health by engine, ratios, confidence.
+
+    ``means``, ``latency``, ``ratios`` and ``confidence`` have one row each;
+    ``engines`` is health() by the column engine, whose names are a short list,
+    and becomes a map. Without engines the map is empty.
+    """
+    state = F.struct("total", "succeeded", "failed", "success_rate")
+    mapped = engines.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", state)))).alias("engine_health"))
+    one = means
+    for part in (latency, mapped, ratios, confidence):
+        one = one.join(F.broadcast(part), F.lit(True))
+    return one.select(stamp.alias("generated_at"), F.lit(version).alias("version"), *one.columns)

@@ -95,6 +95,11 @@ def live_text(text: Column, focus: Column) -> Column:
     return F.when((n >= least) & ~(lite & (n < SHORT_LITE)), kept)
 
 
+def read_text(text: Column) -> Column:
+    """What a batch search keeps of a page's text, null if it is too short."""
+    return F.when(F.octet_length(text) >= LEAST_TEXT, text)
+
+
 def by_size(results: DataFrame, size: Column, by: str = "query_id") -> DataFrame:
     """With place: results that weren't ranked, the largest first, as they came where sizes are equal (column seq)."""
     return results.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(size.desc(), "seq")))

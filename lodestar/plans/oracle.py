@@ -380,6 +380,20 @@ SQL = {
 }
 #: Streams give what their tables do.
 SQL |= {"session_stream": SQL["session_ttl"], "batch_stream": SQL["count_or_timeout_batches"], "deadline_stream": SQL["deadline_filter"], "cooldown_stream": SQL["cooldown_state"], "fetch_list_stream": SQL["fetch_list"]}
+SQL["fetch_addresses"] = f"SELECT query_id, seq, regexp_replace(norm_url, '://(www\\.)?reddit\\.com', '://old.reddit.com') AS address FROM ({SQL['fetch_list']})"
+SQL["page_texts"] = """
+WITH v AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, page_id % 6 AS kind, unnest([false, true]) AS live FROM pages),
+  t AS (SELECT *, ' of page ' || n || ', which says enough about its matter to be taken for an article by any reader of it.' AS said,
+               'Shown in short for page ' || n || chr(10) || chr(10) || 'Found by those who look for ' || n AS head FROM v),
+  w AS (SELECT *, CASE WHEN kind IN (0, 1) THEN 'json_ld' WHEN kind = 2 THEN 'semantic' WHEN kind = 3 OR (kind = 4 AND NOT live) THEN 'meta' WHEN kind = 4 THEN 'elements' ELSE 'body' END AS strategy,
+               CASE kind WHEN 0 THEN 'The body' || said WHEN 1 THEN 'Description' || said WHEN 2 THEN 'Paragraph' || said WHEN 3 THEN head WHEN 4 THEN CASE WHEN live THEN 'Only a line of ' || n ELSE head END ELSE 'Hardly a word, ' || n END AS text FROM t)
+SELECT page_id, live, CASE WHEN live THEN 'Page ' || n ELSE 'Page ' || n || ' - Site | More' END AS title, strategy, md5(text) AS md5, strlen(text) >= CASE WHEN live THEN 10 ELSE 50 END AS kept FROM w"""
+SQL["whole_report"] = f"""
+WITH h AS (SELECT 'engine_' || user_id % 8 AS engine, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1)
+SELECT (SELECT max(epoch_us(ts)) FROM events) AS generated_at, '1' AS version, g.*, e.latency_p50, e.latency_p95, e.latency_p99, (SELECT round(avg(value), 6) FROM events) AS latency_mean,
+       (SELECT string_agg(engine || ' ' || total || ' ' || succeeded || ' ' || failed, '|' ORDER BY engine) FROM h) AS engine_health,
+       e.engine_hit_ratio, e.scrape_hit_ratio, e.answer_hit_ratio, 0.7::DOUBLE AS avg_extraction_confidence
+FROM ({SQL['golden_report']}) g, ({SQL['eval_report']}) e"""
 SQL["session_store"] = """
 WITH e AS (
   SELECT user_id, event_id, epoch_us(ts) AS us, event_type, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'wipe' WHEN 'error' THEN 'get' ELSE 'update' END AS c FROM events

@@ -225,6 +225,29 @@ def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.articles(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")).withColumnRenamed("id", "page_id")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article stands in JSON objects (one, a list, an unknown kind), in their head, in short elements or nowhere, read in both ways."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 6
+    said = lambda what: F.concat(F.lit(f"{what} of page "), n, F.lit(", which says enough about its matter to be taken for an article by any reader of it."))
+    of = F.element_at(F.array(*map(F.lit, html.KINDS)), (F.col("page_id") % len(html.KINDS) + 1).cast("int"))
+    script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    one = lambda t, name, body: F.to_json(F.struct(t.alias("@type"), body.alias(name)))
+    listed = F.concat(F.lit("["), one(F.lit("Thing"), "articleBody", said("Nothing")), F.lit(","), F.to_json(F.struct(of.alias("@type"), F.lit("short").alias("articleBody"), said("Description").alias("description"))), F.lit("]"))
+    head = F.concat(F.lit('<meta property="og:description" content="Shown in short for page '), n, F.lit('"><meta name="description" content="Found by those who look for '), n, F.lit('">'))
+    body = (
+        F.when(kind == 0, script(one(of, "articleBody", said("The body"))))
+        .when(kind == 1, script(listed))
+        .when(kind == 2, F.concat(script(one(F.lit("Thing"), "articleBody", said("Nothing"))), F.lit("<article><p>"), said("Paragraph"), F.lit("</p></article>")))
+        .when(kind == 3, head)
+        .when(kind == 4, F.concat(head, F.lit("<ul><li>Only a line of "), n, F.lit("</li></ul>")))
+        .otherwise(F.concat(F.lit("<body><b>Hardly a word, "), n, F.lit("</b></body>")))
+    )
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("<title>Page "), n, F.lit(" - Site | More</title>"), body).alias("html"))
+    batch = html.articles(pages).select("*", F.lit(False).alias("live"), responses.read_text(F.col("text")).isNotNull().alias("kept"))
+    live = html.articles(pages, live=True).select("*", F.lit(True).alias("live"), responses.live_text(F.col("text"), F.lit("reddit")).isNotNull().alias("kept"))
+    return batch.union(live).select(F.col("id").alias("page_id"), "live", "title", "strategy", F.md5(F.col("text").cast("binary")).alias("md5"), "kept")
+
+
 def video_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of videos: half have their description in JSON, all a long or short one in their head."""
     own = F.concat(F.lit("About video "), "page_id", F.lit(', \\"well\\" \\u0026 good\\nsecond'))
@@ -394,6 +417,18 @@ def golden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("queries_evaluated", "judged", *(F.round(c, 6).alias(c) for c in ("mean_ndcg", "mrr", "mean_recall_10", "mean_recall_20")))
 
 
+def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on judged lists in one row; events of eight engines, told by their users, are its latencies and health."""
+    events = table(spark, sf_dir, "events").withColumns({"stage": F.lit("total"), "engine": F.concat(F.lit("engine_"), F.col("user_id") % 8)})
+    latency = evaluation.percentiles(events, "stage", "value").select(*(F.col(f"p{p}").alias(f"latency_p{p}") for p in (50, 95, 99)), F.round("mean", 6).alias("latency_mean"))
+    confidence = table(spark, sf_dir, "pages").agg(F.round(F.avg(F.lit(lexicon.CONFIDENCE)), 6).alias("avg_extraction_confidence"))
+    last = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last"))
+    means = golden_report(spark, sf_dir).join(F.broadcast(last), F.lit(True))
+    one = evaluation.whole_report(means, latency, evaluation.health(events, "engine"), cache_hit_ratio(spark, sf_dir), confidence, F.col("last"), "1").drop("last")
+    told = F.transform(F.array_sort(F.map_entries("engine_health")), lambda e: F.concat_ws(" ", e.key, e.value.total.cast("string"), e.value.succeeded.cast("string"), e.value.failed.cast("string")))
+    return one.withColumn("engine_health", F.array_join(told, "|"))
+
+
 def engine_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each engine's hits are among the ten addresses that fusion puts first."""
     hits = tables.raw_results(spark, sf_dir)
@@ -545,6 +580,12 @@ def fetch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_id", "seq", "norm_url", "engine")
 
 
+def fetch_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked for in place of each address of fetch_list()."""
+    listed = fetch_list(spark, sf_dir)
+    return listed.select("query_id", "seq", urls.old_reddit(F.col("norm_url")).alias("address"))
+
+
 def fetch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tries of which pages are read, by status, kind of content and what came before."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("raw"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
@@ -659,8 +700,8 @@ def fetch_list_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, query_variations, query_year_live,
     mode_caps, tokenize_counts, doc_freq, corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, passage_scores, passage_ranking, silent_queries, sentence_chunks, chunk_overlap, text_quality, clean_dedupe,
-    jaccard_pairs, title_extract, article_extract, video_pages, serp_parse, engine_serps, context_relevance, research_batches, lost_in_middle, context_budget, ranked_context, carried_report, answer_post_process,
-    retry_choice, citation_overlap, ndcg, mrr, recall_at_k, eval_report, golden_eval, golden_report, engine_contribution, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
-    deadline_filter, event_windows, engine_requests, serp_dedup, search_answers, fetch_list, fetch_rules, live_texts, largest_results, live_events, proxy_turns, model_list, paragraph_dedup, json_engines,
+    jaccard_pairs, title_extract, article_extract, page_texts, video_pages, serp_parse, engine_serps, context_relevance, research_batches, lost_in_middle, context_budget, ranked_context, carried_report, answer_post_process,
+    retry_choice, citation_overlap, ndcg, mrr, recall_at_k, eval_report, golden_eval, golden_report, whole_report, engine_contribution, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,
+    deadline_filter, event_windows, engine_requests, serp_dedup, search_answers, fetch_list, fetch_addresses, fetch_rules, live_texts, largest_results, live_events, proxy_turns, model_list, paragraph_dedup, json_engines,
     spoken_answers, count_or_timeout_batches, iterative_reports, session_stream, session_store, batch_stream, deadline_stream, cooldown_stream, fetch_list_stream, stored_results,
 )

@@ -1,6 +1,8 @@
 """Column functions and operators of the retrieval library on literal cases."""
 
+import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,50 @@ def test_percentiles(spark):
     assert got["a"]["p50"] == 1 and got["b"]["p50"] == 2 and got["c"]["p50"] == 51 and got["c"]["p95"] == 95 and got["c"]["mean"] == 50.5
 
 
+def test_ordered_bits(spark):
+    rng = random.Random(3)
+    values = [0.0, 5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0), 1.7976931348623157e308, math.inf]
+    values += [f(2.0**e) for e in range(-1074, 1024) for f in (lambda v: v, lambda v: math.nextafter(v, 0), lambda v: math.nextafter(v, math.inf))]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(2000)]
+    values = [v for v in values if v == v]
+    values += [-v for v in values]
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(evaluation.ordered_bits(F.col("v")).alias("b")).collect()]
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert got == [bits(v) for v in values]
+
+
+def test_percentiles_are_exact(spark):
+    """Against sorting: ties, neighbouring doubles, signs, NaN, nulls, empty groups and clashing names."""
+    rng = random.Random(5)
+    close = 1.0
+    rows = [(None, 3.0), ("nulls", None)]
+    for _ in range(300):
+        close = math.nextafter(close, 2)
+        rows += [("close", close), ("signs", rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300)), ("ties", float(rng.randint(0, 3))), ("odd", rng.choice([0.0, -0.0, math.inf, -math.inf, math.nan, 2.5]))]
+    data = spark.createDataFrame([(g, v, g, 1.0) for g, v in rows], "n string, p50 double, g string, at double")
+    for few in (evaluation.MANY_GROUPS, 1):
+        evaluation.MANY_GROUPS, kept = few, evaluation.MANY_GROUPS
+        try:
+            found = evaluation.percentiles(data.withColumnRenamed("n", "by"), "by", "p50", (0, 50, 95, 99, 100)).collect()
+        finally:
+            evaluation.MANY_GROUPS = kept
+        got = {r["by"]: r for r in found}
+        assert set(got) == {None, "close", "signs", "ties", "odd"}
+        for group, r in got.items():
+            own = sorted((v for g, v in rows if g == group and v is not None), key=lambda v: (v != v, v))
+            assert r["n"] == len(own)
+            for p in (0, 50, 95, 99, 100):
+                want = own[math.floor(p / 100 * (len(own) - 1) + 0.5)]
+                assert r[f"p{p}"] == want or (want != want and r[f"p{p}"] != r[f"p{p}"]), (group, p)
+    assert evaluation.percentiles(data.limit(0), "n", "p50").collect() == []
+
+
+def test_whole_report_without_engines(spark):
+    one = spark.createDataFrame([(1.0,)], "x double")
+    row = evaluation.whole_report(one, one.withColumnRenamed("x", "p"), evaluation.health(spark.createDataFrame([], "engine string, event_type string"), "engine"), one.withColumnRenamed("x", "r"), one.withColumnRenamed("x", "c"), F.lit(5), "2").first()
+    assert row["engine_health"] == {} and (row["generated_at"], row["version"], row["p"]) == (5, "2", 1.0)
+
+
 def test_context(spark):
     ranks = spark.range(1, 7).select("id", context.sandwich(F.col("id"), F.lit(6)).alias("p")).orderBy("p").collect()
     assert [r["id"] for r in ranks] == [1, 3, 5, 6, 4, 2]

@@ -7,7 +7,7 @@ import pytest
 
 from lodestar import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PARITY_SF", "/root/testdata/sf0.001")
 TABLES = ("events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
