@@ -380,6 +380,22 @@ SQL = {
 }
 #: Streams give what their tables do.
 SQL |= {"session_stream": SQL["session_ttl"], "batch_stream": SQL["count_or_timeout_batches"], "deadline_stream": SQL["deadline_filter"], "cooldown_stream": SQL["cooldown_state"], "fetch_list_stream": SQL["fetch_list"]}
+SQL["asked_engines"] = """
+WITH s(mode, names) AS (VALUES
+    ('primary', 'wikipedia duckduckgo brave yahoo bing google qwant startpage mojeek ecosia wiby'),
+    ('backup', 'bing_news google_news brave_news yahoo_news yandex ask dogpile excite webcrawler presearch yep mwmbl marginalia stract bing_us bing_uk google_us google_uk alexandria 4get whoogle librex yacy mullvad_leta'),
+    ('tech', 'duckduckgo brave google bing startpage qwant google_news bing_news marginalia stract wiby'),
+    ('science', 'wikipedia google google_scholar brave duckduckgo startpage mojeek bing ecosia qwant'),
+    ('finance', 'google google_news bing bing_news yahoo yahoo_news brave brave_news duckduckgo startpage'),
+    ('health', 'google wikipedia bing duckduckgo brave google_scholar mojeek startpage ecosia qwant'),
+    ('news', 'google_news bing_news brave_news yahoo_news duckduckgo_news google bing brave yahoo duckduckgo'),
+    ('unheard of', 'wikipedia duckduckgo brave google bing yahoo qwant startpage mojeek ecosia')),
+  a AS (SELECT mode, string_split(names, ' ') AS names FROM s UNION ALL SELECT 'all', (SELECT string_split(names, ' ') FROM s WHERE mode = 'primary') || (SELECT string_split(names, ' ') FROM s WHERE mode = 'backup')),
+  q AS (SELECT item_id AS query_id, ['all', 'tech', 'science', 'finance', 'health', 'news', 'primary', 'backup', 'unheard of'][item_id % 9 + 1] AS mode FROM benchmark),
+  e AS (SELECT query_id, mode, unnest(names) AS engine, CAST(unnest(generate_series(0, len(names) - 1)) AS INT) AS ord FROM q JOIN a USING (mode))
+SELECT query_id, mode, ord, engine,
+       CAST(CAST(CASE WHEN engine IN ('google', 'bing', 'duckduckgo', 'brave', 'wikipedia') THEN 1.5 WHEN engine IN ('startpage', 'qwant', 'mojeek', 'yahoo', 'yandex', 'ecosia') THEN 1.2
+         WHEN engine IN ('dogpile', 'webcrawler', 'excite', 'wiby', 'marginalia', 'mwmbl', 'stract', '4get', 'whoogle', 'librex', 'yacy', 'mullvad_leta', 'alexandria') THEN 0.8 ELSE 1.0 END AS FLOAT) AS DOUBLE) AS weight FROM e"""
 SQL["fetch_addresses"] = f"SELECT query_id, seq, regexp_replace(norm_url, '://(www\\.)?reddit\\.com', '://old.reddit.com') AS address FROM ({SQL['fetch_list']})"
 SQL["page_texts"] = """
 WITH v AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, page_id % 6 AS kind, unnest([false, true]) AS live FROM pages),

@@ -52,6 +52,13 @@ def engine_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, ord int, engine string").withColumn("weight", fusion.weight(F.col("engine")))
 
 
+def asked_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which engines each query of the benchmark is put to, by the mode that its id gives; the last mode isn't known."""
+    modes = F.array(*map(F.lit, ["all", "tech", "science", "finance", "health", "news", "primary", "backup", "unheard of"]))
+    queries = tables.benchmark_queries(spark, sf_dir).select("query_id", F.element_at(modes, (F.col("query_id") % 9 + 1).cast("int")).alias("mode"))
+    return engines.asked_of(queries).select("query_id", "mode", "ord", "engine", "weight")
+
+
 def credibility_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.credibility(F.col("url")).alias("tag"), urls.trust(F.col("url")).cast("double").alias("trust"))
 
@@ -698,7 +705,7 @@ def fetch_list_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, query_variations, query_year_live,
+    rrf_scores, rrf_topk, url_normalize, url_skip_filter, url_dedup, engine_by_url, engine_sets, asked_engines, credibility_tag, redirect_resolve, query_analysis, query_entities, query_rewrite, query_variations, query_year_live,
     mode_caps, tokenize_counts, doc_freq, corpus_stats, bm25_plus_topk, hybrid_scores, mmr_topk, passage_scores, passage_ranking, silent_queries, sentence_chunks, chunk_overlap, text_quality, clean_dedupe,
     jaccard_pairs, title_extract, article_extract, page_texts, video_pages, serp_parse, engine_serps, context_relevance, research_batches, lost_in_middle, context_budget, ranked_context, carried_report, answer_post_process,
     retry_choice, citation_overlap, ndcg, mrr, recall_at_k, eval_report, golden_eval, golden_report, whole_report, engine_contribution, latency_percentiles, engine_health, cache_hit_ratio, session_ttl, cooldown_state,

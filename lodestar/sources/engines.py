@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import ENGINE_SETS
 from ..functions.text import let
+from ..operators import fusion
 
 # Names of the engines that are asked if none are given.
 DEFAULT = """wikipedia,duckduckgo,duckduckgo_html,duckduckgo_news,duckduckgo_images,duckduckgo_videos,brave,brave_news,yahoo,yahoo_news,bing,bing_news,bing_images,bing_videos,bing_us,bing_uk,bing_in,bing_de,bing_fr,
@@ -158,16 +160,26 @@ def judgments(rows: DataFrame) -> DataFrame:
 HISTORY = "id string, query string, focus_mode string, answer string, sources_count bigint, sources_found bigint, elapsed_secs double, timestamp string"
 
 
+#: When an entry was appended, and its place among those appended with it.
+ARRIVAL = "appended bigint, place bigint"
+
+
 def append_history(entries: DataFrame, path: str) -> None:
-    entries.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in HISTORY.split(", "))).write.mode("append").json(path)
+    """Append entries, which arrive in the order of their rows."""
+    named = entries.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in HISTORY.split(", ")))
+    named.withColumns({"appended": F.unix_micros(F.current_timestamp()), "place": F.monotonically_increasing_id()}).write.mode("append").json(path)
 
 
 def history(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
-    """Past searches, the newest first; lines that can't be read are left out, and no folder is an empty history."""
+    """Past searches, those appended last first; lines that can't be read are left out, and no folder is an empty history.
+
+    Lines without a mark of their arrival come last, by their timestamp.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], HISTORY)
-    rows = spark.read.schema(HISTORY).json(path, mode="DROPMALFORMED").orderBy(F.desc("timestamp"), F.desc("id"))
+    lines = spark.read.schema(f"{HISTORY}, {ARRIVAL}").json(path, mode="DROPMALFORMED")
+    rows = lines.orderBy(*(F.desc_nulls_last(c) for c in ("appended", "place", "timestamp", "id"))).drop("appended", "place")
     return rows if newest is None else rows.limit(newest)
 
 
@@ -237,3 +249,16 @@ def models(answer: Column) -> Column:
     clean = lambda names: F.filter(F.transform(names, lambda m: F.regexp_replace(F.trim(m), "^models/", "")), lambda m: F.coalesce(m, F.lit("")) != "")
     first = clean(F.transform(ids, lambda m: m["id"]))
     return F.array_sort(F.when(F.size(first) > 0, first).otherwise(F.coalesce(clean(F.transform(able, lambda m: m["name"])), F.array().cast("array<string>"))))
+
+
+def asked_of(queries: DataFrame, mode: str = "mode") -> DataFrame:
+    """``queries`` with a row for each engine of the set that its mode names (ord, engine, weight).
+
+    The set "all" is the primary engines and then the backup ones, with nothing
+    removed; a mode that isn't known, or is null, asks the default set.
+    """
+    sets = ENGINE_SETS | {"all": ENGINE_SETS["primary"] + ENGINE_SETS["backup"]}
+    listed = F.array(*map(F.lit, sets["default"]))
+    for name, names in sets.items():
+        listed = F.when(F.col(mode) == name, F.array(*map(F.lit, names))).otherwise(listed)
+    return queries.select("*", F.posexplode(listed).alias("ord", "engine")).withColumn("weight", fusion.weight(F.col("engine")))

@@ -7,7 +7,7 @@ live_hourly() and live_sessions() are streaming queries over the same rules.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TTL_S, COOLDOWN_S, DEADLINE_S = 600, 120, 6
@@ -101,11 +102,59 @@ def count_or_timeout(events: DataFrame, most: int = 30, seconds: int = 5) -> Dat
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").select("user_id", "at").mapInArrow(folded, "user_id bigint, batch int, n bigint, start double")
 
 
+def keep_tail(tail: int) -> Callable[[str, str], str]:
+    """The step that keeps a report's last ``tail`` characters and adds the next text on a line of its own."""
+
+    def step(report: str, text: str) -> str:
+        return f"{report[-tail:] if tail else ''}\n{text}" if report else text
+
+    return step
+
+
+def folded_reports(batches: DataFrame, step: Callable[[str, str], str]) -> DataFrame:
+    """(key, report, steps, stopped): batches (key, ord, text) folded in order by ``step`` (report so far, next text) -> report.
+
+    A key's batches come as a sorted stream, and one report is in memory. Where
+    a step raises, the report so far is the key's result, stopped is true, and
+    its other batches are passed over. Batches of one ord go by their text; null
+    texts are left out; a null key is a key.
+    """
+
+    def fold(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, report, steps, stopped, seen = None, "", 0, False, False
+        out: list[tuple] = []
+        for batch in arrived:
+            names, texts = batch.column(0), batch.column(1)
+            for i, own in enumerate(names.to_pylist()):
+                if not seen or own != key:
+                    if seen:
+                        out.append((key, report, steps, stopped))
+                    key, report, steps, stopped, seen = own, "", 0, False, True
+                if stopped:
+                    continue
+                try:
+                    report = step(report, texts[i].as_py())
+                    steps += 1
+                except Exception:  # whatever a reducer raises ends its key, not the query
+                    stopped = True
+            if out:
+                yield told(out, names.type)
+                out.clear()
+        if seen:
+            yield told([(key, report, steps, stopped)], names.type)
+
+    def told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = (kind, pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "report", "steps", "stopped"])
+
+    rows = batches.where("text is not null").select("key", "ord", F.col("text").cast("string").alias("text"))
+    shape = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("report", T.StringType()), T.StructField("steps", T.LongType()), T.StructField("stopped", T.BooleanType())])
+    return rows.repartition("key").sortWithinPartitions("key", "ord", "text").select("key", "text").mapInArrow(fold, shape)
+
+
 def reports(batches: DataFrame, tail: int = 3000) -> DataFrame:
     """(key, report): batches (key, ord, text) folded in order, each step keeping the last ``tail`` characters and adding the next text."""
-    ordered = batches.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("b"))
-    kept = lambda s: F.when(F.length(s) > tail, F.right(s, F.lit(tail))).otherwise(s)
-    return ordered.select("key", F.aggregate("b", F.lit(""), lambda s, x: F.when(s == "", x["text"]).otherwise(F.concat(kept(s), F.lit("\n"), x["text"]))).alias("report"))
+    return folded_reports(batches, keep_tail(tail)).select("key", "report")
 
 
 def hourly(events: DataFrame) -> DataFrame:

@@ -62,6 +62,16 @@ def test_history(spark, tmp_path):
     assert [r["id"] for r in engines.history(spark, path).collect()] == ["2", "1", "0"] and engines.history(spark, path, 1).count() == 1
 
 
+def test_history_is_in_order_of_arrival(spark, tmp_path):
+    path = str(tmp_path / "h")
+    line = lambda i, at: (i, "q", None, "a", 1, 1, 0.5, at)
+    engines.append_history(spark.createDataFrame([line("b", "2024-01-09"), line("a", "2024-01-08")], engines.HISTORY).coalesce(1), path)
+    engines.append_history(spark.createDataFrame([line("c", "2024-01-01")], engines.HISTORY), path)
+    spark.createDataFrame([line("old", "2025-01-01")], engines.HISTORY).write.mode("append").json(path)
+    read = engines.history(spark, path)
+    assert [r["id"] for r in read.collect()] == ["c", "a", "b", "old"] and len(read.columns) == 8
+
+
 def test_history_is_counted_and_cleared(spark, tmp_path):
     path = str(tmp_path / "h")
     assert engines.history_count(spark, path) == 0
@@ -93,6 +103,30 @@ def test_reports_keep_the_end(spark):
     assert state.reports(turns, 5).first()["report"] == "b" * 5 + "\nc"
 
 
+def test_folds(spark):
+    """Ties of ord, null texts and keys, a step that raises, an empty table, and keys that go over many Arrow batches."""
+    rows = [("k", 1, "b"), ("k", 1, "a"), ("k", 0, None), (None, 1, "n"), ("bad", 1, "x"), ("bad", 2, "stop"), ("bad", 3, "y"), ("empty", 1, ""), ("empty", 2, "e")]
+    rows += [("long", i, str(i % 10)) for i in range(500)]
+    turns = spark.createDataFrame(rows, "key string, ord int, text string").repartition(3)
+
+    def step(report, text):
+        if text == "stop":
+            raise ValueError(text)
+        return report + text
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["key"]: tuple(r)[1:] for r in state.folded_reports(turns, step).collect()}
+        tails = {r["key"]: r["report"] for r in state.reports(turns, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {"k": ("ab", 2, False), None: ("n", 1, False), "bad": ("x", 1, True), "empty": ("e", 2, False), "long": ("".join(str(i % 10) for i in range(500)), 500, False)}
+    assert tails["long"] == "7\n8\n9"
+    assert tails["k"] == "a\nb" and tails["empty"] == "e"
+    assert state.folded_reports(turns.limit(0), step).collect() == []
+
+
 def test_batches(spark):
     events = spark.createDataFrame([(i, 1, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 1, 2, 3, 9, 10])], "event_id bigint, user_id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [(r["batch"], r["n"]) for r in state.count_or_timeout(events, 3, 5).orderBy("batch").collect()] == [(0, 3), (1, 1), (2, 2)]
