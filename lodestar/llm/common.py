@@ -49,13 +49,23 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-#: Buckets of neighbouring values: enough that a third of all rows spreads over many.
-BUCKETS = 1024
+#: Buckets of neighbouring values: enough that a third of all rows spreads over many. Where they follow the rows there is one
+#: for each ROWS_A_BUCKET, so that none grows with the table, up to as many as the driver can name (half a megabyte).
+BUCKETS, MOST_BUCKETS, ROWS_A_BUCKET = 1024, 65_536, 100_000
+
+
+def enough_buckets(rows: DataFrame) -> int:
+    return max(BUCKETS, min(MOST_BUCKETS, rows.count() // ROWS_A_BUCKET))
+
+
+def _constant(values: list, kind: str) -> Column:
+    """An array that the optimizer folds into one literal, however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def bucket_edges(rows: DataFrame, column: str, buckets: int = BUCKETS) -> list[int]:
     """At most ``buckets`` - 1 approximate quantiles of a bigint column, ascending and distinct."""
-    share = [i / buckets for i in range(1, buckets)]
+    share = _constant([i / buckets for i in range(1, buckets)], "double")
     edges = rows.agg(F.percentile_approx(column, share, 20 * buckets).alias("e")).first().e or []
     return sorted({e for e in edges if e is not None})
 
@@ -64,8 +74,8 @@ def bucket_of(column: str, edges: list[int]) -> Column:
     """The number of edges under a value, found by halving; -1 for null."""
     number = F.lit(0)
     if edges:
-        bounds = F.array(*(F.lit(e).cast("bigint") for e in edges))
-        steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
+        bounds = _constant(edges, "bigint")
+        steps = _constant([1 << i for i in reversed(range(len(edges).bit_length()))], "int")
         number = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(bounds, at + step - 1) < F.col(column)), at + step).otherwise(at))
     return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(number)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Characters of text handled at once, and cells of the matrix that words are padded into.
+#: Characters of text handled at once, and cells of the matrix that words are padded into, for four languages; more have as much fewer.
 SLICE, CELLS = 2_000_000, 1 << 18
 #: Letters from which a word is gone through by itself.
 LONG = 200
@@ -102,9 +102,11 @@ def forward(words: list[str], hashes: Hashes, probabilities: np.ndarray, unknown
     into a matrix and the pass goes over columns, longest words first, so that
     each step is one array operation for all words that are still running.
     Alphas are rescaled every few columns, as long words underflow otherwise. A
-    matrix has CELLS cells at most; words from LONG letters on take no matrix.
+    matrix has CELLS cells at most, over four languages fewer, so that memory
+    doesn't grow with their number; words from LONG letters on take no matrix.
     """
     order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    cells = 4 * CELLS // max(4, probabilities.shape[1])
     out = np.zeros((len(words), probabilities.shape[1]))
     lo = 0
     while lo < len(order):
@@ -112,7 +114,7 @@ def forward(words: list[str], hashes: Hashes, probabilities: np.ndarray, unknown
             out[order[lo]] = forward_long(words[order[lo]], hashes, probabilities, unknown)
             lo += 1
             continue
-        part = order[lo : lo + CELLS // (len(words[order[lo]]) + 1)]
+        part = order[lo : lo + max(1, cells // (len(words[order[lo]]) + 1))]
         lo += len(part)
         lengths = np.array([len(words[i]) + 1 for i in part])
         width = int(lengths[0])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .common import bucket_edges, bucket_of
+from .common import bucket_edges, bucket_of, enough_buckets
 
 #: Bits of a fingerprint: hashes of 64 bits times HASHES.
 HASHES = 2
@@ -69,14 +69,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, place, is_tail, doc_id, text, next_text): rows in order of doc_id, each with the text after it.
 
     Ids are cut into buckets of about equal numbers of rows at approximate
-    quantiles, whose number is fixed. One shuffle brings each bucket's texts
+    quantiles, whose number follows the rows. One shuffle brings each bucket's texts
     together; the first row of the next bucket (after the last bucket: of the
     first one) comes along as a tail. Null ids come first; rows with one id are
     ordered by their text.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", bucket_of("doc_id", bucket_edges(rows, "doc_id")))
-    # one row a bucket, so at most one more than there are edges
+    rows = rows.withColumn("bucket", bucket_of("doc_id", bucket_edges(rows, "doc_id", enough_buckets(rows))))
+    # one row a bucket, so at most MOST_BUCKETS
     everything = Window.orderBy("of_bucket")
     firsts = rows.groupBy(F.col("bucket").alias("of_bucket")).agg(F.min("doc_id").alias("first_id"))
     tails = firsts.withColumn("to_bucket", F.coalesce(F.lag("of_bucket").over(everything), F.max("of_bucket").over(Window.partitionBy())))

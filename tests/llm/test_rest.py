@@ -170,6 +170,12 @@ def test_simhash_edits(docs):
         assert r["n_within"] == (near if r["doc_id"] % 50 == 0 else None)
 
 
+def test_simhash_edits_with_as_many_buckets_as_rows(docs, monkeypatch):
+    want = sorted(simhash.compare(docs, every=0).collect())
+    monkeypatch.setattr(simhash, "enough_buckets", lambda rows: 30_000)
+    assert sorted(simhash.compare(docs, every=0).collect()) == want
+
+
 def test_simhash_search_is_complete(spark):
     rng = random.Random(2)
     signed = lambda x: x - (1 << 64) if x >> 63 else x

@@ -83,6 +83,47 @@ def test_memory_of_a_very_long_word():
     assert np.isfinite(got).all() and peak < 64 << 20
 
 
+def test_memory_of_many_languages():
+    import tracemalloc
+
+    names = sorted(language.vocabulary(language.default_path()))[:2000]
+    words = [f"{'abcdefghij'[i % 10]}orem" for i in range(43_690)]
+    hashes = language.Hashes(names)
+    few, many = np.full((len(names), 4), 1 / len(names)), np.full((len(names), 100), 1 / len(names))
+    tracemalloc.start()
+    got = language.forward(words, hashes, many)
+    peak = tracemalloc.get_traced_memory()[1] - got.nbytes
+    tracemalloc.stop()
+    assert np.allclose(got[:, :4], language.forward(words, hashes, few)) and peak < 64 << 20
+
+
+def test_quality_is_that_of_a_plain_classifier(spark):
+    """A document at a time, covariances inverted as they are."""
+    import zlib
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 4 == 2}
+    by_class = {c: [quality.statistics(texts[r.doc_id]) for r in labels.collect() if r.quality == c and r.doc_id in texts and r.doc_id not in held] for c in (0, 1)}
+    n = sum(map(len, by_class.values()))
+    means = {c: np.mean(x, axis=0) for c, x in by_class.items()}
+    own = {c: np.cov(np.array(x).T, bias=True) for c, x in by_class.items()}
+    pooled = sum(own[c] * len(by_class[c]) / n for c in (0, 1))
+    a, b, g = quality.SHRINKAGE
+    shrunk = {c: a * own[c] + b * pooled + g * np.eye(len(pooled)) * np.trace(pooled) / len(pooled) for c in (0, 1)}
+
+    def density(x, c):
+        d = x - means[c]
+        return math.log(len(by_class[c]) / n) - 0.5 * np.linalg.slogdet(shrunk[c])[1] - 0.5 * d @ np.linalg.solve(shrunk[c], d)
+
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == len(texts) and {r.doc_id for r in rows if r.held_out} == held
+    for r in rows:
+        x = np.array(quality.statistics(texts[r.doc_id]))
+        want = 1 / (1 + math.exp(-max(-30, min(30, (density(x, 1) - density(x, 0)) / quality.TEMPER))))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == (r.score >= 0.7)
+
+
 def test_tokens_remembered_are_bounded(monkeypatch):
     monkeypatch.setattr(toxicity, "REMEMBERED", 50)
     read = toxicity.Restorer(lambda a, b, c: 1.0)
