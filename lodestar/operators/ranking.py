@@ -14,6 +14,7 @@ from ..functions import lexicon as L
 from ..functions import urls
 from ..functions.text import chunks, let, overlapped, tokens, trim
 from ..sources.tables import written
+from .scoring import Scores, few
 
 
 #: Stands in a chunk's postings for the chunk itself; no token is empty.
@@ -207,33 +208,25 @@ class Passages:
         return split.select(F.struct("source_id", "n").alias("chunk_id"), "text")
 
     @cached_property
-    def pieces(self) -> DataFrame:
-        return written(self._pieces(self.sources))
-
-    @cached_property
-    def named(self) -> DataFrame:
+    def scores(self) -> Scores:
+        split = self.sources.select("source_id", "title", chunks(F.col("text")).alias("c")).select("source_id", "title", F.posexplode(overlapped(F.col("c"))).alias("n", "text")).where(trim(F.col("text")) != "")
         plain = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
-        return self.sources.select("source_id", "title", plain.alias("url")).join(self.votes.select(F.col("norm_url").alias("url"), "rrf"), "url", "left").withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
+        votes = self.sources.select(F.col("source_id").alias("a"), plain.alias("norm_url")).join(self.votes.select("norm_url", "rrf"), "norm_url")
+        most = self.votes.agg(F.max("rrf")).first()[0] or 0.0
+        return Scores(self.queries, split.select(F.col("source_id").alias("a"), F.col("n").alias("b"), "text", "title"), votes, most)
 
-    @cached_property
-    def scored(self) -> DataFrame:
-        most = self.votes.agg(F.coalesce(F.max("rrf"), F.lit(0.0)).alias("most"))
-        titled = title_hits(self.queries, self.sources.select("source_id", "title"), ["source_id"]).distinct()
-        others = titled.join(self.pieces.select("chunk_id", F.col("chunk_id.source_id").alias("source_id")), "source_id")
-        scored = bm25_plus(self.queries, self.pieces, ["chunk_id"], others).withColumn("source_id", F.col("chunk_id.source_id")).join(self.named, "source_id").join(self.terms, "query_id")
-        return written(scored.join(F.broadcast(most), F.lit(True)))
+    def ranked(self, n: int, left: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_id, score, seq): the ``n`` best passages of each query, or of those in ``left``."""
+        chunk_id = F.struct(F.col("a").alias("source_id"), F.col("b").cast("int").alias("n"))
+        return self.scores.best(n, 9, left=left).select("query_id", chunk_id.alias("chunk_id"), "score", "seq")
 
     def best(self, n: int, left: DataFrame | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, seq, text, url): the ``n`` best passages of each query, or of those in ``left``."""
-        scored = self.scored if left is None else self.scored.join(left, "query_id", "left_semi")
-        asked = self.terms.where(F.size("terms") > 0).select("query_id")
-        asked = asked if left is None else asked.join(left, "query_id", "left_semi")
-        rows = hopeful(scored, n, "terms", "rrf", "most").join(self.pieces, "chunk_id")
-        found = top_by_score(with_bonuses(rows, "text", "title", "terms", "rrf", "most").withColumn("score", F.round("score", 9)), n, "chunk_id")
-        names = ["query_id", "chunk_id", "score", "seq", "text", "url"]
-        zero = zero_rows(asked, scored, self.pieces.select("chunk_id", F.length("text").alias("size")), n, [F.desc("size"), F.col("chunk_id")], "chunk_id")
-        zero = zero.join(self.pieces, "chunk_id").join(self.named.select(F.col("source_id").alias("of"), "url"), F.col("chunk_id.source_id") == F.col("of"))
-        return found.select(*names).union(zero.withColumn("score", F.lit(NOTHING)).select(*names))
+        """ranked() with the passages' text and url. Only the sources of these passages are cut again."""
+        found = few(self.ranked(n, left).withColumn("source_id", F.col("chunk_id.source_id")))
+        own = self.sources.join(found.select("source_id"), "source_id", "left_semi")
+        pieces = self._pieces(own).select(F.struct(F.col("chunk_id.source_id").cast("bigint").alias("source_id"), "chunk_id.n").alias("chunk_id"), "text")
+        places = self.sources.select("source_id", F.coalesce(urls.normalized(F.col("url")), F.col("url")).alias("url"))
+        return pieces.join(found, "chunk_id").join(places, "source_id").select("query_id", "chunk_id", "score", "seq", "text", "url")
 
     def chosen(self, k: int, candidates: int = 100) -> DataFrame:
         """(query_id, chunk_id, score, mmr_rank): good passages that are unlike each other; of a query without terms the first ones, unscored, in order."""
