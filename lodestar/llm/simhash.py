@@ -24,6 +24,8 @@ LANES = 0x0000000100000001
 #: A term weighs as many votes as its words have characters, up to this.
 MOST_WEIGHT = 16
 SPACE = r"[\x20\x09-\x0D]+"
+#: Cells of the filter of fronts that search() broadcasts (some 9 MB, whatever the tables), and 64-bit words in a row of it.
+FILTER_BITS, FILTER_WORDS = 1 << 26, 64
 
 
 def terms(text: Column) -> Column:
@@ -151,6 +153,11 @@ def search(queries: DataFrame, marked: DataFrame, key: str, radius: int = 6, blo
     fingerprints are one entry, named by the smallest key, with the number of
     its members: copies never give pairs. Null keys are never the name of a
     class that has others.
+
+    Of the entries' rows (one a table) only those whose front hashes into a cell
+    of some query's go to the join; where queries fill the filter, all do. The
+    join is one of sorted rows: Spark guesses the queries' size before they are
+    multiplied by the tables, and would broadcast too many of them.
     """
     width = BITS // blocks
     if not 0 <= radius < blocks or BITS % blocks or 64 % width:
@@ -163,13 +170,34 @@ def search(queries: DataFrame, marked: DataFrame, key: str, radius: int = 6, blo
         return df.select(F.col(name), *more, *(F.col(f"f{k}").alias(f"{p}{k}") for k in range(HASHES)), F.posexplode(fronts).alias("t", "front"))
 
     left = tables(queries.select(F.col(key).alias("query"), *(f"f{k}" for k in range(HASHES))), "query", "a", [])
-    right = tables(classes(marked, key), "class_id", "b", ["members"])
-    met = left.join(right, ["t", "front"]).where(distance("a", "b") <= radius)
+    right = in_filter(tables(classes(marked, key), "class_id", "b", ["members"]), front_filter(left))
+    met = left.hint("merge").join(right, ["t", "front"]).where(distance("a", "b") <= radius)
     agree = lambda choice: reduce(lambda x, y: x & y, [block("a", i) == block("b", i) for i in choice])
     first = F.coalesce(*(F.when(agree(choice), F.lit(t)) for t, choice in enumerate(choices)))
     return met.where(F.col("t") == first).select("query", "class_id", "members", distance("a", "b").alias("bits"))
 
 
+def _cell() -> tuple[Column, Column, Column]:
+    """A front's place in the filter: row, word in the row, bit in the word."""
+    cell = F.pmod("front", F.lit(FILTER_BITS))
+    word = F.floor(cell / 64)
+    return F.floor(word / FILTER_WORDS), (word % FILTER_WORDS).cast("int"), (cell % 64).cast("int")
+
+
+def front_filter(asked: DataFrame) -> DataFrame:
+    """(part, words): bitmaps of the cells that the fronts of ``asked`` hash into."""
+    part, word, bit = _cell()
+    cells = asked.select(part.alias("part"), word.alias("word"), bit.alias("bit")).repartition("part")
+    one = F.expr("shiftleft(1L, bit)")
+    return cells.groupBy("part").agg(F.array(*(F.bit_or(F.when(F.col("word") == i, one).otherwise(F.lit(0).cast("bigint"))) for i in range(FILTER_WORDS))).alias("words"))
+
+
+def in_filter(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """The rows whose front hashes into a cell of the filter."""
+    part, word, bit = _cell()
+    return rows.join(F.broadcast(cells), part == F.col("part")).where(F.getbit(F.get("words", word), bit) == 1).select(*rows.columns)
+
+
 def classes(marked: DataFrame, key: str) -> DataFrame:
     """One row (class_id, members, f0, f1) for each distinct fingerprint."""
     return marked.groupBy(*(f"f{k}" for k in range(HASHES))).agg(F.min(key).alias("class_id"), F.count("*").alias("members"))

@@ -190,6 +190,40 @@ def test_simhash_search_is_complete(spark):
     assert got == want
 
 
+def shuffled_rows(spark):
+    """Rows that all stages of the session wrote to shuffles so far, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_simhash_search_shuffles_few_rows_where_queries_are_not_broadcast(spark):
+    marked = spark.range(20_000).select(F.col("id").alias("doc_id"), *(F.xxhash64(F.lit(k), "id").alias(f"f{k}") for k in range(2)))
+    queries = marked.where("doc_id % 50 = 0").withColumn("f0", F.col("f0").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), 63)))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        got = sorted((r["query"], r["class_id"], r["members"], r["bits"]) for r in simhash.search(queries, marked, "doc_id").collect())
+        after = shuffled_rows(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert got == [(i, i, 1, 1) for i in range(0, 20_000, 50)]
+    # each print once by classes(), the queries in 28 tables for the filter and the join, and what the filter lets by; not each print in 28 tables
+    assert sum(n for stage, n in after.items() if stage not in before) < 3 * 20_000 + 28 * 400
+
+
+def test_simhash_filter_loses_nothing_when_full(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FILTER_BITS", 1 << 15)  # a few rows, about half of their cells taken
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("front"))
+    asked = rows.where("id % 2 = 0")
+    kept = {r["id"] for r in simhash.in_filter(rows, simhash.front_filter(asked)).collect()}
+    cells = {r["c"] for r in asked.select(F.pmod("front", F.lit(1 << 15)).alias("c")).collect()}
+    assert kept == {r["id"] for r in rows.withColumn("c", F.pmod("front", F.lit(1 << 15))).collect() if r["c"] in cells}
+    assert simhash.in_filter(rows, simhash.front_filter(asked.where("false"))).count() == 0
+
+
 def test_warc_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
