@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,23 @@ def gather(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return done.coalesce(1 + done.count() // rows)
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Rows written to the shared folder and read again, and where: what rounds that join their own results go through.
+
+    A checkpoint keeps its plan's estimate of bytes, which for a join is the product of both sides, so in rounds the
+    estimate itself gets two or three times as many digits each time, and soon fills the driver. Files have their own size.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete what store() or another writer has put into the shared folder and nobody reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split that the label contracts name."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash, mixing, packing, repeats, toxicity
-from .common import checkpoint_dir, table
+from .common import checkpoint_dir, remove, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,7 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
         if was:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(was)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, was)
         was = to
     return docs

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove, store
 
 #: What a run of letters is, and how often one of its letters is lost.
 LETTERS = "[A-Za-zÀ-ÿ]+"
@@ -64,13 +64,14 @@ def roots(forms: DataFrame) -> DataFrame:
 
     A form is commoner than its word, so there are no circles. Every round goes twice as far.
     """
-    at = cut(forms.select("word", F.col("form").alias("root")))
+    at, at_in = store(forms.select("word", F.col("form").alias("root")))
     for _ in range(ROUNDS):
         next_ = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = cut(at.join(next_, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        new, new_in = store(at.join(next_, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        remove(forms.sparkSession, at_in)
         if new.where("moved").isEmpty():
             return new.select("word", "root")
-        at = new.select("word", "root")
+        at, at_in = new.select("word", "root"), new_in
     raise RuntimeError(f"roots still change after {ROUNDS} rounds")
 
 

@@ -95,6 +95,28 @@ def test_components_of_a_long_chain(spark):
     assert all(found[i] == 1 for i in range(1, 61)) and {found[i] for i in (100, 101, 102)} == {100}
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    from lodestar.llm.components import components
+
+    rng = random.Random(13)
+    ids = rng.sample(range(10_000), 3000)
+    chains = [ids[:1000], sorted(ids[1000:2000]), ids[2000:2500], ids[2500:]]
+    edges = [e for c in chains for e in zip(c[:-1], c[1:], strict=True)]
+    found = dict(components(spark.createDataFrame(rng.sample(edges, len(edges)), "a bigint, b bigint")).collect())
+    assert found == {v: min(c) for c in chains for v in c}
+
+
+def test_rounds_keep_estimates_short(spark):
+    from lodestar.llm import spelling
+    from lodestar.llm.components import components
+
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "a bigint, b bigint"))
+    assert size(chain) < 1 << 30  # a product of estimates a round has hundreds of thousands of digits
+    words = spelling.roots(spark.createDataFrame([(f"w{i:03}", f"w{i + 1:03}") for i in range(200)], "word string, form string"))
+    assert size(words) < 1 << 30 and {tuple(r) for r in words.collect()} == {(f"w{i:03}", "w200") for i in range(200)}
+
+
 def test_later_rounds_load_missing_sets(spark, monkeypatch):
     rng = random.Random(12)
     texts = []
