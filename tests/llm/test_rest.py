@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -378,6 +379,19 @@ def test_whole_splits_no_value():
         assert sum(got, []) == keys.tolist() and sum(len(set(g)) for g in got) == len(set(keys.tolist())) and all(got)
 
 
+def test_points_cost_less_the_more_are_asked_for():
+    rng = np.random.default_rng(10)
+    prints, asked = (rng.integers(0, 2**63, (n, 2)).astype(np.uint64) for n in (20_000, 400_000))
+    asked[::1000] = prints[:400] ^ np.uint64(1 << 20 | 1 << 40)
+    tables, took = images.Tables(prints), []
+    for n in (4000, 400_000):
+        began = time.perf_counter()
+        i, j = tables.near(asked[:n])
+        took.append(time.perf_counter() - began)
+    assert list(i) == list(range(0, 400_000, 1000)) and list(j) == list(range(400))
+    assert took[1] < 50 * took[0]  # 100 times where each point is looked up by itself
+
+
 def test_near_blocks_lose_no_pair():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 2**63, (300, 2)).astype(np.uint64)
