@@ -29,7 +29,6 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -49,6 +48,8 @@ MOST_FILTER = 256 << 20
 MOST_WORDS = 1 << 19
 #: Bytes of text a segment, tokens that a task counts before it sends them on, and bytes that are split at a time.
 SEGMENT, TOKENS, SLICE = 4 << 20, 1 << 20, 2 << 20
+#: Bytes of text that ask the segments together: the more, the fewer distinct n-grams a token.
+ASKING = 16 << 20
 #: Partitions that segments are dealt to, at most; each is gone through segment by segment.
 MOST_PARTITIONS = 1 << 14
 END = b""
@@ -101,6 +102,13 @@ class Tokens:
         digests = np.frombuffer(b"".join(map(xxh3_128_digest, index)), dtype=np.uint64).reshape(-1, 2)
         self.lo, self.hi = digests[:, 0].copy(), digests[:, 1].copy()
 
+    @classmethod
+    def of(cls, ids: np.ndarray, sizes: np.ndarray, lo: np.ndarray) -> Tokens:
+        """Tokens that were made before, without the words' other hashes."""
+        tokens = cls.__new__(cls)
+        tokens.ids, tokens.sizes, tokens.lo = ids.astype(np.int64), sizes.astype(np.int64), lo
+        return tokens
+
     def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each order from 2 on: the places that have so many tokens before them, the distinct n-grams that end there, and which of them does."""
         before, places = [], np.arange(len(self.ids))
@@ -116,12 +124,12 @@ class Tokens:
             yield places, *np.unique(key, return_inverse=True)
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
-    """Runs of texts of about SLICE bytes, with their bounds; a longer text is a run of its own."""
+def _slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Runs of texts of about ``most`` bytes, with their bounds; a longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, size = 0, 0
     for i, n in enumerate(lengths):
-        if i > start and size + n > SLICE:
+        if i > start and size + n > most:
             yield start, i, column.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
@@ -424,27 +432,54 @@ _SENT = "slice bigint, segment int, part int, block binary"
 _SENT_SCHEMA = pa.schema([("slice", pa.int64()), ("segment", pa.int32()), ("part", pa.int32()), ("block", pa.binary())])
 
 
+def _packed(numbers: np.ndarray) -> tuple[int, str, bytes]:
+    """Whole numbers by their bytes' places, compressed: those of small or of ascending numbers hold little."""
+    numbers = np.ascontiguousarray(numbers)
+    return len(numbers), numbers.dtype.str, pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: tuple[int, str, bytes]) -> np.ndarray:
+    n, kind, data = packed
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _questions(tokens: Tokens, order: int, bits: int) -> tuple[list[tuple[np.ndarray, int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """The longer n-grams (places, how many, which), all keys, the words' first, their segments, and their order by segment."""
+    grams = [*tokens.grams(order)]
+    keys = np.concatenate([tokens.lo, *(own for _, own, _ in grams)])
+    of = _segment(keys, bits)
+    return [(places, len(own), which) for places, own, which in grams], keys, of, np.argsort(of, kind="stable")
+
+
 def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
-    """A row a document, all counts known: questions go to the segments, answers back to the slices of documents that asked."""
+    """A row a document, all counts known: questions go to the segments, answers back to the slices of documents that asked.
+
+    ``docs`` is read once for what the slices ask and once for the slices, so neither is written first; a slice has its first row's
+    number. They go on as tokens and hashes of words, from which what they asked is made again.
+    """
     bits, longest, numbers = model.bits, model.order, (model.n_tokens, model.n_words, model.mass)
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list], Tokens]]:
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in range(3)]
-            for a, b, raws in _slices(batch.column(3)):
-                tokens = Tokens(raws)
-                grams = [*tokens.grams(longest)]
-                keys = np.concatenate([tokens.lo, *(own for _, own, _ in grams)])
-                of = _segment(keys, bits)
-                order = np.argsort(of, kind="stable")
-                edges = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
-                rows = [(number, -1, 2, pickle.dumps(([c[a:b] for c in ids], tokens.ids, tokens.sizes, [(places, len(own), which) for places, own, which in grams], order, len(tokens.lo))))]
-                for s, e in zip(edges, np.r_[edges[1:], len(order)], strict=True):
-                    own = order[s:e]
-                    rows.append((number, int(of[own[0]]), 2, pickle.dumps((keys[own], tokens.hi[own[own < len(tokens.lo)]]))))  # words come first
-                number += 1
-                yield _batch(rows, _SENT_SCHEMA)
+            for a, b, raws in _slices(batch.column(3), ASKING):
+                yield ids[0][a], [c[a:b] for c in ids], Tokens(raws)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, tokens in slices(batches):
+            _, keys, of, order = _questions(tokens, longest, bits)
+            edges = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+            rows = []
+            for s, e in zip(edges, np.r_[edges[1:], len(order)], strict=True):
+                own = order[s:e]
+                words = own[own < len(tokens.lo)]  # these come first
+                rows.append((number, int(of[own[0]]), 2, pickle.dumps((_packed(keys[own]), tokens.hi[words].tobytes()))))
+            yield _batch(rows, _SENT_SCHEMA)
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, tokens in slices(batches):
+            yield _batch([(number, -1, 2, pickle.dumps((ids, _packed(tokens.ids.astype(np.uint32)), _packed(tokens.sizes.astype(np.uint32)), tokens.lo.tobytes())))], _SENT_SCHEMA)
 
     def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = filter_ = words = None
@@ -459,6 +494,7 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
                     words = _words(block)
                 else:
                     keys, hi = pickle.loads(block)
+                    keys, hi = _unpacked(keys), np.frombuffer(hi, np.uint64)
                     counts = np.zeros(len(hi), dtype=np.int64)
                     if words is not None and len(hi):
                         first = np.searchsorted(words[0], keys[: len(hi)])
@@ -474,7 +510,12 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
         asked, answers = None, []
 
         def told() -> pa.RecordBatch:
-            ids, tokens, sizes, places, order, n_words = asked
+            ids, of, sizes, lo = asked
+            tokens = Tokens.of(_unpacked(of), _unpacked(sizes), np.frombuffer(lo, np.uint64))
+            places, _, _, order = _questions(tokens, longest, bits)
+            n_words = len(tokens.lo)
+            if len(order) != sum(len(a[0]) for a in answers):
+                raise RuntimeError("documents were not in the same partitions when they were read again")
             levels = np.zeros(len(order), dtype=np.uint8)
             levels[order] = np.concatenate([a[0] for a in answers])
             exact = np.zeros(n_words, dtype=np.int64)
@@ -483,8 +524,8 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
             for where, n, which in places:
                 grams.append((where, levels[at : at + n][which]))
                 at += n
-            known, base, score = _summary(tokens, sizes, levels[:n_words], grams, exact, numbers)
-            return _doc_rows(ids, sizes, known, base, score, np.zeros(len(sizes), dtype=np.uint64))
+            known, base, score = _summary(tokens.ids, tokens.sizes, levels[:n_words], grams, exact, numbers)
+            return _doc_rows(ids, tokens.sizes, known, base, score, np.zeros(len(tokens.sizes), dtype=np.uint64))
 
         for batch in batches:
             for _, segment, _, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -497,10 +538,9 @@ def _exchanged_rows(model: Model, docs: DataFrame) -> DataFrame:
         if asked:
             yield told()
 
-    sent = cut(docs.mapInArrow(asking, _SENT))  # read twice
     held = model.parts.select(F.lit(-1).cast("bigint").alias("slice"), "segment", "part", "block")
-    answers = held.unionByName(sent.where("segment >= 0")).repartition(min(1 << bits, MOST_PARTITIONS), "segment").sortWithinPartitions("segment", "part").mapInArrow(answering, _SENT)
-    back = sent.where("segment < 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "segment")
+    answers = held.unionByName(docs.mapInArrow(asking, _SENT)).repartition(min(1 << bits, MOST_PARTITIONS), "segment").sortWithinPartitions("segment", "part").mapInArrow(answering, _SENT)
+    back = docs.mapInArrow(waiting, _SENT).unionByName(answers).repartition("slice").sortWithinPartitions("slice", "segment")
     return back.mapInArrow(gathered, _ROW).withColumn("n", F.lit(None).cast("bigint"))
 
 

@@ -78,6 +78,27 @@ def test_broadcast_and_exchange_agree(docs):
         assert [r[:3] for r in one] == [r[:3] for r in two] and np.allclose([r[3:] for r in one], [r[3:] for r in two], rtol=1e-9, atol=1e-6)
 
 
+def test_exchange_writes_nothing_before_it_is_read(docs, monkeypatch):
+    out = F.coalesce(lm.fold_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    model = lm.fit(docs.where(~out))
+
+    def refused(df):
+        raise AssertionError("questions and tokens were written first")
+
+    monkeypatch.setattr(lm, "cut", refused)
+    monkeypatch.setattr(lm, "ASKING", 1000)  # many slices a partition
+    got = sorted((r.doc_id or -1, r.n_known, r.base_score) for r in lm.log_probabilities(model, docs, out, -1).collect())
+    want = sorted((r[0] or -1, r[3], r[5]) for r in plain(2, 1.0))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-9, atol=1e-6)
+
+
+def test_packed_numbers_are_small():
+    rng = np.random.default_rng(4)
+    for numbers, most in ((rng.zipf(1.5, 100_000).clip(1, 60_000).astype(np.uint32), 2.0), (np.sort(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)), 6.5), (np.zeros(0, np.uint64), 0)):
+        packed = lm._packed(numbers)
+        assert (lm._unpacked(packed) == numbers).all() and len(packed[2]) <= most * len(numbers) + 30
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     out = F.coalesce(lm.fold_of(F.col("doc_id"), 7) == 2, F.lit(False))
     model = lm.fit(docs.where(~out))
